@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import minhash
+from quillon.llm import bpe, minhash, radix
 from quillon.llm.common import documents
 
 
@@ -14,8 +16,31 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op6_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.exact_duplicates(documents(spark, sf_dir))
+
+
+OP6_SQL = """
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS cps, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t ORDER BY cps DESC, doc_id)
+"""
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    both = bpe.decoded(tokens, path)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
+    "op6_radix": op6_radix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_radix": OP6_SQL}
