@@ -6,7 +6,7 @@ permutations (four values) bring candidates together; a pair at the threshold of
 
 Identical word sequences are one class and enter the bands once. In a bucket the members are held against its smallest one
 first; whatever pairs then lie in different components are confirmed too, all at once if their number is linear in the
-bucket rows, else by further rounds of one pivot a bucket. Pairs inside a component need no check: they cannot change it.
+documents, else by further rounds of one pivot a bucket. Pairs inside a component need no check: they cannot change it.
 
 Cases. Null or empty text, or blanks alone: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence
 is the one shingle. Repeated rows share one result. Very long texts are read whole. An empty table gives an empty result.
@@ -27,8 +27,8 @@ from quillon.llm.graph import components
 
 _U = np.uint64
 PERMUTATIONS, BAND_PERMUTATIONS = 40, 2
-#: Pairs a bucket row that may be confirmed in one go once the pivots are done; beyond it pivot rounds go on.
-PAIRS_A_ROW = 4
+#: Pairs a document that may be confirmed in one go once the pivots are done; beyond it pivot rounds go on.
+PAIRS_A_DOCUMENT = 16
 
 _SIGNED = "id long, n_shingles long, words_key binary, bands array<long>"
 
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     heads = rows_of.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1")
     members = stored(rows_of.join(heads, ["band", "key"]).select("band", "key", "id", "n", "head", "members"))
-    # an id may stand in several components only if its buckets say so; both sides of a link have sizes in this bound
+    # the sizes of two linked sets are in this bound
     fits = F.col("na") * 100 >= F.col("nb") * percent
     fits = fits & (F.col("nb") * 100 >= F.col("na") * percent)
 
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     texts = stored(rows.join(wanted, "id").dropDuplicates(["id"]))
     links = stored(_linked(star, texts, shingle, percent))
+    n_docs = signed.count()
     # the pivots are done with; what is left of each bucket
     left = members.where("id > head").select("band", "key", "id", "n")
     while True:
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         side = left.select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         other = left.select("band", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        last = n_pairs <= PAIRS_A_ROW * n_rows
+        last = n_pairs <= PAIRS_A_DOCUMENT * n_docs
         if last:
             pairs = side.join(other, ["band", "key"]).where(F.col("a") < F.col("b")).where("ca <> cb").where(fits)
         else:
