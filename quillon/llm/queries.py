@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, minhash, radix, sharding
-from quillon.llm.common import documents
+from quillon.llm import bpe, decontaminate, minhash, quality, radix, sharding, toxicity
+from quillon.llm.common import crc_fold, documents
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,22 @@ def op1_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
+def _judged(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_fold("doc_id", 4) == 2
+    return _judged(toxicity.scored(docs, toxicity.fitted(docs, labels, ~held_out)), held_out)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_fold("doc_id", 5) == 0
+    return _judged(quality.scored(docs, quality.fitted(docs, labels, ~held_out)), held_out)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -86,8 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert": op1_hilbert,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_radix": op6_radix,
     "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
 }
 
 SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op6_radix": OP6_SQL, "op7_decontaminate": OP7_SQL}
