@@ -30,11 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing."""
+    """``df`` written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing.
+
+    Its shuffle files are done with then and are cleaned up at once.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    clean, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(clean, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._quillon_path = at
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing that is still to run reads it."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, id, text) with one uid for every distinct text of an id.
+
+    Ids that are set and unique serve as they are. Otherwise (null ids, or an id with several rows) rows are numbered and
+    stored, since numbers given anew at each reading need not agree.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if rows.groupBy("id").agg(F.count("*").alias("m")).where("m > 1 or id is null").isEmpty():
+        return rows.select(F.col("id").alias("uid"), "id", "text")
+    return stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text"))
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, minhash, quality, radix, sharding, toxicity
+from quillon.llm import bpe, decontaminate, minhash, quality, radix, sharding, suffixes, toxicity
 from quillon.llm.common import crc_fold, documents
 
 
@@ -98,6 +98,11 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY d.
 """
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_strings(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert": op1_hilbert,
     "op2_bpe": op2_bpe,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_radix": op6_radix,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality": op9_quality,
+    "op10_suffixes": op10_suffixes,
 }
 
 SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op6_radix": OP6_SQL, "op7_decontaminate": OP7_SQL}
