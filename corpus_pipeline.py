@@ -1,14 +1,79 @@
-"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, tokens."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, tokens.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and works on all that the stage before it
+kept. All but the last return the columns of documents; the last returns each document's tokens.
+
+Rows are told apart by id and text: of rows that share both, a filtering stage keeps one at most where it removes copies.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, decontaminate, minhash, quality, radix
+from quillon.llm.common import crc_fold, documents, stored, with_uid
+
+#: Documents with a lower score go.
+LEAST_QUALITY = 0.3
+
+
+def _of(docs: DataFrame, uids: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose uid is in ``kept``."""
+    return uids.join(kept.select("uid"), "uid", "left_semi").select(docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a uid; its other columns ride along."""
+    rows = with_uid(docs, "doc_id", "text")
+    if not hasattr(rows, "_quillon_path"):
+        return docs.withColumn("uid", F.col("doc_id").cast("long"))
+    return stored(docs.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It learns from the labelled rows outside the held-out fold."""
+    uids = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fitted(docs, labels, crc_fold("doc_id", 5) != 0)
+    scores = quality.scored(uids, model, "uid")
+    return _of(docs, uids, scores.where(F.col("score") >= LEAST_QUALITY))
 
 
-def run(spark, sf_dir):
-    from quillon.llm.common import documents, stored
+def by_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    uids = _numbered(docs)
+    return _of(docs, uids, radix.exact_duplicates(uids, "uid").where("kept"))
+
+
+def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8."""
+    uids = _numbered(docs)
+    return _of(docs, uids, minhash.near_duplicates(uids, "uid").where("kept"))
+
+
+def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    uids = _numbered(docs)
+    found = decontaminate.contaminated(uids, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid")
+    return _of(docs, uids, found.where("n_hit = 0"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids, with what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = bpe.decoded(bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", by_quality), ("exact_dedup", by_copies), ("near_dedup", by_near_copies), ("decontamination", by_benchmark), ("bpe", tokens)]
+
+#: The classifier, the components and the tokens are not expressed in SQL; tests hold the rows against a brute-force version.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -9,7 +9,8 @@ first; whatever pairs then lie in different components are confirmed too, all at
 documents, else by further rounds of one pivot a bucket. Pairs inside a component need no check: they cannot change it.
 
 Cases. Null or empty text, or blanks alone: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence
-is the one shingle. Repeated rows share one result. Very long texts are read whole. An empty table gives an empty result.
+is the one shingle. Very long texts are read whole. An empty table gives an empty result. Repeated rows and rows with one id
+or none are documents of their own; a component is named by its smallest id (null if it has none) and keeps just one row.
 Only the id and the text column are read; others may have any name.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, mixed, small_batches, stored, utf8, words_of
+from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.graph import components
 
 _U = np.uint64
@@ -136,14 +137,15 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return met.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def classes_of(rows: DataFrame, shingle: int, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text): (id, n_shingles, words_key, bands), stored, and (words_key, rep), the smallest id of each class with words."""
     signed = stored(rows.mapInArrow(_signer(shingle, permutations, per_band), _SIGNED))
+    return signed, signed.where("n_shingles > 0").groupBy("words_key").agg(F.min("id").alias("rep"))
+
+
+def linked_classes(rows: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(words_key, component) of every class: banded, pairs confirmed, components taken; component is an id."""
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("words_key").agg(F.min("id").alias("rep"))
     reps = full.join(classes, "words_key").where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"])
     rows_of = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     heads = rows_of.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1")
@@ -184,7 +186,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             break
     parts = components(links).select(F.col("id").alias("rep"), "component")
-    of_class = classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
+    return classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
+    uids = with_uid(docs, id_col, text_col)
+    rows = uids.select(F.col("uid").alias("id"), "text")
+    signed, classes = classes_of(rows, shingle, permutations, per_band)
+    of_class = linked_classes(rows, signed, classes, shingle, percent)
     out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words_key")).alias("words_key")).join(of_class, "words_key", "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.expr("id <=> component_id").alias("kept"))
+    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    if not hasattr(uids, "_quillon_path"):  # ids serve as uids
+        return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    out = out.join(uids.select(F.col("uid").alias("id"), F.col("id").alias("own")), "id")
+    first = out.groupBy("component").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("own", "id"))).alias("first"), F.min("id").alias("least"))
+    out = out.join(first, "component")
+    return out.select(F.col("own").alias(id_col), "n_shingles", F.col("first.own").alias("component_id"), (F.col("id") == F.coalesce("first.id", "least")).alias("kept"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, minhash, quality, radix, sharding, suffixes, toxicity
+from quillon.llm import bpe, decontaminate, licences, minhash, paragraphs, quality, radix, sharding, suffixes, toxicity
 from quillon.llm.common import crc_fold, documents
 
 
@@ -103,13 +103,25 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.repeated_paragraphs(documents(spark, sf_dir))
+    return found.select("doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"]))).alias("spans"), (F.size("spans") > 0).alias("repeats"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(documents(spark, sf_dir))
+    return found.withColumn("families", F.concat_ws(",", "families"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert": op1_hilbert,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
+    "op4_paragraphs": op4_paragraphs,
     "op5_toxicity": op5_toxicity,
     "op6_radix": op6_radix,
     "op7_decontaminate": op7_decontaminate,
+    "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_suffixes": op10_suffixes,
 }
