@@ -5,8 +5,9 @@ permutations (four values) bring candidates together; a pair at the threshold of
 (1 - 0.85**4)**20 < 4e-7. Links are confirmed on the full sets of shingles, whatever the signatures say.
 
 Identical word sequences are one class and enter the bands once. In a bucket the members are held against its smallest one
-first; whatever pairs then lie in different components are confirmed too, all at once if their number is linear in the
-documents, else by further rounds of one pivot a bucket. Pairs inside a component need no check: they cannot change it.
+first, which links most of a group without its pairs. Members of one component need no further check: it cannot change it.
+Members of buckets that still hold several components are paired across components by a prefix filter on their rarest
+shingles, which is exact, and confirmed too.
 
 Cases. Null or empty text, or blanks alone: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence
 is the one shingle. Very long texts are read whole. An empty table gives an empty result. Repeated rows and rows with one id
@@ -20,16 +21,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, mixed, small_batches, stored, utf8, with_uid, words_of
+from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.graph import components
 
 _U = np.uint64
 PERMUTATIONS, BAND_PERMUTATIONS = 40, 2
-#: Pairs a document that may be confirmed in one go once the pivots are done; beyond it pivot rounds go on.
-PAIRS_A_DOCUMENT = 16
 
 _SIGNED = "id long, n_shingles long, words_key binary, bands array<long>"
 
@@ -137,6 +136,41 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return met.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
+def _shingles(k: int):
+    def cut(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in chunks(offsets):
+                hashes, rows, _ = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                first = np.searchsorted(rows, np.arange(j - i + 1))
+                own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(x) for x in own])), pa.array(np.concatenate(own).view(np.int64))], ["id", "s"])
+
+    return cut
+
+
+def _prefixed(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the ids in ``left`` (id, n, c) that lie in different components c and may reach the threshold.
+
+    Shingles are ordered by rarity among these ids. Two sets at the threshold share one of their first few, and at their
+    first common shingle what is left of both must still suffice; both bounds are necessary, so no link is lost. Rows of a
+    shingle's largest component meet only the others, never each other.
+    """
+    cut = stored(texts.join(left.select("id"), "id").select("id", "text").mapInArrow(_shingles(k), "id long, s long"))
+    times = cut.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = cut.join(times, "s").join(left, "id").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")) - 1)
+    tokens = ranked.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n"))).select("s", "id", "n", "c", "i")
+    tokens = stored(tokens)
+    by_part = tokens.groupBy("s", "c").agg(F.count("*").alias("m")).groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").select("s", F.col("most.c").alias("most"))
+    few = tokens.join(by_part, "s").where("c <> most").select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"))
+    other = tokens.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    pairs = few.join(other, "s").where(F.col("ca") != F.col("cb")).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    forget(cut)
+    return pairs
+
+
 def classes_of(rows: DataFrame, shingle: int, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, text): (id, n_shingles, words_key, bands), stored, and (words_key, rep), the smallest id of each class with words."""
     signed = stored(rows.mapInArrow(_signer(shingle, permutations, per_band), _SIGNED))
@@ -159,32 +193,12 @@ def linked_classes(rows: DataFrame, signed: DataFrame, classes: DataFrame, shing
     wanted = members.select("id").distinct()
     texts = stored(rows.join(wanted, "id").dropDuplicates(["id"]))
     links = stored(_linked(star, texts, shingle, percent))
-    n_docs = signed.count()
-    # the pivots are done with; what is left of each bucket
-    left = members.where("id > head").select("band", "key", "id", "n")
-    while True:
-        parts = components(links)
-        placed = left.join(parts, "id", "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("c"))
-        by_part = placed.groupBy("band", "key", "c").agg(F.count("*").alias("m"))
-        mixed_up = by_part.groupBy("band", "key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("cs"), F.min(F.struct("m", "c")).alias("few")).where("cs > 1")
-        mixed_up = mixed_up.select("band", "key", "all", "own", F.col("few.c").alias("few"))
-        left = stored(placed.join(mixed_up, ["band", "key"]))
-        n_rows, n_pairs = left.agg(F.count("*"), F.sum((F.col("all") - F.expr("own / all")) / 2)).first()
-        if not n_rows:
-            break
-        side = left.select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        other = left.select("band", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        last = n_pairs <= PAIRS_A_DOCUMENT * n_docs
-        if last:
-            pairs = side.join(other, ["band", "key"]).where(F.col("a") < F.col("b")).where("ca <> cb").where(fits)
-        else:
-            pivots = left.where("c = few").groupBy("band", "key").agg(F.min("id").alias("pivot"))
-            pivot = side.join(pivots, ["band", "key"]).where("a = pivot").select("band", "key", "a", "na", "ca")
-            pairs = other.join(pivot, ["band", "key"]).where("ca <> cb").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            left = left.join(pivots, ["band", "key"]).where("id <> pivot").select("band", "key", "id", "n")
-        links = stored(links.unionAll(_linked(pairs.select("a", "b").distinct(), texts, shingle, percent)).distinct())
-        if last:
-            break
+    placed = members.where("id > head").join(components(links), "id", "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = stored(placed)
+    apart = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
+    left = stored(placed.join(apart, ["band", "key"]).select("id", "n", "c").distinct())
+    if not left.isEmpty():
+        links = stored(links.unionAll(_linked(_prefixed(left, texts, shingle, percent), texts, shingle, percent)))
     parts = components(links).select(F.col("id").alias("rep"), "component")
     return classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
 
