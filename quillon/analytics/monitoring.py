@@ -76,36 +76,36 @@ def win_decline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {DAILY_SQL}, s AS (SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS sd, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS p FROM daily WINDOW w AS (PARTITION BY event_type))
-SELECT event_type, day, CASE WHEN v > m + 3 * sd OR v < m - 3 * sd THEN 'out' WHEN v > m + 2 * sd OR v < m - 2 * sd THEN 'warn' WHEN v = 0 AND p > 0 THEN 'zero' END AS kind FROM s WHERE v > m + 2 * sd OR v < m - 2 * sd OR (v = 0 AND p > 0)
+SELECT event_type, day::VARCHAR AS day, CASE WHEN v > m + 3 * sd OR v < m - 3 * sd THEN 'out' WHEN v > m + 2 * sd OR v < m - 2 * sd THEN 'warn' WHEN v = 0 AND p > 0 THEN 'zero' END AS kind FROM s WHERE v > m + 2 * sd OR v < m - 2 * sd OR (v = 0 AND p > 0)
 """)
 def win_spc(spark: SparkSession, sf: str) -> DataFrame:
     """Control limits at two and three sample deviations, and sudden zeros (win_spike)."""
     own = Window.partitionBy("event_type")
     s = daily(spark, sf).withColumn("m", F.avg("v").over(own)).withColumn("sd", F.stddev_samp("v").over(own)).withColumn("p", F.lag("v").over(own.orderBy("day")))
     off = F.abs(F.col("v") - F.col("m"))
-    return s.select("event_type", "day", F.when(off > 3 * F.col("sd"), "out").when(off > 2 * F.col("sd"), "warn").when((F.col("v") == 0) & (F.col("p") > 0), "zero").alias("kind")).where("kind is not null")
+    return s.select("event_type", F.col("day").cast("string").alias("day"), F.when(off > 3 * F.col("sd"), "out").when(off > 2 * F.col("sd"), "warn").when((F.col("v") == 0) & (F.col("p") > 0), "zero").alias("kind")).where("kind is not null")
 
 
 @query(f"""
 WITH {DAILY_SQL}, f AS (SELECT event_type, day, v > avg(v) OVER (PARTITION BY event_type) AS ok FROM daily),
 g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY day) AS island FROM f)
-SELECT event_type, min(day) AS first, max(day) AS last, count(*) AS n FROM g WHERE ok GROUP BY event_type, island HAVING count(*) >= 3
+SELECT event_type, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last, count(*) AS n FROM g WHERE ok GROUP BY event_type, island HAVING count(*) >= 3
 """)
 def win_run(spark: SparkSession, sf: str) -> DataFrame:
     """Three days or more in a row above the mean."""
     d = daily(spark, sf).withColumn("m", F.avg("v").over(Window.partitionBy("event_type")))
-    return series.runs(d, ["event_type"], ["day"], F.col("v") > F.col("m"), 3).select("event_type", "first", "last", "n")
+    return series.runs(d, ["event_type"], ["day"], F.col("v") > F.col("m"), 3).select("event_type", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "n")
 
 
 @query(f"""
 WITH {DAILY_SQL}, f AS (SELECT event_type, day, sign(v - lag(v) OVER (PARTITION BY event_type ORDER BY day)) AS mv FROM daily),
 g AS (SELECT *, sum(CASE WHEN mv = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY day) AS island FROM f)
-SELECT event_type, min(day) AS first, max(day) AS last, count(*) AS n FROM g WHERE mv = 1 GROUP BY event_type, island HAVING count(*) >= 2
+SELECT event_type, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last, count(*) AS n FROM g WHERE mv = 1 GROUP BY event_type, island HAVING count(*) >= 2
 """)
 def win_trend_run(spark: SparkSession, sf: str) -> DataFrame:
     """Rises in a row; ties end a run (rule_typed trend, win_consecutive)."""
     m = series.moves(daily(spark, sf), ["event_type"], ["day"], "v")
-    return series.runs(m, ["event_type"], ["day"], F.col("move") == 1, 2).select("event_type", "first", "last", "n")
+    return series.runs(m, ["event_type"], ["day"], F.col("move") == 1, 2).select("event_type", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "n")
 
 
 @query(f"""
@@ -119,11 +119,11 @@ def win_season(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {DAILY_SQL}, o AS (SELECT event_type, day, avg(v) OVER b AS before, avg(v) OVER a AS after, count(v) OVER b AS nb, count(v) OVER a AS na FROM daily WINDOW b AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
-SELECT event_type, day, round((after - before) / abs(before), 6) AS change FROM o WHERE nb = 3 AND na = 3 AND abs((after - before) / nullif(abs(before), 0)) > 0.1
+SELECT event_type, day::VARCHAR AS day, round((after - before) / abs(before), 6) AS change FROM o WHERE nb = 3 AND na = 3 AND abs((after - before) / nullif(abs(before), 0)) > 0.1
 """)
 def win_change_point(spark: SparkSession, sf: str) -> DataFrame:
     """Days where three-day means before and after differ by a tenth (win_half_trend in small)."""
-    return series.change_points(daily(spark, sf), ["event_type"], ["day"], "v", 3, 0.1).select("event_type", "day", F.round("change", 6).alias("change"))
+    return series.change_points(daily(spark, sf), ["event_type"], ["day"], "v", 3, 0.1).select("event_type", F.col("day").cast("string").alias("day"), F.round("change", 6).alias("change"))
 
 
 @query("""

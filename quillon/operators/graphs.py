@@ -117,8 +117,8 @@ def degrees(edges: DataFrame, amount: str) -> DataFrame:
 
 
 def ultimate_parents(children: DataFrame, most: int = 20) -> DataFrame:
-    """(id, root, level) from (id, parent) by pointer jumping; a null parent is a root, and a ring has none."""
-    now = cut(children.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("level")))
+    """(id, root, level) from (id, parent) by pointer jumping; a null parent, or oneself, is a root; a larger ring has none."""
+    now = cut(children.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.coalesce(F.col("parent") == F.col("id"), F.lit(True)), 0).otherwise(1).alias("level")))
     for _ in range(most):
         over = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
         new = cut(now.join(over, "up", "left").select("id", "up", F.coalesce("next", "up").alias("next"), "level", F.when(F.col("next") != F.col("up"), F.col("more")).otherwise(0).alias("more")))
