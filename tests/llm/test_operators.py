@@ -1,0 +1,282 @@
+"""Small fixtures: brute-force versions, and the odd cases that every operator defines."""
+
+import base64
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+bpe = pytest.importorskip("quillon.llm.bpe")
+
+from quillon.llm import decontaminate, graph, licences, minhash, paragraphs, quality, radix, sharding, suffixes, toxicity  # noqa: E402
+
+PASSAGE = " ".join(f"w{i}x{i * 7 % 13}" for i in range(80))
+LONG = " ".join(f"long{i % 977}" for i in range(30_000))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, h string, rest string, id string, words string"
+
+
+def rows_of(*texts, start=0):
+    """Documents with clashing extra columns and nulls among them."""
+    return [(start + i, t, None if i % 3 else "en", None if i % 2 else "s", None, "u", "h", "r", "i", "w") for i, t in enumerate(texts)]
+
+
+ODD = rows_of("", None, "   ", "\n\t", "a", "a ", "one two", "one  two", PASSAGE, PASSAGE + " tail", PASSAGE.upper(), LONG, LONG, "é" * 300, "日本語 テキスト です " * 30, "idiot " * 5, "Released under the MIT License.", "\x00\x07 odd bytes")
+ODD += [ODD[8], ODD[0]]  # repeated rows
+ODD.append((None, "no id at all", None, None, None, None, None, None, None, None))
+LABELS = [(i, i % 2, int(i in (3, 15))) for i in range(18)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([*LABELS, (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (None, "no id at"), (1, PASSAGE)], "item_id long, text string")
+
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+OPERATORS = {
+    "sharding": lambda d, **k: sharding.hilbert_shards(d),
+    "bpe": lambda d, **k: bpe.decoded(bpe.encoded(d, PATH, public_tokenizers.PATTERN), PATH),
+    "minhash": lambda d, **k: minhash.near_duplicates(d),
+    "paragraphs": lambda d, **k: paragraphs.repeated_paragraphs(d),
+    "toxicity": lambda d, labels, **k: toxicity.scored(d, toxicity.fitted(d, labels, F.lit(True))),
+    "radix": lambda d, **k: radix.exact_duplicates(d),
+    "decontaminate": lambda d, items, **k: decontaminate.contaminated(d, items),
+    "licences": lambda d, **k: licences.licences(d),
+    "quality": lambda d, labels, **k: quality.scored(d, quality.fitted(d, labels, F.lit(True))),
+    "suffixes": lambda d, **k: suffixes.repeated_strings(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_empty_table(name, odd, none, labels, items):
+    """One result row for each row, whatever it holds; none for none."""
+    got = OPERATORS[name](odd, labels=labels, items=items).collect()
+    assert len(got) == len(ODD)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in ODD)
+    assert OPERATORS[name](none, labels=labels.where("false"), items=items.where("false")).count() == 0
+
+
+def test_shards_differ_by_one_and_keep_the_curve(odd):
+    got = sharding.hilbert_shards(odd, 4).collect()
+    sizes = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
+    assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+    assert all(v == list(range(len(v))) for v in sizes.values())
+    order = [r.curve_index for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+    text = {r[0]: r[1] or "" for r in ODD}
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.size == len(text[r.doc_id].encode()) + 1 for r in got)
+
+
+def test_curve_visits_neighbours():
+    table = sharding.curve(3, 3)
+    at = {v: (k >> 6, k >> 3 & 7, k & 7) for k, v in enumerate(table)}
+    assert len(at) == 512 and all(sum(abs(a - b) for a, b in zip(at[i], at[i + 1], strict=True)) == 1 for i in range(511))
+
+
+def test_shard_files(odd, tmp_path, spark):
+    ids = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    sharding.write_shards(ids, str(tmp_path / "out"), 3)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("_shard").count().count() == 3
+
+
+def test_bpe_as_the_library(odd):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    import numpy as np
+
+    texts = {r[0]: r[1] or "" for r in ODD}
+    for r in OPERATORS["bpe"](odd).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == other.encode_ordinary(texts[r.doc_id])
+        assert bytes(r.decoded) == texts[r.doc_id].encode()
+    known = bpe.Vocabulary(open(PATH, "rb").read())
+    for piece in [b"a" * 1000, b"ab" * 99, b"!?" * 64, b" " * 300, "é".encode() * 200, bytes(range(256))]:
+        want = np.array(other._encode_single_piece(piece), "<u4").tobytes()
+        assert known.encode_long(piece) == want
+        assert known.encode_wide([piece[:128]], 128) == [np.array(other._encode_single_piece(piece[:128]), "<u4").tobytes()]
+
+
+def near_texts():
+    import random
+
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randint(0, 400)) for _ in range(120)) for _ in range(6)]
+    out = []
+    for k in range(150):
+        words = base[k % 6].split()
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def closure(sets, percent):
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return [root(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_against_all_pairs(spark, shingle, percent):
+    texts = near_texts()
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows_of(*texts), SCHEMA), shingle=shingle, percent=percent).collect()}
+    sets = [minhash._set(t, shingle) for t in texts]
+    want = closure(sets, percent)
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert len(set(want)) > 6, "the fixture holds groups that fall apart"
+
+
+def test_components_small_and_distributed(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7] + [(100, 3), (5, 5)], "a long, b long")
+    few = dict(map(tuple, graph.components(pairs).collect()))
+    many = dict(map(tuple, graph.components(pairs, few=0).collect()))
+    assert few == many and few[100] == few[3] == 1
+
+
+def test_paragraphs(spark):
+    texts = ["start\n" + PASSAGE + "\nend", "other text\n" + PASSAGE, PASSAGE.replace("w7x", "q7x", 1), "short line\nshort line", "clean " * 3]
+    got = {r.doc_id: r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()}
+    assert got[0].kept == texts[0] and got[3].kept == texts[3] and got[4].kept == texts[4]
+    assert got[1].kept == "other text\n" and got[2].kept == ""
+
+
+def test_exact_duplicates(odd):
+    import re
+
+    got = radix.exact_duplicates(odd).collect()
+    bare = {r[0]: re.sub("[\x20\x09-\x0d]", "", r[1] or "") for r in ODD}
+    groups = {}
+    for r in ODD:
+        groups.setdefault(bare[r[0]], []).append(r)
+    for r in got:
+        own = groups[bare[r.doc_id]]
+        best = max(own, key=lambda x: (len(x[1] or ""), x[0] is not None, -(x[0] or 0)))
+        assert r.group_size == len(own) and r.keep_id == best[0] and r.text_sha256 == hashlib.sha256(bare[r.doc_id].encode()).hexdigest()
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_radix_goes_past_its_first_blocks(spark):
+    texts = ["x" * n + c for n in (0, 255, 256, 257, 4351, 4352, 5000, 70_000) for c in ("", "a", "b", "a")]
+    got = {r.doc_id: r.group_size for r in radix.exact_duplicates(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()}
+    assert got == {i: texts.count(t) for i, t in enumerate(texts)}
+
+
+def test_contamination(spark, items):
+    words = PASSAGE.split()
+    texts = ["pre " + " ".join(words[5:20]) + " post", " ".join(words[5:14]), "ONE, two! three", "one x two", None, "Ünïcode ONE-TWO É", "no id at"]
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(rows_of(*texts), SCHEMA), items).collect()}
+    assert [got[i].n_hit for i in range(7)] == [15, 0, 2, 0, 0, 2, 3]
+    assert got[0].item_ids == ["1"] and got[2].item_ids == ["2"] and got[6].item_ids == [] and got[5].n_words == 4
+    shuffled = decontaminate.contaminated(spark.createDataFrame(rows_of(*texts), SCHEMA), items, broadcast_bytes=0).collect()
+    assert {r.doc_id: r.n_hit for r in shuffled} == {i: got[i].n_hit for i in got}
+
+
+def test_licences(spark):
+    texts = ["some prose\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "the license of the road is free", "LICENSED under the apache license, version 2.0", None, ""]
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()}
+    assert [got[i].families for i in range(7)] == [["mit"], ["cc-by-nc"], ["gpl"], [], ["apache-2.0"], [], []]
+
+
+def test_licences_held_out():
+    """Notices with a word changed in each odd place, which training never drops, are still told apart."""
+    import numpy as np
+
+    families, weights, bias = licences.trained()
+    right = total = 0
+    for family, texts in licences.TEMPLATES.items():
+        for t in texts:
+            words = licences._tokens(t)
+            for i in range(1, len(words), 2):
+                grams = licences._grams([*words[:i], "changed", *words[i + 1 :]])
+                z = np.array(bias) + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(families)))
+                right += families[int(z.argmax())] == family
+                total += 1
+    assert right / total > 0.9
+
+
+def removed_by_force(texts, length):
+    seen = {}
+    data = [(t or "").encode() for t in texts]
+    for b in data:
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        out.append(bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("length,gram", [(200, 64), (40, 16), (24, 24)])
+def test_repeated_strings_against_force(spark, length, gram):
+    texts = [*near_texts()[:40], PASSAGE, "x" + PASSAGE + "y", PASSAGE[: length + 3], "ab" * 300, "é" * 250, None, "", PASSAGE[5 : 5 + length], PASSAGE[5 : 4 + length]]
+    got = {r.doc_id: r for r in suffixes.repeated_strings(spark.createDataFrame(rows_of(*texts), SCHEMA), length=length, gram=gram).collect()}
+    for i, want in enumerate(removed_by_force(texts, length)):
+        assert bytes(got[i].kept) == want
+        assert sum(s.end - s.begin for s in got[i].spans) == got[i].n_bytes - len(want)
+
+
+def test_repeated_rows_are_removed(odd):
+    got = suffixes.repeated_strings(odd).collect()
+    assert all(bytes(r.kept) == b"" for r in got if r.doc_id in (8, 11, 12))
+
+
+def test_classifiers_without_labels(odd, labels):
+    nothing = labels.where("false")
+    assert {r.score for r in quality.scored(odd, quality.fitted(odd, nothing, F.lit(True))).collect()} == {quality.PRIOR}
+    assert {r.score for r in toxicity.scored(odd, toxicity.fitted(odd, nothing, F.lit(True))).collect()} == {toxicity.PRIOR}
+
+
+def test_grammar_reads_clauses():
+    grammar = toxicity.Grammar({"idiot": 5.0, "moro-": 4.0})
+    plain, negated, quoted, directed = (grammar.readings(t) for t in ("what an idiot.", "he is not an idiot.", "she said idiot.", "you idiot."))
+    assert plain[5] == 0 and negated[5] > 0 and quoted[5] > 0 and directed[4] > plain[4]
+    assert grammar.readings("a tomoron")[1] == 0 and grammar.readings("many morons!")[1] > 0
+    assert not grammar.readings(None)[1:].any()
+
+
+def test_held_out_accuracy(spark):
+    """On the smallest tables with enough labels: both classifiers on the fold they did not learn from."""
+    import os
+
+    from quillon.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for name, label in (("op5_toxicity", "toxic"), ("op9_quality", "quality")):
+        rows = [r for r in queries.QUERIES[name](spark, sf).collect() if r.held_out and r.doc_id in labels]
+        right = sum(r.predicted == labels[r.doc_id][label] for r in rows)
+        assert right / len(rows) > 0.9
