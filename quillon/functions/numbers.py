@@ -22,7 +22,7 @@ def parse_amount(text: Column, none=0.0) -> Column:
 def luhn(text: Column) -> Column:
     """Whether 13 to 19 digits, with blanks or dashes between, satisfy Luhn's check."""
     bare = F.regexp_replace(text, "[ -]", "")
-    return F.when(bare.rlike("^[0-9]{13,19}$"), F.luhn_check(bare)).otherwise(False)
+    return F.when(bare.rlike("^[0-9]{13,19}$"), F.call_function("luhn_check", bare)).otherwise(False)
 
 
 def _weighted(text: Column, weights: list[int], value) -> Column:
