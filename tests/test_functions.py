@@ -152,3 +152,39 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     assert [(r.key, r.side) for r in spark.table("alarms").collect()] == [("k", "up"), ("k", "up")][: spark.table("alarms").count()] != []
     assert spark.table("hours").agg(F.sum("n")).first()[0] == 9
+
+
+def test_checks(spark):
+    from quillon.operators import checks, ledgers
+
+    df = spark.createDataFrame([(10.0, 4.0, 6.0), (10.0, 4.0, 5.0), (None, 1.0, 1.0)], "a double, b double, c double")
+    assert [r[0] for r in df.select(checks.identity("a == b + c", ["a", "b", "c"])).collect()] == [True, False, False]
+    for bad in ("a == d", "a", "a == b; drop"):
+        with pytest.raises(ValueError):
+            checks.identity(bad, ["a", "b", "c"])
+    sql = spark.createDataFrame([("INSERT INTO x.y SELECT * FROM a JOIN b.c ON 1=1 JOIN a",)], "q string")
+    assert tuple(sql.select(*checks.table_lineage(F.col("q"))).first()) == (["a", "b.c"], ["x.y"])
+    assert spark.range(1).select(checks.history_mean(F.array(*map(F.lit, range(12))))).first()[0] == sum(range(2, 12)) / 10
+    import hashlib
+
+    import numpy as np
+
+    for n in (1, 2, 3, 5, 8):
+        leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+        one = spark.createDataFrame([(leaves, i) for i in range(n)], "h array<string>, i int")
+        for r in one.select("h", "i", checks.merkle_proof(F.col("h"), F.col("i"), 3).alias("p"), ledgers.merkle(F.col("h"), 3).alias("root")).collect():
+            at = leaves[r.i]
+            for step in r.p:
+                at = hashlib.sha256(((step.hash + at) if step.left else (at + step.hash)).encode()).hexdigest()
+            assert at == r.root
+    cost = np.array([[1.0, 9, 9, 1], [9, 1, 1, 9]])
+    assert checks.assignment(cost)[0] == [0, 1, 1, 0]
+
+
+def test_field_map(spark):
+    from quillon.functions.similar import field_map
+
+    fields = spark.createDataFrame([("Acct Code",), ("amount",), ("zzzz",)], "field string")
+    known = spark.createDataFrame([("account", "account code"), ("account", "acct_code"), ("amount", "amount"), ("amount", "sum")], "standard string, synonym string")
+    got = {(r.field, r.rank): (r.standard, r.score) for r in field_map(fields, known).collect()}
+    assert got["Acct Code", 1] == ("account", 1.0) and got["amount", 1] == ("amount", 1.0) and ("zzzz", 1) not in got
