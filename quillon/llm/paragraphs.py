@@ -1,11 +1,16 @@
 """Substring dedup by MinHash banding of paragraphs.
 
 A text's paragraphs are its lines; a line longer than LONGEST words is cut at sentence ends into pieces of CUT words or
-more, so that a passage inside a long line is met too. Paragraphs of LEAST words or more enter: equal word sequences are one
+more. Paragraphs of LEAST words or more enter: equal word sequences are one
 class, classes are banded at 27 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance below 1e-8),
 pairs are verified by exact Jaccard on their five-word shingles, and components are clusters of one passage. Of a cluster the
 first occurrence (smallest document id, then place) stays; the others are removed.
 
+A passage spliced into the middle of other text is no paragraph of its own, and its surroundings keep the Jaccard of the
+whole low. So every text is also cut where its content says so (after a word with a sentence mark, or one word in 16 by
+hash), which cuts a passage alike wherever it stands. Equal pieces (Jaccard 1) are clusters too; of them, neighbours in a
+text make a run, and a run of RUN words or more counts. Shorter ones stay, however often they occur.
+
 Cases. Null or empty text has no paragraph and is returned as it is (null as empty). Shorter paragraphs always stay. Repeats
 inside one document count. Repeated rows are documents of their own: ids that repeat or are null still give one row each.
 Very long texts are read whole. An empty table gives an empty result. Columns besides id and text are not read.
@@ -15,15 +20,18 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches, stored, with_uid
+from quillon.llm.common import LOWER, Rolling, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.minhash import classes_of, linked_classes
 
 LEAST, LONGEST, CUT = 20, 200, 40
 SHINGLE, PERCENT = 5, 80
+#: Words of a run of spliced pieces, of a piece, and characters between two pieces of one run.
+RUN, PIECE, GAP = 25, 3, 60
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,20 +70,68 @@ def _cutter(least: int):
     return cut
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".!?;:"]] = True
+
+
+def _splicer(batches):
+    """(uid, begin, end, n, key) of every content-defined piece, places by code points."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        uids = batch.column(0).to_numpy()
+        for i, j in chunks(offsets):
+            own, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+            begin, end, row = words_of(own, at)
+            if not len(begin):
+                continue
+            h = Rolling(own).of(begin, end)
+            lines = np.concatenate([[0], np.cumsum(own == 10)])
+            cut = np.ones(len(begin), bool)  # whether a piece begins here
+            last = end[:-1] - 1
+            # one mark ends a sentence; several after every word are noise that would cut everywhere
+            sentence = _MARK[own[last]] & ~_MARK[own[np.maximum(last - 1, 0)]]
+            cut[1:] = sentence | (h[:-1] % np.uint64(16) == 0) | (row[1:] != row[:-1]) | (lines[begin[1:]] != lines[end[:-1]])
+            first = np.flatnonzero(cut)
+            n = np.diff(np.append(first, len(begin)))
+            nth = np.arange(len(begin)) - np.repeat(first, n)
+            with np.errstate(over="ignore"):
+                key = mixed(np.add.reduceat(mixed(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64))
+            point = np.cumsum((own & 0xC0) != 0x80) - 1  # code point of each byte
+            start = point[at[:-1].clip(max=len(own) - 1)]
+            keep = n >= PIECE
+            a, b, r = begin[first][keep], end[first + n - 1][keep], row[first][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][r]), pa.array((point[a] - start[r]).astype(np.int32)), pa.array((point[b - 1] + 1 - start[r]).astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))], ["uid", "begin", "end", "n", "key"])
+
+
+def _spliced(texts: DataFrame) -> DataFrame:
+    """(uid, begin, end, first) of runs of repeated pieces; ``first`` where each piece is its cluster's first occurrence."""
+    pieces = stored(texts.mapInArrow(_splicer, "uid long, begin int, end int, n int, key long"))
+    again = pieces.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "begin")).alias("one")).where("m > 1").select("key", "one")
+    met = pieces.join(again, "key").select("uid", "begin", "end", "n", ((F.col("uid") == F.col("one.uid")) & (F.col("begin") == F.col("one.begin"))).alias("first"))
+    by = Window.partitionBy("uid").orderBy("begin")
+    near = (F.col("begin") - F.lag("end").over(by) <= GAP) & (F.col("first") == F.lag("first").over(by))
+    islands = met.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = stored(islands.groupBy("uid", "island", "first").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n")).where(F.col("n") >= RUN).select("uid", "begin", "end", "first"))
+    forget(pieces)
+    return runs
+
+
 def _remover(batches):
     for batch in batches:
         kept = []
         for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             out, at, text = [], 0, text or ""
             for s in sorted(spans, key=lambda s: s["begin"]):
-                out.append(text[at : s["begin"]])
-                at = s["end"]
+                if s["begin"] > at or not out:
+                    out.append(text[at : s["begin"]])
+                at = max(at, s["end"])
             kept.append("".join([*out, text[at:]]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(kept, pa.string())], ["uid", "id", "spans", "kept"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """One row for each row of ``docs``: id, n_paragraphs, spans (removed, by code points), clusters (of the removed), kept (the text that stays)."""
+    """One row for each row of ``docs``: id, n_paragraphs, spans (removed, by code points; they may overlap), clusters (of
+    its paragraphs that repeat), repeats (whether it holds a passage that repeats, kept or removed), kept (the text that stays)."""
     small_batches(docs.sparkSession)
     rows = with_uid(docs, id_col, text_col)
     parts = rows.select("uid", "text").mapInArrow(_cutter(least), "uid long, begin int, end int, text string")
@@ -85,13 +141,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = linked_classes(numbered.select("id", "text"), signed, reps, SHINGLE, PERCENT)
     placed = signed.join(links, "words_key").join(numbered.select("id", "uid", "begin", "end"), "id").select("uid", "begin", "end", F.col("component").alias("cluster"))
     placed = stored(placed)
-    first = placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    gone = placed.join(first, "cluster").where((F.col("uid") != F.col("first.uid")) | (F.col("begin") != F.col("first.begin")))
-    spans = gone.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"))
+    first = placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("one"), F.count("*").alias("m")).where("m > 1")
+    several = placed.join(first, "cluster").select("uid", "begin", "end", "cluster", ((F.col("uid") == F.col("one.uid")) & (F.col("begin") == F.col("one.begin"))).alias("first"))
+    runs = _spliced(rows.select("uid", "text")).select("uid", "begin", "end", F.lit(None).cast("long").alias("cluster"), "first")
+    every = several.unionAll(runs)
+    gone = F.when(~F.col("first"), F.struct("begin", "end"))
+    spans = every.groupBy("uid").agg(F.array_sort(F.array_distinct(F.collect_list(gone))).alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"), F.lit(True).alias("repeats"))
     counts = numbered.groupBy("uid").agg(F.count("*").alias("n_paragraphs"))
-    about = stored(counts.join(spans, "uid", "left"))
+    about = stored(counts.join(spans, "uid", "full"))
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    narrow = about.select("uid", "n_paragraphs", "clusters")
+    narrow = about.select("uid", "n_paragraphs", "clusters", "repeats")
     met = rows.join(about.select("uid", "spans"), "uid", "left").select("uid", "id", "text", F.coalesce("spans", none).alias("spans"))
     cut = met.mapInArrow(_remover, "uid long, id long, spans array<struct<begin:int,end:int>>, kept string").join(narrow, "uid", "left")
-    return cut.select(F.col("id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), "spans", F.coalesce("clusters", F.array().cast("array<long>")).alias("clusters"), "kept")
+    return cut.select(F.col("id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), "spans", F.coalesce("clusters", F.array().cast("array<long>")).alias("clusters"), F.coalesce("repeats", F.lit(False)).alias("repeats"), "kept")

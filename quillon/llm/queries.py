@@ -105,7 +105,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.repeated_paragraphs(documents(spark, sf_dir))
-    return found.select("doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"]))).alias("spans"), (F.size("spans") > 0).alias("repeats"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"]))).alias("spans"), "repeats", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
