@@ -104,3 +104,20 @@ def bump(version: Column, change: Column) -> Column:
     """The next semantic version: major, minor or patch."""
     part = F.transform(F.split(version, "\\."), lambda x: x.try_cast("int"))
     return F.when(change == "major", F.concat((part[0] + 1).cast("string"), F.lit(".0.0"))).when(change == "minor", F.concat_ws(".", part[0].cast("string"), (part[1] + 1).cast("string"), F.lit("0"))).otherwise(F.concat_ws(".", part[0].cast("string"), part[1].cast("string"), (part[2] + 1).cast("string")))
+
+
+def ngram_similarity(a: Column, b: Column) -> Column:
+    """Trigrams that both have, counted as often as both have them, over the larger number."""
+    x, y = trigrams(a), trigrams(b)
+    count = lambda some, g: F.size(F.filter(some, lambda h: h == g))
+    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
+    return F.coalesce(F.try_divide(both, F.greatest(F.size(x), F.size(y))), F.lit(0.0))
+
+
+def glossary(text: Column, terms: dict[str, str]) -> Column:
+    """Terms replaced, longest first, whatever their case."""
+    out = text
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        quoted = "".join("\\" + c if c in "\\.[]{}()*+-?^$|" else c for c in term)
+        out = F.regexp_replace(out, f"(?i)\\b{quoted}\\b", terms[term].replace("\\", "\\\\").replace("$", "\\$"))
+    return out

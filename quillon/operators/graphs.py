@@ -127,3 +127,40 @@ def ultimate_parents(children: DataFrame, most: int = 20) -> DataFrame:
         if stable:
             break
     return now.select("id", F.col("up").alias("root"), "level")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+    """(id, score): how much of all shortest paths of at most ``most`` hops from ``sources`` (id) runs through a node.
+
+    Path counts go forward level by level, dependencies come back the same way; each level is one join and one aggregate.
+    """
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    levels = [cut(sources.select(F.col("id").alias("start"), "id", F.lit(1.0).alias("paths")).distinct())]
+    seen = levels[0].select("start", "id")
+    for _ in range(most):
+        step = levels[-1].join(edges, F.col("id") == F.col("src")).groupBy("start", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        new = cut(step.join(seen, ["start", "id"], "left_anti"))
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.unionAll(new.select("start", "id"))
+    owed = levels[-1].withColumn("delta", F.lit(0.0))
+    parts = [owed]
+    for level in reversed(levels[:-1]):
+        below = owed.select("start", F.col("id").alias("dst"), F.col("paths").alias("q"), "delta")
+        share = level.join(edges, F.col("id") == F.col("src")).join(below, ["start", "dst"]).groupBy("start", "id").agg(F.sum(F.col("paths") / F.col("q") * (1 + F.col("delta"))).alias("delta"))
+        owed = cut(level.join(share, ["start", "id"], "left").select("start", "id", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")))
+        parts.append(owed)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.where("id <> start").groupBy("id").agg(F.sum("delta").alias("score"))
+
+
+def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """One row: the modularity of a labelling (id, label) of undirected weighted edges (src, dst, w)."""
+    named = edges.join(label.toDF("src", "ls"), "src").join(label.toDF("dst", "ld"), "dst").select("ls", "ld", "w")
+    inside = named.groupBy(F.col("ls").alias("l")).agg(F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inner"))
+    ends = named.select(F.explode(F.array("ls", "ld")).alias("l"), "w").groupBy("l").agg(F.sum("w").alias("degree"))
+    total = edges.agg(F.sum("w").alias("m"))
+    return ends.join(inside, "l", "left").crossJoin(F.broadcast(total)).agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))

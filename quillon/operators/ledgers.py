@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def merkle(hashes: Column, levels: int) -> Column:
@@ -30,3 +35,25 @@ def broken(df: DataFrame, keys: list[str], order: list[str], root: str, link: st
     before = F.lag(root).over(Window.partitionBy(*keys).orderBy(*order))
     wanted = F.sha2(F.concat(F.coalesce(before, F.lit("")), F.col(root)), 256)
     return df.withColumn("_w", wanted).where(F.col(link) != F.col("_w")).drop("_w")
+
+
+def mined(df: DataFrame, content: str, zeros: int = 2, most: int = 100_000) -> DataFrame:
+    """``nonce`` and ``hash``: the first nonce whose hash begins with ``zeros`` zeros; nulls if there is none below ``most``.
+
+    A search with no bound on its steps has no column expression; rows go through in Arrow batches.
+    """
+
+    @pandas_udf(StructType([StructField("nonce", LongType()), StructField("hash", StringType())]))
+    def search(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            found = (None, None)
+            for nonce in range(most if text is not None else 0):
+                h = hashlib.sha256(f"{text}{nonce}".encode()).hexdigest()
+                if h.startswith("0" * zeros):
+                    found = (nonce, h)
+                    break
+            out.append(found)
+        return pd.DataFrame(out, columns=["nonce", "hash"]).astype({"nonce": "Int64"})
+
+    return df.withColumn("_m", search(content)).withColumns({"nonce": F.col("_m.nonce"), "hash": F.col("_m.hash")}).drop("_m")

@@ -188,3 +188,43 @@ def test_field_map(spark):
     known = spark.createDataFrame([("account", "account code"), ("account", "acct_code"), ("amount", "amount"), ("amount", "sum")], "standard string, synonym string")
     got = {(r.field, r.rank): (r.standard, r.score) for r in field_map(fields, known).collect()}
     assert got["Acct Code", 1] == ("account", 1.0) and got["amount", 1] == ("amount", 1.0) and ("zzzz", 1) not in got
+
+
+def test_betweenness_and_modularity(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(22)})
+    pairs = [p for p in pairs if p[0] != p[1]]
+    want: dict[int, float] = {}
+    for s in (0, 1, 2):  # all shortest paths by force
+        paths, done, level = {s: [[s]]}, {s}, {s}
+        while level:
+            new: dict[int, list] = {}
+            for u in level:
+                for a, b in pairs:
+                    if a == u and b not in done:
+                        new.setdefault(b, []).extend([*p, b] for p in paths[u])
+            paths |= new
+            level = set(new)
+            done |= level
+        for t, ways in paths.items():
+            for p in ways:
+                for v in p[1:-1]:
+                    want[v] = want.get(v, 0) + 1 / len(ways)
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+    got = {r.id: r.score for r in graphs.betweenness(e, spark.range(3)).collect()}
+    assert all(abs(got.get(v, 0) - want.get(v, 0)) < 1e-9 for v in range(9))
+    two = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0)], "src long, dst long, w double")
+    label = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "id long, label long")
+    assert graphs.modularity(two, label).first()[0] == pytest.approx(1 - (6 / 8) ** 2 - (2 / 8) ** 2)
+
+
+def test_mined_and_glossary(spark):
+    import hashlib
+
+    rows = ledgers.mined(spark.createDataFrame([("a",), (None,)], "t string"), "t", 1).collect()
+    assert rows[0].hash == hashlib.sha256(f"a{rows[0].nonce}".encode()).hexdigest() and rows[0].hash[0] == "0" and rows[1].nonce is None
+    t = F.col("t")
+    got = values(spark, "t string", [("The Net Profit and profit",), ("abcabc",)], texts.glossary(t, {"profit": "gain", "net profit": "net gain"}), texts.ngram_similarity(t, F.lit("abcabd")))
+    assert got[0][0] == "The net gain and gain" and got[1][1] == 0.75
