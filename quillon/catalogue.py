@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.analytics import compliance, lake, monitoring, networks, risk  # noqa: F401  registers
+from quillon.analytics import compliance, lake, monitoring, networks, risk, scalars  # noqa: F401  registers
 from quillon.analytics.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -31,3 +31,15 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_corpus_operators(monkeypatch):
+    import importlib
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    try:
+        alone = importlib.reload(__spark_entry__)
+        assert set(alone.queries()) == set(catalogue.QUERIES) and set(alone.oracle_sql()) == set(catalogue.SQL)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(__spark_entry__)
