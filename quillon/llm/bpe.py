@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import released, small_batches
 
-CACHE = 400_000
+CACHE = 200_000
 #: Longest piece, in bytes, whose tree is a numpy row.
 WIDE = 128
 #: Largest vocabulary file that is broadcast.
@@ -37,8 +37,7 @@ class Vocabulary:
 
     def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        size = max(self.tokens) + 1
+        size = max(self.ranks.values()) + 1
         self.size = size
         self.bytes_at = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -243,7 +242,7 @@ def _encoder(shared: _Shared, pattern: str):
             out, texts, k = [], batch.column(batch.num_columns - 1).to_pylist(), 0
             while k < len(texts):  # a few MB of text at a time
                 some, size = [], 0
-                while k < len(texts) and size < 1 << 21:
+                while k < len(texts) and size < 1 << 20:
                     some.append(find(texts[k] or ""))
                     size += len(texts[k] or "")
                     k += 1
@@ -253,16 +252,18 @@ def _encoder(shared: _Shared, pattern: str):
                 known.update(zip(fresh, vocabulary.encode_pieces([p.encode() for p in fresh]), strict=True))
                 out += [b"".join(map(known.__getitem__, pieces)) for pieces in some]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "ids"])
+        released()
 
     return encode
 
 
 def _decoder(shared: _Shared):
     def decode(batches):
-        tokens = _vocabulary(shared).tokens
+        tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in shared.value.splitlines() if x)}
         for batch in batches:
             out = [b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+        released()
 
     return decode
 

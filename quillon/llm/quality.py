@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BLANK, Rolling, chunks, small_batches, utf8, words_of
+from quillon.llm.common import Rolling, chunks, released, small_batches, utf8, words_of
 
 SAMPLE, TERMS, DIMS, NEIGHBOURS, SHARPNESS = 4096, 1024, 48, 15, 8
 PRIOR = 0.5
@@ -140,6 +140,7 @@ def _scorer(shared):
             for i, j in chunks(offsets):
                 scores = model.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(scores)], ["id", "score"])
+        released()
 
     return score
 
