@@ -109,14 +109,14 @@ def s_template(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, round(avg(value) FILTER (i <= n // 2), 4) AS before, round(avg(value) FILTER (i > n // 2), 4) AS after, max_by(event_id, value) AS peak, min_by(event_id, value) AS valley FROM d GROUP BY 1
+SELECT user_id, round(sum(value) FILTER (i <= n // 2), 2) AS before, round(sum(value) FILTER (i > n // 2), 2) AS after, max_by(event_id, value) AS peak, min_by(event_id, value) AS valley FROM d GROUP BY 1
 """)
 def win_half_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Means of the first and second half of each series, its peak and its valley."""
+    """Sums of the first and second half of each series, its peak and its valley."""
     own = Window.partitionBy("user_id")
     d = table(spark, sf, "events").withColumn("i", F.row_number().over(own.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(own))
     first = F.col("i") <= F.floor(F.col("n") / 2)
-    return d.groupBy("user_id").agg(F.round(F.avg(F.when(first, F.col("value"))), 4).alias("before"), F.round(F.avg(F.when(~first, F.col("value"))), 4).alias("after"), F.max_by("event_id", "value").alias("peak"), F.min_by("event_id", "value").alias("valley"))
+    return d.groupBy("user_id").agg(F.round(F.sum(F.when(first, F.col("value"))), 2).alias("before"), F.round(F.sum(F.when(~first, F.col("value"))), 2).alias("after"), F.max_by("event_id", "value").alias("peak"), F.min_by("event_id", "value").alias("valley"))
 
 
 @query("""
