@@ -19,12 +19,12 @@ def idf(index: DataFrame, n: DataFrame, id_: str) -> DataFrame:
 
 
 def bm25(index: DataFrame, queries: DataFrame, lengths: DataFrame, id_: str, k1: float = 1.5, b: float = 0.75, weigh: bool = True) -> DataFrame:
-    """(query, id, score, matched) of every document with a query term. ``queries`` is (query, term), small; ``lengths`` (id, len)."""
+    """(query, id, score, matched) of every document with a query term. ``queries`` is (query, term); ``lengths`` (id, len)."""
     about = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
     # only the terms asked for are looked at, before anything is shuffled
-    met = index.join(F.broadcast(queries), "term")
+    met = index.join(queries, "term")
     weights = idf(met.select(id_, "term").distinct(), about.select("n"), id_).select("term", "idf")
-    met = met.join(F.broadcast(weights), "term").join(lengths, id_).crossJoin(F.broadcast(about.select("mean_len")))
+    met = met.join(weights, "term").join(lengths, id_).crossJoin(F.broadcast(about.select("mean_len")))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     return met.groupBy("query", id_).agg(F.sum(part * F.col("idf") if weigh else part).alias("score"), F.count("*").alias("matched"))
 
