@@ -7,9 +7,12 @@ pairs are verified by exact Jaccard on their five-word shingles, and components
 first occurrence (smallest document id, then place) stays; the others are removed.
 
 A passage spliced into the middle of other text is no paragraph of its own, and its surroundings keep the Jaccard of the
-whole low. So every text is also cut where its content says so (after a word with a sentence mark, or one word in 16 by
-hash), which cuts a passage alike wherever it stands. Equal pieces (Jaccard 1) are clusters too; of them, neighbours in a
-text make a run, and a run of RUN words or more counts. Shorter ones stay, however often they occur.
+whole low. So every run of RUN words or more that occurred before, wherever it stands, is removed to its full length, word
+by word: a word goes if one of the windows of RUN words around it is not the first of its kind (by document id, then
+place). Each window chooses the least by hash of its seeds (stretches of SEED words), so equal windows meet at equal seeds,
+and no run is missed whatever its marks and surroundings. Only windows at seeds that stand in unlike surroundings are
+compared one by one. Words are equal by their letters, lower-cased; runs may cross lines. Shorter runs stay, however often
+they occur. Of a text that repeats itself within a window, one period stays.
 
 Cases. Null or empty text has no paragraph and is returned as it is (null as empty). Shorter paragraphs always stay. Repeats
 inside one document count. Repeated rows are documents of their own: ids that repeat or are null still give one row each.
@@ -30,8 +33,8 @@ from quillon.llm.minhash import classes_of, linked_classes
 
 LEAST, LONGEST, CUT = 20, 200, 40
 SHINGLE, PERCENT = 5, 80
-#: Words of a run of spliced pieces, of a piece, and characters between two pieces of one run.
-RUN, PIECE, GAP = 25, 3, 60
+#: Words of the shortest run that counts, and of a seed; a run holds RUN - SEED + 1 seeds or more, and the least is chosen.
+RUN, SEED = 25, 13
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,49 +73,119 @@ def _cutter(least: int):
     return cut
 
 
-_MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in ".!?;:"]] = True
+def _ranged(h: np.ndarray):
+    """A function (begin, end) to the hashes of ranges of words, from one prefix sum over the words' hashes."""
+    up, down = Rolling._grown(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mixed(h + np.uint64(0x9E3779B97F4A7C15)) * up[: len(h)], out=sums[1:])
 
+    def of(begin, end):
+        with np.errstate(over="ignore"):
+            return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
-def _splicer(batches):
-    """(uid, begin, end, n, key) of every content-defined piece, places by code points."""
+    return of
+
+
+def _least_of(v: np.ndarray, n: int) -> np.ndarray:
+    """Where the (first) least of ``v[i : i + n]`` is, for every i."""
+    at, width = np.arange(len(v)), 1
+    while width < n:
+        step = min(width, n - width)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(v[left] <= v[right], left, right)
+        width += step
+    return at
+
+
+def _read_words(data: np.ndarray, at: np.ndarray):
+    """Of the bytes of some texts: word hashes, rows, each word's number in its row, begins and ends by code points."""
+    own = LOWER[data]
+    begin, end, row = words_of(own, at)
+    if not len(begin):
+        return None
+    point = np.cumsum((own & 0xC0) != 0x80) - 1  # code point of each byte
+    start = point[at[:-1].clip(max=len(own) - 1)]
+    first = np.searchsorted(row, np.arange(len(at)))
+    return Rolling(own).of(begin, end), row, np.arange(len(begin)) - first[row], point[begin] - start[row], point[end - 1] + 1 - start[row]
+
+
+def _seeder(batches):
+    """(uid, w, n, begin, end, key, whole) of every seed and the n words from w of all windows that choose it."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         uids = batch.column(0).to_numpy()
         for i, j in chunks(offsets):
-            own, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-            begin, end, row = words_of(own, at)
-            if not len(begin):
+            read = _read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if read is None or len(read[0]) < RUN:
                 continue
-            h = Rolling(own).of(begin, end)
-            lines = np.concatenate([[0], np.cumsum(own == 10)])
-            cut = np.ones(len(begin), bool)  # whether a piece begins here
-            last = end[:-1] - 1
-            # one mark ends a sentence; several after every word are noise that would cut everywhere
-            sentence = _MARK[own[last]] & ~_MARK[own[np.maximum(last - 1, 0)]]
-            cut[1:] = sentence | (h[:-1] % np.uint64(16) == 0) | (row[1:] != row[:-1]) | (lines[begin[1:]] != lines[end[:-1]])
-            first = np.flatnonzero(cut)
-            n = np.diff(np.append(first, len(begin)))
-            nth = np.arange(len(begin)) - np.repeat(first, n)
+            h, row, nth, begin, end = read
+            of = _ranged(h)
+            every = np.arange(len(h) - SEED + 1)
+            chosen = _least_of(of(every, every + SEED), RUN - SEED + 1)
+            inside = row[: len(chosen)] == row[RUN - 1 :]
+            windows = np.flatnonzero(inside)
+            if not len(windows):
+                continue
+            seed = chosen[windows]
+            new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (np.diff(windows) != 1)]))
+            low, high = windows[new], windows[np.append(new[1:], len(windows)) - 1] + RUN
+            seed = seed[new]
             with np.errstate(over="ignore"):
-                key = mixed(np.add.reduceat(mixed(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64))
-            point = np.cumsum((own & 0xC0) != 0x80) - 1  # code point of each byte
-            start = point[at[:-1].clip(max=len(own) - 1)]
-            keep = n >= PIECE
-            a, b, r = begin[first][keep], end[first + n - 1][keep], row[first][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][r]), pa.array((point[a] - start[r]).astype(np.int32)), pa.array((point[b - 1] + 1 - start[r]).astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))], ["uid", "begin", "end", "n", "key"])
+                whole = mixed(of(low, high) + (seed - low).astype(np.uint64))
+            r = row[low]
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][r]), pa.array(nth[low].astype(np.int32)), pa.array((high - low).astype(np.int32)), pa.array(begin[low].astype(np.int32)), pa.array(end[high - 1].astype(np.int32)), pa.array(of(seed, seed + SEED).view(np.int64)), pa.array(whole.view(np.int64))], ["uid", "w", "n", "begin", "end", "key", "whole"])
+
+
+def _windower(batches):
+    """(uid, w, n, begin, end, key) of every window of RUN words in the ranges asked for."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        uids, asked = batch.column(0).to_numpy(), batch.column(2)
+        for i, j in chunks(offsets):
+            read = _read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if read is None:
+                continue
+            h, row, nth, begin, end = read
+            first = np.searchsorted(row, np.arange(j - i))
+            at = [np.arange(first[r] + x["w"], first[r] + x["w"] + x["n"] - RUN + 1) for r, own in enumerate(asked.slice(i, j - i).to_pylist()) for x in own]
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row[at]]), pa.array(nth[at].astype(np.int32)), pa.array(np.full(len(at), RUN, np.int32)), pa.array(begin[at].astype(np.int32)), pa.array(end[at + RUN - 1].astype(np.int32)), pa.array(_ranged(h)(at, at + RUN).view(np.int64))], ["uid", "w", "n", "begin", "end", "key"])
+
+
+def _marked(rows: DataFrame, *keys: str) -> DataFrame:
+    """Those of ``rows`` whose keys occur again, with ``one``, the first of them, and whether it is ``first``."""
+    one = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1").select(*keys, "one")
+    return rows.join(one, [*keys]).withColumn("first", (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))).drop("one")
 
 
 def _spliced(texts: DataFrame) -> DataFrame:
-    """(uid, begin, end, first) of runs of repeated pieces; ``first`` where each piece is its cluster's first occurrence."""
-    pieces = stored(texts.mapInArrow(_splicer, "uid long, begin int, end int, n int, key long"))
-    again = pieces.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "begin")).alias("one")).where("m > 1").select("key", "one")
-    met = pieces.join(again, "key").select("uid", "begin", "end", "n", ((F.col("uid") == F.col("one.uid")) & (F.col("begin") == F.col("one.begin"))).alias("first"))
-    by = Window.partitionBy("uid").orderBy("begin")
-    near = (F.col("begin") - F.lag("end").over(by) <= GAP) & (F.col("first") == F.lag("first").over(by))
-    islands = met.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = stored(islands.groupBy("uid", "island", "first").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n")).where(F.col("n") >= RUN).select("uid", "begin", "end", "first"))
-    forget(pieces)
+    """(uid, begin, end, first) of the runs that windows of RUN words make which occurred before; where ``first``, no run
+    but a text that holds the first occurrence of such a window."""
+    seeds = stored(texts.mapInArrow(_seeder, "uid long, w int, n int, begin int, end int, key long, whole long"))
+    again = seeds.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1")
+    met = stored(seeds.join(again.select("key", "low", "high", "one"), "key"))
+    forget(seeds)
+    mine = (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))
+    span = ["uid", "w", "n", "begin", "end", "first"]
+    same = met.where("low = high").withColumn("first", mine).select(span)
+    # a seed in unlike surroundings: what is alike as a whole is settled, and one of each kind is read window by window
+    unlike = met.where("low <> high").select("uid", "w", "n", "begin", "end", "key", "whole")
+    kinds = unlike.groupBy("key", "whole").agg(F.count("*").alias("m"), F.min(F.struct("uid", "w", "n")).alias("one"))
+    kinds = stored(kinds)
+    copies = unlike.join(kinds.where("m > 1").select("key", "whole", "one"), ["key", "whole"]).withColumn("first", mine).select(span)
+    asked = kinds.select("one.uid", "one.w", "one.n").groupBy("uid").agg(F.collect_list(F.struct("w", "n")).alias("asked"))
+    windows = stored(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_windower, "uid long, w int, n int, begin int, end int, key long"))
+    every = stored(same.unionAll(copies).unionAll(_marked(windows, "key").select(span)))
+    by = Window.partitionBy("uid").orderBy("w", "n")
+    before = F.max(F.col("w") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = every.where("not first").withColumn("new", F.when(F.col("w") <= before, 0).otherwise(1))
+    islands = new.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("uid", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).select("uid", "begin", "end", F.lit(False).alias("first"))
+    none = F.lit(None).cast("int")
+    runs = stored(runs.unionAll(every.where("first").select("uid").distinct().select("uid", none.alias("begin"), none.alias("end"), F.lit(True).alias("first"))))
+    for used in (met, kinds, windows, every):
+        forget(used)
     return runs
 
 

@@ -280,3 +280,47 @@ def test_held_out_accuracy(spark):
         rows = [r for r in queries.QUERIES[name](spark, sf).collect() if r.held_out and r.doc_id in labels]
         right = sum(r.predicted == labels[r.doc_id][label] for r in rows)
         assert right / len(rows) > 0.9
+
+
+def spliced_texts():
+    """Passages of 24 to 80 words in the middle of other words, without marks and with one after every word, and periodic text."""
+    import random
+
+    rng = random.Random(11)
+    words = lambda n: [f"s{rng.randint(0, 10**9)}" for _ in range(n)]
+    out = []
+    for n in (24, 25, 26, 40, 51, 51, 51, 60, 80):
+        for mark in ("", ".", "?!"):
+            passage = words(n)
+            for _ in range(3):
+                out.append(" ".join(w + mark for w in [*words(rng.randint(0, 60)), *passage, *words(rng.randint(0, 60))]))
+    long = words(100)
+    out += [" ".join(x) for x in (long, words(9) + long[:60] + words(9), words(3) + long[37:75] + long[:30], long[70:] + long[70:], ["a"] * 70, "a b c".split() * 30, ["é", "É"] * 30, long[:50] + ["edit"] + long[51:])]
+    return out
+
+
+def runs_by_force(texts, run):
+    seen, gone, repeats = {}, [], set()
+    split = [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() for t in texts]
+    for d, words in enumerate(split):
+        own = set()
+        for i in range(len(words) - run + 1):
+            first = seen.setdefault(tuple(words[i : i + run]), d)
+            if (d, i) != seen.setdefault((tuple(words[i : i + run]),), (d, i)):
+                own |= set(range(i, i + run))
+                repeats |= {d, first}
+        gone.append(own)
+    return [[w for i, w in enumerate(t.split()) if i not in gone[d]] for d, t in enumerate(texts)], repeats
+
+
+def test_spliced_runs_against_force(spark):
+    texts = spliced_texts()
+    rows = spark.createDataFrame(rows_of(*texts), SCHEMA).repartition(3).select(F.col("doc_id").alias("uid"), "text")
+    got = paragraphs._spliced(rows).collect()
+    want, repeats = runs_by_force(texts, paragraphs.RUN)
+    assert {r.uid for r in got} == repeats
+    for d, text in enumerate(texts):
+        kept = text
+        for r in sorted((r for r in got if r.uid == d and not r.first), key=lambda r: -r.begin):
+            kept = kept[: r.begin] + kept[r.end :]
+        assert kept.split() == want[d]
