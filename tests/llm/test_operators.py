@@ -324,3 +324,29 @@ def test_spliced_runs_against_force(spark):
         for r in sorted((r for r in got if r.uid == d and not r.first), key=lambda r: -r.begin):
             kept = kept[: r.begin] + kept[r.end :]
         assert kept.split() == want[d]
+
+
+def test_licences_wrapped(spark):
+    """Notices that lines wrap at any width, alone or in other prose, and no notice over a blank line."""
+    import textwrap
+
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "lgpl": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
+    }
+    prose = "the rivers of the north were low that year and the mills stood still for most of the summer "
+    want, texts = [], []
+    for family, t in notices.items():
+        for width in (20, 34, 50, 72):
+            for before in ("", prose * 4):
+                want.append([family])
+                texts.append("\n".join(textwrap.wrap(before + t + " " + before, width, break_long_words=False, break_on_hyphens=False)))
+    want += [[], []]
+    texts += ["Redistribution and use in source and binary\n\nforms, with or without modification, are permitted\n\nprovided that the following conditions are met", "\n".join(textwrap.wrap(prose * 9 + "the license of the mit of the road", 40))]
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()}
+    assert [(i, got[i].families) for i in range(len(texts))] == list(enumerate(want))
+    assert all(got[i].n_confirmed == len(want[i]) for i in range(len(texts)) if "\n" in texts[i][30:])
