@@ -26,15 +26,16 @@ def near_repeats(df: DataFrame, keys: list[str], id_: str, when: str, days: int)
 def sharing_pairs(df: DataFrame, id_: str, attributes: list[str], most: int = 200) -> DataFrame:
     """Pairs (a, b, kind, value) of ids that share an attribute's value.
 
-    A value that more than ``most`` ids share is one row with ``b`` null and the number of ids in ``members``: its pairs
-    would grow with the square, and membership says the same.
+    A value that more than ``most`` ids share is given by membership, linear in the rows: ``a`` is its smallest id and ``b``
+    each of the others, so all ids with one (kind, value) are linked and no id is lost. ``members`` is the number of ids.
     """
     long = df.select(id_, F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in attributes])).alias("x")).select(id_, "x.kind", "x.value").where("value is not null and value <> ''").distinct()
     sizes = long.groupBy("kind", "value").agg(F.count("*").alias("members"), F.min(id_).alias("a")).where("members > 1")
     small = long.join(sizes.where(F.col("members") <= most).select("kind", "value", "members"), ["kind", "value"])
     left = small.withColumnRenamed(id_, "a")
     pairs = left.join(small.select("kind", "value", F.col(id_).alias("b")), ["kind", "value"]).where("a < b").select("a", "b", "kind", "value", "members")
-    hubs = sizes.where(F.col("members") > most).select("a", F.lit(None).cast(df.schema[id_].dataType).alias("b"), "kind", "value", "members")
+    large = sizes.where(F.col("members") > most)
+    hubs = long.join(large, ["kind", "value"]).where(F.col(id_) > F.col("a")).select("a", F.col(id_).alias("b"), "kind", "value", "members")
     return pairs.unionAll(hubs)
 
 
