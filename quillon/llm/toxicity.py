@@ -55,11 +55,12 @@ class Grammar:
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
         self.automaton = ahocorasick.Automaton()
-        for p, w in weights.items():
-            self.automaton.add_word(p.rstrip("-"), (len(p.rstrip("-")), p.endswith("-"), w))
-        for p in THREATS:
-            if p not in weights:
-                self.automaton.add_word(p, (len(p), False, 0.0))
+        # a word and a stem of the same letters are two entries of one key
+        entries: dict[str, list[tuple[int, bool, float]]] = {}
+        for p, w in [*weights.items(), *((p, 0.0) for p in THREATS if p not in weights)]:
+            entries.setdefault(p.rstrip("-"), []).append((len(p.rstrip("-")), p.endswith("-"), w))
+        for p, own in entries.items():
+            self.automaton.add_word(p, own)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -69,11 +70,12 @@ class Grammar:
             return
         hits: dict[int, float] = {}
         n = len(text)
-        for end, (size, stem, w) in self.automaton.iter(text):
-            at = end - size + 1
-            if (at and text[at - 1].isalpha()) or (not stem and end + 1 < n and text[end + 1].isalpha()):
-                continue
-            hits[at] = max(hits.get(at, 0.0), w)
+        for end, own in self.automaton.iter(text):
+            for size, stem, w in own:
+                at = end - size + 1
+                if (at and text[at - 1].isalpha()) or (not stem and end + 1 < n and text[end + 1].isalpha()):
+                    continue
+                hits[at] = max(hits.get(at, 0.0), w)
         done = -1
         for at in sorted(hits):
             if at < done:

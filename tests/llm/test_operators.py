@@ -350,3 +350,11 @@ def test_licences_wrapped(spark):
     got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()}
     assert [(i, got[i].families) for i in range(len(texts))] == list(enumerate(want))
     assert all(got[i].n_confirmed == len(want[i]) for i in range(len(texts)) if "\n" in texts[i][30:])
+
+
+def test_grammar_keeps_word_and_stem_of_the_same_letters():
+    for weights in ({"kill-": 4.0, "moron": 5.0, "moron-": 3.0}, {"moron-": 3.0, "moron": 5.0, "kill-": 4.0}):
+        hits = lambda t, g=toxicity.Grammar(weights): [h for *_, h in g.clauses(t)]
+        assert hits("kill") == [{0: 4.0}] and hits("killing") == [{0: 4.0}]
+        assert hits("moron") == [{0: 5.0}] and hits("morons") == [{0: 3.0}]
+        assert hits("burn") == [{0: 0.0}] and hits("burning") == []
