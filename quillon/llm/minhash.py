@@ -1,8 +1,8 @@
 """Near-duplicate documents by min-max hashing.
 
-Every permutation keeps both its smallest and its largest value, so 40 evaluations make 80 signature values. Bands of two
-permutations (four values) bring candidates together; a pair at the threshold of 0.85 is missed with a chance of
-(1 - 0.85**4)**20 < 4e-7. Links are confirmed on the full sets of shingles, whatever the signatures say.
+Every permutation keeps both its smallest and its largest value. Bands of two permutations (four values) bring candidates
+together; there are as many bands as keep the chance that a pair at the threshold is missed, (1 - threshold**4)**bands,
+below MISSED: 20 at 0.85, 28 at 0.80. Links are confirmed on the full sets of shingles, whatever the signatures say.
 
 Identical word sequences are one class and enter the bands once. In a bucket the members are held against its smallest one
 first, which links most of a group without its pairs. Members of one component need no further check: it cannot change it.
@@ -18,6 +18,7 @@ Only the id and the text column are read; others may have any name.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,17 @@ from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, forget, mixe
 from quillon.llm.graph import components
 
 _U = np.uint64
-PERMUTATIONS, BAND_PERMUTATIONS = 40, 2
+PERMUTATIONS, BAND_PERMUTATIONS, MISSED = 40, 2, 4e-7
 
 _SIGNED = "id long, n_shingles long, words_key binary, bands array<long>"
 
 
+def permutations_for(percent: int, per_band: int = BAND_PERMUTATIONS) -> int:
+    """How many permutations miss a pair at the threshold with a chance below MISSED."""
+    same = (percent / 100) ** (2 * per_band)
+    return per_band * (math.ceil(math.log(MISSED) / math.log1p(-same)) if same < 1 else 1)
+
+
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20260101))
     return rng.integers(1, 2**63, n, dtype=np.uint64) * _U(2) + _U(1), rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -203,12 +210,12 @@ def linked_classes(rows: DataFrame, signed: DataFrame, classes: DataFrame, shing
     return classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int | None = None, per_band: int = BAND_PERMUTATIONS) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     uids = with_uid(docs, id_col, text_col)
     rows = uids.select(F.col("uid").alias("id"), "text")
-    signed, classes = classes_of(rows, shingle, permutations, per_band)
+    signed, classes = classes_of(rows, shingle, permutations or permutations_for(percent, per_band), per_band)
     of_class = linked_classes(rows, signed, classes, shingle, percent)
     out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words_key")).alias("words_key")).join(of_class, "words_key", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))

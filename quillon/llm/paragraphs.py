@@ -2,7 +2,7 @@
 
 A text's paragraphs are its lines; a line longer than LONGEST words is cut at sentence ends into pieces of CUT words or
 more. Paragraphs of LEAST words or more enter: equal word sequences are one
-class, classes are banded at 27 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance below 1e-8),
+class, classes are banded at 27 x 4 min and max values (a pair at the threshold of 0.8 is missed with a chance below 7e-7),
 pairs are verified by exact Jaccard on their five-word shingles, and components are clusters of one passage. Of a cluster the
 first occurrence (smallest document id, then place) stays; the others are removed.
 

@@ -358,3 +358,10 @@ def test_grammar_keeps_word_and_stem_of_the_same_letters():
         assert hits("kill") == [{0: 4.0}] and hits("killing") == [{0: 4.0}]
         assert hits("moron") == [{0: 5.0}] and hits("morons") == [{0: 3.0}]
         assert hits("burn") == [{0: 0.0}] and hits("burning") == []
+
+
+def test_bands_follow_the_threshold(spark):
+    for percent in (50, 80, 85, 95):
+        bands = minhash.permutations_for(percent) // 2
+        assert (1 - (percent / 100) ** 4) ** bands <= minhash.MISSED < (1 - (percent / 100) ** 4) ** (bands - 1)
+    assert minhash.permutations_for(85) == minhash.PERMUTATIONS and minhash.permutations_for(80) == 56
