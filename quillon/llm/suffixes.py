@@ -8,7 +8,7 @@ Initial buckets. A string of ``length`` bytes has length - q + 1 q-grams; the on
 anchor. Equal strings have equal anchors at equal offsets, so only anchors need buckets, some 1 position in 70, and a string
 whose anchor's bucket holds one position is unique. Neighbouring strings with one anchor make a run.
 
-Refinement. Inside a bucket runs with equal offsets and equal bytes are one class; a class of two or more is repeated whole.
+Refinement. Inside a bucket runs with equal offsets and equal bytes, by one 64-bit hash of the run, are one class; a class of two or more is repeated whole.
 Where a bucket has several classes, one run of each is refined to its single strings by their pointers, which finds the
 strings that begin or end a repeat. Whatever is found goes back to the documents as spans.
 
