@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -30,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Tables written and not yet forgotten, with the number of each.
+_WRITTEN: dict[int, DataFrame] = {}
+_NUMBERS = itertools.count(1)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends here and a lost executor costs nothing.
 
@@ -46,16 +52,35 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(at)
     out._quillon_path = at
+    out._quillon_number = next(_NUMBERS)
+    _WRITTEN[out._quillon_number] = out
     return out
 
 
 def forget(df: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once nothing that is still to run reads it."""
+    _WRITTEN.pop(df._quillon_number, None)
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._quillon_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked() -> int:
+    """A number past which tables yet to be written are counted: where ``swept`` is to begin."""
+    return next(_NUMBERS)
+
+
+def swept(mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables written since ``mark`` but for ``keep``: for callers that have stored or read all results."""
+    for df in [x for n, x in _WRITTEN.items() if n > mark and not any(x is k for k in keep)]:
+        forget(df)
+
+
+def ids_serve(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are set and unique."""
+    return docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("m")).where("m > 1 or id is null").isEmpty()
+
+
 def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, text) with one uid for every distinct text of an id.
 
@@ -63,7 +88,7 @@ def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stored, since numbers given anew at each reading need not agree.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if rows.groupBy("id").agg(F.count("*").alias("m")).where("m > 1 or id is null").isEmpty():
+    if ids_serve(rows, "id"):
         return rows.select(F.col("id").alias("uid"), "id", "text")
     return stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text"))
 
@@ -116,39 +141,91 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Polynomial hashes, modulo 2**64, of any byte range of a buffer from one prefix sum."""
+#: Modulus of the range hashes, a Mersenne prime: no text makes two ranges equal by its structure alone.
+P61 = _U((1 << 61) - 1)
+_R61, _LOW32, _LOW29 = _U(61), _U(0xFFFFFFFF), _U((1 << 29) - 1)
+_BASE = 0x1A3F6C58D7E9B241 % ((1 << 61) - 1)
 
-    _BASE = 0x9E3779B97F4A7C15 | 1
-    _powers = (np.ones(1, _U), np.ones(1, _U))
-    _letters = mixed(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
 
-    def __init__(self, data: np.ndarray) -> None:
-        up, down = self._grown(len(data) + 1)
-        self.down = down
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, _U)
-            np.cumsum(self._letters[data] * up[: len(data)], out=self.sums[1:])
+def mod61(x: np.ndarray) -> np.ndarray:
+    x = (x & P61) + (x >> _R61)
+    return np.minimum(x, x - P61)  # below zero it wraps to the far end
+
+
+def _by_2_32(x: np.ndarray) -> np.ndarray:
+    """x * 2**32 modulo 2**61 - 1, for x below the modulus: a rotation."""
+    return ((x & _LOW29) << _U(32)) | (x >> _U(29))
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of values below it, from halves of 29 and 32 bits."""
+    a1, a0, b1, b0 = a >> _U(32), a & _LOW32, b >> _U(32), b & _LOW32
+    low = a0 * b0
+    return mod61((low & P61) + (low >> _R61) + _by_2_32(mod61(a1 * b0 + a0 * b1)) + ((a1 * b1) << _U(3)))
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, mul61(out, np.full(1, pow(base, len(out), (1 << 61) - 1), _U))])
+    return out
+
+
+class Ranges:
+    """Polynomial hashes, modulo 2**61 - 1, of any range of a sequence from one prefix sum."""
+
+    _powers = (np.ones(1, _U), np.ones(1, _U))
+    _KEPT, _BLOCK = 1 << 22, 1 << 13  # powers kept between buffers; values that stay in the cache
+
+    def __init__(self, values: np.ndarray) -> None:
+        """``values`` of 61 bits, or bytes."""
+        n = len(values)
+        up, self.down = self._grown(n + 1)
+        self.sums = np.zeros(n + 1, _U)
+        narrow = values.dtype == np.uint8
+        for i in range(0, n, self._BLOCK):
+            j = min(n, i + self._BLOCK)
+            power = up[i:j]
+            if narrow:  # at most 2**9 * 2**32 * 2**13
+                own = values[i:j].astype(_U) + _U(1)
+                high, low = own * (power >> _U(32)), own * (power & _LOW32)
+            else:
+                own = mul61(mod61(values[i:j]), power)
+                high, low = own >> _U(32), own & _LOW32
+            total = mod61(mod61(np.cumsum(low)) + _by_2_32(mod61(np.cumsum(high))))
+            self.sums[i + 1 : j + 1] = mod61(total + self.sums[i])
 
     @classmethod
     def _grown(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = cls._powers
         if len(up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                steps = np.full(size, cls._BASE & (2**64 - 1), _U)
-                steps[0] = 1
-                up = np.cumprod(steps)
-                steps = np.full(size, pow(cls._BASE, -1, 2**64), _U)
-                steps[0] = 1
-                down = np.cumprod(steps)
-            if size <= 1 << 22:
-                Rolling._powers = (up, down)
+            size, p = 1 << (n - 1).bit_length(), (1 << 61) - 1
+            up, down = _powers_of(_BASE, size), _powers_of(pow(_BASE, -1, p), size)
+            if size <= cls._KEPT:
+                Ranges._powers = (up, down)
         return up, down
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _hashed(self, sums_b: np.ndarray, sums_e: np.ndarray, down: np.ndarray, size) -> np.ndarray:
+        own = mul61(mod61(sums_e + (P61 - sums_b)), down)
         with np.errstate(over="ignore"):
-            return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(_U) * _U(0xA0761D6478BD642F))
+            return mixed(own + size * _U(0xA0761D6478BD642F))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the ranges from ``begin`` to ``end``."""
+        out = np.empty(len(begin), _U)
+        for i in range(0, len(begin), self._BLOCK):
+            b, e = begin[i : i + self._BLOCK], end[i : i + self._BLOCK]
+            out[i : i + self._BLOCK] = self._hashed(self.sums[b], self.sums[e], self.down[b], (e - b).astype(_U))
+        return out
+
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size``, the same as ``of`` gives."""
+        n = max(len(self.sums) - size, 0)
+        out = np.empty(n, _U)
+        for i in range(0, n, self._BLOCK):
+            j = min(n, i + self._BLOCK)
+            out[i:j] = self._hashed(self.sums[i:j], self.sums[i + size : j + size], self.down[i:j], _U(size))
+        return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, LOWER_BYTES, Rolling, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
+from quillon.llm.common import LOWER, LOWER_BYTES, Ranges, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.graph import components
 
 _U = np.uint64
 PERMUTATIONS, BAND_PERMUTATIONS, MISSED = 40, 2, 4e-7
+#: Bands whose buckets are on the move at a time.
+BANDS_AT_ONCE = 7
 
 _SIGNED = "id long, n_shingles long, words_key binary, bands array<long>"
 
@@ -49,7 +51,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     """Hashes of all k-word shingles with the row of each, and the lower-cased words joined by blanks with row offsets."""
     data = LOWER[data]
     begin, end, row = words_of(data, offsets)
-    word = Rolling(data).of(begin, end)
+    word = Ranges(data).of(begin, end)
     n_rows = len(offsets) - 1
     counts = np.bincount(row, minlength=n_rows)
     with np.errstate(over="ignore"):
@@ -79,10 +81,12 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return hashes, rows, (data[inside], np.concatenate([[0], np.cumsum(inside)])[offsets])
 
 
-def _signer(k: int, permutations: int, per_band: int):
+def _signer(k: int, n_bands: int, values: int):
+    """Signs texts: a band holds ``values`` of the smallest and largest values of the permutations, taken in turn."""
+
     def sign(batches):
+        permutations = -(-n_bands * values // 2)
         a, b = _coefficients(permutations)
-        n_bands = permutations // per_band
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0)
@@ -94,20 +98,21 @@ def _signer(k: int, permutations: int, per_band: int):
                 full = np.flatnonzero(sizes)
                 bands = np.zeros((n_bands, n), np.int64)
                 if len(full):
+                    keys = [np.full(len(full), band + 1, _U) for band in range(n_bands)]
                     with np.errstate(over="ignore"):
-                        for band in range(n_bands):
-                            key = np.full(len(full), band + 1, _U)
-                            for p in range(band * per_band, (band + 1) * per_band):
-                                v = hashes * a[p] + b[p]
-                                v ^= v >> _U(29)
-                                v *= a[p]
-                                key = mixed(key + np.minimum.reduceat(v, first[full]))
-                                key = mixed(key + np.maximum.reduceat(v, first[full]))
-                            bands[band, full] = key.view(np.int64)
+                        for p in range(permutations):
+                            v = hashes * a[p] + b[p]
+                            v ^= v >> _U(29)
+                            v *= a[p]
+                            for place, end in ((2 * p, np.minimum), (2 * p + 1, np.maximum)):
+                                if (band := place // values) < n_bands:
+                                    keys[band] = mixed(keys[band] + end.reduceat(v, first[full]))
+                    for band in range(n_bands):
+                        bands[band, full] = keys[band].view(np.int64)
                 distinct = [len(np.unique(hashes[first[r] : first[r + 1]])) for r in range(n)]
-                keys = [hashlib.sha256(words[at[r] : at[r + 1]]).digest() for r in range(n)]
+                digests = [hashlib.sha256(words[at[r] : at[r + 1]]).digest() for r in range(n)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(bands.T.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n).cast(pa.int64()), pa.array(distinct, pa.int64()), pa.array(keys, pa.binary()), flat], ["id", "n_shingles", "words_key", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n).cast(pa.int64()), pa.array(distinct, pa.int64()), pa.array(digests, pa.binary()), flat], ["id", "n_shingles", "words_key", "bands"])
 
     return sign
 
@@ -165,48 +170,70 @@ def _prefixed(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     shingle's largest component meet only the others, never each other.
     """
     cut = stored(texts.join(left.select("id"), "id").select("id", "text").mapInArrow(_shingles(k), "id long, s long"))
-    times = cut.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = cut.join(times, "s").join(left, "id").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")) - 1)
-    tokens = ranked.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n"))).select("s", "id", "n", "c", "i")
-    tokens = stored(tokens)
+    # shingles of one set only are the rarest and no token; the others are stored, so that a frequent one can be split over tasks
+    times = stored(cut.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    own = Window.partitionBy("id")
+    ranked = cut.join(times, "s").join(left, "id").withColumn("i", F.row_number().over(own.orderBy("df", "s")) - 1 + F.col("n") - F.count("*").over(own))
+    tokens = stored(ranked.where(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")).select("s", "id", "n", "c", "i"))
     by_part = tokens.groupBy("s", "c").agg(F.count("*").alias("m")).groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").select("s", F.col("most.c").alias("most"))
     few = tokens.join(by_part, "s").where("c <> most").select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"))
     other = tokens.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     pairs = few.join(other, "s").where(F.col("ca") != F.col("cb")).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    forget(cut)
+    for used in (cut, times):
+        forget(used)
     return pairs
 
 
-def classes_of(rows: DataFrame, shingle: int, permutations: int = PERMUTATIONS, per_band: int = BAND_PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, text): (id, n_shingles, words_key, bands), stored, and (words_key, rep), the smallest id of each class with words."""
-    signed = stored(rows.mapInArrow(_signer(shingle, permutations, per_band), _SIGNED))
-    return signed, signed.where("n_shingles > 0").groupBy("words_key").agg(F.min("id").alias("rep"))
+def classes_of(rows: DataFrame, shingle: int, n_bands: int, values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text), stored: (id, n_shingles, words_key); (words_key, rep), the smallest id of each class with words;
+    and (id, n, bands) of the representatives."""
+    signed = stored(rows.mapInArrow(_signer(shingle, n_bands, values), _SIGNED))
+    classes = stored(signed.where("n_shingles > 0").groupBy("words_key").agg(F.min("id").alias("rep")))
+    own = signed.select("id", F.col("n_shingles").alias("n"), "bands")
+    reps = stored(own.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
+    narrow = stored(signed.select("id", "n_shingles", "words_key"))
+    forget(signed)
+    return narrow, classes, reps
+
+
+def _members(reps: DataFrame, n_bands: int) -> DataFrame:
+    """(key, id, n, head) of every representative in a bucket of two or more; head is the bucket's smallest id.
+
+    A few bands at a time, so that what is on the move stays a fraction of the texts. The buckets of two or more are stored
+    before they meet the rows: a bucket with many rows can then be split over tasks.
+    """
+    found = None
+    for low in range(0, n_bands, BANDS_AT_ONCE):
+        part = reps.select("id", "n", F.explode(F.slice("bands", low + 1, BANDS_AT_ONCE)).alias("key"))
+        heads = stored(part.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"))
+        own = stored(part.join(heads, "key").select("key", "id", "n", "head"))
+        forget(heads)
+        found = own if found is None else found.unionAll(own)
+    return found
 
 
-def linked_classes(rows: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def linked_classes(rows: DataFrame, classes: DataFrame, reps: DataFrame, n_bands: int, shingle: int, percent: int) -> DataFrame:
     """(words_key, component) of every class: banded, pairs confirmed, components taken; component is an id."""
-    full = signed.where("n_shingles > 0")
-    reps = full.join(classes, "words_key").where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"])
-    rows_of = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    heads = rows_of.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1")
-    members = stored(rows_of.join(heads, ["band", "key"]).select("band", "key", "id", "n", "head", "members"))
+    members = _members(reps, n_bands)
+    forget(reps)
     # the sizes of two linked sets are in this bound
     fits = F.col("na") * 100 >= F.col("nb") * percent
     fits = fits & (F.col("nb") * 100 >= F.col("na") * percent)
 
-    first = members.where("id = head").select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"))
-    star = members.where("id > head").select("band", "key", F.col("id").alias("b"), F.col("n").alias("nb")).join(first, ["band", "key"]).where(fits).select("a", "b").distinct()
-    wanted = members.select("id").distinct()
-    texts = stored(rows.join(wanted, "id").dropDuplicates(["id"]))
+    first = stored(members.where("id = head").select("key", F.col("id").alias("a"), F.col("n").alias("na")))
+    star = members.where("id > head").select("key", F.col("id").alias("b"), F.col("n").alias("nb")).join(first, "key").where(fits).select("a", "b").distinct()
+    wanted = stored(members.select("id").distinct())
+    texts = stored(rows.join(wanted, "id"))
     links = stored(_linked(star, texts, shingle, percent))
-    placed = members.where("id > head").join(components(links), "id", "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("c"))
-    placed = stored(placed)
-    apart = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-    left = stored(placed.join(apart, ["band", "key"]).select("id", "n", "c").distinct())
+    placed = stored(members.where("id > head").join(components(links), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+    apart = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"))
+    left = stored(placed.join(apart, "key").select("id", "n", "c").distinct())
     if not left.isEmpty():
         links = stored(links.unionAll(_linked(_prefixed(left, texts, shingle, percent), texts, shingle, percent)))
-    parts = components(links).select(F.col("id").alias("rep"), "component")
+    parts = stored(components(links).select(F.col("id").alias("rep"), "component"))
+    for used in (first, wanted, texts, placed, apart, left):
+        forget(used)
     return classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
 
 
@@ -215,8 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     uids = with_uid(docs, id_col, text_col)
     rows = uids.select(F.col("uid").alias("id"), "text")
-    signed, classes = classes_of(rows, shingle, permutations or permutations_for(percent, per_band), per_band)
-    of_class = linked_classes(rows, signed, classes, shingle, percent)
+    n_bands = (permutations or permutations_for(percent, per_band)) // per_band
+    signed, classes, reps = classes_of(rows, shingle, n_bands, 2 * per_band)
+    of_class = linked_classes(rows, classes, reps, n_bands, shingle, percent)
     out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words_key")).alias("words_key")).join(of_class, "words_key", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
     if not hasattr(uids, "_quillon_path"):  # ids serve as uids

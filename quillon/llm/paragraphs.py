@@ -2,7 +2,7 @@
 
 A text's paragraphs are its lines; a line longer than LONGEST words is cut at sentence ends into pieces of CUT words or
 more. Paragraphs of LEAST words or more enter: equal word sequences are one
-class, classes are banded at 27 x 4 min and max values (a pair at the threshold of 0.8 is missed with a chance below 7e-7),
+class, classes are banded at 16 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance of 1e-5),
 pairs are verified by exact Jaccard on their five-word shingles, and components are clusters of one passage. Of a cluster the
 first occurrence (smallest document id, then place) stays; the others are removed.
 
@@ -21,72 +21,67 @@ Very long texts are read whole. An empty table gives an empty result. Columns be
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Rolling, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
+from quillon.llm.common import LOWER, Ranges, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.minhash import classes_of, linked_classes
 
 LEAST, LONGEST, CUT = 20, 200, 40
-SHINGLE, PERCENT = 5, 80
+SHINGLE, PERCENT, BANDS, VALUES = 5, 80, 16, 3
 #: Words of the shortest run that counts, and of a seed; a run holds RUN - SEED + 1 seeds or more, and the least is chosen.
 RUN, SEED = 25, 13
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SENTENCE = np.zeros(256, bool)
+_SENTENCE[list(b".!?")] = True
 
 
-def pieces(text: str | None, least: int = LEAST):
-    """(place, begin, end) of every paragraph with ``least`` words or more, by code points."""
-    text = text or ""
-    at = place = 0
-    for line in text.split("\n"):
-        words = [(m.start(), m.end()) for m in _WORD.finditer(line)]
-        cuts, first = [], 0
-        if len(words) > LONGEST:
-            for k, (_, e) in enumerate(words):
-                if k + 1 - first >= CUT and line[e - 1] in ".!?" and len(words) - k - 1 >= CUT:
-                    cuts.append((first, k + 1))
-                    first = k + 1
-        for a, b in [*cuts, (first, len(words))]:
-            if b - a >= least:
-                yield place, at + words[a][0], at + words[b - 1][1]
-                place += 1
-        at += len(line) + 1
+def pieces(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(row, begin byte, end byte, begin, end by code points in the row) of every paragraph with ``least`` words or more."""
+    begin, end, row = words_of(data, at)
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 5
+    line = np.cumsum(data == 10)[begin]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(begin)))
+    cuts = [first]
+    for f, n in zip(first[size > LONGEST].tolist(), size[size > LONGEST].tolist(), strict=True):
+        ends = np.flatnonzero(_SENTENCE[data[end[f : f + n] - 1]]) + 1
+        own, last = [], 0
+        for k in ends[(ends >= CUT) & (n - ends >= CUT)].tolist():
+            if k - last >= CUT:
+                own.append(f + k)
+                last = k
+        cuts.append(np.array(own, np.int64))
+    first = np.sort(np.concatenate(cuts))
+    last = np.append(first[1:], len(begin)) - 1
+    full = last - first + 1 >= least
+    a, b = begin[first[full]], end[last[full]]
+    point = np.cumsum((data & 0xC0) != 0x80)  # code points up to each byte
+    own = row[first[full]]
+    start = np.where(at[own] > 0, point[at[own] - 1], 0)
+    return own, a, b, point[a] - 1 - start, point[b - 1] - start
 
 
 def _cutter(least: int):
     def cut(batches):
         for batch in batches:
-            uid, begin, end, text = [], [], [], []
-            for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for _, a, b in pieces(t, least):
-                    uid.append(u)
-                    begin.append(a)
-                    end.append(b)
-                    text.append(t[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())], ["uid", "begin", "end", "text"])
+            data, offsets = utf8(batch.column(1))
+            uids = batch.column(0).to_numpy()
+            for i, j in chunks(offsets):
+                own = data[offsets[i] : offsets[j]]
+                row, a, b, begin, end = pieces(own, offsets[i : j + 1] - offsets[i], least)
+                if len(row):
+                    whole = own.tobytes()
+                    text = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(text, pa.binary()).cast(pa.string())], ["uid", "begin", "end", "text"])
 
     return cut
 
 
-def _ranged(h: np.ndarray):
-    """A function (begin, end) to the hashes of ranges of words, from one prefix sum over the words' hashes."""
-    up, down = Rolling._grown(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(mixed(h + np.uint64(0x9E3779B97F4A7C15)) * up[: len(h)], out=sums[1:])
-
-    def of(begin, end):
-        with np.errstate(over="ignore"):
-            return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    return of
-
-
 def _least_of(v: np.ndarray, n: int) -> np.ndarray:
     """Where the (first) least of ``v[i : i + n]`` is, for every i."""
     at, width = np.arange(len(v)), 1
@@ -107,7 +102,7 @@ def _read_words(data: np.ndarray, at: np.ndarray):
     point = np.cumsum((own & 0xC0) != 0x80) - 1  # code point of each byte
     start = point[at[:-1].clip(max=len(own) - 1)]
     first = np.searchsorted(row, np.arange(len(at)))
-    return Rolling(own).of(begin, end), row, np.arange(len(begin)) - first[row], point[begin] - start[row], point[end - 1] + 1 - start[row]
+    return Ranges(own).of(begin, end), row, np.arange(len(begin)) - first[row], point[begin] - start[row], point[end - 1] + 1 - start[row]
 
 
 def _seeder(batches):
@@ -120,7 +115,7 @@ def _seeder(batches):
             if read is None or len(read[0]) < RUN:
                 continue
             h, row, nth, begin, end = read
-            of = _ranged(h)
+            of = Ranges(mixed(h)).of
             every = np.arange(len(h) - SEED + 1)
             chosen = _least_of(of(every, every + SEED), RUN - SEED + 1)
             inside = row[: len(chosen)] == row[RUN - 1 :]
@@ -138,7 +133,8 @@ def _seeder(batches):
 
 
 def _windower(batches):
-    """(uid, w, n, begin, end, key) of every window of RUN words in the ranges asked for."""
+    """(uid, w, n, begin, end, key, half) of every window of RUN words in the ranges asked for; two identifiers, of all its
+    words and of its first half, tell windows apart."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         uids, asked = batch.column(0).to_numpy(), batch.column(2)
@@ -150,12 +146,13 @@ def _windower(batches):
             first = np.searchsorted(row, np.arange(j - i))
             at = [np.arange(first[r] + x["w"], first[r] + x["w"] + x["n"] - RUN + 1) for r, own in enumerate(asked.slice(i, j - i).to_pylist()) for x in own]
             at = np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row[at]]), pa.array(nth[at].astype(np.int32)), pa.array(np.full(len(at), RUN, np.int32)), pa.array(begin[at].astype(np.int32)), pa.array(end[at + RUN - 1].astype(np.int32)), pa.array(_ranged(h)(at, at + RUN).view(np.int64))], ["uid", "w", "n", "begin", "end", "key"])
+            of = Ranges(mixed(h)).of
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row[at]]), pa.array(nth[at].astype(np.int32)), pa.array(np.full(len(at), RUN, np.int32)), pa.array(begin[at].astype(np.int32)), pa.array(end[at + RUN - 1].astype(np.int32)), pa.array(of(at, at + RUN).view(np.int64)), pa.array(of(at, at + RUN // 2).view(np.int64))], ["uid", "w", "n", "begin", "end", "key", "half"])
 
 
 def _marked(rows: DataFrame, *keys: str) -> DataFrame:
     """Those of ``rows`` whose keys occur again, with ``one``, the first of them, and whether it is ``first``."""
-    one = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1").select(*keys, "one")
+    one = stored(rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1").select(*keys, "one"))
     return rows.join(one, [*keys]).withColumn("first", (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))).drop("one")
 
 
@@ -163,9 +160,11 @@ def _spliced(texts: DataFrame) -> DataFrame:
     """(uid, begin, end, first) of the runs that windows of RUN words make which occurred before; where ``first``, no run
     but a text that holds the first occurrence of such a window."""
     seeds = stored(texts.mapInArrow(_seeder, "uid long, w int, n int, begin int, end int, key long, whole long"))
-    again = seeds.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1")
+    # what repeats is stored before the rows meet it: a seed that many texts share can then be split over tasks
+    again = stored(seeds.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1"))
     met = stored(seeds.join(again.select("key", "low", "high", "one"), "key"))
-    forget(seeds)
+    for used in (seeds, again):
+        forget(used)
     mine = (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))
     span = ["uid", "w", "n", "begin", "end", "first"]
     same = met.where("low = high").withColumn("first", mine).select(span)
@@ -175,8 +174,8 @@ def _spliced(texts: DataFrame) -> DataFrame:
     kinds = stored(kinds)
     copies = unlike.join(kinds.where("m > 1").select("key", "whole", "one"), ["key", "whole"]).withColumn("first", mine).select(span)
     asked = kinds.select("one.uid", "one.w", "one.n").groupBy("uid").agg(F.collect_list(F.struct("w", "n")).alias("asked"))
-    windows = stored(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_windower, "uid long, w int, n int, begin int, end int, key long"))
-    every = stored(same.unionAll(copies).unionAll(_marked(windows, "key").select(span)))
+    windows = stored(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_windower, "uid long, w int, n int, begin int, end int, key long, half long"))
+    every = stored(same.unionAll(copies).unionAll(_marked(windows, "key", "half").select(span)))
     by = Window.partitionBy("uid").orderBy("w", "n")
     before = F.max(F.col("w") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = every.where("not first").withColumn("new", F.when(F.col("w") <= before, 0).otherwise(1))
@@ -210,17 +209,18 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = rows.select("uid", "text").mapInArrow(_cutter(least), "uid long, begin int, end int, text string")
     # a paragraph's number says its place: documents by uid, then places by begin
     numbered = stored(parts.select("uid", "begin", "end", "text", F.monotonically_increasing_id().alias("id")))
-    signed, reps = classes_of(numbered.select("id", "text"), SHINGLE, 54, 2)
-    links = linked_classes(numbered.select("id", "text"), signed, reps, SHINGLE, PERCENT)
-    placed = signed.join(links, "words_key").join(numbered.select("id", "uid", "begin", "end"), "id").select("uid", "begin", "end", F.col("component").alias("cluster"))
-    placed = stored(placed)
-    first = placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("one"), F.count("*").alias("m")).where("m > 1")
+    signed, classes, reps = classes_of(numbered.select("id", "text"), SHINGLE, BANDS, VALUES)
+    links = linked_classes(numbered.select("id", "text"), classes, reps, BANDS, SHINGLE, PERCENT)
+    places = stored(numbered.select("id", "uid", "begin", "end"))
+    forget(numbered)
+    placed = stored(signed.join(links, "words_key").join(places, "id").select("uid", "begin", "end", F.col("component").alias("cluster")))
+    first = stored(placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("one"), F.count("*").alias("m")).where("m > 1"))
     several = placed.join(first, "cluster").select("uid", "begin", "end", "cluster", ((F.col("uid") == F.col("one.uid")) & (F.col("begin") == F.col("one.begin"))).alias("first"))
     runs = _spliced(rows.select("uid", "text")).select("uid", "begin", "end", F.lit(None).cast("long").alias("cluster"), "first")
     every = several.unionAll(runs)
     gone = F.when(~F.col("first"), F.struct("begin", "end"))
     spans = every.groupBy("uid").agg(F.array_sort(F.array_distinct(F.collect_list(gone))).alias("spans"), F.array_sort(F.collect_set("cluster")).alias("clusters"), F.lit(True).alias("repeats"))
-    counts = numbered.groupBy("uid").agg(F.count("*").alias("n_paragraphs"))
+    counts = places.groupBy("uid").agg(F.count("*").alias("n_paragraphs"))
     about = stored(counts.join(spans, "uid", "full"))
     none = F.array().cast("array<struct<begin:int,end:int>>")
     narrow = about.select("uid", "n_paragraphs", "clusters", "repeats")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Rolling, chunks, released, small_batches, utf8, words_of
+from quillon.llm.common import Ranges, chunks, released, small_batches, utf8, words_of
 
 SAMPLE, TERMS, DIMS, NEIGHBOURS, SHARPNESS = 4096, 1024, 48, 15, 8
 PRIOR = 0.5
@@ -44,7 +44,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin, end, word_row = words_of(data, offsets)
     words = np.bincount(word_row, minlength=n)
     per = np.maximum(words, 1)
-    h = Rolling(data).of(begin, end)
+    h = Ranges(data).of(begin, end)
     first = np.concatenate([[0], np.cumsum(words)])
     distinct = np.array([len(np.unique(h[first[r] : first[r + 1]])) for r in range(n)], np.int64)
     twice = np.bincount(word_row[1:][(h[1:] == h[:-1]) & (word_row[1:] == word_row[:-1])], minlength=n) if len(h) else np.zeros(n)
@@ -52,7 +52,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_apart = np.zeros(256, bool)
     line_apart[10] = True
     lb, le, lr = words_of(data, offsets, line_apart)
-    lh, nl = Rolling(data).of(lb, le), np.bincount(lr, minlength=n)
+    lh, nl = Ranges(data).of(lb, le), np.bincount(lr, minlength=n)
     lf = np.concatenate([[0], np.cumsum(nl)])
     lines_twice = nl - np.array([len(np.unique(lh[lf[r] : lf[r + 1]])) for r in range(n)], np.int64)
     of = lambda low, high: np.bincount(row[(data >= low) & (data <= high)], minlength=n)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Rolling, chunks, forget, mixed, small_batches, stored, utf8, with_uid
+from quillon.llm.common import Ranges, chunks, forget, mixed, small_batches, stored, utf8, with_uid
 
 _U = np.uint64
 LENGTH, GRAM = 200, 64
@@ -36,7 +36,7 @@ _PLACE = _U(31)  # bits for a position below a truncated hash
 def gram_ids(data: np.ndarray, gram: int) -> np.ndarray:
     """The identifier of the q-gram at every position that has one."""
     at = np.arange(len(data) + 1 - gram, dtype=np.int64)
-    return Rolling(data).of(at, at + gram)
+    return Ranges(data).of(at, at + gram)
 
 
 def pointers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     a = anchor[first]
     strings, off = last_of - first + 1, a - first
     with np.errstate(over="ignore"):
-        whole = mixed(Rolling(data).of(first, last_of + length) + off.astype(_U) * _U(0x9E3779B97F4A7C15))
+        whole = mixed(Ranges(data).of(first, last_of + length) + off.astype(_U) * _U(0x9E3779B97F4A7C15))
     return own[first], first, strings, off, grams[a], whole
 
 
