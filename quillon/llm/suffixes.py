@@ -1,22 +1,24 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-Bucket pointers. A q-gram's identifier is its content hash, so buckets need no central numbering: the identifier of a longer
-string is made of the identifiers of the q-grams at later offsets, H2q(p) = (Hq(p), Hq(p + q)) and so on up to the full
-length, each doubling reusing the one before. Sorting on these identifiers is what the groupings below do.
+Bucket pointers. A string's bucket is named by the identifiers of q-grams, and a bucket is refined by the identifiers of what
+stands at further offsets around the same q-gram. An identifier is a hash of the bytes, so buckets need no central numbering.
 
 Initial buckets. A string of ``length`` bytes has length - q + 1 q-grams; the one with the least hash (leftmost on ties) is its
-anchor. Equal strings have equal anchors at equal offsets, so only anchors need buckets, some 1 position in 70, and a string
+anchor. Equal strings have equal anchors at equal offsets, so only anchors need pointers, some 1 position in 70, and a string
 whose anchor's bucket holds one position is unique. Neighbouring strings with one anchor make a run.
 
-Refinement. Inside a bucket runs with equal offsets and equal bytes, by one 64-bit hash of the run, are one class; a class of two or more is repeated whole.
-Where a bucket has several classes, one run of each is refined to its single strings by their pointers, which finds the
-strings that begin or end a repeat. Whatever is found goes back to the documents as spans.
+Refinement. The strings of a run differ in how many bytes they take left and right of the anchor. Ranges of such strings are
+sorted into buckets by the bytes that all strings of the range have in common; a bucket of one is unique and leaves. Members
+that are equal in all bytes of the range are repeated whole and go on as one. A bucket with members that are not is refined:
+its ranges are cut into FAN parts, whose common bytes reach further, and these are sorted into buckets again, down to single
+strings. Each step works on what the step before left undecided, and reads bytes only of one run of each kind.
 
-Identifiers have 64 bits. Counts are partial aggregates joined back, so a bucket of any size stays spread out.
+Identifiers have 61 bits; two strings are taken for equal if their anchor's and their own agree, some 122 bits. Counts are
+partial aggregates, stored before rows meet them, so a bucket of any size can be split over tasks.
 
-Cases. Null text is empty: no bytes, none removed. Texts shorter than ``length`` keep all. Repeated rows
-are texts that occur twice, and each is removed where it repeats; each row is judged alone even if ids repeat or are null. Very long texts are read whole, up to the 2 GB of a string. An empty table gives an empty result. Other columns are
-not read.
+Cases. Null text is empty: no bytes, none removed. Texts shorter than ``length`` keep all. Repeated rows are texts that occur
+twice, and each is removed where it repeats; each row is judged alone even if ids repeat or are null. Very long texts are read
+whole, up to the 2 GB of a string. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,27 +32,11 @@ from quillon.llm.common import Ranges, chunks, forget, mixed, small_batches, sto
 
 _U = np.uint64
 LENGTH, GRAM = 200, 64
+#: Parts of a range of strings at each refinement.
+FAN = 5
 _PLACE = _U(31)  # bits for a position below a truncated hash
 
 
-def gram_ids(data: np.ndarray, gram: int) -> np.ndarray:
-    """The identifier of the q-gram at every position that has one."""
-    at = np.arange(len(data) + 1 - gram, dtype=np.int64)
-    return Ranges(data).of(at, at + gram)
-
-
-def pointers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the q-gram and of the full string at every position (what runs over the end is not used)."""
-    h = grams = gram_ids(data, gram)
-    size = gram
-    while size < length:
-        step = min(size, length - size)
-        with np.errstate(over="ignore"):
-            h = mixed(h[: len(h) - step] * _U(0x9E3779B97F4A7C15) + h[step:]) if len(h) > step else h[:0]
-        size += step
-    return grams, h
-
-
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     """For every window of ``width`` grams the position of the least, leftmost on ties."""
     n = len(grams)
@@ -73,7 +59,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if n < length or not (size >= length).any():
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(_U), z.astype(_U)
-    grams = gram_ids(data, gram)
+    of = Ranges(data)
+    grams = of.every(gram)
     anchor = anchors(grams, length - gram + 1)
     row = np.repeat(np.arange(len(size)), size)
     begin = np.arange(len(anchor))
@@ -86,7 +73,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     a = anchor[first]
     strings, off = last_of - first + 1, a - first
     with np.errstate(over="ignore"):
-        whole = mixed(Ranges(data).of(first, last_of + length) + off.astype(_U) * _U(0x9E3779B97F4A7C15))
+        whole = mixed(of.of(first, last_of + length) + off.astype(_U) * _U(0x9E3779B97F4A7C15))
     return own[first], first, strings, off, grams[a], whole
 
 
@@ -104,8 +91,8 @@ def _runner(length: int, gram: int):
     return run
 
 
-def _cutter(length: int):
-    """Of each text the bytes of the runs listed with it."""
+def _cutter(length: int, gram: int):
+    """Of each text the bytes of the runs listed with it, whose ranges at first are all their strings."""
 
     def cut(batches):
         for batch in batches:
@@ -119,30 +106,65 @@ def _cutter(length: int):
             ends = begin + n - 1 + length
             for k in range(0, len(row), 4096):
                 strings = [whole[a:b] for a, b in zip(begin[k : k + 4096].tolist(), ends[k : k + 4096].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([inner.field(c).slice(k, 4096) for c in ("cid", "many", "off", "bucket")] + [batch.column(0).take(pa.array(row[k : k + 4096])), inner.field("pos").slice(k, 4096), pa.array(strings, pa.binary())], ["cid", "many", "off", "bucket", "uid", "pos", "bytes"])
+                yield pa.RecordBatch.from_arrays([inner.field(c).slice(k, 4096) for c in ("cid", "n", "off", "bucket")] + [batch.column(0).take(pa.array(row[k : k + 4096])), inner.field("pos").slice(k, 4096), pa.array(strings, pa.binary())], ["cid", "n", "off", "bucket", "uid", "pos", "bytes"])
 
     return cut
 
 
-def _pointed(length: int, gram: int):
-    """Every single string of an edge run: its pointer with bucket and offset, and where it is."""
+def widths(length: int, gram: int) -> list[int]:
+    """How many offsets a range spans at each step; the last spans one."""
+    out, left = [], length - gram + 1
+    while left > 1:
+        left = -(-left // FAN)
+        out.append(left)
+    return out or [1]
+
 
-    def point(batches):
+def _refiner(length: int, gram: int, width: int, before: int):
+    """(cid, part, bucket, whole, begin, end) of the parts, ``width`` offsets wide, of the ranges that are undecided.
+
+    A string takes j bytes left of its anchor. Part k has the strings with k * width <= j < (k + 1) * width that the run
+    holds; ``bucket`` names the bytes that all strings of the part would have in common, ``whole`` all bytes of those held.
+    """
+    least = length - gram
+
+    def refine(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(batch.schema.get_field_index("bytes")))
-            get = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-            cid, off, bucket = get("cid"), get("off").astype(np.int64), get("bucket").view(np.uint64)
-            for i, j in chunks(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                _, h = pointers(data[offsets[i] : offsets[j]], length, gram)
-                n = np.diff(at) - length + 1
-                row = np.repeat(np.arange(j - i), n)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                with np.errstate(over="ignore"):
-                    own = h[at[row] + nth] + bucket[i:j][row] * _U(0xD6E8FEB86659FD93) + (off[i:j][row] - nth).astype(_U) * _U(0xA0761D6478BD642F)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(own).view(np.int64)), pa.array(cid[i:j][row]), pa.array(nth.astype(np.int32))], ["pointer", "cid", "nth"])
-
-    return point
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            off, n, pos = (column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("off", "n", "pos"))
+            seed, cid, uid = column("bucket").to_numpy(zero_copy_only=False).view(np.uint64), column("cid"), column("uid")
+            lists = column("parts")
+            if lists.null_count:  # the first step: every part
+                row = np.repeat(np.arange(len(off)), least // width + 1)
+                part = np.tile(np.arange(least // width + 1), len(off))
+            else:
+                each = np.repeat(np.arange(len(off)), np.diff(np.asarray(lists.offsets)))
+                old = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                first, last = old * before // width, ((old + 1) * before - 1) // width
+                size = last - first + 1
+                row, part = np.repeat(each, size), np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                both = row * (least // width + 2) + part
+                _, one = np.unique(both, return_index=True)
+                row, part = row[one], part[one]
+            low, high = part * width, np.minimum((part + 1) * width - 1, least)
+            # strings of the run: j from off - n + 1 to off
+            own_low, own_high = np.maximum(low, off[row] - n[row] + 1), np.minimum(high, off[row])
+            held = own_low <= own_high
+            row, part, low, high, own_low, own_high = (x[held] for x in (row, part, low, high, own_low, own_high))
+            of = Ranges(data)
+            at = offsets[row] + off[row]  # the anchor
+            common = of.of(at - low, at + length - high)
+            every = of.of(at - own_high, at + length - own_low)
+            with np.errstate(over="ignore"):
+                bucket = mixed(common + seed[row] * _U(0xD6E8FEB86659FD93) + part.astype(_U) * _U(0xA0761D6478BD642F))
+                every = mixed(every + (own_low * 65536 + own_high).astype(_U) * _U(0x9E3779B97F4A7C15))
+            take = pa.array(row)
+            begin = pos[row] + off[row] - own_high
+            end = pos[row] + off[row] - own_low + length
+            yield pa.RecordBatch.from_arrays([cid.take(take), pa.array(part.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(every.view(np.int64)), uid.take(take), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["cid", "part", "bucket", "whole", "uid", "begin", "end"])
+
+    return refine
 
 
 def _remover(batches):
@@ -182,24 +204,44 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = with_uid(docs, id_col, text_col)
     texts = rows.select("uid", "text")
     found = stored(texts.mapInArrow(_runner(length, gram), "uid long, pos int, n int, off int, bucket long, class long"))
-    full = found.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    full = stored(found.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
     live = stored(found.join(full, "bucket"))
-    forget(found)
+    for used in (found, full):
+        forget(used)
     kind = ["bucket", "off", "n", "class"]
     classes = stored(live.groupBy(*kind).agg(F.count("*").alias("m"), F.min(F.struct("uid", "pos")).alias("one")))
-    edge = classes.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.when(F.col("m") == 1, 1)).alias("ones")).where("c > 1 and ones > 0").select("bucket")
-    edges = classes.join(edge, "bucket").select(F.col("one.uid").alias("uid"), F.struct(F.monotonically_increasing_id().alias("cid"), (F.col("m") > 1).alias("many"), "off", "bucket", F.col("one.pos").alias("pos"), "n").alias("edge"))
-    edges = stored(edges).groupBy("uid").agg(F.collect_list("edge").alias("edges"))
-    cut = stored(texts.join(edges, "uid").select("uid", "text", "edges").mapInArrow(_cutter(length), "cid long, many boolean, off int, bucket long, uid long, pos int, bytes binary"))
-    strings = lambda some: some.select("cid", "off", "bucket", "bytes").mapInArrow(_pointed(length, gram), "pointer long, cid long, nth int")
-    twice = strings(cut).groupBy("pointer").agg(F.count("*").alias("m")).where("m > 1").select("pointer")
-    marked = strings(cut.where("not many")).join(twice, "pointer").select("cid", "nth")
-    marked = marked.join(cut.where("not many").select("cid", "uid", "pos"), "cid").select("uid", (F.col("pos") + F.col("nth")).alias("begin"), (F.col("pos") + F.col("nth") + length).alias("end"))
-    several = classes.where("m > 1").select(*kind)
-    whole = live.join(several, kind).select("uid", F.col("pos").alias("begin"), (F.col("pos") + F.col("n") + (length - 1)).alias("end"))
-    spans = stored(whole.unionAll(marked).groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("list")))
-    for done in (live, classes, cut):
-        forget(done)
+    several = stored(classes.where("m > 1").select(*kind))
+    spans = [stored(live.join(several, kind).select("uid", F.col("pos").alias("begin"), (F.col("pos") + F.col("n") + (length - 1)).alias("end")))]
+    for used in (live, several):
+        forget(used)
+    # buckets of several kinds, one of them a run that no other equals: one run of each kind is refined
+    edge = stored(classes.groupBy("bucket").agg(F.count("*").alias("c"), F.min("m").alias("least")).where("c > 1 and least = 1").select("bucket"))
+    edges = stored(classes.join(edge, "bucket").select(F.col("one.uid").alias("uid"), F.struct(F.monotonically_increasing_id().alias("cid"), "off", "bucket", F.col("one.pos").alias("pos"), "n").alias("edge")))
+    lists = edges.groupBy("uid").agg(F.collect_list("edge").alias("edges"))
+    cut = stored(texts.join(lists, "uid").select("uid", "text", "edges").mapInArrow(_cutter(length, gram), "cid long, n int, off int, bucket long, uid long, pos int, bytes binary"))
+    for used in (classes, edge, edges):
+        forget(used)
+    undecided, before = cut.withColumn("parts", F.lit(None).cast("array<int>")), 0
+    steps = widths(length, gram)
+    for width in steps:
+        parts = stored(undecided.mapInArrow(_refiner(length, gram, width, before), "cid long, part int, bucket long, whole long, uid long, begin int, end int"))
+        kinds = stored(parts.groupBy("bucket", "whole").agg(F.count("*").alias("m"), F.min(F.struct("cid", "part")).alias("one")))
+        twice = stored(kinds.where("m > 1").select("bucket", "whole"))
+        spans.append(stored(parts.join(twice, ["bucket", "whole"]).select("uid", "begin", "end")))
+        mixed_ = stored(kinds.groupBy("bucket").agg(F.count("*").alias("c"), F.min("m").alias("least")).where("c > 1 and least = 1").select("bucket"))
+        left = stored(kinds.join(mixed_, "bucket").select("one.cid", "one.part").groupBy("cid").agg(F.collect_list("part").alias("parts")))
+        for used in (parts, kinds, twice, mixed_):
+            forget(used)
+        undecided, before = cut.join(left, "cid"), width
+        if width == 1 or left.isEmpty():
+            break
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionAll(more)
+    every = stored(every.groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("list")))
+    for used in (cut, *spans):
+        forget(used)
+    spans = every
     out = rows.join(spans, "uid", "left").select("uid", "id", "text", F.coalesce("list", F.array().cast("array<struct<begin:int,end:int>>")).alias("list"))
     out = out.mapInArrow(_remover, "uid long, id long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
