@@ -1,13 +1,17 @@
 """Toxicity by a weighted grammar of clauses.
 
-An automaton over the lower-cased text finds where an insult may begin: whole words and stems, learnt with their weights of
-evidence from labelled rows. Each clause around a match runs through transducers (target, threat, negation, reported speech)
-that read its words in order and carry a state: a negation or a reporting verb reaches over the next REACH words, a target
-near an insult or threat makes it directed. A clause thus puts out its weight under each reading, and a text is scored on
-its clauses by a logistic model fitted on the same sample: no isolated word scores outside its clause.
+An automaton over the lower-cased text finds where an insult or threat may begin: whole words and stems, learnt with their
+weights of evidence from labelled rows. Each clause with a match is read by one machine, the composition of three weighted
+transducers: negation and reported speech, target, threat. Each of them remembers for REACH words that its class has been
+seen; the composition is their product, one table of states by classes of words, built once. What it puts out for a word says
+under which reading its weight counts: plain, turned (negated or reported), directed (at a target), and whether a threat meets
+its target. A text is scored on its clauses by a logistic model fitted on the same sample: no isolated word scores outside its
+clause. A threat that the sample does not weigh counts where it meets a target.
 
 The sample is bounded (SAMPLE labelled documents, half of each label where there are so many, by smallest hash of the id); of
-it, only the LEXICON strongest patterns and one row of READINGS numbers a document are collected.
+it, only the LEXICON strongest patterns, the weights of the threats and one row of READINGS numbers a document are collected.
+
+Time is linear in the text: matches, clause ends and words are each walked once, in order.
 
 Cases. Null or empty text has no clause and gets the score of such texts. Null labels are not learnt from. With nothing to
 learn from, every score is PRIOR. Repeated rows get equal scores. Very long texts are read whole. An empty table gives an
@@ -39,8 +43,56 @@ THREATS = set("kill hurt destroy burn beat shoot stab crush tuer frapper détrui
 NEGATIONS = set("not no never isn't aren't wasn't nor without ne pas jamais sans nicht kein keine nie ohne nunca sin".split())
 REPORTS = set("said says wrote writes claimed claims called calls told quoted reported dit écrit sagte schrieb dijo escribió".split())
 
+# Classes of words, as bits of a symbol.
+NEGATED, REPORTED, TARGET, THREAT, INSULT = 1, 2, 4, 8, 16
+CLASS = {w: sum(bit for bit, some in ((NEGATED, NEGATIONS), (REPORTED, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) if w in some) for w in NEGATIONS | REPORTS | TARGETS | THREATS}
+
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE_END = re.compile(r"[.;:!?\n]\s|\n")
+CLAUSE_END = re.compile(r"[.;:!?](?=\s)|\n")
+
+
+class Transducer:
+    """States (0 is the first), a table of the next state by state and symbol, and what each state stands for."""
+
+    def __init__(self, follows: np.ndarray, near: list[frozenset[str]]) -> None:
+        self.follows, self.near = follows, near
+
+    @classmethod
+    def memory(cls, name: str, classes: int, reach: int = REACH) -> Transducer:
+        """Remembers for ``reach`` words that a word of ``classes`` was read: state 0 none, state k + 1 read k words ago."""
+        states = reach + 2
+        follows = np.array([[1 if symbol & classes else (k + 1) % states if k else 0 for symbol in range(32)] for k in range(states)])
+        return cls(follows, [frozenset()] + [frozenset([name])] * (reach + 1))
+
+    def composed(self, other: Transducer) -> Transducer:
+        """Both at once: the product of the states, each reading the same symbols."""
+        n = len(other.near)
+        follows = (self.follows[:, None, :] * n + other.follows[None, :, :]).reshape(-1, self.follows.shape[1])
+        return Transducer(follows, [x | y for x in self.near for y in other.near])
+
+
+#: Readings of a word, as bits of an output.
+PLAIN, TURNED, DIRECTED, MEETS = 1, 2, 4, 8
+
+
+def _outputs(machine: Transducer) -> list[list[int]]:
+    """What each state, once reached by a symbol, puts out."""
+    table = []
+    for near in machine.near:
+        row = []
+        for symbol in range(32):
+            out = 0
+            if symbol & INSULT:
+                out |= TURNED if "turn" in near else PLAIN | (DIRECTED if "target" in near else 0)
+            if symbol & (TARGET | THREAT) and {"target", "threat"} <= near and "turn" not in near:
+                out |= MEETS
+            row.append(out)
+        table.append(row)
+    return table
+
+
+MACHINE = Transducer.memory("turn", NEGATED | REPORTED).composed(Transducer.memory("target", TARGET)).composed(Transducer.memory("threat", THREAT))
+FOLLOWS, OUTPUTS = MACHINE.follows.tolist(), _outputs(MACHINE)
 
 
 def patterns_of(text: str) -> set[str]:
@@ -76,54 +128,55 @@ class Grammar:
                 if (at and text[at - 1].isalpha()) or (not stem and end + 1 < n and text[end + 1].isalpha()):
                     continue
                 hits[at] = max(hits.get(at, 0.0), w)
-        done = -1
-        for at in sorted(hits):
-            if at < done:
-                continue
-            begin = max((text.rfind(c, 0, at) for c in ".;:!?\n"), default=-1) + 1
-            m = CLAUSE_END.search(text, at)
-            done = m.start() if m else n
-            yield begin, done, {k: v for k, v in hits.items() if begin <= k < done} if len(hits) > 1 else hits
+        if not hits:
+            return
+        order = sorted(hits)
+        begin = k = 0
+        for m in CLAUSE_END.finditer(text):
+            if order[k] < m.end():
+                own = {}
+                while k < len(order) and order[k] < m.end():
+                    own[order[k]] = hits[order[k]]
+                    k += 1
+                yield begin, m.start(), own
+                if k == len(order):
+                    return
+            begin = m.end()
+        yield begin, n, {at: hits[at] for at in order[k:]}
 
     def readings(self, text: str | None) -> np.ndarray:
         """What a text's clauses put out: counts and weights by reading, all damped by logarithms, and per word."""
         text = (text or "").lower()
-        out = np.zeros(READINGS)
-        best = 0.0
+        clauses = matches = 0
+        all_plain = all_turned = all_directed = best = 0.0
         for begin, end, hits in self.clauses(text):
-            target = negated = reported = -REACH
-            inside, threat = 0.0, -REACH
-            directed = plain = turned = 0.0
-            for k, m in enumerate(WORD.finditer(text, begin, end)):
-                word = m.group()
-                if word in NEGATIONS:
-                    negated = k
-                elif word in REPORTS:
-                    reported = k
-                elif word in TARGETS:
-                    target = k
-                    if k - threat <= REACH:
-                        directed += 1
-                if word in THREATS:
-                    threat = k
-                    if k - target <= REACH:
-                        directed += 1
-                w = hits.get(m.start(), 0.0)
+            state = found = 0
+            plain = turned = directed = 0.0
+            for m in WORD.finditer(text, begin, end):
+                symbol, w = CLASS.get(m.group(), 0), hits.get(m.start(), 0.0)
                 if w:
-                    inside += 1
-                    if k - negated <= REACH or k - reported <= REACH:
-                        turned += w
-                    else:
+                    symbol |= INSULT
+                state = FOLLOWS[state][symbol]
+                out = OUTPUTS[state][symbol]
+                if out:
+                    if out & (PLAIN | TURNED):
+                        found += 1
+                    if out & PLAIN:
                         plain += w
-                        directed += w if k - target <= REACH else 0
-            out[0] += inside > 0
-            out[1] += inside
-            out[2] += plain
-            out[3] += directed
-            out[4] += turned
+                    elif out & TURNED:
+                        turned += w
+                    if out & DIRECTED:
+                        directed += w
+                    if out & MEETS:
+                        directed += 1
+            clauses += found > 0
+            matches += found
+            all_plain += plain
+            all_turned += turned
+            all_directed += directed
             best = max(best, plain + 0.5 * turned)
         words = 1 + len(text) / 6
-        return np.array([1.0, np.log1p(out[0]), np.log1p(out[1]), np.log1p(out[2]), np.log1p(out[3]), np.log1p(out[4]), np.log1p(best), np.log1p(1000 * out[1] / words)])
+        return np.array([1.0, np.log1p(clauses), np.log1p(matches), np.log1p(all_plain), np.log1p(all_directed), np.log1p(all_turned), np.log1p(best), np.log1p(1000 * matches / words)])
 
 
 class Model:
@@ -192,7 +245,10 @@ def fitted(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", te
     counts = rows.mapInArrow(_counted, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     strong = counts.where((F.col("toxic") >= LEAST) & (ratio >= LIKELIER)).select("pattern", F.log(ratio).alias("weight"), "toxic").orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "pattern").limit(LEXICON)
-    grammar = Grammar(narrowed(strong.collect()))
+    known = narrowed(strong.collect())
+    threats = counts.where(F.col("pattern").isin(*sorted(THREATS))).select("pattern", F.greatest(F.log(ratio), F.lit(0.0)).alias("weight"))
+    known |= {p: w for p, w in threats.collect() if p not in known}
+    grammar = Grammar(known)
     shared = spark.sparkContext.broadcast(grammar)
     found = rows.mapInArrow(_read(shared), "id long, label int, readings array<double>").toArrow()
     readings = np.array(found["readings"].to_pylist()).reshape(-1, READINGS)
