@@ -2,10 +2,11 @@
 
 A group is what rows have in common so far: at first nothing, then the first bytes of the blank-free text, then the bytes
 after those. Each round splits every group by its next block of raw bytes and drops the groups of one; a row whose text
-ends inside the block is done. The blocks widen sixteenfold a round, so that even the longest texts take a few rounds.
-Groups are compared byte for byte: digests are never compared, and text_sha256 is only reported.
+ends inside the block is done. The blocks widen sixteenfold a round up to 1 GB, so that even the longest texts take a few
+rounds. Groups are compared byte for byte: digests are never compared, and text_sha256 is only reported.
 
-Split counts are partial aggregates joined back, never windows over a group, so a group of any size stays spread out.
+Split counts are partial aggregates, never windows over a group, and are stored before the rows meet them: the join's sides
+are then plain shuffles, whose large partitions adaptive execution splits, so a group of any size can be spread out.
 
 Cases. Null text counts as empty, and so do blanks alone; all empty texts are one group. A null id ranks last among equals.
 Repeated rows (same id, same text) all count in group_size, and exactly one of them has kept = true. Very long texts are
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import forget, stored
 
-FIRST_BYTES, WIDER = 256, 16
+#: Bytes of the first block, how many times wider each next one is, and the widest (a position is a 32-bit number).
+FIRST_BYTES, WIDER, WIDEST = 256, 16, 1 << 30
 
 
 def normalised(text_col: str):
@@ -37,7 +39,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.char_length(text_col), F.lit(0)).alias("n"), normalised(text_col).alias("rest"))
     head = F.substring("rest", 1, FIRST_BYTES)
-    shared = rows.groupBy(head.alias("head")).agg(F.count("*").alias("m")).where("m > 1").select("head")
+    shared = stored(rows.groupBy(head.alias("head")).agg(F.count("*").alias("m")).where("m > 1").select("head"))
     # the first round: texts that nobody shares the first bytes with need no further look
     first = rows.withColumn("head", head).join(shared.withColumn("hit", F.lit(True)), "head", "left")
     first = first.select(F.monotonically_increasing_id().alias("uid"), "id", "n", F.sha2("rest", 256).alias("text_sha256"), F.when(F.col("hit"), F.col("rest")).alias("rest"))
@@ -46,14 +48,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     width, done = FIRST_BYTES, []
     while True:
         parts = _split(active, width)
-        groups = parts.groupBy("gid", "block", "ended").agg(F.min("uid").alias("next"), F.count("*").alias("m")).where("m > 1").drop("m")
-        kept = parts.join(groups, ["gid", "block", "ended"]).select("uid", F.col("next").alias("gid"), "ended", "rest")
-        kept = stored(kept)
+        groups = stored(parts.groupBy("gid", "block", "ended").agg(F.min("uid").alias("next"), F.count("*").alias("m")).where("m > 1").drop("m"))
+        kept = stored(parts.join(groups, ["gid", "block", "ended"]).select("uid", F.col("next").alias("gid"), "ended", "rest"))
+        forget(groups)
         done.append(kept.where("ended").select("uid", "gid"))
         active = kept.where("not ended").select("uid", "gid", "rest")
         if active.isEmpty():
             break
-        width *= WIDER
+        width = min(width * WIDER, WIDEST)
     members = done[0]
     for more in done[1:]:
         members = members.unionAll(more)
