@@ -5,8 +5,8 @@ window lies in a text only if the text has the window's rarest word, which is th
 needs. The corpus's words meet those prefix words in one join; a match fixes where the window would begin, length and
 position bound it, and the words there must equal the window's. A window with a word that the corpus lacks is out at once.
 
-Benchmark tables are broadcast after their bytes have been summed and found within ``broadcast_bytes``; beyond that the
-same joins shuffle.
+Benchmark tables are broadcast after their bytes have been summed and found within ``broadcast_bytes``. Beyond that the joins
+shuffle: words travel without their text, and only places that fit by word and position meet their text again.
 
 Cases. Null or empty texts have no words and are not contaminated; null or empty items have no window. An item with a null
 id marks words but is not listed. Items with one id count once. Repeated rows give equal results. Texts are read whole.
@@ -20,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import stored
+
 APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 BROADCAST_BYTES = 64 << 20
 
@@ -33,10 +35,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, APART), "")
 
 
-def _bounded(table: DataFrame, size: Column, most: int) -> DataFrame:
-    """``table``, to be broadcast if its rows are within ``most`` bytes."""
+def _bounded(table: DataFrame, size: Column, most: int) -> tuple[DataFrame, bool]:
+    """``table``, to be broadcast if its rows are within ``most`` bytes, and whether they are."""
     total = table.agg(F.sum(size + 64)).first()[0] or 0
-    return F.broadcast(table) if total <= most else table
+    return (F.broadcast(table), True) if total <= most else (table, False)
 
 
 def windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -52,20 +54,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     text = F.col(text_col).cast("string")
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("h")]
     wanted = windows(items, item_col, item_text_col, n)
-    vocabulary = wanted.select(F.explode("window").alias("word")).distinct()
+    vocabulary, bounded = _bounded(wanted.select(F.explode("window").alias("word")).distinct(), F.octet_length("word"), broadcast_bytes)
     corpus = docs.select(F.explode_outer(_words(lowered(text))).alias("word"))
-    counts = corpus.join(_bounded(vocabulary, F.octet_length("word"), broadcast_bytes), "word").groupBy("word").agg(F.count("*").alias("times"))
-    ranked = wanted.select("window", "items", F.posexplode("window").alias("off", "word")).join(counts, "word", "left")
+    counts = corpus.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("times"))
+    # one row a word of the vocabulary, so within the same bound
+    ranked = wanted.select("window", "items", F.posexplode("window").alias("off", "word")).join(F.broadcast(counts) if bounded else counts, "word", "left")
     ranked = ranked.groupBy("window", "items").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "word", "off")).alias("rare")).where("rare.times > 0")
     # read once more below; small, and each read would count the corpus again
-    from quillon.llm.common import stored
-
     ranked = stored(ranked.select(F.col("rare.word").alias("prefix"), F.col("rare.off").alias("off"), F.size("window").alias("n"), "window", "items"))
-    joined = _bounded(ranked, F.expr("octet_length(concat_ws(' ', window)) + 24 * size(window) + 32 * size(items)"), broadcast_bytes)
-    placed = docs.select(*key, _words(lowered(text)).alias("words")).select("id", "h", "words", F.posexplode_outer("words").alias("pos", "word"))
+    joined, bounded = _bounded(ranked, F.expr("octet_length(concat_ws(' ', window)) + 24 * size(window) + 32 * size(items)"), broadcast_bytes)
+    texts = docs.select(*key, _words(lowered(text)).alias("words"))
     begin = F.col("pos") - F.col("off")
-    there = (F.col("word") == F.col("prefix")) & (begin >= 0) & (begin + F.col("n") <= F.size("words")) & (F.slice("words", F.when(begin < 0, 1).otherwise(begin + 1), F.col("n")) == F.col("window"))
-    hits = placed.join(joined, there).select("id", "h", F.sequence(begin, begin + F.col("n") - 1).alias("span"), "items")
+    inside = (F.col("word") == F.col("prefix")) & (begin >= 0) & (begin + F.col("n") <= F.col("size"))
+    same = F.slice("words", F.when(begin < 0, 1).otherwise(begin + 1), F.col("n")) == F.col("window")
+    if bounded:
+        placed = texts.select("id", "h", "words", F.size("words").alias("size"), F.posexplode("words").alias("pos", "word"))
+        hits = placed.join(joined, inside & same)
+    else:  # words travel without their text; what fits its position meets the text's words again
+        placed = texts.select("id", "h", F.size("words").alias("size"), F.posexplode("words").alias("pos", "word"))
+        near = placed.join(joined, inside).select(F.col("id").alias("nid"), F.col("h").alias("nh"), "pos", "off", "n", "window", "items").distinct()
+        hits = texts.join(near, F.col("id").eqNullSafe(F.col("nid")) & F.col("h").eqNullSafe(F.col("nh"))).where(same)
+    hits = hits.select("id", "h", F.sequence(begin, begin + F.col("n") - 1).alias("span"), "items")
     found = hits.groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("span")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     found = found.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "spans", "item_ids")
     sizes = docs.select(*key, F.coalesce(F.size(_words(text)), F.lit(0)).cast("long").alias("n_words"))
