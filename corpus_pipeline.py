@@ -13,51 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontaminate, minhash, quality, radix
-from quillon.llm.common import crc_fold, documents, stored, with_uid
+from quillon.llm.common import crc_fold, documents, forget, ids_serve, marked, stored, swept
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
 
 
-def _of(docs: DataFrame, uids: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose uid is in ``kept``."""
-    return uids.join(kept.select("uid"), "uid", "left_semi").select(docs.columns)
+def _of(uids: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``uids`` whose key is in ``kept``, without the key."""
+    return uids.join(kept.select(key), key, "left_semi").select([c for c in uids.columns if c != key])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a uid; its other columns ride along."""
-    rows = with_uid(docs, "doc_id", "text")
-    if not hasattr(rows, "_quillon_path"):
-        return docs.withColumn("uid", F.col("doc_id").cast("long"))
-    return stored(docs.withColumn("uid", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own, under a name that no column has; all its columns ride along."""
+    key = "uid"
+    while key in {c.lower() for c in docs.columns}:
+        key = "_" + key
+    if ids_serve(docs, "doc_id"):
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from the labelled rows outside the held-out fold."""
-    uids = _numbered(docs)
+    uids, key = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fitted(docs, labels, crc_fold("doc_id", 5) != 0)
-    scores = quality.scored(uids, model, "uid")
-    return _of(docs, uids, scores.where(F.col("score") >= LEAST_QUALITY))
+    scores = quality.scored(uids, model, key)
+    return _of(uids, key, scores.where(F.col("score") >= LEAST_QUALITY))
 
 
 def by_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    uids = _numbered(docs)
-    return _of(docs, uids, radix.exact_duplicates(uids, "uid").where("kept"))
+    uids, key = _numbered(docs)
+    return _of(uids, key, radix.exact_duplicates(uids, key).where("kept"))
 
 
 def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8."""
-    uids = _numbered(docs)
-    return _of(docs, uids, minhash.near_duplicates(uids, "uid").where("kept"))
+    uids, key = _numbered(docs)
+    return _of(uids, key, minhash.near_duplicates(uids, key).where("kept"))
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    uids = _numbered(docs)
-    found = decontaminate.contaminated(uids, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid")
-    return _of(docs, uids, found.where("n_hit = 0"))
+    uids, key = _numbered(docs)
+    found = decontaminate.contaminated(uids, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key)
+    return _of(uids, key, found.where("n_hit = 0"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents. What a stage wrote on its way is deleted once its result is stored."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        mark = marked()
+        after = stored(stage(spark, docs, sf_dir))
+        swept(mark, after)
+        if k:
+            forget(docs)
+        docs = after
     return docs
