@@ -71,13 +71,6 @@ def s_code_scan(spark: SparkSession, sf: str) -> DataFrame:
     return checks.code_findings(table(spark, sf, "pages"), "page_id", "html", [("script", "<script"), ("style", "<style"), ("tracking", "track\\(")])
 
 
-@query()
-def h_hash_vector(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed word vectors of texts by entity (agg_merge_modal, udf_encoder)."""
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return g.select("conv_id", F.size("t").alias("n"), checks.hash_vector(texts.words(F.concat_ws(" ", F.transform("t", lambda s: s["text"]))), 32).alias("vector"))
-
-
 @query("""
 WITH p AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS weight FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.p_brand < b.p_brand GROUP BY ALL
@@ -109,14 +102,16 @@ def s_template(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, round(sum(value) FILTER (i <= n // 2), 2) AS before, round(sum(value) FILTER (i > n // 2), 2) AS after, max_by(event_id, value) AS peak, min_by(event_id, value) AS valley FROM d GROUP BY 1
+SELECT user_id, round(avg(value) FILTER (i <= n // 2), 6) AS before, round(avg(value) FILTER (i > n // 2), 6) AS after, round(avg(value) FILTER (i > n - 3), 6) AS ma3, first(event_id ORDER BY value DESC, ts, event_id) AS peak, first(event_id ORDER BY value, ts, event_id) AS valley FROM d GROUP BY 1 HAVING count(*) >= 3
 """)
 def win_half_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums of the first and second half of each series, its peak and its valley."""
+    """Means of the first and second half of each series and of its last three, its peak and its valley; of equal values the first."""
     own = Window.partitionBy("user_id")
     d = table(spark, sf, "events").withColumn("i", F.row_number().over(own.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(own))
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("value"))), 6)
     first = F.col("i") <= F.floor(F.col("n") / 2)
-    return d.groupBy("user_id").agg(F.round(F.sum(F.when(first, F.col("value"))), 2).alias("before"), F.round(F.sum(F.when(~first, F.col("value"))), 2).alias("after"), F.max_by("event_id", "value").alias("peak"), F.min_by("event_id", "value").alias("valley"))
+    ends = [F.max_by("event_id", F.struct("value", -F.col("i"))).alias("peak"), F.min_by("event_id", F.struct("value", "i")).alias("valley")]
+    return d.groupBy("user_id").agg(mean(first).alias("before"), mean(~first).alias("after"), mean(F.col("i") > F.col("n") - 3).alias("ma3"), *ends, F.count("*").alias("n")).where("n >= 3").drop("n")
 
 
 @query("""

@@ -10,18 +10,6 @@ from quillon.analytics.risk import trade
 from quillon.operators import graphs, rules
 
 
-@query("""
-WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' WHEN abs(a.v - b.v) <= 0.01 THEN 'same' ELSE 'amount' END AS kind, round(coalesce(a.v, 0) - coalesce(b.v, 0), 2) AS diff FROM a FULL JOIN b ON a.k = b.k
-""")
-def c_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ledgers by key, both sides kept; one aggregate instead of two and a join (c_diff_class, c_confirm_flow)."""
-    o = table(spark, sf, "orders")
-    x = o.groupBy(F.col("o_custkey").alias("k")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("a"), F.sum(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))).alias("b")).where("a is not null or b is not null")
-    kind = F.when(F.col("a").isNull(), "right_only").when(F.col("b").isNull(), "left_only").when(F.abs(F.col("a") - F.col("b")) <= 0.01, "same").otherwise("amount")
-    return x.select("k", kind.alias("kind"), F.round(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), 2).alias("diff"))
-
-
 @query("""
 WITH x AS (SELECT o_custkey, count(*) FILTER (o_totalprice >= 160000 AND o_totalprice < 200000) AS near, count(*) AS n, avg(CASE WHEN o_totalprice < 200000 THEN 1.0 ELSE 0 END) AS small, sum(o_totalprice) AS total, count(DISTINCT o_orderpriority) AS parties, count(*) FILTER (o_totalprice >= 300000) AS large FROM orders GROUP BY 1)
 SELECT o_custkey, near >= 3 AS structuring, n >= 5 AND small >= 0.8 AND total >= 500000 AS many_small, parties >= 3 AND large >= 2 AS spread, least(40 + 20 * (near >= 3)::INT + 10 * (n >= 5 AND small >= 0.8 AND total >= 500000)::INT + 5 * (parties >= 3 AND large >= 2)::INT + CASE WHEN total > 1000000 THEN 15 ELSE 0 END, 100)::INT AS risk FROM x
@@ -101,20 +89,6 @@ def c_related_risk(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(n, "id").select("id", F.round(F.least(risk, F.lit(1.0)), 6).alias("risk"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT s_suppkey AS id, s_nationkey AS n, s_acctbal AS b FROM supplier), p AS (SELECT x.id AS a, y.id AS c FROM e x JOIN e y ON x.n = y.n AND x.id < y.id AND abs(x.b - y.b) <= 800),
-u AS (SELECT a, c FROM p UNION SELECT c, a FROM p), r AS (SELECT id, id AS c FROM e UNION SELECT u.c, r.c FROM r JOIN u ON u.a = r.id WHERE r.c < u.c)
-SELECT id, min(c) AS entity FROM r GROUP BY 1
-""")
-def join_entity(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities: parties of one nation with near balances, closed over chains. Neighbours in order make the links, not all pairs (c_entity_confidence, c_align_all)."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_acctbal")
-    by = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "id")
-    links = s.select("id", F.lag("id").over(by).alias("other"), (F.col("s_acctbal") - F.lag("s_acctbal").over(by)).alias("gap")).where("gap <= 800").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    found = graphs.components(links)
-    return s.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("entity"))
-
-
 @query("""
 WITH r AS (SELECT p_brand, 0.35 * avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0 END) AS p0, 0.6 * 0.35 * avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0 END) AS p1, sum(p_retailprice) AS impact FROM part GROUP BY 1)
 SELECT p_brand, round(least((p0 - p1) * impact * 12, 2000000000), 4) AS avoided FROM r

@@ -128,7 +128,7 @@ def t_bm25(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(texts.words(F.col("text")))).alias("term"))
     lengths = d.select("doc_id", F.size(texts.words(F.col("text"))).alias("len"))
-    got = retrieval.bm25(retrieval.postings(d, "doc_id", F.col("text")), queries, lengths, "doc_id").withColumn("order", F.round("score", 9))
+    got = retrieval.bm25(retrieval.asked_postings(d, "doc_id", F.col("text"), queries), queries, lengths, "doc_id").withColumn("order", F.round("score", 9))
     return stats.ranked(got, ["query"], "order", "doc_id", 3).select("query", "doc_id", "rank", "matched", F.round("score", 4).alias("score"))
 
 

@@ -184,25 +184,21 @@ def win_chain_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
-s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM e GROUP BY 1),
-z AS (SELECT event_type, i, (value - m) / sd AS z FROM e JOIN s USING (event_type)),
-r(event_type, i, up, down, top) AS (
-  SELECT event_type, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM s
+WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+s AS (SELECT user_id, avg(value) AS m FROM e GROUP BY 1), z AS (SELECT user_id, i, value - m AS z FROM e JOIN s USING (user_id)),
+r(user_id, i, up, down) AS (
+  SELECT user_id, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM s
   UNION ALL
-  SELECT z.event_type, z.i,
-    CASE WHEN greatest(greatest(r.up + z.z - 0.5, 0), greatest(r.down - z.z - 0.5, 0)) > 5 THEN 0 ELSE greatest(r.up + z.z - 0.5, 0) END,
-    CASE WHEN greatest(greatest(r.up + z.z - 0.5, 0), greatest(r.down - z.z - 0.5, 0)) > 5 THEN 0 ELSE greatest(r.down - z.z - 0.5, 0) END,
-    greatest(greatest(r.up + z.z - 0.5, 0), greatest(r.down - z.z - 0.5, 0))
-  FROM r JOIN z ON z.event_type = r.event_type AND z.i = r.i + 1)
-SELECT event_type, i::INT AS at, round(top, 4) AS top FROM r WHERE top > 5
+  SELECT z.user_id, z.i, greatest(CASE WHEN r.up > 40 THEN 0 ELSE r.up END + z.z - 0.5, 0), greatest(CASE WHEN r.down > 40 THEN 0 ELSE r.down END - z.z - 0.5, 0) FROM r JOIN z ON z.user_id = r.user_id AND z.i = r.i + 1)
+SELECT user_id, i AS at, 'up' AS side, round(up, 4) AS sum FROM r WHERE up > 40 UNION ALL SELECT user_id, i, 'down', round(down, 4) FROM r WHERE down > 40
 """)
 def ss_cusum(spark: SparkSession, sf: str) -> DataFrame:
-    """Alarms of the two-sided CUSUM over each metric, as a fold; monitor.cusum_alarms is the same on a stream."""
-    e = table(spark, sf, "events").where("value is not null")
-    s = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-    got = series.folded(e, ["event_type"], ["ts", "event_id"], "value").join(s, "event_type")
-    return got.select("event_type", F.explode(series.cusum(F.col("values"), F.col("m"), F.col("sd"))).alias("a")).select("event_type", F.col("a.at").alias("at"), F.round("a.sum", 4).alias("top"))
+    """Alarms of the two-sided CUSUM over each user's values against their mean (k .5, h 40); monitor.cusum_alarms is the same on a
+    stream."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    means = e.groupBy("user_id").agg(F.avg("value").alias("m"))
+    got = series.cusum_rows(e.join(means, "user_id"), "user_id", ["ts", "event_id"], "value", "m", 0.5, 40.0)
+    return got.select("user_id", "at", "side", F.round("sum", 4).alias("sum"))
 
 
 @query("""

@@ -229,10 +229,11 @@ b AS (SELECT c_custkey, s_suppkey, score FROM m WHERE score >= 0.7 QUALIFY row_n
 SELECT c.c_custkey, b.s_suppkey, round(b.score, 6) AS score FROM c LEFT JOIN b USING (c_custkey)
 """)
 def join_best_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    """Best counterpart in the same nation by nearness of amounts (join_4way, n_parse of amounts aside)."""
+    """Best counterpart in the same nation by nearness of amounts ."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    got = joins.best_match(c, s, ["nation"], "c_custkey", "s_suppkey", 1 / (1 + F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 1000), 0.7)
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("c_acctbal"))
+    # a score of .7 means at most 3000 / 7 apart, and the score falls with the distance: the nearest is the best
+    got = joins.nearest(c, s, ["nation"], "c_acctbal", "c_custkey", "s_suppkey", 3000 / 7).withColumn("score", 1 / (1 + F.col("distance") / 1000))
     return got.select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
 
 

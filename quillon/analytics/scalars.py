@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.analytics.networks import strong
+from quillon.analytics.networks import starts, strong
 from quillon.analytics.registry import query, table
-from quillon.functions import numbers, texts, times
+from quillon.functions import numbers, texts
 from quillon.operators import graphs
 
 
@@ -20,16 +20,6 @@ def n_parse_amount(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", numbers.parse_amount(marked).alias("plain"), numbers.parse_amount(unit).alias("units"))
 
 
-@query("""
-SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day, round(date_diff('microsecond', TIMESTAMP '1992-01-01', o_orderdate) / 86400000000.0, 6) AS days, strftime(o_orderdate, '%Y-%m') AS period FROM orders
-""")
-def d_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates in four formats by turns, read back (d_parse_date, d_days, d_norm_period)."""
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(d, "yyyy/MM/dd")).when(k == 1, F.date_format(d, "yyyyMMdd")).when(k == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(d, "yyyy.MM.dd"))
-    return table(spark, sf, "orders").select("o_orderkey", times.parse_date(text).cast("string").alias("day"), F.round(times.days_between(F.lit("1992-01-01").cast("timestamp"), d.cast("timestamp")), 6).alias("days"), times.norm_period(F.date_format(d, "yyyy/M")).alias("period"))
-
-
 @query("""
 WITH n AS (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 16, '4') AS c FROM orders),
 d AS (SELECT o_orderkey, 17 - i AS place, substr(c, i, 1)::INT AS v FROM n, (SELECT unnest(range(1, 17))::INT AS i)),
@@ -81,6 +71,6 @@ def s_count_sub(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g_centrality(spark: SparkSession, sf: str) -> DataFrame:
-    """Betweenness from every nation in the strong trade graph (g_pagerank_und); tests hold it against all shortest paths."""
+    """Betweenness over the shortest paths of five hops from a stated set of sources; tests hold it against all shortest paths."""
     g = strong(spark, sf)
-    return graphs.betweenness(g, g.select(F.col("src").alias("id")).distinct(), 5).select("id", F.round("score", 6).alias("score"))
+    return graphs.betweenness(g, starts(g), 5).select("id", F.round("score", 6).alias("score"))

@@ -98,3 +98,39 @@ def percentile_index(value: Column, p: float) -> Column:
 def quartile_index(value: Column, k: int) -> Column:
     """The value at index k n div 4 of the sorted values; an aggregate for small groups."""
     return F.element_at(F.sort_array(F.collect_list(value)), F.floor(F.count(value) * k / 4).cast("int") + 1)
+
+
+# Texts that stand for no amount.
+NO_AMOUNT = ["", "-", "--", "n/a", "na", "null", "none", "无"]
+
+
+def amount_or_null(text: Column) -> Column:
+    """An amount; null for the usual ways to write that there is none."""
+    return F.when(~F.lower(F.trim(text)).isin(*NO_AMOUNT), parse_amount(text, None))
+
+
+def default_probability(z: Column, payments: Column) -> Column:
+    """Logistic default probability, up to .3 higher for a short payment history of 24 months, between .001 and .99."""
+    gap = F.greatest(F.lit(0.0), 1 - payments / 24.0)
+    return F.least(F.lit(0.99), F.greatest(F.lit(0.001), sigmoid(z) * (1 + gap * 0.3)))
+
+
+def vegetation(red: Column, nir: Column, blue: Column, green: Column, swir: Column, swir2: Column) -> dict[str, Column]:
+    """The usual indices of satellite bands; 0 where a denominator is."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    ndvi = ratio(nir - red, nir + red)
+    return {
+        "ndvi": ndvi, "evi": ratio(2.5 * (nir - red), nir + 6 * red - 7.5 * blue + 1), "ndwi": ratio(green - nir, green + nir),
+        "ndmi": ratio(nir - swir, nir + swir), "nbr": ratio(nir - swir2, nir + swir2), "nirv": ndvi * nir,
+    }
+
+
+def land_use(ndvi: Column, ndwi: Column, nbr: Column, ndmi: Column) -> Column:
+    """The class of land by its indices, the first that fits."""
+    return F.when(ndwi > 0.15, "water").when((nbr < 0.05) & (ndvi < 0.3), "burnt").when(ndvi < 0.15, "bare").when(ndvi < 0.35, "fields").when(ndmi < 0.05, "shrubs").when(ndvi < 0.65, "mixed forest").otherwise("dense forest")
+
+
+def laplace(u: Column, scale: float) -> Column:
+    """Laplace noise from uniform numbers between 0 and 1."""
+    c = u - 0.5
+    return -scale * F.signum(c) * F.log(1 - 2 * F.abs(c))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def strip_html(html: Column) -> Column:
 
 def clauses(text: Column, least: int = 5) -> Column:
     """Clauses between sentence marks that are longer than ``least``."""
-    return F.filter(F.transform(F.split(text, "[.;!?。；！？\\n]"), F.trim), lambda c: F.char_length(c) > least)
+    return F.filter(F.transform(F.split(text, "[.;!?。；！？\\n]"), lambda x: F.trim(x)), lambda c: F.char_length(c) > least)
 
 
 def words(text: Column) -> Column:
@@ -121,3 +123,100 @@ def glossary(text: Column, terms: dict[str, str]) -> Column:
         quoted = "".join("\\" + c if c in "\\.[]{}()*+-?^$|" else c for c in term)
         out = F.regexp_replace(out, f"(?i)\\b{quoted}\\b", terms[term].replace("\\", "\\\\").replace("$", "\\$"))
     return out
+
+
+def norm_name(name: Column) -> Column:
+    """A name to compare by: lower case, full-width blanks, punctuation and blanks gone."""
+    return F.lower(F.regexp_replace(name, "[\\s\\u3000·.,，。()（）'\"-]+", ""))
+
+
+def norm_code(code: Column) -> Column:
+    """A registration code or card number: capitals and digits alone."""
+    return F.regexp_replace(F.upper(code), "[^0-9A-Z]", "")
+
+
+def norm_phone(phone: Column) -> Column:
+    """The last eleven digits of a number, without a country's prefix."""
+    digits = F.regexp_replace(phone, "[^0-9]", "")
+    return F.when(F.char_length(digits) > 11, F.right(digits, F.lit(11))).otherwise(digits)
+
+
+def perturbed(value: Column, share: float = 0.01, seed: int = 42) -> Column:
+    """Noise of at most ``share``, the same factor for every value, as the seed is."""
+    return F.round(value * (1 + random.Random(seed).uniform(-share, share)), 2)
+
+
+# Marks of clauses, penalties, entities and languages.
+CLAUSE_KINDS = [("definition", "means|refers to|defined as|是指"), ("obligation", "must|shall|required to|不得|应当"), ("right", "may|entitled to|有权|可以")]
+PENALTY = "(?:fine|penalty|罚款)[^.;。；]{0,20}?[0-9]+(?:,[0-9]{3})*"
+SECTION = "(?:^|\\n)(?:第[0-9一二三四五六七八九十]+[章节条]|[0-9]+(?:\\.[0-9]+)*[.、])[ \\t]*"
+ENTITIES = {"person": "(?:Mr|Ms|Dr)\\. [A-Z][a-z]+", "company": "[A-Z][A-Za-z]+ (?:Ltd|Inc|Corp)", "amount": "[$€¥][0-9][0-9,]*", "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "account": "ACC[0-9]{4,}"}
+KEY_INFO = {"amounts": "[0-9][0-9,]*(?:\\.[0-9]+)? ?(?:USD|万元|亿元|元)", "dates": "[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}", "ratios": "[0-9]+(?:\\.[0-9]+)?%"}
+STOP_WORDS = {"en": ["the", "of", "and"], "fr": ["le", "la", "de"], "de": ["der", "die", "und"], "es": ["el", "los", "que"]}
+CODE_MARKS = [("python", "def |import |self\\."), ("java", "public class |System\\.out|void "), ("sql", "SELECT |INSERT |CREATE "), ("javascript", "function |const |=>")]
+
+
+def clause_kind(text: Column) -> Column:
+    """Definition before obligation before right, else other."""
+    out = F.lit("other")
+    for kind, marks in reversed(CLAUSE_KINDS):
+        out = F.when(text.rlike(marks), kind).otherwise(out)
+    return out
+
+
+def penalties(text: Column, most: int = 3) -> Column:
+    return F.slice(F.regexp_extract_all(text, F.lit(PENALTY), F.lit(0)), 1, most)
+
+
+def sections(text: Column, least: int = 20) -> Column:
+    """What stands between numbered headings, if longer than ``least``."""
+    return F.filter(F.transform(F.split(text, SECTION), lambda x: F.trim(x)), lambda s: F.char_length(s) > least)
+
+
+def found(text: Column, patterns: dict[str, str], most: int = 10) -> dict[str, Column]:
+    """The distinct matches of each pattern, in order of first occurrence."""
+    return {k: F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))), 1, most) for k, p in patterns.items()}
+
+
+def tokens_zh(text: Column) -> Column:
+    """Han bigrams (of a run of one, the character) and lower-cased Latin words."""
+    runs = F.regexp_extract_all(text, F.lit("[\\u4e00-\\u9fff]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.char_length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
+    return F.concat(pairs, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def tokens_run(text: Column) -> Column:
+    """Han runs of two characters or more; where there is none, the characters that are not blank."""
+    runs = F.regexp_extract_all(text, F.lit("[\\u4e00-\\u9fff]{2,}"), F.lit(0))
+    return F.when(F.size(runs) > 0, runs).otherwise(F.filter(F.split(F.regexp_replace(text, "\\s", ""), ""), lambda c: c != ""))
+
+
+def language_scores(text: Column) -> dict[str, Column]:
+    """Share of Han and kana letters, and of each language's stop words among the words."""
+    parts = words(text)
+    letters = F.greatest(F.char_length(F.regexp_replace(text, "\\s", "")), F.lit(1))
+    out = {"zh": F.regexp_count(text, F.lit("[\\u4e00-\\u9fff]")) / letters, "ja": F.regexp_count(text, F.lit("[\\u3040-\\u30ff]")) / letters}
+    among = lambda stop: lambda w: w.isin(*stop)
+    for code, stop in STOP_WORDS.items():
+        out[code] = F.size(F.filter(parts, among(stop))) / F.greatest(F.size(parts), F.lit(1))
+    return out
+
+
+def code_switch(text: Column) -> Column:
+    """Whether both Han and Latin letters occur."""
+    return text.rlike("[\\u4e00-\\u9fff]") & text.rlike("[A-Za-z]")
+
+
+def code_language(source: Column) -> Column:
+    out = F.lit("unknown")
+    for name, marks in reversed(CODE_MARKS):
+        out = F.when(source.rlike(marks), name).otherwise(out)
+    return out
+
+
+def dictionary(text: Column, terms: dict[str, str]) -> Column:
+    """Terms replaced one after another, longest first, wherever they stand."""
+    out = text
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        out = F.replace(out, F.lit(term), F.lit(terms[term]))
+    return out

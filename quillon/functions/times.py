@@ -45,3 +45,30 @@ def parse_hour(text: Column, default: int = 12) -> Column:
 def days_between(a: Column, b: Column) -> Column:
     """Fractional days from a to b."""
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 86_400e6
+
+
+_MOMENT = "^([0-9]{4})[-/.年]?([0-9]{1,2})[-/.月]?(?:([0-9]{1,2})日?)?(?:[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:[.][0-9]+)?)? ?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
+def parse_moment(text: Column, zone: str = "Asia/Shanghai") -> Column:
+    """A time in UTC, without a zone, from a date, a month or a time in any of the usual ways of writing them, or from epoch
+    seconds or milliseconds; what names no zone is read in ``zone``. Null for anything else."""
+    bare = F.trim(text.cast("string"))
+    part = lambda k: F.regexp_extract(bare, _MOMENT, k)
+    day = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.when(part(3) == "", "01").otherwise(F.lpad(part(3), 2, "0")))
+    clock = F.concat_ws(":", F.lpad(part(4), 2, "0"), F.lpad(part(5), 2, "0"), F.lpad(part(6), 2, "0"))
+    local = F.when(part(1) != "", F.concat_ws(" ", day, clock)).try_cast("timestamp_ntz")
+    offset = F.regexp_replace(part(7), "^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+    source = F.when(part(7) == "", zone).when(part(7) == "Z", "UTC").otherwise(offset)
+    digits = F.when(bare.rlike("^[0-9]{10,13}$"), F.substring(bare, 1, 10).try_cast("long"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), digits.cast("decimal(18,6)"))
+    return F.when(digits.isNotNull(), epoch).otherwise(F.convert_timezone(source, F.lit("UTC"), local))
+
+
+def truncated(moment: Column, grain: str, zone: str = "Asia/Shanghai") -> Column:
+    """The begin, in ``zone``, of the day, week (Monday), month, quarter or year of a time in UTC."""
+    return F.date_trunc(grain, F.convert_timezone(F.lit("UTC"), F.lit(zone), moment))
+
+
+def hours_since(begin: Column, now: Column) -> Column:
+    return days_between(begin, now) * 24

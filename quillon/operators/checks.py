@@ -54,9 +54,18 @@ def converted(df: DataFrame, value: str, unit: str, units: DataFrame) -> DataFra
     return df.join(F.broadcast(units.select(F.col("unit").alias(unit), "factor")), unit, "left").withColumn("base", F.col(value) * F.col("factor")).drop("factor")
 
 
+def hash_place(word: Column, dim: int) -> Column:
+    """The md5 of a word, read as one number of 128 bits, modulo ``dim`` (below 2**31): 32 bits after 32 bits."""
+    digest = F.md5(word.cast("binary"))
+    place = F.lit(0).cast("long")
+    for k in range(4):
+        place = F.pmod(place * (1 << 32) % dim + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim).cast("long"))
+    return place.cast("int")
+
+
 def hash_vector(words: Column, dim: int = 64) -> Column:
-    """Counts of hashed words, brought to length one; all zero without words."""
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    """Counts of words by the md5 of each, brought to length one; all zero without words."""
+    place = F.transform(words, lambda w: hash_place(w, dim))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
@@ -72,6 +81,17 @@ def filled(template: str, columns: list[str], missing: str = "[missing]") -> tup
     return out, have / max(len(names), 1)
 
 
+def column_kinds(rows: DataFrame, field: str, value: str, words: dict[str, str]) -> DataFrame:
+    """(field, kind, level, confidence): of each column the kind of personal data that its values (.6) and its name (.4) speak
+    for most, ``words`` saying what a name holds; ties by kind."""
+    from quillon.functions.texts import PERSONAL
+
+    shares = rows.groupBy(field).agg(*[F.avg(F.col(value).rlike(PERSONAL[k][0]).cast("int")).alias(k) for k in words])
+    options = [F.struct((0.6 * F.col(k) + F.when(F.col(field).contains(w), 0.4).otherwise(0.0)).alias("confidence"), F.lit(k).alias("kind"), F.lit(PERSONAL[k][1]).alias("level")) for k, w in words.items()]
+    best = F.array_sort(F.array(*options), lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).when(a["kind"] < b["kind"], -1).otherwise(1))[0]
+    return shares.select(field, best.alias("x")).select(field, "x.kind", "x.level", "x.confidence").where("confidence > 0")
+
+
 def table_lineage(sql: Column) -> tuple[Column, Column]:
     """Tables that a statement reads and writes."""
     low = F.regexp_replace(F.lower(sql), "\\s+", " ")
@@ -125,3 +145,15 @@ def assignment(cost: np.ndarray, seed: int = 42, population: int = 40, rounds: i
         people = young
         best = min(people, key=total)
     return best.tolist(), total(best)
+
+
+def register_encoder(spark, modality: str, encoder) -> str:
+    """A pandas UDF under the name quillon_encode_<modality>, for SQL and expressions."""
+    name = f"quillon_encode_{modality}"
+    spark.udf.register(name, encoder)
+    return name
+
+
+def engine(before, infer, after):
+    """One function over a DataFrame from three, for DataFrame.transform."""
+    return lambda df: df.transform(before).transform(infer).transform(after)

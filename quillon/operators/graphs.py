@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder of spark.checkpoint.dir and read back, so that lineage ends."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), f"quillon-shared-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillon.sources.scratch import cut
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling: bool = True, every: int = 5) -> DataFrame:
-    """(id, rank), weights aside. Without ``dangling`` the mass of nodes without a way out is lost."""
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling: bool = True, every: int = 5, tolerance: float = 0.0) -> DataFrame:
+    """(id, rank), weights aside. Without ``dangling`` the mass of nodes without a way out is lost. Each ``every`` rounds the ranks
+    are written; there it ends if the last round moved no rank by ``tolerance``."""
     edges = cut(edges.select("src", "dst").distinct())
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(degree.withColumnRenamed("src", "id"), "id", "left"))
@@ -35,14 +20,18 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling
     ranks = nodes.select("id", "deg", F.lit(1.0 / n).alias("rank"))
     for k in range(rounds):
         gained = edges.join(ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("share")), "src").groupBy("dst").agg(F.sum("share").alias("in")).withColumnRenamed("dst", "id")
-        lost = ranks.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")) if dangling else None
-        new = nodes.join(gained, "id", "left")
+        look = (k + 1) % every == 0
+        new = ranks.select("id", "deg", F.col("rank").alias("before")).join(gained, "id", "left")
         spread = F.lit(0.0)
-        if lost is not None:
+        if dangling:
+            lost = ranks.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
             new, spread = new.crossJoin(F.broadcast(lost)), F.col("lost") / n
-        ranks = new.select("id", "deg", (F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + spread)).alias("rank"))
-        if (k + 1) % every == 0:
-            ranks = cut(ranks)
+        new = new.select("id", "deg", "before", (F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + spread)).alias("rank"))
+        if look:
+            new = cut(new)
+            if tolerance and new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
+                return new.select("id", "rank")
+        ranks = new.select("id", "deg", "rank")
     return ranks.select("id", "rank")
 
 
@@ -164,3 +153,130 @@ def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
     ends = named.select(F.explode(F.array("ls", "ld")).alias("l"), "w").groupBy("l").agg(F.sum("w").alias("degree"))
     total = edges.agg(F.sum("w").alias("m"))
     return ends.join(inside, "l", "left").crossJoin(F.broadcast(total)).agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, most: int, weight: str, product: bool = False) -> DataFrame:
+    """(start, id, hop, paths, path, total) of everything within ``most`` hops of ``starts`` (id): how many shortest paths there are,
+    the first of them in order of ids, and the sum (or product) of ``weight`` along it."""
+    edges = cut(edges.select("src", "dst", F.col(weight).cast("double").alias("q")).where("src <> dst"))
+    empty = 1.0 if product else 0.0
+    front = cut(starts.select(F.col("id").alias("start"), "id").distinct().select("start", "id", F.lit(0).alias("hop"), F.lit(1).cast("long").alias("paths"), F.array("id").alias("path"), F.lit(empty).alias("total")))
+    seen = front
+    for k in range(1, most + 1):
+        total = F.col("total") * F.col("q") if product else F.col("total") + F.col("q")
+        step = front.join(edges, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), "paths", F.struct(F.array_append("path", F.col("dst")).alias("path"), total.alias("total")).alias("way"))
+        new = step.groupBy("start", "id").agg(F.sum("paths").alias("paths"), F.min("way").alias("way")).join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        front = cut(new.select("start", "id", F.lit(k).alias("hop"), "paths", "way.path", "way.total"))
+        if front.isEmpty():
+            break
+        seen = seen.unionAll(front)
+    return seen
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, most: int, weight: str, first: int) -> DataFrame:
+    """(start, hops, path, total) of the ``first`` simple paths from each start, the shorter first, then by ids.
+
+    Paths of a length are all that a longer one can come from, and a start that has had its number drops out, so what is kept
+    is bounded by the starts. Within a length each start's paths are the first ones of its first ones: order by ids is order
+    of prefixes.
+    """
+    edges = cut(edges.select("src", "dst", F.col(weight).alias("q")).where("src <> dst"))
+    front = cut(starts.select(F.col("id").alias("start"), F.array("id").alias("path"), F.lit(0.0).alias("total")))
+    found, had = None, starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("had"))
+    for k in range(1, most + 1):
+        step = front.join(edges, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("start", F.array_append("path", F.col("dst")).alias("path"), (F.col("total") + F.col("q")).alias("total"))
+        front = cut(step.join(had.where(F.col("had") < first), "start"))
+        if front.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("start").orderBy("path"))
+        own = cut(front.withColumn("nth", nth).where(F.col("nth") + F.col("had") <= first).select("start", F.lit(k).alias("hops"), "path", "total"))
+        found = own if found is None else found.unionAll(own)
+        had = cut(had.join(own.groupBy("start").agg(F.count("*").alias("new")), "start", "left").select("start", (F.col("had") + F.coalesce("new", F.lit(0))).alias("had")))
+        front = front.select("start", "path", "total")
+    return found if found is not None else front.select("start", F.lit(0).alias("hops"), "path", "total")
+
+
+def core(edges: DataFrame, most: int = 20) -> DataFrame:
+    """Edges between nodes that have a way in and a way out, after taking away those that have not, again and again."""
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    before = edges.count()
+    for _ in range(most):
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = edges.count()
+        if now == before:
+            break
+        before = now
+    return edges
+
+
+def rings(edges: DataFrame, lengths) -> DataFrame:
+    """(length, start, ring) of the directed rings of each length, as text from the smallest node."""
+    inner = core(edges)
+    found = []
+    for n in lengths:
+        nodes = [f"n{i}" for i in range(1, n + 1)]
+        found.append(cycles(inner, n).select(F.lit(n).alias("length"), F.col("n1").alias("start"), F.concat_ws(">", *[F.col(c).cast("string") for c in nodes]).alias("ring")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def spread_risk(edges: DataFrame, own: DataFrame, decay: float, least: float, most: int) -> DataFrame:
+    """(id, risk) from own risks (id, risk): the largest of a node's own and what comes along edges (src, dst, w) from the riskiest
+    tenth (three at least), times ``decay`` and w a hop, as long as it is ``least`` or more; over the largest, doubled, 1 at most."""
+    edges, own = cut(edges.select("src", "dst", "w")), cut(own.select("id", "risk"))
+    best = own
+    front = own.orderBy(F.desc("risk"), "id").limit(max(3, own.count() // 10)).select("id", F.col("risk").alias("val"))
+    for _ in range(most):
+        step = front.where(F.col("val") >= least).join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("val") * decay * F.col("w")).alias("val"))
+        front = cut(step)
+        if front.isEmpty():
+            break
+        best = best.unionAll(front.select("id", F.col("val").alias("risk")))
+    top = best.groupBy("id").agg(F.max("risk").alias("risk"))
+    return top.crossJoin(F.broadcast(top.agg(F.max("risk").alias("most")))).select("id", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("risk"), F.col("most")), F.lit(0.0)) * 2).alias("risk"))
+
+
+def tree(children: DataFrame, most: int = 64) -> DataFrame:
+    """(id, path, level, children) from (id, parent): the path from the root, level by level; a null parent is a root."""
+    children = cut(children.select("id", "parent"))
+    front = children.where("parent is null").select("id", F.col("id").cast("string").alias("path"), F.lit(0).alias("level"))
+    out = front
+    for k in range(1, most + 1):
+        above = front.select(F.col("id").alias("parent"), F.col("path").alias("up"))
+        front = cut(children.join(above, "parent").select("id", F.concat_ws("/", "up", F.col("id").cast("string")).alias("path"), F.lit(k).alias("level")))
+        if front.isEmpty():
+            break
+        out = out.unionAll(front)
+    counts = children.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    return out.join(counts, "id", "left").select("id", "path", "level", F.coalesce("children", F.lit(0).cast("long")).alias("children"))
+
+
+def greedy_modularity(edges: DataFrame, sweeps: int = 20) -> DataFrame:
+    """(id, label): communities by moves that raise the modularity of undirected weights most.
+
+    In each sweep the nodes of one half, by hash and sweep, move at once to the community that gains most, if any gains; ties
+    go to the smallest label. It ends when two halves in a row have moved nothing. Gains need only the weights between a node
+    and its neighbours' communities and the communities' totals: two aggregates a sweep.
+    """
+    both = cut(edges.select("src", "dst", "w").where("src <> dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w").where("src <> dst")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    strength = cut(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+    total = strength.agg(F.sum("k")).first()[0] or 1.0
+    now, still = strength.select("id", "k", F.col("id").alias("label")), 0
+    for sweep in range(sweeps):
+        sums = now.groupBy("label").agg(F.sum("k").alias("total"))
+        near = both.join(now.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("inner"))
+        own = now.join(near, ["id", "label"], "left").join(sums, "label").select("id", "k", F.col("label").alias("old"), F.coalesce("inner", F.lit(0.0)).alias("old_inner"), (F.col("total") - F.col("k")).alias("old_total"))
+        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == sweep % 2
+        options = own.where(turn).join(near, "id").where("label <> old").join(sums, "label")
+        gain = F.col("inner") - F.col("old_inner") - F.col("k") * (F.col("total") - F.col("old_total")) / total
+        best = options.withColumn("gain", F.round(gain, 6)).where("gain > 0").groupBy("id").agg(F.max(F.struct("gain", (-F.col("label")).alias("neg"))).alias("b"))
+        moved = cut(now.join(best, "id", "left").select("id", "k", F.coalesce(-F.col("b.neg"), "label").alias("label"), F.col("b").isNotNull().alias("moved")))
+        still = still + 1 if moved.where("moved").isEmpty() else 0
+        now = moved.select("id", "k", "label")
+        if still == 2:
+            break
+    names = now.groupBy("label").agg(F.min("id").alias("name"))
+    return now.join(names, "label").select("id", F.col("name").alias("label"))

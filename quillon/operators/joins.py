@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.similar import ratio
+
 
 def reversed_flows(edges: DataFrame, src: str, dst: str, amount: str, least: float = 0.7) -> DataFrame:
     """Unordered pairs with flows both ways whose smaller sum is ``least`` of the larger or more: a, b, out, back, ratio.
@@ -52,3 +56,122 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], when: str, value:
     two = right.select(*[F.col(c) if c in [*keys, when] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), value)
     by = Window.partitionBy(*keys).orderBy(when, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return one.unionByName(two).withColumn(value, F.last(value, True).over(by)).where("_side = 1").drop("_side")
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], value: str, target_id: str, candidate_id: str, within: float) -> DataFrame:
+    """For each target the candidate of its keys whose ``value`` is nearest, at most ``within`` away; on ties the smallest id.
+
+    Values fall into cells ``within`` wide, so the nearest lies in the own cell, where a window finds it, or is an end of a
+    neighbouring cell. Nothing is paired; the work is linear in the rows.
+    """
+    cell = F.floor(F.col(value) / within).cast("long")
+    spots = candidates.groupBy(*keys, value).agg(F.min(candidate_id).alias("_id")).withColumn("_cell", cell)
+    spot = F.struct(F.col(value).alias("v"), F.col("_id").alias("id"))
+    ends = spots.groupBy(*keys, "_cell").agg(F.min_by(spot, value).alias("_low"), F.max_by(spot, value).alias("_high"))
+    own = targets.select(*keys, value, target_id).withColumn("_cell", cell)
+    none = F.lit(None).cast(spots.schema["_id"].dataType)
+    both = spots.select(*keys, value, "_cell", F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id), "_id").unionByName(own.withColumn("_id", none))
+    by = Window.partitionBy(*keys, "_cell").orderBy(value)
+    held = F.when(F.col("_id").isNotNull(), spot)
+    near = both.withColumn("_below", F.last(held, True).over(by.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_above", F.first(held, True).over(by.rangeBetween(0, Window.unboundedFollowing)))
+    near = near.where(F.col(target_id).isNotNull())
+    near = near.join(ends.select(*keys, (F.col("_cell") + 1).alias("_cell"), "_high"), [*keys, "_cell"], "left").join(ends.select(*keys, (F.col("_cell") - 1).alias("_cell"), "_low"), [*keys, "_cell"], "left")
+    options = F.filter(F.array("_below", "_above", "_high", "_low"), lambda s: s.isNotNull() & (F.abs(s["v"] - F.col(value)) <= within))
+    best = F.array_min(F.transform(options, lambda s: F.struct(F.abs(s["v"] - F.col(value)).alias("distance"), s["id"].alias("id"))))
+    return targets.join(near.select(target_id, best["id"].alias(candidate_id), best["distance"].alias("distance")), target_id, "left")
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, ratio), a < b, of the distinct values of the column ``name`` whose matching-blocks ratio is above ``least``.
+
+    The ratio is at most twice the characters in common over both lengths. Characters, numbered by occurrence, are ordered by
+    rarity, and pairs that can reach ``least`` share one of the first few of each: a prefix filter, which loses no pair.
+    """
+    own = names.select(F.col("name").alias("n")).where("n <> ''").distinct().withColumn("size", F.char_length("n"))
+    chars = own.select("n", "size", F.posexplode(F.split("n", "")).alias("at", "c")).where("c <> ''")
+    nth = F.row_number().over(Window.partitionBy("n", "c").orderBy("at"))
+    tokens = chars.select("n", "size", F.concat_ws("#", "c", nth.cast("string")).alias("t"))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("df", "t"))
+    # another of any length shares at least least / (2 - least) of this one's characters
+    first = tokens.join(counts, "t").withColumn("i", place).where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * (least / (2 - least)) - 1e-9) + 1)
+    left = first.select("t", F.col("n").alias("a"), F.col("size").alias("sa"))
+    pairs = left.join(first.select("t", F.col("n").alias("b"), F.col("size").alias("sb")), "t").where("a < b").where(2 * F.least("sa", "sb") > least * (F.col("sa") + F.col("sb"))).select("a", "b").distinct()
+    return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") > least)
+
+
+def entity_links(parties: DataFrame, id_: str, code: str, stem: str, least: float = 0.75) -> DataFrame:
+    """(a, b, score, hard): parties with the same valid code (null otherwise) score 1, others by their stems' likeness above ``least``.
+
+    Parties that share a code or a stem are linked to the smallest of them, not to each other; different stems link through
+    their smallest parties. The closure is the same as over all pairs.
+    """
+    own = parties.select(F.col(id_).alias("id"), F.col(code).alias("code"), F.col(stem).alias("stem"))
+    codes = own.where("code is not null").groupBy("code").agg(F.min("id").alias("a"))
+    hard = own.join(codes, "code").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(True).alias("hard"))
+    stems = own.where("stem <> ''").groupBy("stem").agg(F.min("id").alias("a"))
+    same = own.join(stems, "stem").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(False).alias("hard"))
+    like = similar_names(stems.select(F.col("stem").alias("name")), least)
+    near = like.join(stems.select(F.col("stem").alias("a"), F.col("a").alias("x")), "a").join(stems.select(F.col("stem").alias("b"), F.col("a").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("ratio").alias("score"), F.lit(False).alias("hard"))
+    return hard.unionAll(same).unionAll(near)
+
+
+# Weights and tolerances of the parts of two records' likeness.
+RECORD_PARTS = {"incl": (0.35, 0.02), "excl": (0.20, 0.02), "tax": (0.10, 0.05), "quantity": (0.05, 0.05)}
+SUPPLIER_PART, DATE_PART = 0.20, 0.10
+
+
+def record_score(a: str, b: str, likeness: Column, days: int = 30) -> Column:
+    """Likeness of two records whose columns begin with ``a`` and ``b`` (incl, excl, tax, quantity, date): the mean of the parts
+    that both have, by their weights; ``likeness`` is that of the suppliers' names."""
+    total, weight = likeness * SUPPLIER_PART, F.lit(SUPPLIER_PART)
+    for name, (w, tolerance) in RECORD_PARTS.items():
+        x, y = F.col(a + name), F.col(b + name)
+        have = F.coalesce((x > 0) & (y > 0), F.lit(False))
+        share = F.greatest(F.lit(0.0), 1 - F.try_divide(F.abs(x - y), x) / max(2 * tolerance, 0.01))
+        total, weight = total + F.when(have, share * w).otherwise(0.0), weight + F.when(have, w).otherwise(0.0)
+    x, y = F.col(a + "date"), F.col(b + "date")
+    have = x.isNotNull() & y.isNotNull()
+    near = F.greatest(F.lit(0.0), 1 - F.abs(F.datediff(x, y)) / float(days))
+    return (total + F.when(have, near * DATE_PART).otherwise(0.0)) / (weight + F.when(have, DATE_PART).otherwise(0.0))
+
+
+def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id, match, score) of every target, both with id, name, incl, excl, tax, quantity, date: its best candidate at ``least`` or
+    more, the smallest id on ties, else nulls.
+
+    A pair whose amounts are more than 4 % apart keeps at most .65 of its weight, so candidates come from neighbouring cells
+    of the amount's logarithm and no match is lost; a record without an amount matches none.
+    """
+    cell = lambda c: F.floor(F.log(c) / math.log(1.045)).cast("long")
+    left = targets.where("incl > 0").select(*[F.col(c).alias("a_" + c) for c in targets.columns])
+    left = left.withColumn("_cell", F.explode(F.sequence(cell(F.col("a_incl")) - 1, cell(F.col("a_incl")) + 1)))
+    right = candidates.where("incl > 0").select(*[F.col(c).alias("b_" + c) for c in candidates.columns]).withColumn("_cell", cell(F.col("b_incl")))
+    met = left.join(right, "_cell").where(F.abs(F.col("a_incl") - F.col("b_incl")) <= 0.04 * F.col("a_incl"))
+    # names are compared once a pair of different names
+    named = met.select("a_name", "b_name").distinct().withColumn("_like", ratio("a_name", "b_name"))
+    scored = met.join(named, ["a_name", "b_name"]).withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= least)
+    best = scored.groupBy(F.col("a_id").alias("id")).agg(F.max_by(F.struct("b_id", "score"), F.struct("score", (-F.col("b_id")).alias("o"))).alias("best"))
+    return targets.select("id").join(best, "id", "left").select("id", F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))
+
+
+def first_returns(flows: DataFrame, id_: str, src: str, dst: str, amount: str, share: float) -> DataFrame:
+    """(id, back): for each flow the first later one, by id, from ``dst`` to ``src`` with ``share`` of its amount or more.
+
+    Flows of a pair are sorted by id into runs of the same length; a run whose largest amount is too small is skipped whole, so
+    a flow looks at the summaries of the runs and then at one run's flows, not at all flows of its pair.
+    """
+    run = 64
+    by = Window.partitionBy("_a", "_b", "_way").orderBy(id_)
+    rows = flows.select(F.col(id_).alias(id_), F.least(src, dst).alias("_a"), F.greatest(src, dst).alias("_b"), (F.col(src) < F.col(dst)).alias("_way"), F.col(amount).alias("_amount"))
+    rows = rows.withColumn("_run", F.floor((F.row_number().over(by) - 1) / run))
+    keys = ["_a", "_b", "_way"]
+    sums = rows.groupBy(*keys, "_run").agg(F.max("_amount").alias("_top"), F.max(id_).alias("_last"))
+    ask = rows.select(*keys[:2], (~F.col("_way")).alias("_way"), F.col(id_).alias("_id"), (F.col("_amount") * share).alias("_need"))
+    # the run where the flow's own id falls, and the first later run that holds enough
+    able = ask.join(sums, keys).where((F.col("_last") > F.col("_id")) & (F.col("_top") >= F.col("_need")))
+    runs = able.groupBy(*keys, "_id", "_need").agg(F.array_sort(F.collect_set("_run")).alias("_runs"))
+    first_two = runs.select(*keys, "_id", "_need", F.explode(F.slice("_runs", 1, 2)).alias("_run"))
+    hits = first_two.join(rows, [*keys, "_run"]).where((F.col(id_) > F.col("_id")) & (F.col("_amount") >= F.col("_need")))
+    return hits.groupBy(F.col("_id").alias("id")).agg(F.min(id_).alias("back"))

@@ -57,3 +57,12 @@ def mined(df: DataFrame, content: str, zeros: int = 2, most: int = 100_000) -> D
         return pd.DataFrame(out, columns=["nonce", "hash"]).astype({"nonce": "Int64"})
 
     return df.withColumn("_m", search(content)).withColumns({"nonce": F.col("_m.nonce"), "hash": F.col("_m.hash")}).drop("_m")
+
+
+def audited(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Chain by chain: its blocks, those whose ``root`` is not their content's (``own``), and those whose ``link`` does not follow
+    from the contents of theirs and the block before."""
+    before = F.lag("own").over(Window.partitionBy(*keys).orderBy(*order))
+    wanted = F.sha2(F.concat(F.coalesce(before, F.lit("")), F.col("own")), 256)
+    seen = df.select(*keys, (F.col("root") != F.col("own")).alias("_r"), (F.col("link") != wanted).alias("_l"))
+    return seen.groupBy(*keys).agg(F.count("*").alias("blocks"), F.count_if("_r").alias("bad_roots"), F.count_if("_l").alias("bad_links"))

@@ -19,9 +19,9 @@ def idf(index: DataFrame, n: DataFrame, id_: str) -> DataFrame:
 
 
 def bm25(index: DataFrame, queries: DataFrame, lengths: DataFrame, id_: str, k1: float = 1.5, b: float = 0.75, weigh: bool = True) -> DataFrame:
-    """(query, id, score, matched) of every document with a query term. ``queries`` is (query, term); ``lengths`` (id, len)."""
+    """(query, id, score, matched) of every document with a query term. ``queries`` is (query, term); ``lengths`` (id, len);
+    ``index`` best comes from ``asked_postings``, which lets other words go before the shuffle."""
     about = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    # only the terms asked for are looked at, before anything is shuffled
     met = index.join(queries, "term")
     weights = idf(met.select(id_, "term").distinct(), about.select("n"), id_).select("term", "idf")
     met = met.join(weights, "term").join(lengths, id_).crossJoin(F.broadcast(about.select("mean_len")))
@@ -38,3 +38,82 @@ def keyword_class(docs: DataFrame, id_: str, text: Column, lexicon: dict[str, li
     top, total = F.greatest(*cols), sum(cols[1:], cols[0])
     label = F.coalesce(*[F.when((top > 0) & (c == top), F.lit(n)) for c, n in zip(cols, names, strict=True)], F.lit("none"))
     return rows.select(id_, label.alias("label"), top.alias("hits"), F.coalesce(F.try_divide(top.cast("double"), total.cast("double")), F.lit(0.0)).alias("confidence"))
+
+
+#: Terms of queries up to which they are broadcast; each takes some hundred bytes.
+TERMS = 500_000
+
+
+def asked_postings(docs: DataFrame, id_: str, text: Column, queries: DataFrame) -> DataFrame:
+    """(id, term, tf) of the terms that ``queries`` (query, term) ask for: other words leave before anything is shuffled, as long as
+    the terms are no more than TERMS; beyond it the same join shuffles."""
+    terms = queries.select("term").distinct()
+    few = terms.limit(TERMS + 1).count() <= TERMS
+    return docs.select(id_, F.explode(words(text)).alias("term")).join(F.broadcast(terms) if few else terms, "term").groupBy(id_, "term").agg(F.count("*").alias("tf"))
+
+
+def idf_sum(docs: DataFrame, id_: str, text: Column, queries: DataFrame) -> DataFrame:
+    """(query, id, score, overlap): the sum of the weights of the query's terms that a document holds, and their share of the query."""
+    index = asked_postings(docs, id_, text, queries)
+    weights = idf(index, docs.agg(F.count("*").alias("n")), id_).select("term", "idf")
+    sizes = queries.groupBy("query").agg(F.countDistinct("term").alias("_size"))
+    met = index.join(queries.distinct(), "term").join(weights, "term").groupBy("query", id_).agg(F.sum("idf").alias("score"), F.count("*").alias("_hits"))
+    return met.join(sizes, "query").select("query", id_, "score", (F.col("_hits") / F.col("_size")).alias("overlap"))
+
+
+def expanded(query: Column, glossary: list[dict[str, str]]) -> Column:
+    """The words of a query, with what a glossary has for its terms in other languages."""
+    more = [F.when(F.lower(query).contains(entry[lang]), F.array(*[F.lit(w) for other, t in sorted(entry.items()) if other != lang for w in t.split()])) for entry in glossary for lang in sorted(entry)]
+    own = F.filter(F.split(F.lower(query), " "), lambda w: w != "")
+    return F.array_distinct(F.concat(own, *[F.coalesce(m, F.array().cast("array<string>")) for m in more]))
+
+
+def ranked_sentences(docs: DataFrame, keys: list[str], text: Column, stop: list[str], k: int = 2) -> DataFrame:
+    """(keys, at, score) of the ``k`` sentences of each text with the largest mean frequency of their words, ties to the first; at
+    counts from 0. Single Latin letters and digits and stop words are left out."""
+    parts = F.filter(F.transform(F.split(text, "[。！？\\n.!?;；]+"), lambda x: F.trim(x)), lambda s: s != "")
+    sentences = docs.select(*keys, F.posexplode(parts).alias("at", "s"))
+    token = F.regexp_extract_all("s", F.lit("[a-zA-Z]+|[0-9]+(?:\\.[0-9]+)?|[\\u4e00-\\u9fff]"), F.lit(0))
+    keep = F.filter(token, lambda t: ~F.lower(t).isin(*stop) & ((F.char_length(t) > 1) | t.rlike("[\\u4e00-\\u9fff]")))
+    tokens = sentences.select(*keys, "at", F.explode_outer(keep).alias("t"))
+    freq = tokens.where("t is not null").groupBy(*keys, "t").agg(F.count("*").alias("f"))
+    scored = tokens.join(freq, [*keys, "t"], "left").groupBy(*keys, "at").agg((F.coalesce(F.sum("f"), F.lit(0)) / F.greatest(F.count("t"), F.lit(1))).alias("score"))
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "at"))
+    return scored.withColumn("_k", nth).where(F.col("_k") <= k).drop("_k")
+
+
+def contradictions(claims: DataFrame, subject: str, id_: str, text: Column, rules: list[tuple[str, str]]) -> DataFrame:
+    """(subject, a, b, rule): claims of a subject of which one has a rule's word and the other a word against it. Only claims with
+    such words meet."""
+    flags = [F.struct(F.lit(k).alias("rule"), text.rlike(yes).alias("has"), text.rlike(no).alias("not")) for k, (yes, no) in enumerate(rules)]
+    long = claims.select(subject, id_, F.explode(F.array(*flags)).alias("x")).select(subject, id_, "x.*").where("has or `not`")
+    left = long.where("has").select(subject, "rule", F.col(id_).alias("x"))
+    right = long.where("`not`").select(subject, "rule", F.col(id_).alias("y"))
+    return left.join(right, [subject, "rule"]).where("x <> y").select(subject, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "rule").distinct()
+
+
+def gap(coverage: Column, likeness: Column) -> Column:
+    """Missing, partial or covered, by the share of its words that policies have and its likeness to them."""
+    return F.when((coverage < 0.1) & (likeness < 0.1), "missing").when((coverage < 0.5) | (likeness < 0.3), "partial").otherwise("covered")
+
+
+INTENTS = [("comparison", "difference|versus|better|对比|区别"), ("procedure", "steps|how to|procedure|如何|步骤"), ("definition", "what is|define|meaning|什么是|定义"), ("case", "case|example|案例"), ("standard", "standard|must|required|规定|标准")]
+
+
+def intent(query: Column) -> Column:
+    """The first intent whose words a query has, else general."""
+    out = F.lit("general")
+    for name, marks in reversed(INTENTS):
+        out = F.when(F.lower(query).rlike(marks), name).otherwise(out)
+    return out
+
+
+def lexicon_score(text: Column, levels: list[tuple[float, list[str]]], low: float = -5.0, high: float = 5.0) -> Column:
+    """The weights of the words that a text holds, each once, clamped."""
+    total = F.lit(0.0)
+    for weight, some in levels:
+        for w in some:
+            total = total + F.when(F.lower(text).contains(w), weight).otherwise(0.0)
+    return F.least(F.greatest(total, F.lit(low)), F.lit(high))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +37,50 @@ def ewma(values: Column, weight: float = 0.3) -> Column:
 
 
 def cusum(values: Column, target: Column, scale: Column, k: float = 0.5, h: float = 5.0) -> Column:
-    """Alarms of a two-sided CUSUM that starts anew after each: array of (at, side, sum)."""
+    """Alarms of a two-sided CUSUM: array of (at, side, sum). A side that alarms starts anew, the other goes on; both may alarm at
+    once. ``scale`` divides the deviations (1: not scaled)."""
     start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,side:string,sum:double>>").alias("alarms"))
 
     def step(s, x):
         z = (x - target) / scale
         up, down, n = F.greatest(s["up"] + z - k, F.lit(0.0)), F.greatest(s["down"] - z - k, F.lit(0.0)), s["n"] + 1
-        alarm = (up > h) | (down > h)
-        what = F.struct(n.alias("at"), F.when(up > h, "up").otherwise("down").alias("side"), F.greatest(up, down).alias("sum"))
-        return F.struct(F.when(alarm, 0.0).otherwise(up).alias("up"), F.when(alarm, 0.0).otherwise(down).alias("down"), n.alias("n"), F.when(alarm, F.array_append(s["alarms"], what)).otherwise(s["alarms"]).alias("alarms"))
+        new = F.array_compact(F.array(*[F.when(side > h, F.struct(n.alias("at"), F.lit(name).alias("side"), side.alias("sum"))) for name, side in (("up", up), ("down", down))]))
+        return F.struct(F.when(up > h, 0.0).otherwise(up).alias("up"), F.when(down > h, 0.0).otherwise(down).alias("down"), n.alias("n"), F.when(F.size(new) > 0, F.concat(s["alarms"], new)).otherwise(s["alarms"]).alias("alarms"))
 
     return F.aggregate(values, start, step, lambda s: s["alarms"])
 
 
+def cusum_step(sums: tuple[float, float], z: float, k: float, h: float) -> tuple[tuple[float, float], list[tuple[str, float]]]:
+    """Both sums after a deviation, and the sides that alarm, which start anew."""
+    up, down = max(sums[0] + z - k, 0.0), max(sums[1] - z - k, 0.0)
+    alarms = [(side, top) for side, top in (("up", up), ("down", down)) if top > h]
+    return (0.0 if up > h else up, 0.0 if down > h else down), alarms
+
+
+def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
+    """(key, at, side, sum) of the alarms over each series, ``target`` being a column; at counts from 1, nulls are passed over.
+
+    Rows are sorted within their partition and read batch by batch with two sums carried on, so a series of any length takes
+    the memory of a batch; it is read in one task, since each step needs the one before.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums, at = None, (0.0, 0.0), 0
+        for batch in batches:
+            out = []
+            for name, x, mean in batch.itertuples(index=False):
+                if name != now:
+                    now, sums, at = name, (0.0, 0.0), 0
+                at += 1
+                sums, alarms = cusum_step(sums, x - mean, k, h)
+                out += [(name, at, side, top) for side, top in alarms]
+            yield pd.DataFrame(out, columns=[key, "at", "side", "sum"])
+
+    rows = df.where(F.col(value).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    kind = df.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(value).cast("double"), F.col(target).cast("double")).mapInPandas(read, f"{key} {kind}, at long, side string, sum double")
+
+
 def slope(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Least-squares slope and fit of a series on its index."""
     at = df.withColumn("_i", (F.row_number().over(_by(keys, order)) - 1).cast("double"))
@@ -106,3 +140,21 @@ def reciprocal_ranks(df: DataFrame, keys: list[str], id_: str, scores: list[str]
     """Rank fusion: sum of 1 / (k + rank) over several orderings."""
     total = sum((1 / (k + F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(s), id_))) for s in scores[1:]), 1 / (k + F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(scores[0]), id_))))
     return df.withColumn("rrf", total)
+
+
+def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each series, ``back`` = 1 for the last. The rank is filtered right above the window, so the planner
+    puts a group limit on both sides of the shuffle: a long series moves ``n`` rows a task."""
+    return df.withColumn("back", F.row_number().over(_by(keys, order, True))).where(F.col("back") <= n)
+
+
+def strongest_spans(df: DataFrame, keys: list[str], begin: str, end: str, level: str, id_: str) -> DataFrame:
+    """Spans that no span they touch beats; a higher level beats a lower one, of the same level the one that begins earlier (then the
+    smaller id). Spans meet the cells they lie in, so only those near each other are compared."""
+    width = 64
+    cells = df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))))
+    other = cells.select(*keys, "_cell", F.col(begin).alias("_b"), F.col(end).alias("_e"), F.col(level).alias("_l"), F.col(id_).alias("_id"))
+    touch = (F.col("_b") < F.col(end)) & (F.col(begin) < F.col("_e")) & (F.col("_id") != F.col(id_))
+    stronger = (F.col("_l") > F.col(level)) | ((F.col("_l") == F.col(level)) & ((F.col("_b") < F.col(begin)) | ((F.col("_b") == F.col(begin)) & (F.col("_id") < F.col(id_)))))
+    beaten = cells.join(other, [*keys, "_cell"]).where(touch & stronger).select(*keys, id_).distinct()
+    return df.join(beaten, [*keys, id_], "left_anti")

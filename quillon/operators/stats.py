@@ -54,9 +54,50 @@ def centre_distance(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def top_share(df: DataFrame, score: str, share: float, into: str) -> DataFrame:
-    """Whether a row's score is among the top ``share``, by the exact percentile; one aggregate, no global sort."""
-    bound = df.agg(F.percentile(score, 1 - share).alias("_b"))
-    return df.crossJoin(F.broadcast(bound)).withColumn(into, F.col(score) > F.col("_b")).drop("_b")
+    """Whether a row's score is above the linear percentile 1 - ``share`` of all scores.
+
+    The percentile's rank is looked for cell by cell: counts over CELLS equal cells between the ends say in which cell it
+    lies, that cell is cut again, and the few values of the last one are put in order. No task holds all scores.
+    """
+    bound = linear_percentile(df, score, 1 - share)
+    return df.withColumn(into, F.col(score) > bound) if bound is not None else df.withColumn(into, F.lit(None).cast("boolean"))
+
+
+#: Cells of a search for a rank, and values that are put in order at its end.
+CELLS, FEW = 4096, 100_000
+
+
+def linear_percentile(df: DataFrame, value: str, p: float) -> float | None:
+    """The percentile with linear interpolation between the ranks around (n - 1) p; None without values. Exact."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = (n - 1) * p
+    wanted = [math.floor(at), math.ceil(at)]
+    found = []
+    for rank in wanted:
+        found.append(_ranked_value(rows, rank, n, low, high))
+    return found[0] + (found[1] - found[0]) * (at - wanted[0])
+
+
+def _ranked_value(rows: DataFrame, rank: int, n: int, low: float, high: float) -> float:
+    """The value with ``rank`` smaller or equal ones before it."""
+    inside, before = n, 0
+    while inside > FEW and low < high:
+        width = (high - low) / CELLS
+        own = rows.where(F.col("v").between(low, high))
+        cell = F.least(F.floor((F.col("v") - low) / width), F.lit(CELLS - 1))
+        counts = own.groupBy(cell.alias("c")).agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("c").collect()  # CELLS rows at most
+        for r in counts:
+            if before + r.k > rank:
+                low, high, inside = r.a, r.b, r.k
+                break
+            before += r.k
+    if low == high:
+        return low
+    some = sorted(r.v for r in rows.where(F.col("v").between(low, high)).collect())  # FEW at most
+    return some[rank - before]
 
 
 class IsolationForest:
@@ -81,7 +122,8 @@ class IsolationForest:
     def expected(n: int) -> float:
         return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
+    def depths(self, rows: np.ndarray) -> np.ndarray:
+        """Mean depth of each row over the trees."""
         total = np.zeros(len(rows))
 
         def walk(node, at: np.ndarray) -> None:
@@ -94,11 +136,15 @@ class IsolationForest:
 
         for tree in self.trees:
             walk(tree, np.arange(len(rows)))
-        return 2.0 ** (-total / len(self.trees) / max(self.expected(self.size), 1e-9))
+        return total / len(self.trees)
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """Near 1 where a row is soon alone."""
+        return 2.0 ** (-self.depths(rows) / max(self.expected(self.size), 1e-9))
 
 
-def isolation(df: DataFrame, id_: str, features: list[str], trees: int = 50, sample: int = 256, fit_rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """``iso`` of every row; trees are fitted on the ``fit_rows`` rows with the smallest hashes of the id."""
+def isolation(df: DataFrame, id_: str, features: list[str], trees: int = 50, sample: int = 256, fit_rows: int = 10_000, seed: int = 42, depths: bool = False) -> DataFrame:
+    """``iso`` of every row, its score or its mean depth; trees are fitted on the ``fit_rows`` rows with the smallest hashes of the id."""
     spark = df.sparkSession
     fit = df.orderBy(F.xxhash64(id_), id_).limit(fit_rows).select(*[F.col(f).cast("double") for f in features]).toPandas().to_numpy()
     if not len(fit):
@@ -107,7 +153,8 @@ def isolation(df: DataFrame, id_: str, features: list[str], trees: int = 50, sam
 
     @pandas_udf("double")
     def iso(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.column_stack([c.to_numpy(float) for c in columns])))
+        rows = np.column_stack([c.to_numpy(float) for c in columns])
+        return pd.Series(shared.value.depths(rows) if depths else shared.value.score(rows))
 
     return df.withColumn("iso", iso(*[F.col(f).cast("double") for f in features]))
 
@@ -125,3 +172,115 @@ def dense_matrix(df: DataFrame, rows: str, columns: str, *aggs: Column) -> DataF
 def ranked(df: DataFrame, keys: list[str], score: str, id_: str, k: int) -> DataFrame:
     """Top ``k`` of each group, ties by id."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), id_))).where(F.col("rank") <= k)
+
+
+# Shares of first digits, rounded to three places.
+ROUNDED = {1: 0.301, 2: 0.176, 3: 0.125, 4: 0.097, 5: 0.079, 6: 0.067, 7: 0.058, 8: 0.051, 9: 0.046}
+
+
+def benford_rounded(df: DataFrame, amount: str, keys: list[str]) -> DataFrame:
+    """The largest deviation, by group, of a share of first digits that are not 0 from the rounded table."""
+    digits = df.select(*keys, F.regexp_extract(F.col(amount).cast("string"), "[1-9]", 0).alias("d")).where("d <> ''")
+    wide = digits.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col("d") == str(d)).alias(f"d{d}") for d in ROUNDED])
+    return wide.select(*keys, F.greatest(*[F.abs(F.col(f"d{d}") / F.col("n") - e) for d, e in ROUNDED.items()]).alias("max_dev"))
+
+
+def index_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, q1, q3): the values at places n // 4 and 3 n // 4 of each group in order.
+
+    Values are counted first, so a group's order is over its distinct values; no group is gathered in a row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(value))
+    totals = counts.groupBy(*keys).agg(F.sum("_k").alias("n"))
+    placed = counts.withColumn("_upto", upto).join(totals, keys)
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"))
+
+
+def group_scores(df: DataFrame, keys: list[str], value: str, id_: str) -> DataFrame:
+    """(keys, id, group_score): z over six, .5 at most, and the excess beyond fences at index quartiles, .5 at most; .5 where a group
+    has fewer than three values."""
+    positive = df.where(F.col(value) > 0)
+    moments = positive.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
+    ends = index_quartiles(positive, keys, value).join(moments, keys)
+    v, low, high = F.col(value), F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    z = F.when(F.col("_sd") > 0, F.abs((v - F.col("_m")) / F.col("_sd"))).otherwise(0.0)
+    beyond = lambda gap, end: F.least(F.lit(0.5), gap / F.greatest(F.abs(end), F.lit(1.0)) * 2 + 0.3)
+    excess = F.when(v < low, beyond(low - v, low)).when(v > high, beyond(v - high, high)).otherwise(0.0)
+    score = F.when(F.coalesce("n", F.lit(0)) < 3, 0.5).otherwise(F.least(F.lit(0.5), z / 6) + excess)
+    return df.join(ends, keys, "left").select(*keys, id_, score.alias("group_score"))
+
+
+def peers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, std) of the positive values, with the sample deviation; 0 for a single value."""
+    return df.where(F.col(value) > 0).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+
+
+def fair_prices(df: DataFrame, price: str, peer: str, history: str, margin: str, owned: str, dependence: str) -> DataFrame:
+    """Rows with ``score``: nearness to comparable prices (.45, from three on), to the party's history (.35, from two on) and a known
+    margin (.2), over the first weights by the number of methods at hand, less for ownership and dependence."""
+    near = lambda m, s: F.greatest(F.lit(0.0), 1 - F.abs((F.col(price) - F.col(m)) / F.when(F.col(s) == 0, 0.001).otherwise(F.col(s))) / 3)
+    a = peers(df, [peer], price).toDF(peer, "_an", "_am", "_as")
+    b = peers(df, [history], price).toDF(history, "_bn", "_bm", "_bs")
+    met = df.join(a, peer, "left").join(b, history, "left")
+    one = F.when(F.col("_an") >= 3, near("_am", "_as") * 0.45)
+    two = F.when(F.col("_bn") >= 2, near("_bm", "_bs") * 0.35)
+    three = F.when(F.col(margin) != 0, 0.2)
+    methods = one.isNotNull().cast("int") + two.isNotNull().cast("int") + three.isNotNull().cast("int")
+    weight = F.when(methods == 1, 0.45).when(methods == 2, 0.8).otherwise(1.0)
+    adjust = 1 - 0.3 * F.least(F.lit(1.0), F.col(owned)) - 0.15 * F.least(F.lit(1.0), F.col(dependence))
+    total = F.coalesce(one, F.lit(0.0)) + F.coalesce(two, F.lit(0.0)) + F.coalesce(three, F.lit(0.0))
+    return met.select(*df.columns, F.when(methods == 0, 0.5).otherwise(total / weight * adjust).alias("score"))
+
+
+def edge_risk(edges: DataFrame, src: str, dst: str, amount: str, bound: float, weights: tuple[float, float, float]) -> DataFrame:
+    """(id, anomalies, risk): a party's degree among all parties, its transfers beyond ``bound`` deviations (a fifth each), and how
+    one-sided its flows are, weighted."""
+    one = edges.where(F.col(amount) > 0).agg(F.avg(amount).alias("_m"), F.stddev_pop(amount).alias("_s"))
+    odd = F.abs((F.col(amount) - F.col("_m")) / F.greatest(F.col("_s"), F.lit(0.01))) > bound
+    z = edges.crossJoin(F.broadcast(one)).select(src, dst, amount, odd.alias("_odd"))
+    ends = F.array(F.struct(F.col(src).alias("id"), F.lit(0.0).alias("i"), F.col(amount).cast("double").alias("o")), F.struct(F.col(dst).alias("id"), F.col(amount).cast("double").alias("i"), F.lit(0.0).alias("o")))
+    got = z.select("_odd", F.explode(ends).alias("x")).groupBy("x.id").agg(F.count("*").alias("deg"), F.count_if("_odd").alias("anomalies"), F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+    got = got.crossJoin(F.broadcast(got.agg(F.count("*").alias("_n"))))
+    parts = [F.least(F.lit(1.0), F.col("deg") / F.greatest(F.col("_n") - 1, F.lit(1))), F.least(F.lit(1.0), F.col("anomalies") / 5.0), F.coalesce(F.try_divide(F.abs(F.col("i") - F.col("o")), F.col("i") + F.col("o")), F.lit(0.0))]
+    return got.select("id", "anomalies", fused(list(zip(weights, parts, strict=True))).alias("risk"))
+
+
+def standardised(df: DataFrame, features: list[str]) -> DataFrame:
+    """Each feature less its mean over its population deviation, over 1 where that is 0."""
+    one = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+    return df.crossJoin(F.broadcast(one)).withColumns({f: (F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0) for f in features}).select(*df.columns)
+
+
+# Weights, means and deviations of the credit model.
+CREDIT = {"credit_score": (-0.035, 680, 80), "dti_ratio": (2.8, 0.35, 0.15), "ltv_ratio": (1.9, 0.75, 0.2), "employment_years": (-0.15, 8, 5), "default_history": (1.6, 0.3, 0.8), "loan_amount": (0.00002, 300_000, 200_000)}
+CREDIT_BIAS = -1.2
+
+
+def credit_logit(df: DataFrame) -> DataFrame:
+    """Rows with ``logit`` and ``p``, the default probability by the fixed model; a missing figure counts as 0."""
+    z = F.lit(CREDIT_BIAS)
+    for name, (w, mean, std) in CREDIT.items():
+        z = z + w * (F.coalesce(F.col(name), F.lit(0.0)) - mean) / std
+    return df.withColumn("logit", z).withColumn("p", F.when(F.col("logit") < 500, 1 / (1 + F.exp(-F.col("logit")))).otherwise(1.0))
+
+
+def comparable(targets: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(target, candidate, rank, score): the ``k`` candidates most like each of a stated set of targets.
+
+    Candidates stay where they are; the targets come to them in blocks. Each block keeps ``k`` candidates a target by a
+    partial aggregate, so what is shuffled is bounded by targets and tasks, not by pairs.
+    """
+    t = targets.select(*[F.col(c).alias("t_" + c) for c in targets.columns])
+    met = candidates.join(t, F.col("id") != F.col("t_id"))
+    c, o = F.col, lambda n: F.col("t_" + n)
+    parts = [
+        (0.30, F.when((c("sub") == o("sub")) & (c("industry") == o("industry")), 1.0).when(c("industry") == o("industry"), 0.8).otherwise(0.1)),
+        (0.20, F.when(c("country") == o("country"), 1.0).when(c("region") == o("region"), 0.7).otherwise(0.0)),
+        (0.20, F.when((o("revenue") > 0) & (c("revenue") > 0), F.least(o("revenue"), c("revenue")) / F.greatest(o("revenue"), c("revenue"))).otherwise(0.5)),
+        (0.15, F.coalesce(F.try_divide(F.size(F.array_intersect("functions", "t_functions")), F.size(F.array_union("functions", "t_functions"))), F.lit(0.5))),
+        (0.15, F.when((o("margin") != 0) | (o("roa") != 0), F.greatest(F.lit(0.0), 1 - F.abs(o("margin") - c("margin")) - F.abs(o("roa") - c("roa")))).otherwise(0.5)),
+    ]
+    scored = met.select(F.col("t_id").alias("target"), F.col("id").alias("candidate"), fused(parts).alias("score")).withColumn("_s", F.round("score", 9))
+    return ranked(scored, ["target"], "_s", "candidate", k).drop("_s")

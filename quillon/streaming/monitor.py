@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators.series import cusum_step
+
 ALARM = "key string, at timestamp, side string, sum double"
 STATE = "up double, down double"
 
@@ -24,22 +26,19 @@ def sessions(events: DataFrame, gap: str, late: str, when: str = "ts", key: str
     return events.withWatermark(when, late).groupBy(F.session_window(when, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def cusum_alarms(events: DataFrame, target: float, scale: float, k: float = 0.5, h: float = 5.0, when: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
-    """Alarms of a two-sided CUSUM by key that starts anew after each alarm. State: two numbers a key. Null values are passed over."""
+def cusum_alarms(events: DataFrame, target: float, scale: float = 1.0, k: float = 0.5, h: float = 5.0, when: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
+    """Alarms of a two-sided CUSUM by key; the side that alarms starts anew, the other goes on. State: two numbers a key. Null values
+    are passed over."""
 
     def step(name: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down = state.get if state.exists else (0.0, 0.0)
+        sums = state.get if state.exists else (0.0, 0.0)
         rows = pd.concat(list(frames))
         out = []
         for at, x in rows.sort_values("at")[["at", "value"]].itertuples(index=False):
-            if x != x:
-                continue
-            z = (x - target) / scale
-            up, down = max(up + z - k, 0.0), max(down - z - k, 0.0)
-            if up > h or down > h:
-                out.append((name[0], at, "up" if up > h else "down", max(up, down)))
-                up = down = 0.0
-        state.update((up, down))
+            if x == x:
+                sums, alarms = cusum_step(sums, (x - target) / scale, k, h)
+                out += [(name[0], at, side, top) for side, top in alarms]
+        state.update(sums)
         yield pd.DataFrame(out, columns=["key", "at", "side", "sum"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(when).cast("timestamp").alias("at"), F.col(value).cast("double").alias("value"))
