@@ -214,7 +214,7 @@ WITH s AS (SELECT s_suppkey AS id, s_nationkey::VARCHAR AS nation, floor(s_acctb
 l AS (SELECT id, 'nation' AS kind, nation AS value FROM s UNION SELECT id, 'band', band FROM s)
 SELECT x.id AS a, y.id AS b, x.kind, x.value, count(*) OVER (PARTITION BY 1) * 0 + (SELECT count(*) FROM l z WHERE z.kind = x.kind AND z.value = x.value) AS members FROM l x JOIN l y ON x.kind = y.kind AND x.value = y.value AND x.id < y.id
 WHERE (SELECT count(*) FROM l z WHERE z.kind = x.kind AND z.value = x.value) <= 200
-UNION ALL SELECT min(id), NULL, kind, value, count(*) FROM l GROUP BY kind, value HAVING count(*) > 200
+UNION ALL SELECT m.a, l.id, l.kind, l.value, m.members FROM l JOIN (SELECT kind, value, min(id) AS a, count(*) AS members FROM l GROUP BY kind, value HAVING count(*) > 200) m ON l.kind = m.kind AND l.value = m.value AND l.id > m.a
 """)
 def join_share(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers that share a nation or a balance band (join_shared_attr)."""
