@@ -572,13 +572,13 @@ def c_verify_score(spark: SparkSession, sf: str) -> DataFrame:
 ACCEL = "SELECT o_orderkey, o_custkey, least(0.95, rpa + ml * (1 - rpa)) AS ratio, hours FROM (SELECT o_orderkey, o_custkey, (o_orderkey % 10) / 10.0 AS rpa, (o_orderkey % 7) / 10.0 AS ml, (o_orderkey % 40)::DOUBLE AS hours FROM orders)"
 
 
-@query(f"WITH a AS ({ACCEL}) SELECT o_custkey, count(*) FILTER (ratio < 0.5) AS bottlenecks, count(*) FILTER (ratio >= 0.85) AS automatic, round(sum(hours * ratio)::DOUBLE, 4) AS saved, round(coalesce(sum(hours * ratio) / nullif(sum(hours), 0), 0)::DOUBLE, 6) AS overall FROM a GROUP BY 1")
+@query(f"WITH a AS ({ACCEL}) SELECT o_custkey, count(*) FILTER (ratio < 0.5) AS bottlenecks, count(*) FILTER (ratio >= 0.85) AS automatic, round(sum(hours * ratio)::DOUBLE, 4) AS saved, round(coalesce(sum(hours * ratio) / nullif(sum(hours), 0), 0)::DOUBLE, 8) AS overall FROM a GROUP BY 1")
 def c_accel(spark: SparkSession, sf: str) -> DataFrame:
     """Hours that automation and models save in each project, tasks that run alone, and bottlenecks."""
     k = F.col("o_orderkey")
     a = table(spark, sf, "orders").select("o_custkey", F.round(audits.acceleration((k % 10) / 10.0, (k % 7) / 10.0), 12).alias("ratio"), (k % 40).cast("double").alias("hours"))
     saved = F.sum(F.col("hours") * F.col("ratio"))
-    return a.groupBy("o_custkey").agg(F.count_if(F.col("ratio") < 0.5).alias("bottlenecks"), F.count_if(F.col("ratio") >= 0.85).alias("automatic"), F.round(saved, 4).alias("saved"), F.round(F.coalesce(F.try_divide(saved, F.sum("hours")), F.lit(0.0)), 6).alias("overall"))
+    return a.groupBy("o_custkey").agg(F.count_if(F.col("ratio") < 0.5).alias("bottlenecks"), F.count_if(F.col("ratio") >= 0.85).alias("automatic"), F.round(saved, 4).alias("saved"), F.round(F.coalesce(F.try_divide(saved, F.sum("hours")), F.lit(0.0)), 8).alias("overall"))
 
 
 @query("""

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from quillon.analytics.registry import query, table
 from quillon.functions import texts
-from quillon.functions.similar import ratio
-from quillon.operators import checks
+from quillon.operators import checks, joins
 
 
 @query("""
 SELECT event_id, coalesce(json_extract_string(props, '$.k')::DOUBLE > 60, false) AS over, json_extract_string(props, '$.other') IS NULL AS missing FROM events
 """)
 def rule_path(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules on paths of the JSON properties (src_parse_multi)."""
+    """Rules on paths of the JSON properties."""
     return table(spark, sf, "events").select("event_id", checks.path_rule(F.col("props"), "k", ">", 60).alias("over"), checks.path_rule(F.col("props"), "other", "missing").alias("missing"))
 
 
@@ -23,7 +22,7 @@ def rule_path(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, count(*) AS n, sum(CASE WHEN NOT (event_type = 'error') THEN 1 ELSE 0 END)::BIGINT AS passed, round(100.0 * sum(CASE WHEN NOT (event_type = 'error') THEN 1 ELSE 0 END) / count(*), 4) AS compliance FROM events GROUP BY 1
 """)
 def rule_config(spark: SparkSession, sf: str) -> DataFrame:
-    """Settings as a map, a negated rule on one key, compliance by host (agg_host, agg_domain)."""
+    """Settings as a map, a negated rule on one key, compliance by host."""
     e = table(spark, sf, "events").select("user_id", F.create_map(F.lit("type"), "event_type").alias("config"))
     ok = checks.config_rule(F.col("config"), "type", "contains", "error", negate=True).cast("int")
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(ok).alias("passed"), F.round(100.0 * F.sum(ok) / F.count("*"), 4).alias("compliance"))
@@ -34,7 +33,7 @@ WITH s AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_ta
 SELECT o_orderkey, coalesce(abs(o_totalprice - lines) < 0.05, false) AS articulates, coalesce(o_totalprice >= 0, false) AS positive FROM orders LEFT JOIN s ON o_orderkey = l_orderkey
 """)
 def rule_articulation(spark: SparkSession, sf: str) -> DataFrame:
-    """Order totals against their lines, as string identities (rule_expr, join_voucher)."""
+    """Order totals against their lines, as string identities."""
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("lines"))
     x = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     names = ["o_totalprice", "lines"]
@@ -46,7 +45,7 @@ WITH h AS (SELECT o_custkey, o_orderkey, o_totalprice, avg(o_totalprice) OVER (P
 SELECT o_orderkey, CASE WHEN m IS NULL THEN 'no_history' WHEN o_totalprice > 2 * m THEN 'fail' ELSE 'pass' END AS verdict FROM h
 """)
 def rule_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Each amount against the mean of the ten before (join_history, win_degradation)."""
+    """Each amount against the mean of the ten before."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-10, -1)
     h = table(spark, sf, "orders").withColumn("m", F.avg("o_totalprice").over(by))
     return h.select("o_orderkey", F.when(F.col("m").isNull(), "no_history").when(F.col("o_totalprice") > 2 * F.col("m"), "fail").otherwise("pass").alias("verdict"))
@@ -56,7 +55,7 @@ def rule_verify(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, round(p_size * CASE WHEN p_size % 3 = 0 THEN 1000.0 WHEN p_size % 3 = 1 THEN 1.0 END, 4) AS base FROM part
 """)
 def n_unit(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes in a base unit; an unknown unit has none (join_dim)."""
+    """Sizes in a base unit; an unknown unit has none."""
     units = spark.sql("select * from values ('t', 1000.0D), ('kg', 1.0D) as u(unit, factor)")
     p = table(spark, sf, "part").withColumn("u", F.when(F.col("p_size") % 3 == 0, "t").when(F.col("p_size") % 3 == 1, "kg").otherwise("?"))
     return checks.converted(p, "p_size", "u", units).select("p_partkey", F.round("base", 4).alias("base"))
@@ -67,7 +66,7 @@ WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t, generate_su
 SELECT page_id, line::INT AS line, rule FROM (SELECT page_id, line, unnest(['script', 'style', 'tracking']) AS rule, unnest([regexp_matches(t, '<script'), regexp_matches(t, '<style'), regexp_matches(t, 'track\\(')]) AS hit FROM l) WHERE hit
 """)
 def s_code_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of pages that hold scripts, styles or tracking (s_lang_code)."""
+    """Lines of pages that hold scripts, styles or tracking."""
     return checks.code_findings(table(spark, sf, "pages"), "page_id", "html", [("script", "<script"), ("style", "<style"), ("tracking", "track\\(")])
 
 
@@ -85,10 +84,10 @@ def agg_cooccur(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def s_sim_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Matching-blocks similarity of part names of one brand and size, with Levenshtein's beside it (s_ngram_sim, join_field_map)."""
-    p = table(spark, sf, "part").select("p_brand", "p_size", "p_partkey", "p_name")
-    met = p.toDF("brand", "size", "a", "name_a").join(p.toDF("brand", "size", "b", "name_b"), ["brand", "size"]).where("a < b")
-    return met.select("a", "b", F.round(ratio("name_a", "name_b"), 6).alias("ratio"), F.levenshtein("name_a", "name_b").alias("edits"))
+    """Part names whose matching-blocks ratio is above .6, with Levenshtein's distance beside it. Different names are compared, found by
+    the characters they share; tests hold the pairs against all pairs."""
+    got = joins.similar_names(table(spark, sf, "part").select(F.col("p_name").alias("name")), 0.6)
+    return got.select("a", "b", F.round("ratio", 6).alias("ratio"), F.levenshtein("a", "b").alias("edits"))
 
 
 @query("""
@@ -119,5 +118,5 @@ WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS l, len(rege
 SELECT doc_id, round(coalesce(a::DOUBLE / nullif(l, 0), 0), 6) AS latin FROM s
 """)
 def s_lang_range(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of Latin letters (s_code_switch, s_lang_score)."""
+    """Share of Latin letters."""
     return table(spark, sf, "documents").select("doc_id", F.round(checks.script_shares(F.col("text"))["latin"], 6).alias("latin"))

@@ -15,7 +15,7 @@ WITH x AS (SELECT o_custkey, count(*) FILTER (o_totalprice >= 160000 AND o_total
 SELECT o_custkey, near >= 3 AS structuring, n >= 5 AND small >= 0.8 AND total >= 500000 AS many_small, parties >= 3 AND large >= 2 AS spread, least(40 + 20 * (near >= 3)::INT + 10 * (n >= 5 AND small >= 0.8 AND total >= 500000)::INT + 5 * (parties >= 3 AND large >= 2)::INT + CASE WHEN total > 1000000 THEN 15 ELSE 0 END, 100)::INT AS risk FROM x
 """)
 def c_sar_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Suspicion patterns and the risk they add up to (c_sar_risk)."""
+    """Suspicion patterns and the risk they add up to."""
     p = F.col("o_totalprice")
     x = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if((p >= 160_000) & (p < 200_000)).alias("near"), F.count("*").alias("n"), F.avg(F.when(p < 200_000, 1.0).otherwise(0.0)).alias("small"), F.sum(p).alias("total"), F.countDistinct("o_orderpriority").alias("parties"), F.count_if(p >= 300_000).alias("large"))
     known = [("structuring", 20, F.col("near") >= 3), ("many_small", 10, (F.col("n") >= 5) & (F.col("small") >= 0.8) & (F.col("total") >= 500_000)), ("spread", 5, (F.col("parties") >= 3) & (F.col("large") >= 2))]
@@ -28,7 +28,7 @@ WITH m AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL)
 SELECT user_id, round(least(sum(least(abs(v - mean) / mean * 20, 30)), 100), 4) AS score, count(*) FILTER (abs(v - mean) / mean > 0.5) AS alerts, count(*) FILTER (abs(v - mean) / mean > 0.3 AND abs(v - mean) / mean <= 0.5) AS warnings FROM m JOIN s USING (event_type) GROUP BY 1
 """)
 def c_indicator_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Deviation of each indicator from its benchmark, capped and added (c_benchmark_dev, c_supplier_alert)."""
+    """Deviation of each indicator from its benchmark, capped and added."""
     m = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
     x = m.join(F.broadcast(m.groupBy("event_type").agg(F.avg("v").alias("mean"))), "event_type").withColumn("dev", F.abs(F.col("v") - F.col("mean")) / F.col("mean"))
     return x.groupBy("user_id").agg(F.round(F.least(F.sum(F.least(F.col("dev") * 20, F.lit(30.0))), F.lit(100.0)), 4).alias("score"), F.count_if(F.col("dev") > 0.5).alias("alerts"), F.count_if((F.col("dev") > 0.3) & (F.col("dev") <= 0.5)).alias("warnings"))
@@ -39,7 +39,7 @@ WITH d AS (SELECT event_type, ts::DATE AS day, sum(value) AS v FROM events GROUP
 SELECT event_type, n, round(m, 4) AS mean, round(m + 3 * greatest(sd, 0.01 * m), 4) AS ucl, round(greatest(m - 3 * greatest(sd, 0.01 * m), 0), 4) AS lcl, round(m + 2 * greatest(sd, 0.01 * m), 4) AS warn FROM s
 """)
 def c_control_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """Limits at two and three deviations, with a floor for series that hardly vary (c_spc_risk)."""
+    """Limits at two and three deviations, with a floor for series that hardly vary."""
     d = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
     s = d.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
     m, sd = F.col("m"), F.greatest(F.col("sd"), 0.01 * F.col("m"))
@@ -51,7 +51,7 @@ WITH x AS (SELECT user_id, event_id, event_type, row_number() OVER w AS seq, sum
 SELECT user_id, event_id, seq, phase::BIGINT AS phase, event_type IN ('signup', 'purchase') AS key_node FROM x
 """)
 def c_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered events with key nodes and the phase they open (c_chain_complete)."""
+    """Ordered events with key nodes and the phase they open."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     phase = F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(by).alias("seq"), phase.alias("phase"), F.col("event_type").isin("signup", "purchase").alias("key_node"))
@@ -61,7 +61,7 @@ def c_timeline(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, count(*) FILTER (event_type = 'purchase') AS supporting, count(*) FILTER (event_type = 'error') AS contradicting FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase') > 0 AND count(*) FILTER (event_type = 'error') > 0
 """)
 def c_ev_conflict(spark: SparkSession, sf: str) -> DataFrame:
-    """Subjects with evidence on both sides (c_claim_risk, t_contradiction)."""
+    """Subjects with evidence on both sides."""
     e = F.col("event_type")
     return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(e == "purchase").alias("supporting"), F.count_if(e == "error").alias("contradicting")).where("supporting > 0 and contradicting > 0")
 
@@ -71,7 +71,7 @@ WITH h AS (SELECT doc_id, least(0.15 * len(regexp_extract_all(text, '(?i)\\b(the
 SELECT doc_id, round(s, 4) AS impact, CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM h
 """)
 def c_impact_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """A weight a term found, capped, in bands (c_policy_category)."""
+    """A weight a term found, capped, in bands."""
     h = table(spark, sf, "documents").select("doc_id", F.least(F.regexp_count("text", F.lit("(?i)\\b(the|of|and|license)\\b")) * F.lit(0.15), F.lit(1.0)).alias("s"))
     return h.select("doc_id", F.round("s", 4).alias("impact"), rules.bands(F.col("s"), [(0.7, "high"), (0.4, "medium")], "low").alias("level"))
 
@@ -94,7 +94,7 @@ WITH r AS (SELECT p_brand, 0.35 * avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0 END)
 SELECT p_brand, round(least((p0 - p1) * impact * 12, 2000000000), 4) AS avoided FROM r
 """)
 def c_risk_avoided(spark: SparkSession, sf: str) -> DataFrame:
-    """Change of probability times impact over a year, capped (c_efficiency)."""
+    """Change of probability times impact over a year, capped."""
     share = 0.35 * F.avg(F.when(F.col("p_size") > 25, 1.0).otherwise(0.0))
     r = table(spark, sf, "part").groupBy("p_brand").agg(share.alias("p0"), F.sum("p_retailprice").alias("impact"))
     return r.select("p_brand", F.round(F.least((F.col("p0") - 0.6 * F.col("p0")) * F.col("impact") * 12, F.lit(2e9)), 4).alias("avoided"))

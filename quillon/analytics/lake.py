@@ -14,7 +14,7 @@ from quillon.operators import retrieval, stats
 SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS period, round(sum(o_totalprice), 2) AS total, count(*) AS n, count(DISTINCT o_orderpriority) AS sources, array_to_string(list_sort(list(o_orderkey)), ',') AS ids FROM orders GROUP BY ALL
 """)
 def agg_ads(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums by entity and period with the ids they come from (d_period, lineage)."""
+    """Sums by entity and period with the ids they come from."""
     g = table(spark, sf, "orders").groupBy("o_custkey", times.period(F.col("o_orderdate"), "month").alias("period"))
     return g.agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("sources"), F.concat_ws(",", F.sort_array(F.collect_list("o_orderkey"))).alias("ids"))
 
@@ -40,7 +40,7 @@ def dup_content(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_custkey, o_orderpriority, o_orderkey AS kept, n - 1 AS merged FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1
 """)
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of each key wins, by partial minima rather than a window (dedup_edges, dedup_fallback_key)."""
+    """The first of each key wins, by partial minima rather than a window."""
     g = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("one"), F.count("*").alias("n"))
     return g.select("o_custkey", "o_orderpriority", F.col("one.o_orderkey").alias("kept"), (F.col("n") - 1).alias("merged"))
 
@@ -58,7 +58,7 @@ WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal)
 SELECT a.c_nationkey, b.c_mktsegment, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM (SELECT DISTINCT c_nationkey FROM customer) a CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) b LEFT JOIN g USING (c_nationkey, c_mktsegment)
 """)
 def agg_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation by segment, empty cells included (agg_scope)."""
+    """Nation by segment, empty cells included."""
     got = stats.dense_matrix(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment", F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     return got.select("c_nationkey", "c_mktsegment", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
@@ -95,7 +95,7 @@ def agg_weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
 SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS n_open, (SELECT round(sum(o_totalprice), 2) FROM orders) AS value, (SELECT count(*) FROM events WHERE event_type = 'error') AS n_errors, (SELECT count(DISTINCT user_id) FROM events) AS n_users, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n_debtors
 """)
 def agg_kpi(spark: SparkSession, sf: str) -> DataFrame:
-    """One row of counts over three tables (agg_kpi_tree)."""
+    """One row of counts over three tables."""
     o = table(spark, sf, "orders").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.round(F.sum("o_totalprice"), 2).alias("value"))
     e = table(spark, sf, "events").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"), F.countDistinct("user_id").alias("n_users"))
     c = table(spark, sf, "customer").agg(F.count_if(F.col("c_acctbal") < 0).alias("n_debtors"))
@@ -124,7 +124,7 @@ s AS (SELECT query, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len
 SELECT query, doc_id, rank, matched, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 3
 """)
 def t_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    """The three best documents for each benchmark item (t_bm25_noidf, t_idf_sum, t_hybrid_case by parameters)."""
+    """The three best documents for each benchmark item."""
     d = table(spark, sf, "documents")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(texts.words(F.col("text")))).alias("term"))
     lengths = d.select("doc_id", F.size(texts.words(F.col("text"))).alias("len"))
@@ -140,7 +140,7 @@ WITH h AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|of|and)\\b')
 SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a = greatest(a, b, c) THEN 'function' WHEN b = greatest(a, b, c) THEN 'licence' ELSE 'verbs' END AS label, greatest(a, b, c)::INT AS hits, round(coalesce(greatest(a, b, c)::DOUBLE / nullif(a + b + c, 0), 0), 6) AS confidence FROM h
 """)
 def t_tfidf_class(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword classes (agg_doc_signals, t_intent, s_count_word)."""
+    """Keyword classes."""
     got = retrieval.keyword_class(table(spark, sf, "documents"), "doc_id", F.col("text"), LEXICON)
     return got.select("doc_id", "label", "hits", F.round("confidence", 6).alias("confidence"))
 
@@ -149,7 +149,7 @@ def t_tfidf_class(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::INT AS email, len(regexp_extract_all(text, '\\b[0-9]{17}[0-9Xx]\\b'))::INT AS id18, len(regexp_extract_all(text, '\\b[0-9]{16,19}\\b'))::INT AS card, len(regexp_extract_all(text, '\\b1[3-9][0-9]{9}\\b'))::INT AS mobile, len(regexp_extract_all(text, '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b'))::INT AS ip FROM documents
 """)
 def s_pii_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """Personal data by kind (s_pii_classify)."""
+    """Personal data by kind."""
     return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in texts.personal_counts(F.col("text")).items()])
 
 
@@ -164,7 +164,7 @@ def s_strip_html(spark: SparkSession, sf: str) -> DataFrame:
 SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^0-9a-z\\x{4e00}-\\x{9fff}]+', ' ', 'g'), ' +', ' ', 'g')) AS clean, left(s_name, 2) || repeat('*', length(s_name) - 4) || right(s_name, 2) AS masked, 'TK-' || upper(left(sha256('salt' || s_name), 16)) AS token FROM supplier
 """)
 def s_mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned, masked and pseudonymous names (s_clean_field, s_norm_name, s_tokenize, s_company_suffix in tests)."""
+    """Cleaned, masked and pseudonymous names."""
     n = F.col("s_name")
     return table(spark, sf, "supplier").select("s_suppkey", texts.clean_field(n).alias("clean"), texts.mask(n).alias("masked"), texts.token(n, "salt").alias("token"))
 
@@ -174,7 +174,7 @@ WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '
 SELECT conv_id, turn, round(coalesce(len(list_intersect(w, q))::DOUBLE / nullif(len(list_distinct(list_concat(w, q))), 0), 0), 6) AS overlap FROM p WHERE q IS NOT NULL
 """)
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """Word overlap of each turn with the one before (set_compare, t_cross_modal)."""
+    """Word overlap of each turn with the one before."""
     w = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(texts.words(F.col("text"))).alias("w"))
     p = w.withColumn("q", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("q is not null")
     return p.select("conv_id", "turn", F.round(texts.jaccard(F.col("w"), F.col("q")), 6).alias("overlap"))
@@ -194,6 +194,6 @@ def n_cosine(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderkey, strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) AS quarter, isoyear(o_orderdate) || '-W' || lpad(week(o_orderdate)::VARCHAR, 2, '0') AS week, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS monday FROM orders
 """)
 def d_period(spark: SparkSession, sf: str) -> DataFrame:
-    """Periods of a day (d_trunc, d_align)."""
+    """Periods of a day."""
     d = F.col("o_orderdate")
     return table(spark, sf, "orders").select("o_orderkey", times.period(d, "quarter").alias("quarter"), times.period(d, "week").alias("week"), F.date_format(F.date_trunc("week", d), "yyyy-MM-dd").alias("monday"))

@@ -426,10 +426,10 @@ def join_keyword_scenario(spark: SparkSession, sf: str) -> DataFrame:
     return _transfers(spark, sf).select("l_orderkey", "l_linenumber", "scenario", "ratio")
 
 
-@query(f"WITH {SCENARIO_SQL}, r AS (SELECT scenario, round(tax * ratio, 2) AS transfer FROM i JOIN s ON regexp_matches(t, p)) SELECT scenario, count(*) AS n, round(sum(transfer), 2) AS total FROM r GROUP BY 1")
+@query(f"WITH {SCENARIO_SQL}, r AS (SELECT scenario, tax * ratio AS transfer FROM i JOIN s ON regexp_matches(t, p)) SELECT scenario, count(*) AS n, round(sum(transfer), 2) AS total FROM r GROUP BY 1")
 def c_tax_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """Input tax to be transferred out by scenario: the share of sales that bear no tax, or the scenario's own ratio."""
-    return _transfers(spark, sf).groupBy("scenario").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("tax") * F.col("ratio"), 2)), 2).alias("total"))
+    return _transfers(spark, sf).groupBy("scenario").agg(F.count("*").alias("n"), F.round(F.sum(F.col("tax") * F.col("ratio")), 2).alias("total"))
 
 
 SUBSCRIPTIONS = [("R1", ["tax", "trade"], "ALL", "all"), ("R2", ["tax"], "CN", "building"), ("R3", ["data"], "US", "all"), ("R4", ["data", "trade"], "ALL", "machinery")]

@@ -232,7 +232,7 @@ def win_degradation(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("user_id", F.round(100 * F.col("d"), 4).alias("drop_pct"), level.alias("level"), F.when(F.col("d") < -0.05, "up").when(F.col("d") > 0.05, "down").otherwise("stable").alias("trend"))
 
 
-SOLVED = "SELECT c_custkey, c_nationkey, (c_custkey * 7 % 100) * 0.6 + CASE c_custkey % 3 WHEN 0 THEN 40 WHEN 1 THEN 25 ELSE 10 END * 0.4 AS priority, c_custkey * 11 % 60 + 1 AS days FROM customer"
+SOLVED = "SELECT c_custkey, c_nationkey, round(((c_custkey * 7 % 100) * 0.6 + CASE c_custkey % 3 WHEN 0 THEN 40 WHEN 1 THEN 25 ELSE 10 END * 0.4)::DOUBLE, 9) AS priority, c_custkey * 11 % 60 + 1 AS days FROM customer"
 
 
 @query(f"WITH s AS ({SOLVED}) SELECT c_nationkey, c_custkey, round(priority::DOUBLE, 6) AS priority, row_number() OVER (PARTITION BY c_nationkey ORDER BY priority DESC, c_custkey) AS position FROM s")
@@ -252,7 +252,7 @@ def win_roadmap(spark: SparkSession, sf: str) -> DataFrame:
 def _solved(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     urgency = F.when(k % 3 == 0, 40).when(k % 3 == 1, 25).otherwise(10)
-    s = table(spark, sf, "customer").select(k, "c_nationkey", ((k * 7 % 100) * 0.6 + urgency * 0.4).alias("priority"), (k * 11 % 60 + 1).alias("days"))
+    s = table(spark, sf, "customer").select(k, "c_nationkey", F.round((k * 7 % 100) * 0.6 + urgency * 0.4, 9).alias("priority"), (k * 11 % 60 + 1).alias("days"))
     return s.withColumn("position", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("priority"), "c_custkey")))
 
 
@@ -403,7 +403,7 @@ def ss_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT *, (event_id // 1000) AS batch FROM events), m AS (SELECT batch, event_type, avg(value) AS mean, greatest(stddev_samp(value), 0.001) AS sd FROM b GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT event_type, batch, mean, sd, coalesce(lead(batch) OVER (PARTITION BY event_type ORDER BY batch), 1 << 60) AS until FROM m)
+WITH b AS (SELECT *, (event_id // 1000) AS batch FROM events), m AS (SELECT batch, event_type, avg(value) AS mean, greatest(stddev_samp(value), 0.001) AS sd FROM b GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT event_type, batch, mean, sd, coalesce(lead(batch) OVER (PARTITION BY event_type ORDER BY batch), 9000000000) AS until FROM m)
 SELECT event_id, round((value - mean) / sd, 6) AS z, coalesce(abs((value - mean) / sd) > 1.6, false) AS odd, value > 90 AS ruled FROM b LEFT JOIN p ON p.event_type = b.event_type AND p.batch < b.batch AND b.batch <= p.until
 """)
 def ss_monitor(spark: SparkSession, sf: str) -> DataFrame:

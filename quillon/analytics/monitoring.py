@@ -38,10 +38,12 @@ WITH t AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY e
 SELECT event_id, event_type, round(z, 4) AS z, back <= 5 AS recent FROM t WHERE abs(z) > 1.6
 """)
 def win_zscore(spark: SparkSession, sf: str) -> DataFrame:
-    """Values far from their metric's mean; whether among the last five (win_last5_z)."""
-    z = series.zscored(table(spark, sf, "events").where("value is not null"), ["event_type"], "value")
-    back = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return z.withColumn("recent", back <= 5).where(F.abs("z") > 1.6).select("event_id", "event_type", F.round("z", 4).alias("z"), "recent")
+    """Values far from their metric's mean; whether among the last five."""
+    e = table(spark, sf, "events").where("value is not null").select("event_id", "event_type", "ts", "value")
+    moments = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    last = series.last_rows(e, ["event_type"], ["ts", "event_id"], 5).select("event_id", F.lit(True).alias("recent"))
+    z = e.join(moments, "event_type").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("m")) / F.col("sd"))).where(F.abs("z") > 1.6)
+    return z.join(last, "event_id", "left").select("event_id", "event_type", F.round("z", 4).alias("z"), F.coalesce("recent", F.lit(False)).alias("recent"))
 
 
 @query(f"""
@@ -79,7 +81,7 @@ WITH {DAILY_SQL}, s AS (SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s
 SELECT event_type, day::VARCHAR AS day, CASE WHEN v > m + 3 * sd OR v < m - 3 * sd THEN 'out' WHEN v > m + 2 * sd OR v < m - 2 * sd THEN 'warn' WHEN v = 0 AND p > 0 THEN 'zero' END AS kind FROM s WHERE v > m + 2 * sd OR v < m - 2 * sd OR (v = 0 AND p > 0)
 """)
 def win_spc(spark: SparkSession, sf: str) -> DataFrame:
-    """Control limits at two and three sample deviations, and sudden zeros (win_spike)."""
+    """Control limits at two and three sample deviations, and sudden zeros."""
     own = Window.partitionBy("event_type")
     s = daily(spark, sf).withColumn("m", F.avg("v").over(own)).withColumn("sd", F.stddev_samp("v").over(own)).withColumn("p", F.lag("v").over(own.orderBy("day")))
     off = F.abs(F.col("v") - F.col("m"))
@@ -103,7 +105,7 @@ g AS (SELECT *, sum(CASE WHEN mv = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY event
 SELECT event_type, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last, count(*) AS n FROM g WHERE mv = 1 GROUP BY event_type, island HAVING count(*) >= 2
 """)
 def win_trend_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Rises in a row; ties end a run (rule_typed trend, win_consecutive)."""
+    """Rises in a row; ties end a run."""
     m = series.moves(daily(spark, sf), ["event_type"], ["day"], "v")
     return series.runs(m, ["event_type"], ["day"], F.col("move") == 1, 2).select("event_type", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "n")
 
@@ -122,7 +124,7 @@ WITH {DAILY_SQL}, o AS (SELECT event_type, day, avg(v) OVER b AS before, avg(v)
 SELECT event_type, day::VARCHAR AS day, round((after - before) / abs(before), 6) AS change FROM o WHERE nb = 3 AND na = 3 AND abs((after - before) / nullif(abs(before), 0)) > 0.1
 """)
 def win_change_point(spark: SparkSession, sf: str) -> DataFrame:
-    """Days where three-day means before and after differ by a tenth (win_half_trend in small)."""
+    """Days where three-day means before and after differ by a tenth."""
     return series.change_points(daily(spark, sf), ["event_type"], ["day"], "v", 3, 0.1).select("event_type", F.col("day").cast("string").alias("day"), F.round("change", 6).alias("change"))
 
 
@@ -159,7 +161,7 @@ def win_yoy(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) WHERE p > o_orderdate
 """)
 def win_order_violation(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders dated before the one numbered before them (win_prev_slice)."""
+    """Orders dated before the one numbered before them."""
     before = F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     return table(spark, sf, "orders").withColumn("p", before).where("p > o_orderdate").select("o_orderkey", "o_custkey")
 
@@ -179,8 +181,7 @@ SELECT o_custkey, n, x AS head FROM h WHERE i = n
 """)
 def win_chain_hash(spark: SparkSession, sf: str) -> DataFrame:
     """The head of each customer's hash chain."""
-    got = series.chained(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], F.concat_ws("|", "o_orderkey", "o_orderstatus"))
-    return got.select("o_custkey", F.size("hashes").cast("long").alias("n"), F.element_at("hashes", -1).alias("head"))
+    return series.chain_head(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], F.concat_ws("|", "o_orderkey", "o_orderstatus"))
 
 
 @query("""
@@ -206,7 +207,7 @@ WITH l AS (SELECT o_orderkey, datediff('day', o_orderdate::DATE, DATE '2000-01-0
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN age > 1500 THEN 'overdue' WHEN age > 700 THEN 'escalated' WHEN age > 350 THEN 'due_soon' ELSE 'open' END AS state FROM l
 """)
 def ss_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """State by age as of a given day (ss_state_machine, ss_progress, d_escalate)."""
+    """State by age as of a given day."""
     age = F.datediff(F.lit("2000-01-01").cast("date"), "o_orderdate")
     return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "done").otherwise(rules.bands(age, [(1501, "overdue"), (701, "escalated"), (351, "due_soon")], "open")).alias("state"))
 
@@ -216,7 +217,7 @@ WITH s AS (SELECT c_nationkey, c_custkey, c_acctbal FROM customer)
 SELECT c_nationkey, c_custkey, rank, round(rrf, 8) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY rrf DESC, c_custkey) AS rank FROM (SELECT c_nationkey, c_custkey, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY c_nationkey ORDER BY -c_custkey DESC, c_custkey)) AS rrf FROM s)) WHERE rank <= 5
 """)
 def win_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank fusion of two orderings, the five best of each nation (win_rank, top-k)."""
+    """Rank fusion of two orderings, the five best of each nation."""
     s = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal", (-F.col("c_custkey")).alias("other"))
     got = stats.ranked(series.reciprocal_ranks(s, ["c_nationkey"], "c_custkey", ["c_acctbal", "other"]), ["c_nationkey"], "rrf", "c_custkey", 5)
     return got.select("c_nationkey", "c_custkey", "rank", F.round("rrf", 8).alias("rrf"))
@@ -226,6 +227,6 @@ def win_rrf(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM orders
 """)
 def win_cum_net(spark: SparkSession, sf: str) -> DataFrame:
-    """Running sums (win_roadmap)."""
+    """Running sums."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(by), 2).alias("cumulative"))

@@ -271,11 +271,11 @@ def g_fund_flow(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionAll(found[1])
 
 
-@query(f"WITH {LINKS}, b AS (SELECT src AS id, 1 AS o, w * (src % 5) / 10.0 AS a FROM g UNION ALL SELECT dst, 0, w * (src % 5) / 10.0 FROM g) SELECT id, sum(o)::BIGINT AS given, sum(1 - o)::BIGINT AS taken, round(coalesce(sum(a) FILTER (o = 1), 0), 2) AS exposure FROM b GROUP BY 1")
+@query(f"WITH {LINKS}, b AS (SELECT src AS id, 1 AS o, w * (src % 5) / 10.0 AS a FROM g UNION ALL SELECT dst, 0, w * (src % 5) / 10.0 FROM g) SELECT id, sum(o)::BIGINT AS given, sum(1 - o)::BIGINT AS taken, round(coalesce(sum(a) FILTER (o = 1), 0), 4) AS exposure FROM b GROUP BY 1")
 def agg_guarantee(spark: SparkSession, sf: str) -> DataFrame:
     """Guarantees given and taken by each party, and what it stands for: amounts times their ratio."""
     x = strong(spark, sf).withColumn("a", F.col("w") * (F.col("src") % 5) / 10.0)
-    return graphs.degrees(x, "a").select("id", F.col("out_degree").alias("given"), F.col("in_degree").alias("taken"), F.round("out_volume", 2).alias("exposure"))
+    return graphs.degrees(x, "a").select("id", F.col("out_degree").alias("given"), F.col("in_degree").alias("taken"), F.round("out_volume", 4).alias("exposure"))
 
 
 @query(f"""
@@ -283,7 +283,7 @@ WITH {TRADE}, b AS (SELECT src AS id, 1 AS o, w FROM e UNION ALL SELECT dst, 0,
 SELECT id, sum(o)::BIGINT AS out_degree, sum(1 - o)::BIGINT AS in_degree, round(coalesce(sum(w) FILTER (o = 1), 0), 2) AS out_volume, round(coalesce(sum(w) FILTER (o = 0), 0), 2) AS in_volume FROM b GROUP BY 1
 """)
 def agg_degree_volume(spark: SparkSession, sf: str) -> DataFrame:
-    """Degrees and volumes (agg_guarantee)."""
+    """Degrees and volumes."""
     got = graphs.degrees(trade(spark, sf), "w")
     return got.select("id", "out_degree", "in_degree", F.round("out_volume", 2).alias("out_volume"), F.round("in_volume", 2).alias("in_volume"))
 
@@ -314,7 +314,7 @@ p AS (SELECT o_custkey, block, n, CASE n WHEN 1 THEN hs[1] WHEN 2 THEN sha256(hs
 SELECT o_custkey, block, n, root, sha256(coalesce(lag(root) OVER (PARTITION BY o_custkey ORDER BY block), '') || root) AS link FROM p
 """)
 def lg_merkle(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of four with Merkle roots, linked (lg_block)."""
+    """Blocks of four with Merkle roots, linked."""
     b = ledgers.blocks(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], F.concat_ws("|", "o_orderkey", "o_orderstatus"), 4)
     return ledgers.linked(b, ["o_custkey"], ["block"], "root")
 
@@ -402,14 +402,14 @@ def n_irr(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_brand, f::DOUBLE AS factor, round(sum(p_retailprice * f) - 0.6 * sum(p_retailprice), 2) AS margin FROM part, (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2]) AS f) GROUP BY ALL
 """)
 def sens_tornado(spark: SparkSession, sf: str) -> DataFrame:
-    """A margin at five factors (what_if)."""
+    """A margin at five factors."""
     p = table(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("t"))
     return p.select("p_brand", "t", F.explode(F.array(*map(F.lit, (0.8, 0.9, 1.0, 1.1, 1.2)))).alias("factor")).select("p_brand", "factor", F.round(F.col("t") * F.col("factor") - 0.6 * F.col("t"), 2).alias("margin"))
 
 
 @query()
 def mc_value(spark: SparkSession, sf: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Monte Carlo by brand: draws are rows, so they spread; seeded (mc_roi)."""
+    """Monte Carlo by brand: draws are rows, so they spread; seeded."""
     base = table(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("t"))
     runs = spark.range(draws).select(F.randn(seed).alias("g"), F.rand(seed + 1).alias("u"))
     tri = F.when(F.col("u") < 0.5, F.sqrt(F.col("u") / 2)).otherwise(1 - F.sqrt((1 - F.col("u")) / 2))

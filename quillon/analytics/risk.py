@@ -99,8 +99,13 @@ WITH u AS (SELECT p_brand, p_type, l_extendedprice / l_quantity AS price FROM li
 SELECT p_type, count(*) AS n, round(avg(price), 4) AS mean, round(median(price), 4) AS median, round(list_sort(list(price))[(count(*) // 4)::INT + 1], 4) AS q1, round(list_sort(list(price))[(3 * count(*) // 4)::INT + 1], 4) AS q3, round(stddev_samp(price), 4) AS std FROM u GROUP BY 1 HAVING count(*) >= 3
 """)
 def agg_pli(spark: SparkSession, sf: str) -> DataFrame:
-    """Index quartiles; also agg_peer (sample deviation)."""
-    got = _unit_prices(spark, sf).groupBy("p_type").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.round(F.percentile("price", 0.5), 4).alias("median"), F.round(numbers.quartile_index(F.col("price"), 1), 4).alias("q1"), F.round(numbers.quartile_index(F.col("price"), 3), 4).alias("q3"), F.round(F.stddev_samp("price"), 4).alias("std"))
+    """Mean, median, sample deviation and index quartiles of unit prices by type."""
+    u = _unit_prices(spark, sf)
+    half = {"_a": F.floor((F.col("n") - 1) / 2), "_b": F.ceil((F.col("n") - 1) / 2)}
+    places = stats.at_ranks(u, ["p_type"], "price", {**half, "q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)})
+    moments = u.groupBy("p_type").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"))
+    met = places.join(moments, "p_type").withColumn("median", (F.col("_a") + F.col("_b")) / 2)
+    got = met.select("p_type", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "q1", "q3", "std")])
     return got.where("n >= 3")
 
 
@@ -131,7 +136,7 @@ SELECT event_id, array_to_string(list_filter([CASE WHEN value > 80 THEN 'large'
  CASE WHEN score >= 80 THEN 'P0' WHEN score >= 60 THEN 'P1' WHEN score >= 40 THEN 'P2' ELSE 'P3' END AS severity FROM events
 """)
 def rule_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Alert scores and severity bands (rule_score, rule_threshold, grade_bands)."""
+    """Alert scores and severity bands."""
     hour = F.hour("ts")
     known = [("large", 45.0, rules.compare(F.col("value"), ">", 80)), ("spend", 25.0, rules.compare(F.col("event_type"), "==", "purchase")), ("after_hours", 30.0, F.coalesce((hour < 6) | (hour > 22), F.lit(False))), ("access", 15.0, rules.compare(F.col("event_type"), "in", ["login", "logout", "signup"]))]
     got = rules.apply_rules(table(spark, sf, "events"), known, cap=100.0)
@@ -160,7 +165,7 @@ y AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN list_min(list_tran
 SELECT l_orderkey, l_linenumber, array_to_string(i, ',') AS issues, round(least((CASE WHEN list_contains(i, 'rate') THEN 0.3 ELSE 0 END) + (CASE WHEN list_contains(i, 'discount') THEN 0.2 ELSE 0 END) + (CASE WHEN list_contains(i, 'small') THEN 0.15 ELSE 0 END) + (CASE WHEN list_contains(i, 'large') THEN 0.35 ELSE 0 END), 1)::DOUBLE, 2) AS risk FROM y WHERE len(i) > 0
 """)
 def rule_invoice(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoice lines with their issues; the nearest standard rate is an array minimum (join_nearest_rate)."""
+    """Invoice lines with their issues; the nearest standard rate is an array minimum."""
     x = table(spark, sf, "lineitem").withColumn("excl", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     off = F.array_min(F.transform(F.array(*map(F.lit, (0.0, 0.03, 0.06, 0.08))), lambda r: F.abs(F.col("l_tax") - r)))
     known = [("rate", 0.3, off > 0.005), ("discount", 0.2, F.col("l_discount") >= 0.09), ("small", 0.15, F.col("excl") < 1500), ("large", 0.35, (F.col("l_quantity") >= 45) & (F.col("excl") > 60_000))]
@@ -173,7 +178,7 @@ WITH x AS (SELECT o_orderkey, least(greatest((1 / (1 + exp(-(-3.5 + 1.2 * (o_tot
 SELECT o_orderstatus, count(*) AS n, round(sum(ead), 2) AS ead, round(sum(pd * lgd * ead), 2) AS el, round(sum(pd * lgd * ead) / sum(ead), 6) AS el_rate, count(*) FILTER (pd >= 0.2) AS weak FROM x GROUP BY 1
 """)
 def agg_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected loss by status: logistic default odds, loss by segment (n_pd, n_sigmoid, join_dim_credit)."""
+    """Expected loss by status: logistic default odds, loss by segment."""
     x = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     pd_ = numbers.sigmoid(-3.5 + 1.2 * (F.col("o_totalprice") / 300_000) + F.when(F.col("c_acctbal") < 0, 1.4).otherwise(0.0))
     lgd = F.when(F.col("c_mktsegment") == "BUILDING", 0.45).when(F.col("c_mktsegment") == "MACHINERY", 0.5).when(F.col("c_mktsegment") == "AUTOMOBILE", 0.4).otherwise(0.6)
@@ -187,7 +192,7 @@ WITH e AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice) A
 SELECT x.src AS a, x.dst AS b, round(x.w, 2) AS out, round(y.w, 2) AS back, round(least(x.w, y.w) / greatest(x.w, y.w), 6) AS ratio FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst AND least(x.w, y.w) / greatest(x.w, y.w) >= 0.7
 """)
 def join_symmetric(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations that trade both ways in like amounts (join_reverse, join_mutual)."""
+    """Nations that trade both ways in like amounts."""
     got = joins.reversed_flows(trade(spark, sf), "src", "dst", "w")
     return got.select("a", "b", F.round("out", 2).alias("out"), F.round("back", 2).alias("back"), F.round("ratio", 6).alias("ratio"))
 
@@ -217,7 +222,7 @@ WHERE (SELECT count(*) FROM l z WHERE z.kind = x.kind AND z.value = x.value) <=
 UNION ALL SELECT m.a, l.id, l.kind, l.value, m.members FROM l JOIN (SELECT kind, value, min(id) AS a, count(*) AS members FROM l GROUP BY kind, value HAVING count(*) > 200) m ON l.kind = m.kind AND l.value = m.value AND l.id > m.a
 """)
 def join_share(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers that share a nation or a balance band (join_shared_attr)."""
+    """Suppliers that share a nation or a balance band."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("band"))
     return joins.sharing_pairs(s, "id", ["nation", "band"])
 
@@ -242,7 +247,7 @@ WITH b AS (SELECT p_brand, avg(p_retailprice) AS base FROM part WHERE p_size >=
 SELECT p_partkey, CASE WHEN base IS NULL THEN 'no_baseline' WHEN p_retailprice > 1.15 * base THEN 'high' WHEN p_retailprice < 0.85 * base THEN 'low' ELSE 'normal' END AS status FROM part LEFT JOIN b USING (p_brand)
 """)
 def join_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """Each part against its brand's baseline, kept where there is none (join_dim)."""
+    """Each part against its brand's baseline, kept where there is none."""
     p = table(spark, sf, "part")
     b = p.where("p_size >= 25").groupBy("p_brand").agg(F.avg("p_retailprice").alias("base"))
     x = p.join(b, "p_brand", "left")
@@ -253,7 +258,7 @@ def join_baseline(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) 
 """)
 def semi_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an order (anti_broken_ref)."""
+    """Customers without an order."""
     return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -279,14 +284,14 @@ d AS (SELECT o_orderkey, sqrt(power((f1 - m1) / s1, 2) + power((f2 - m2) / s2, 2
 SELECT o_orderkey, round(distance, 6) AS distance, distance > (SELECT quantile_cont(distance, 0.9) FROM d) AS top FROM d
 """)
 def ml_recon(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of standardised features to the centre, top tenth flagged (ml_features, ml_standardize, n_percentile)."""
+    """Distance of standardised features to the centre, top tenth flagged."""
     got = stats.top_share(stats.centre_distance(_features(spark, sf), ["f1", "f2", "f3"]), "distance", 0.1, "top")
     return got.select("o_orderkey", F.round("distance", 6).alias("distance"), "top")
 
 
 @query()
 def ml_iforest(spark: SparkSession, sf: str) -> DataFrame:
-    """Isolation forest on a bounded sample, scores for every row (ml_iforest_path, ml_iforest_1d)."""
+    """Isolation forest on a bounded sample, scores for every row."""
     return stats.isolation(_features(spark, sf), "o_orderkey", ["f1", "f2", "f3"]).select("o_orderkey", "iso")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quillon.analytics.networks import starts, strong
 from quillon.analytics.registry import query, table
 from quillon.functions import numbers, texts
-from quillon.operators import graphs
+from quillon.operators import graphs, stats
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS plain, floor(o_totalprice / 10000) * 10000 AS units FROM orders")
 def n_parse_amount(spark: SparkSession, sf: str) -> DataFrame:
-    """Amounts written with marks, commas and units, read back (n_parse_amount_null)."""
+    """Amounts written with marks, commas and units, read back."""
     o = table(spark, sf, "orders")
     marked = F.concat(F.lit("¥ "), F.format_number("o_totalprice", 2))
     unit = F.concat(F.floor(F.col("o_totalprice") / 10_000).cast("string"), F.lit("万"))
@@ -27,7 +27,7 @@ s AS (SELECT o_orderkey, sum(CASE WHEN place % 2 = 0 THEN CASE WHEN 2 * v > 9 TH
 SELECT o_orderkey, ok FROM s
 """)
 def s_luhn(spark: SparkSession, sf: str) -> DataFrame:
-    """Luhn's check of derived card numbers (s_card_luhn)."""
+    """Luhn's check of derived card numbers."""
     return table(spark, sf, "orders").select("o_orderkey", numbers.luhn(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 16, "4")).alias("ok"))
 
 
@@ -37,7 +37,7 @@ s AS (SELECT c_custkey, c, (SELECT sum(substr(c, i, 1)::INT * w) FROM (SELECT un
 SELECT c_custkey, substr('10X98765432', r + 1, 1) = 'X' AS ok FROM s
 """)
 def s_id18(spark: SparkSession, sf: str) -> DataFrame:
-    """Which derived identity codes are right with a final X (s_uscc in tests)."""
+    """Which derived identity codes are right with a final X."""
     return table(spark, sf, "customer").select("c_custkey", numbers.id18(F.concat(F.lpad((F.col("c_custkey") * 104_729).cast("string"), 17, "3"), F.lit("X"))).alias("ok"))
 
 
@@ -57,14 +57,15 @@ SELECT p_brand, round(list_sort(list(p_retailprice))[floor(count(*) * 0.9)::INT
 """)
 def n_percentile_idx(spark: SparkSession, sf: str) -> DataFrame:
     """The value at index int(n p), without interpolation."""
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.round(numbers.percentile_index(F.col("p_retailprice"), 0.9), 4).alias("p90"))
+    got = stats.at_ranks(table(spark, sf, "part"), ["p_brand"], "p_retailprice", {"p90": F.floor(F.col("n") * 0.9)})
+    return got.select("p_brand", F.round("p90", 4).alias("p90"))
 
 
 @query("""
 SELECT conv_id, turn, (length(text) - length(replace(text, 'th', ''))) // 2 AS n_th, CASE WHEN role = 'user' THEN '2.0.0' ELSE '1.5.0' END AS version FROM conversations
 """)
 def s_count_sub(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences of a part, and version bumps by role (s_bump_version)."""
+    """Occurrences of a part, and version bumps by role."""
     change = F.when(F.col("role") == "user", "major").otherwise("minor")
     return table(spark, sf, "conversations").select("conv_id", "turn", texts.count_of(F.col("text"), "th").alias("n_th"), texts.bump(F.lit("1.4.2"), change).alias("version"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.analytics.derive import choice, doubles
 from quillon.analytics.registry import query, table
 from quillon.functions import numbers, texts, times
-from quillon.operators import checks, rules
+from quillon.operators import checks, rules, stats
 
 DAY = "o_orderdate::DATE"
 LATER = "(o_orderdate + to_hours((o_orderkey % 24)::INT) + to_minutes((o_orderkey % 60)::INT))"
@@ -89,13 +89,13 @@ def d_days(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-01-31') / 3600000000.0 AS h FROM events)
-SELECT event_id, CASE WHEN h >= 168 THEN 'director' WHEN h >= 72 THEN 'manager' WHEN h >= 24 THEN 'reminder' END AS level, round(h, 6) AS hours FROM h
+SELECT event_id, CASE WHEN h >= 168 THEN 'director' WHEN h >= 72 THEN 'manager' WHEN h >= 24 THEN 'reminder' END AS level, round(h, 4) AS hours FROM h
 """)
 def d_escalate(spark: SparkSession, sf: str) -> DataFrame:
     """The step of the ladder that an unanswered confirmation has reached by its age in hours."""
     h = times.hours_since(F.col("ts"), F.lit("2024-01-31").cast("timestamp"))
     rows = table(spark, sf, "events").select("event_id", h.alias("h"))
-    return rows.select("event_id", rules.bands(F.col("h"), [(168, "director"), (72, "manager"), (24, "reminder")], None).alias("level"), F.round("h", 6).alias("hours"))
+    return rows.select("event_id", rules.bands(F.col("h"), [(168, "director"), (72, "manager"), (24, "reminder")], None).alias("level"), F.round("h", 4).alias("hours"))
 
 
 AMOUNTS = choice("o_orderkey", ["¥1,234.50", "3.5万", "n/a", "-", "2亿", "abc", "  87 ", ""])
@@ -113,8 +113,9 @@ def n_parse_amount_null(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_brand, round(quantile_cont(p_retailprice, 0.1), 6) AS p10, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.95), 6) AS p95 FROM part GROUP BY 1")
 def n_percentile(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles by linear interpolation between ranks."""
-    v = F.col("p_retailprice")
-    return table(spark, sf, "part").groupBy("p_brand").agg(*[F.round(numbers.percentile_linear(v, p), 6).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95))])
+    points = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
+    got = stats.percentiles(table(spark, sf, "part"), ["p_brand"], "p_retailprice", points)
+    return got.select("p_brand", *[F.round(n, 6).alias(n) for n in points])
 
 
 @query("SELECT c_custkey, round(1 / (1 + exp(-(c_acctbal - 4500) / 1500)), 8) AS p FROM customer")

@@ -9,8 +9,9 @@ from quillon.sources.scratch import cut
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling: bool = True, every: int = 5, tolerance: float = 0.0) -> DataFrame:
-    """(id, rank), weights aside. Without ``dangling`` the mass of nodes without a way out is lost. Each ``every`` rounds the ranks
-    are written; there it ends if the last round moved no rank by ``tolerance``."""
+    """(id, rank), weights aside. Without ``dangling`` the mass of nodes without a way out is lost. The ranks are written each round,
+    since a round reads those of the one before up to three times; each ``every`` rounds it is seen whether the last one moved a
+    rank by ``tolerance``, and if not it ends."""
     edges = cut(edges.select("src", "dst").distinct())
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(degree.withColumnRenamed("src", "id"), "id", "left"))
@@ -20,17 +21,14 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling
     ranks = nodes.select("id", "deg", F.lit(1.0 / n).alias("rank"))
     for k in range(rounds):
         gained = edges.join(ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("share")), "src").groupBy("dst").agg(F.sum("share").alias("in")).withColumnRenamed("dst", "id")
-        look = (k + 1) % every == 0
         new = ranks.select("id", "deg", F.col("rank").alias("before")).join(gained, "id", "left")
         spread = F.lit(0.0)
         if dangling:
             lost = ranks.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
             new, spread = new.crossJoin(F.broadcast(lost)), F.col("lost") / n
-        new = new.select("id", "deg", "before", (F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + spread)).alias("rank"))
-        if look:
-            new = cut(new)
-            if tolerance and new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
-                return new.select("id", "rank")
+        new = cut(new.select("id", "deg", "before", (F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + spread)).alias("rank")))
+        if tolerance and (k + 1) % every == 0 and new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
+            return new.select("id", "rank")
         ranks = new.select("id", "deg", "rank")
     return ranks.select("id", "rank")
 

@@ -128,6 +128,13 @@ def chained(df: DataFrame, keys: list[str], order: list[str], content: Column, s
     return got.select(*keys, F.aggregate("_s", start, link).alias("hashes"))
 
 
+def chain_head(df: DataFrame, keys: list[str], order: list[str], content: Column, size: int = 16) -> DataFrame:
+    """(keys, n, head): the length and the last hash of each series' chain, carried as one value, not as a list that grows."""
+    got = df.select(*keys, F.struct(*order, content.alias("_c")).alias("_s")).groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    link = lambda h, x: F.left(F.sha2(F.concat(h, x["_c"]), 256), F.lit(size))
+    return got.select(*keys, F.size("_s").cast("long").alias("n"), F.aggregate("_s", F.lit(""), link).alias("head"))
+
+
 def seasonal(df: DataFrame, keys: list[str], order: list[str], value: str, period: int) -> DataFrame:
     """Seasonal strength: the share of a series' variance that lies between the means of its ``period`` phases."""
     rows = df.withColumn("_p", (F.row_number().over(_by(keys, order)) - 1) % period).withColumn("_m", F.avg(value).over(Window.partitionBy(*keys)))

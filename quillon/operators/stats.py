@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillon.functions.numbers import first_digit
+from quillon.sources.scratch import cut
 
 #: Critical value of chi-squared at 5 % with eight degrees of freedom.
 CHI2 = 15.507
@@ -32,18 +33,53 @@ def benford_score(df: DataFrame, amount: str, keys: list[str], least: int = 10)
     return own.withColumn("score", F.when(F.col("n") >= least, F.least(F.col("chi2") / CHI2, F.lit(1.0))).otherwise(0.0))
 
 
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, n, one column a name): the values at given places, counted from 0, of each group in order; a place is an expression
+    over ``n``, the group's size. Exact.
+
+    Rows are counted in GROUP_CELLS equal cells between a group's ends; the counts say in which cell a place lies, and only the
+    rows of such cells are put in order, cell by cell. No task holds a group.
+    """
+    rows = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / GROUP_CELLS)
+    cell = F.when(width.isNull(), 0).otherwise(F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(GROUP_CELLS - 1))).cast("int")
+    celled = rows.join(ends, keys).select(*keys, "_v", cell.alias("_cell"))
+    cells = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_k"))
+    cells = cells.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_cell")))
+    asked = ends.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), place.cast("long").alias("_rank")) for name, place in ranks.items()])).alias("_x")).select(*keys, "n", "_x.*")
+    found = cut(asked.join(cells, keys).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k"))).select(*keys, "n", "_name", "_cell", (F.col("_rank") - F.col("_upto") + F.col("_k")).alias("_rank")))
+    inside = celled.join(found.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_k"))
+    inside = inside.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys, "_cell").orderBy("_v")))
+    hit = found.join(inside, [*keys, "_cell"]).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k")))
+    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+#: Cells of each group in a search for places.
+GROUP_CELLS = 1024
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, n, one column a name): percentiles of each group with linear interpolation between ranks; exact, and no task holds a
+    group."""
+    at = {k: (F.col("n") - 1) * p for k, p in points.items()}
+    ends = {f"_{k}_{side}": f(place) for k, place in at.items() for side, f in (("a", F.floor), ("b", F.ceil))}
+    got = at_ranks(df, keys, value, ends)
+    return got.select(*keys, "n", *[(F.col(f"_{k}_a") + (F.col(f"_{k}_b") - F.col(f"_{k}_a")) * (place - F.floor(place))).alias(k) for k, place in at.items()])
+
+
 def fences(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
     """Rows with the group's fences at the quartiles less and plus ``k`` ranges, and whether they lie outside."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, (F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])).alias("low"), (F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])).alias("high"))
+    q = percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    q = q.select(*keys, (F.col("_q1") - k * (F.col("_q3") - F.col("_q1"))).alias("low"), (F.col("_q3") + k * (F.col("_q3") - F.col("_q1"))).alias("high"))
     return df.join(q, keys).withColumn("outside", (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
 def price_profile(df: DataFrame, keys: list[str], value: str, least: int = 5) -> DataFrame:
     """Mean, population deviation and five percentiles of groups with ``least`` rows or more."""
-    points = [0.1, 0.25, 0.5, 0.75, 0.95]
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, F.array(*map(F.lit, points))).alias("_p")).where(F.col("n") >= least)
-    return out.select(*keys, "n", "mean", "std", *[F.col("_p")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(points)])
+    points = {f"p{int(p * 100)}": p for p in (0.1, 0.25, 0.5, 0.75, 0.95)}
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return percentiles(df, keys, value, points).where(F.col("n") >= least).join(moments, keys).select(*keys, "n", "mean", "std", *points)
 
 
 def centre_distance(df: DataFrame, features: list[str]) -> DataFrame:
@@ -186,16 +222,8 @@ def benford_rounded(df: DataFrame, amount: str, keys: list[str]) -> DataFrame:
 
 
 def index_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, q1, q3): the values at places n // 4 and 3 n // 4 of each group in order.
-
-    Values are counted first, so a group's order is over its distinct values; no group is gathered in a row.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(value))
-    totals = counts.groupBy(*keys).agg(F.sum("_k").alias("n"))
-    placed = counts.withColumn("_upto", upto).join(totals, keys)
-    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"))
+    """(keys, n, q1, q3): the values at places n // 4 and 3 n // 4 of each group in order."""
+    return at_ranks(df, keys, value, {"q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)})
 
 
 def group_scores(df: DataFrame, keys: list[str], value: str, id_: str) -> DataFrame:
