@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.analytics.derive import doubles
 from quillon.analytics.registry import query, table
 from quillon.functions import numbers
 from quillon.operators import joins, rules, stats
@@ -143,34 +144,26 @@ def rule_score(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("event_id", F.concat_ws(",", "rules").alias("rules"), "score", rules.bands(F.col("score"), [(80, "P0"), (60, "P1"), (40, "P2")], "P3").alias("severity"))
 
 
-@query("""
-WITH s AS (SELECT l_suppkey, avg(l_discount) AS disc, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE / count(*) AS ret, sum(l_extendedprice) AS vol FROM lineitem GROUP BY 1),
-x AS (SELECT s_suppkey, s_acctbal, coalesce(disc, 0) AS disc, coalesce(ret, 0) AS ret, coalesce(vol, 0) AS vol FROM supplier LEFT JOIN s ON s_suppkey = l_suppkey),
-d AS (SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 90 WHEN s_acctbal >= 0 THEN 70 ELSE 30 END AS financial, CASE WHEN ret < 0.2 THEN 90 WHEN ret < 0.35 THEN 65 ELSE 40 END AS quality, CASE WHEN vol > 1000000 THEN 85 WHEN vol > 0 THEN 60 ELSE 20 END AS business FROM x),
-y AS (SELECT *, least(greatest(0.4 * financial + 0.35 * quality + 0.25 * business, 0), 100)::DOUBLE AS score FROM d)
-SELECT s_suppkey, financial, quality, business, round(score, 1) AS score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM y
-""")
-def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers by weighted dimensions, each a banded score."""
-    s = table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("ret"), F.sum("l_extendedprice").alias("vol"))
-    x = table(spark, sf, "supplier").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_acctbal", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("vol", F.lit(0.0)).alias("vol"))
-    d = x.select("s_suppkey", F.when(F.col("s_acctbal") >= 5000, 90).when(F.col("s_acctbal") >= 0, 70).otherwise(30).alias("financial"), F.when(F.col("ret") < 0.2, 90).when(F.col("ret") < 0.35, 65).otherwise(40).alias("quality"), F.when(F.col("vol") > 1_000_000, 85).when(F.col("vol") > 0, 60).otherwise(20).alias("business"))
-    y = d.withColumn("raw", rules.weighted([(0.4, F.col("financial")), (0.35, F.col("quality")), (0.25, F.col("business"))]))
-    return y.select("s_suppkey", "financial", "quality", "business", F.round("raw", 1).alias("score"), rules.bands(F.col("raw"), [(80, "A"), (65, "B"), (50, "C")], "D").alias("grade"))
+#: Invoices derived from lines: the number, rate, amounts, date and parties of some are wrong by turns.
+INVOICE = {
+    "no": "CASE l_orderkey % 17 WHEN 0 THEN '' WHEN 1 THEN 'A-1' ELSE lpad(cast(l_orderkey as {text}), 10, '0') END", "rate": "CASE WHEN l_linenumber % 6 = 0 THEN 0.05 ELSE 0.13 END", "excl": "CASE WHEN l_orderkey % 29 = 0 THEN 0.0 ELSE l_extendedprice * (1 - l_discount) END",
+    "tax_factor": "CASE WHEN l_orderkey % 7 = 2 THEN 1.1 ELSE 1.0 END", "incl_factor": "CASE WHEN l_orderkey % 11 = 3 THEN 1.05 ELSE 1.0 END", "seller": "CASE WHEN l_suppkey % 19 = 4 THEN '' ELSE 'seller' END",
+}
+INVOICE_RISKS = [("no_empty", "error", 0.3), ("no_format", "error", 0.2), ("rate", "warning", 0.15), ("total", "error", 0.35), ("tax", "warning", 0.2), ("date", "error", 0.25), ("party", "warning", 0.15), ("amount", "error", 0.3)]
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS excl, l_tax, l_quantity, l_discount, l_extendedprice AS p FROM lineitem),
-y AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN list_min(list_transform([0.0, 0.03, 0.06, 0.08], lambda r: abs(l_tax - r))) > 0.005 THEN 'rate' END, CASE WHEN l_discount >= 0.09 THEN 'discount' END, CASE WHEN excl < 1500 THEN 'small' END, CASE WHEN l_quantity >= 45 AND excl > 60000 THEN 'large' END], lambda v: v IS NOT NULL) AS i FROM x)
-SELECT l_orderkey, l_linenumber, array_to_string(i, ',') AS issues, round(least((CASE WHEN list_contains(i, 'rate') THEN 0.3 ELSE 0 END) + (CASE WHEN list_contains(i, 'discount') THEN 0.2 ELSE 0 END) + (CASE WHEN list_contains(i, 'small') THEN 0.15 ELSE 0 END) + (CASE WHEN list_contains(i, 'large') THEN 0.35 ELSE 0 END), 1)::DOUBLE, 2) AS risk FROM y WHERE len(i) > 0
+WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate, """ + ", ".join(f"{e.format(text='varchar')} AS {n}" for n, e in INVOICE.items()) + """ FROM lineitem), y AS (SELECT *, excl * rate * tax_factor AS tax, (excl + excl * rate * tax_factor) * incl_factor AS incl FROM x),
+z AS (SELECT l_orderkey, l_linenumber, [CASE WHEN no = '' THEN 'no_empty' END, CASE WHEN no <> '' AND NOT regexp_matches(no, '^[0-9]{8,20}$') THEN 'no_format' END, CASE WHEN rate NOT IN (0.0, 0.01, 0.03, 0.06, 0.09, 0.13) THEN 'rate' END, CASE WHEN excl + tax > 0 AND abs(incl - excl - tax) / (excl + tax) > 0.02 THEN 'total' END, CASE WHEN excl * rate > 0 AND tax > 0 AND abs(tax - excl * rate) / (excl * rate) > 0.02 THEN 'tax' END, CASE WHEN l_shipdate > TIMESTAMP '2000-06-30' THEN 'date' END, CASE WHEN seller = '' THEN 'party' END, CASE WHEN incl <= 0 THEN 'amount' END] AS i FROM y), w AS (SELECT l_orderkey, l_linenumber, list_filter(i, lambda v: v IS NOT NULL) AS i FROM z)
+SELECT l_orderkey, l_linenumber, array_to_string(i, ',') AS issues, round(least(1, """ + " + ".join(f"CASE WHEN list_contains(i, '{n}') THEN {w} ELSE 0 END" for n, _, w in INVOICE_RISKS) + """)::DOUBLE, 4) AS risk, CASE WHEN len(list_intersect(i, ['no_empty', 'no_format', 'total', 'date', 'amount'])) > 0 THEN 'abnormal' ELSE 'warning' END AS status FROM w WHERE len(i) > 0
 """)
 def rule_invoice(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoice lines with their issues; the nearest standard rate is an array minimum."""
-    x = table(spark, sf, "lineitem").withColumn("excl", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    off = F.array_min(F.transform(F.array(*map(F.lit, (0.0, 0.03, 0.06, 0.08))), lambda r: F.abs(F.col("l_tax") - r)))
-    known = [("rate", 0.3, off > 0.005), ("discount", 0.2, F.col("l_discount") >= 0.09), ("small", 0.15, F.col("excl") < 1500), ("large", 0.35, (F.col("l_quantity") >= 45) & (F.col("excl") > 60_000))]
-    got = rules.apply_rules(x, known, "issues", "risk", 1.0).where(F.size("issues") > 0)
-    return got.select("l_orderkey", "l_linenumber", F.concat_ws(",", "issues").alias("issues"), F.round("risk", 2).alias("risk"))
+    """Invoices with what is wrong with them: number, rate, totals, tax, date, parties, amount; the risk of all, and the status of the
+    worst. Duplicates are join_interval_dup's."""
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", *[F.expr(doubles(e.format(text="string"))).alias(n) for n, e in INVOICE.items()])
+    y = x.withColumn("tax", F.col("excl") * F.col("rate") * F.col("tax_factor")).withColumn("incl", (F.col("excl") + F.col("tax")) * F.col("incl_factor"))
+    got = rules.invoice_issues(y, F.lit("2000-06-30").cast("timestamp")).where(F.size("issues") > 0)
+    return got.select("l_orderkey", "l_linenumber", F.concat_ws(",", "issues").alias("issues"), F.round("risk", 4).alias("risk"), "status")
 
 
 @query("""

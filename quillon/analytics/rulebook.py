@@ -185,24 +185,43 @@ PROFILE = {
 }
 
 
-@query("""
+DIMENSION_SQL = """
 WITH p AS (SELECT s_suppkey, """ + ", ".join(f"{x} AS {n}" for n, x in PROFILE.items()) + """ FROM supplier), s AS (SELECT s_suppkey,
 0.30 * CASE WHEN capital >= 5e7 THEN greatest(0, least(100, 10 * (log10(5e7) / greatest(log10(capital), 1)) - 8)) WHEN capital >= 5e6 THEN 10 WHEN capital >= 1e6 THEN 25 WHEN capital >= 1e5 THEN 50 ELSE 80 END + 0.30 * CASE WHEN years >= 10 THEN 5 WHEN years >= 5 THEN 15 WHEN years >= 3 THEN 30 WHEN years >= 1 THEN 50 ELSE 80 END + 0.25 * CASE status WHEN 'revoked' THEN 100 WHEN 'existing' THEN 0 WHEN 'operating' THEN 5 ELSE 40 END + 0.15 * CASE WHEN changes >= 6 THEN 50 WHEN changes >= 3 THEN 30 WHEN changes >= 1 THEN 15 ELSE 0 END AS business,
 0.30 * CASE WHEN cases >= 10 THEN 85 WHEN cases >= 4 THEN 60 WHEN cases >= 1 THEN 30 ELSE 0 END + 0.25 * CASE WHEN executed >= 2 THEN 80 WHEN executed = 1 THEN 50 ELSE 0 END + 0.30 * CASE WHEN dishonest >= 1 THEN 100 ELSE 0 END + 0.15 * least(hits * 5, 40) AS litigation,
 0.40 * CASE WHEN debt <= 0 THEN 50 WHEN debt >= 0.8 THEN 85 WHEN debt >= 0.6 THEN 50 WHEN debt >= 0.4 THEN 20 ELSE 5 END + 0.30 * CASE WHEN current <= 0 THEN 60 WHEN current < 1 THEN 80 WHEN current < 1.5 THEN 40 WHEN current < 2 THEN 20 ELSE 5 END + 0.30 * CASE WHEN cash < 0 THEN 80 WHEN cash = 0 THEN 60 WHEN revenue > 0 AND cash < revenue * 0.05 THEN 30 ELSE 5 END AS financial,
 0.30 * CASE WHEN penalties >= 2 THEN 80 WHEN penalties = 1 THEN 50 ELSE 0 END + 0.30 * CASE insured WHEN 'no' THEN 70 WHEN 'yes' THEN 0 ELSE 30 END + 0.30 * CASE WHEN tax >= 2 THEN 85 WHEN tax = 1 THEN 60 ELSE 0 END + 0.10 * least(hits * 5, 30) AS esg,
 0.50 * CASE WHEN news >= 10 THEN 85 WHEN news >= 4 THEN 60 WHEN news >= 1 THEN 30 ELSE 0 END + 0.50 * CASE WHEN bad + good = 0 THEN CASE WHEN news > 0 THEN 30 ELSE 10 END ELSE 100.0 * bad / (bad + good) END AS sentiment FROM p)
-SELECT s_suppkey, round(business::DOUBLE, 6) AS business, round(litigation::DOUBLE, 6) AS litigation, round(financial::DOUBLE, 6) AS financial, round(esg::DOUBLE, 6) AS esg, round(sentiment::DOUBLE, 6) AS sentiment FROM s
+"""
+
+
+@query(DIMENSION_SQL + """SELECT s_suppkey, round(business::DOUBLE, 6) AS business, round(litigation::DOUBLE, 6) AS litigation, round(financial::DOUBLE, 6) AS financial, round(esg::DOUBLE, 6) AS esg, round(sentiment::DOUBLE, 6) AS sentiment FROM s
 """)
 def dim_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Five dimensions of a supplier's risk, each a weighted sum of steps (business, litigation, financial, esg, sentiment)."""
+    """Five dimensions of a supplier's risk, each a weighted sum of steps."""
+    return scored(spark, sf).select("s_suppkey", *[F.round(n, 6).alias(n) for n in DIMENSIONS])
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """(s_suppkey, one column a dimension)."""
     p = table(spark, sf, "supplier").select("s_suppkey", *[F.expr(doubles(x)).alias(n) for n, x in PROFILE.items()])
     c = lambda n: F.col(n) if n in ("status", "insured") else F.col(n).cast("double")
     made = {
         "business": rules.business_risk(c("capital"), c("years"), c("status"), c("changes")), "litigation": rules.litigation_risk(c("cases"), c("executed"), c("dishonest"), c("hits")),
         "financial": rules.financial_risk(c("revenue"), c("debt"), c("current"), c("cash")), "esg": rules.esg_risk(c("penalties"), c("insured"), c("tax"), c("hits")), "sentiment": rules.sentiment_risk(c("news"), c("bad"), c("good")),
     }
-    return p.select("s_suppkey", *[F.round(x, 6).alias(n) for n, x in made.items()])
+    return p.select("s_suppkey", *[x.alias(n) for n, x in made.items()])
+
+
+DIMENSIONS = {"business": 0.2, "litigation": 0.25, "financial": 0.25, "esg": 0.15, "sentiment": 0.15}
+
+
+@query(DIMENSION_SQL + ", w AS (SELECT s_suppkey, greatest(0, least(100, " + " + ".join(f"{w} * {n}" for n, w in DIMENSIONS.items()) + "))::DOUBLE AS score FROM s) SELECT s_suppkey, round(score, 6) AS score, CASE WHEN round(score, 9) >= 60 THEN 'high' WHEN round(score, 9) >= 35 THEN 'medium' ELSE 'low' END AS level FROM w")
+def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The five dimensions of a supplier's risk weighted, between 0 and 100, and its level."""
+    d = scored(spark, sf)
+    y = d.withColumn("raw", rules.weighted([(w, F.col(n)) for n, w in DIMENSIONS.items()]))
+    return y.select("s_suppkey", F.round("raw", 6).alias("score"), rules.bands(F.round("raw", 9), [(60, "high"), (35, "medium")], "low").alias("level"))
 
 
 @query("""

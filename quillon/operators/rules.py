@@ -160,3 +160,22 @@ def overlay(alerts: DataFrame, customer: str, amount: str, limit: float = 50_000
     both = alerts.groupBy(customer).agg((F.bool_or(F.col("pattern") == "smurfing") & F.bool_or(F.col("pattern") == "round_trip")).alias("organized"))
     risky = F.col("pattern") == "high_risk_region"
     return alerts.join(both, customer).withColumns({"need_review": F.col(amount) > limit, "cross_border": risky, "level": F.when(risky, "critical").otherwise(F.col("level"))})
+
+
+# Standard rates of tax.
+TAX_RATES = [0.0, 0.01, 0.03, 0.06, 0.09, 0.13]
+
+
+def invoice_issues(df: DataFrame, audit_date: Column, tolerance: float = 0.02) -> DataFrame:
+    """Invoices (no, rate, excl, tax, incl, l_shipdate as their date, seller) with ``issues``, ``risk`` and ``status``: abnormal where an
+    issue is an error, else warning, else passed."""
+    c = F.col
+    net, due = c("excl") + c("tax"), c("excl") * c("rate")
+    known = [
+        ("no_empty", 0.3, True, F.coalesce(c("no"), F.lit("")) == ""), ("no_format", 0.2, True, (c("no") != "") & ~c("no").rlike("^[0-9]{8,20}$")), ("rate", 0.15, False, (c("rate") > 0) & ~c("rate").isin(*TAX_RATES)),
+        ("total", 0.35, True, (net > 0) & (F.try_divide(F.abs(c("incl") - net), net) > tolerance)), ("tax", 0.2, False, (due > 0) & (c("tax") > 0) & (F.try_divide(F.abs(c("tax") - due), due) > tolerance)),
+        ("date", 0.25, True, c("l_shipdate") > audit_date), ("party", 0.15, False, F.coalesce(c("seller"), F.lit("")) == ""), ("amount", 0.3, True, c("incl") <= 0),
+    ]
+    out = apply_rules(df, [(n, w, F.coalesce(t, F.lit(False))) for n, w, _, t in known], "issues", "risk", 1.0)
+    severe = F.arrays_overlap("issues", F.array(*[F.lit(n) for n, _, error, _ in known if error]))
+    return out.withColumn("status", F.when(severe, "abnormal").when(F.size("issues") > 0, "warning").otherwise("passed"))
