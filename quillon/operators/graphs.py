@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.scratch import cut
@@ -10,7 +10,7 @@ from quillon.sources.scratch import cut
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling: bool = True, every: int = 5, tolerance: float = 0.0) -> DataFrame:
     """(id, rank), weights aside. Without ``dangling`` the mass of nodes without a way out is lost. The ranks are written each round,
-    since a round reads those of the one before up to three times; each ``every`` rounds it is seen whether the last one moved a
+    since a round reads those of the one before twice; each ``every`` rounds it is seen whether the last one moved a
     rank by ``tolerance``, and if not it ends."""
     edges = cut(edges.select("src", "dst").distinct())
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
@@ -19,15 +19,16 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, dangling
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     ranks = nodes.select("id", "deg", F.lit(1.0 / n).alias("rank"))
+    lost = nodes.where("deg is null").count() / n
     for k in range(rounds):
         gained = edges.join(ranks.where("deg is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("share")), "src").groupBy("dst").agg(F.sum("share").alias("in")).withColumnRenamed("dst", "id")
         new = ranks.select("id", "deg", F.col("rank").alias("before")).join(gained, "id", "left")
-        spread = F.lit(0.0)
-        if dangling:
-            lost = ranks.where("deg is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-            new, spread = new.crossJoin(F.broadcast(lost)), F.col("lost") / n
-        new = cut(new.select("id", "deg", "before", (F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + spread)).alias("rank")))
-        if tolerance and (k + 1) % every == 0 and new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
+        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + (lost / n if dangling else 0.0))
+        # what the next round needs of this one as a whole is summed while it is written
+        seen = Observation()
+        new = cut(new.select("id", "deg", "before", rank.alias("rank")).observe(seen, F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"), F.max(F.abs(F.col("rank") - F.col("before"))).alias("moved")))
+        lost = seen.get["lost"]
+        if tolerance and (k + 1) % every == 0 and seen.get["moved"] < tolerance:
             return new.select("id", "rank")
         ranks = new.select("id", "deg", "rank")
     return ranks.select("id", "rank")
