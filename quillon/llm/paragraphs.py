@@ -2,7 +2,7 @@
 
 A text's paragraphs are its lines; a line longer than LONGEST words is cut at sentence ends into pieces of CUT words or
 more. Paragraphs of LEAST words or more enter: equal word sequences are one
-class, classes are banded at 16 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance of 1e-5),
+class, classes are banded at 20 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance of 6e-7),
 pairs are verified by exact Jaccard on their five-word shingles, and components are clusters of one passage. Of a cluster the
 first occurrence (smallest document id, then place) stays; the others are removed.
 
@@ -30,7 +30,7 @@ from quillon.llm.common import LOWER, Ranges, chunks, forget, mixed, small_batch
 from quillon.llm.minhash import classes_of, linked_classes
 
 LEAST, LONGEST, CUT = 20, 200, 40
-SHINGLE, PERCENT, BANDS, VALUES = 5, 80, 16, 3
+SHINGLE, PERCENT, BANDS, VALUES = 5, 80, 20, 3
 #: Words of the shortest run that counts, and of a seed; a run holds RUN - SEED + 1 seeds or more, and the least is chosen.
 RUN, SEED = 25, 13
 
