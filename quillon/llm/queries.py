@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, licences, minhash, paragraphs, quality, radix, sharding, suffixes, toxicity
+from quillon.llm import bpe, decontaminate, licences, minhash, paragraphs, prefixes, quality, radix, rules, sharding, suffixes, toxicity, whitening
 from quillon.llm.common import crc_fold, documents
 
 
@@ -113,6 +113,52 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("families", F.concat_ws(",", "families"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rules.ruled(docs, rules.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefixes.prefix_trie(*prefixes.rebuilt(turns))
+
+
+# paths as lists of turns' digests; a node is a distinct list, h a CRC-32 folded byte by byte
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+         sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT c, list(g ORDER BY p) AS gs, list(n ORDER BY p) AS ns FROM t GROUP BY c
+), h AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), list_transform(range(8), lambda z: z::BIGINT)), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295::BIGINT) % 9 AS h FROM l
+), r AS (
+  SELECT h.c, CASE WHEN h.c = base THEN l.gs ELSE list_slice(coalesce(b.gs, []), 1, h) || list_slice(l.gs, h + 1, len(l.gs)) END AS gs,
+         CASE WHEN h.c = base THEN l.ns ELSE list_slice(coalesce(b.ns, []), 1, h) || list_slice(l.ns, h + 1, len(l.ns)) END AS ns
+  FROM h JOIN l ON l.c = h.c LEFT JOIN l b ON b.c = h.base
+), o AS (
+  SELECT c, d, array_to_string(list_slice(gs, 1, d), '') AS k, CASE WHEN d > 0 THEN array_to_string(list_slice(gs, 1, d - 1), '') END AS pk,
+         CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, d = len(gs) AS last
+  FROM (SELECT c, gs, ns, unnest(range(0, len(gs) + 1)) AS d FROM r)
+), m AS (
+  SELECT d, k, min(pk) AS pk, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM o GROUP BY d, k
+), ch AS (SELECT pk, count(*) AS n_children FROM m WHERE d > 0 GROUP BY pk
+), x AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN ch ON ch.pk = m.k
+), s AS (
+  SELECT u.k, sum((v.n_convs - 1) * v.n)::BIGINT AS saved_tokens, count(*) FILTER (v.n_children = 0) AS n_leaves
+  FROM (SELECT DISTINCT u.k, v.k AS vk FROM o u JOIN o v ON u.c = v.c AND v.d >= u.d) u JOIN x v ON v.k = u.vk GROUP BY u.k
+)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN s ON s.k = x.k LEFT JOIN m p ON p.k = x.pk
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert": op1_hilbert,
     "op2_bpe": op2_bpe,
@@ -124,6 +170,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_suffixes": op10_suffixes,
+    "op11_rules": op11_rules,
+    "op12_prefixes": op12_prefixes,
+    "op13_whitening": op13_whitening,
 }
 
-SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op6_radix": OP6_SQL, "op7_decontaminate": OP7_SQL}
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op6_radix": OP6_SQL, "op7_decontaminate": OP7_SQL, "op12_prefixes": OP12_SQL}

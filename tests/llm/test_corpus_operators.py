@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 bpe = pytest.importorskip("quillon.llm.bpe")
 
-from quillon.llm import decontaminate, graph, licences, minhash, paragraphs, quality, radix, sharding, suffixes, toxicity  # noqa: E402
+from quillon.llm import decontaminate, graph, licences, minhash, paragraphs, quality, radix, rules, sharding, suffixes, toxicity  # noqa: E402
 
 PASSAGE = " ".join(f"w{i}x{i * 7 % 13}" for i in range(80))
 LONG = " ".join(f"long{i % 977}" for i in range(30_000))
@@ -60,6 +60,7 @@ OPERATORS = {
     "licences": lambda d, **k: licences.licences(d),
     "quality": lambda d, labels, **k: quality.scored(d, quality.fitted(d, labels, F.lit(True))),
     "suffixes": lambda d, **k: suffixes.repeated_strings(d),
+    "rules": lambda d, labels, **k: rules.ruled(d, rules.fitted(d, labels)),
 }
 
 
