@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.analytics.registry import query, table
 from quillon.functions import texts
-from quillon.operators import checks, joins
+from quillon.operators import checks, graphs, joins
 
 
 @query("""
@@ -90,6 +90,29 @@ def s_sim_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("a", "b", F.round("ratio", 6).alias("ratio"), F.levenshtein("a", "b").alias("edits"))
 
 
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a name each: their first four words, in small letters."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[^\\s]+"), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.slice(words, 1, 4)).alias("name"))
+
+
+@query()
+def s_sim_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' first words whose matching-blocks ratio is above .75, with Levenshtein's distance: thousands of distinct names, met
+    through the index of character runs; tests hold the pairs against all pairs."""
+    got = joins.similar_names(_titles(spark, sf), 0.75)
+    return got.select("a", "b", F.round("ratio", 6).alias("ratio"), F.levenshtein("a", "b").alias("edits"))
+
+
+@query()
+def join_entity_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are one entity by their names, closed over chains of names above .75 alike; named by the smallest."""
+    own = _titles(spark, sf).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("code"), "name")
+    links = graphs.cut(joins.entity_links(own, "id", "code", "name"))
+    parts = graphs.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return own.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("entity"))
+
+
 @query("""
 SELECT p_partkey, 'Part ' || p_name || ' of ' || coalesce(p_brand, '[missing]') || ': [missing]' AS text, round(2.0 / 3, 6) AS completeness FROM part
 """)

@@ -95,9 +95,7 @@ SELECT id, back FROM m
 def join_reverse(spark: SparkSession, sf: str) -> DataFrame:
     """For each transfer the first later one that goes back with 80 % of it or more.
 
-    Per pair of parties one array of the transfers back, in order, would grow without bound; instead amounts are cut into
-    bands a quarter of an octave wide, whose first transfer by id is found by windows, and only the band of the bound is compared
-    one by one.
+    The transfers of a pair and direction are the leaves of a tree of maxima, in which each question climbs and descends.
     """
     t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 50).alias("dst"), F.col("o_totalprice").alias("amount"))
     return joins.first_returns(t.where("src <> dst"), "id", "src", "dst", "amount", 0.8)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.similar import ratio
+from quillon.operators.names import similar_names
+from quillon.sources.scratch import cut
 
 
 def reversed_flows(edges: DataFrame, src: str, dst: str, amount: str, least: float = 0.7) -> DataFrame:
@@ -81,25 +83,6 @@ def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], value: s
     return targets.join(near.select(target_id, best["id"].alias(candidate_id), best["distance"].alias("distance")), target_id, "left")
 
 
-def similar_names(names: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, ratio), a < b, of the distinct values of the column ``name`` whose matching-blocks ratio is above ``least``.
-
-    The ratio is at most twice the characters in common over both lengths. Characters, numbered by occurrence, are ordered by
-    rarity, and pairs that can reach ``least`` share one of the first few of each: a prefix filter, which loses no pair.
-    """
-    own = names.select(F.col("name").alias("n")).where("n <> ''").distinct().withColumn("size", F.char_length("n"))
-    chars = own.select("n", "size", F.posexplode(F.split("n", "")).alias("at", "c")).where("c <> ''")
-    nth = F.row_number().over(Window.partitionBy("n", "c").orderBy("at"))
-    tokens = chars.select("n", "size", F.concat_ws("#", "c", nth.cast("string")).alias("t"))
-    counts = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("n").orderBy("df", "t"))
-    # another of any length shares at least least / (2 - least) of this one's characters
-    first = tokens.join(counts, "t").withColumn("i", place).where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * (least / (2 - least)) - 1e-9) + 1)
-    left = first.select("t", F.col("n").alias("a"), F.col("size").alias("sa"))
-    pairs = left.join(first.select("t", F.col("n").alias("b"), F.col("size").alias("sb")), "t").where("a < b").where(2 * F.least("sa", "sb") > least * (F.col("sa") + F.col("sb"))).select("a", "b").distinct()
-    return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") > least)
-
-
 def entity_links(parties: DataFrame, id_: str, code: str, stem: str, least: float = 0.75) -> DataFrame:
     """(a, b, score, hard): parties with the same valid code (null otherwise) score 1, others by their stems' likeness above ``least``.
 
@@ -156,22 +139,60 @@ def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7
     return targets.select("id").join(best, "id", "left").select("id", F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))
 
 
+#: Children of a node of the tree of maxima.
+FANOUT = 64
+
+
+def _children(level: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _parent, _nodes): the places and maxima of each node's children, FANOUT at most, in order."""
+    return level.groupBy(*keys, F.floor(F.col("_place") / FANOUT).alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("_place", "_top"))).alias("_nodes"))
+
+
 def first_returns(flows: DataFrame, id_: str, src: str, dst: str, amount: str, share: float) -> DataFrame:
-    """(id, back): for each flow the first later one, by id, from ``dst`` to ``src`` with ``share`` of its amount or more.
+    """(id, back): for each flow the first later one, by id, from ``dst`` to ``src`` with ``share`` of its amount or more; of rows with
+    one id any.
 
-    Flows of a pair are sorted by id into runs of the same length; a run whose largest amount is too small is skipped whole, so
-    a flow looks at the summaries of the runs and then at one run's flows, not at all flows of its pair.
+    The flows of a pair and direction are the leaves of a tree of maxima, FANOUT children a node, whose places come from a rank
+    over the whole pair in pieces of a range partitioning, never from one task's window over the pair. A question climbs from the
+    leaf before it until a later sibling's maximum is enough, then goes down to the first child that is: it meets two nodes'
+    children a level, so a pair of any size is answered in the logarithm of its flows.
     """
-    run = 64
-    by = Window.partitionBy("_a", "_b", "_way").orderBy(id_)
-    rows = flows.select(F.col(id_).alias(id_), F.least(src, dst).alias("_a"), F.greatest(src, dst).alias("_b"), (F.col(src) < F.col(dst)).alias("_way"), F.col(amount).alias("_amount"))
-    rows = rows.withColumn("_run", F.floor((F.row_number().over(by) - 1) / run))
+    rows = flows.where(F.col(amount).isNotNull()).select(F.col(id_).alias("_id"), F.least(src, dst).alias("_a"), F.greatest(src, dst).alias("_b"), (F.col(src) < F.col(dst)).alias("_way"), F.col(amount).alias("_amount"))
     keys = ["_a", "_b", "_way"]
-    sums = rows.groupBy(*keys, "_run").agg(F.max("_amount").alias("_top"), F.max(id_).alias("_last"))
-    ask = rows.select(*keys[:2], (~F.col("_way")).alias("_way"), F.col(id_).alias("_id"), (F.col("_amount") * share).alias("_need"))
-    # the run where the flow's own id falls, and the first later run that holds enough
-    able = ask.join(sums, keys).where((F.col("_last") > F.col("_id")) & (F.col("_top") >= F.col("_need")))
-    runs = able.groupBy(*keys, "_id", "_need").agg(F.array_sort(F.collect_set("_run")).alias("_runs"))
-    first_two = runs.select(*keys, "_id", "_need", F.explode(F.slice("_runs", 1, 2)).alias("_run"))
-    hits = first_two.join(rows, [*keys, "_run"]).where((F.col(id_) > F.col("_id")) & (F.col("_amount") >= F.col("_need")))
-    return hits.groupBy(F.col("_id").alias("id")).agg(F.min(id_).alias("back"))
+    # flows and questions in one order by pair and id: a question's place is the number of flows before it in its direction
+    asked = rows.select("_a", "_b", (~F.col("_way")).alias("_way"), "_id", F.lit(1).alias("_asks"), (F.col("_amount") * share).alias("_amount"))
+    both = rows.withColumn("_asks", F.lit(0)).unionByName(asked)
+    order = [*keys, "_id", "_asks"]
+    dealt = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    piece, flow = F.shiftright("_at", 33), 1 - F.col("_asks")
+    pieces = dealt.groupBy(*keys, piece.alias("_piece")).agg(F.sum(flow).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*keys, "_piece", before.alias("_before"))
+    within = F.sum(flow).over(Window.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.withColumn("_piece", piece).join(pieces, [*keys, "_piece"]).withColumn("_place", F.col("_before") + within)
+    # flows are numbered from 0; a question looks from the number of flows up to and with its own id
+    placed = cut(placed.select(*keys, "_id", "_asks", "_amount", (F.col("_place") - flow).alias("_place")))
+    leaves = placed.where("_asks = 0").select(*keys, "_place", F.col("_amount").alias("_top"), F.col("_id").alias("_back"))
+    levels = [leaves]
+    while True:
+        up = levels[-1].groupBy(*keys, F.floor(F.col("_place") / FANOUT).alias("_place")).agg(F.max("_top").alias("_top"))
+        levels.append(cut(up))
+        if levels[-1].where("_place > 0").isEmpty():
+            break
+    open_ = placed.where("_asks = 1").select(*keys, F.col("_id").alias("_asker"), F.col("_amount").alias("_need"), F.col("_place").alias("_from"))
+    found = []
+    for depth, level in enumerate(levels[:-1]):  # up: the later siblings of the place one stands before
+        asks = open_.withColumn("_parent", F.floor(F.col("_from") / FANOUT)).join(_children(level, keys), [*keys, "_parent"], "left")
+        enough = F.filter("_nodes", lambda x: (x["_place"] >= F.col("_from")) & (x["_top"] >= F.col("_need")))
+        asks = cut(asks.select(*keys, "_asker", "_need", "_from", F.get(enough, F.lit(0))["_place"].alias("_hit")))
+        found.append((depth, asks.where("_hit is not null").select(*keys, "_asker", "_need", F.col("_hit").alias("_place"))))
+        open_ = asks.where("_hit is null").select(*keys, "_asker", "_need", (F.floor(F.col("_from") / FANOUT) + 1).alias("_from"))
+    # down: the first child whose maximum is enough, from the highest level on
+    here = None
+    for depth in range(len(levels) - 2, -1, -1):
+        own = [f for d, f in found if d == depth]
+        here = own[0] if here is None else here.unionByName(own[0])
+        if depth:
+            met = here.withColumnRenamed("_place", "_parent").join(_children(levels[depth - 1], keys), [*keys, "_parent"])
+            here = met.select(*keys, "_asker", "_need", F.element_at(F.filter("_nodes", lambda x: x["_top"] >= F.col("_need")), 1)["_place"].alias("_place"))
+    return here.join(leaves.select(*keys, "_place", "_back"), [*keys, "_place"]).select(F.col("_asker").alias("id"), F.col("_back").alias("back"))
