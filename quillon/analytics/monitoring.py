@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.analytics.registry import query, table
 from quillon.operators import rules, series, stats
-from quillon.streaming import monitor
+from quillon.sources.scratch import shared_dir
+from quillon.streaming import machines, monitor
 
 DAILY_SQL = "daily AS (SELECT event_type, ts::DATE AS day, sum(value) AS v, count(*) AS n FROM events GROUP BY ALL)"
 
@@ -230,3 +233,36 @@ def win_cum_net(spark: SparkSession, sf: str) -> DataFrame:
     """Running sums."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(by), 2).alias("cumulative"))
+
+
+#: What users do moves their machine; after an error they are stale in two hours, after a click idle in six.
+USERS = machines.Machine("start", {(state, what): what for what in ("click", "view", "error", "purchase", "signup") for state in ("start", "stale", "idle", "click", "view", "error", "purchase", "signup")}, {"error": (7_200_000, "stale"), "click": (21_600_000, "idle")})
+USERS_SQL = """
+WITH e AS (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id, event_type AS what FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+u AS (SELECT max(ms) - 3600000 AS until FROM e), p AS (
+  SELECT key, ms, what, lag(what) OVER w AS was, lag(ms) OVER w AS since, lead(ms) OVER w AS next FROM e, u WHERE ms <= until WINDOW w AS (PARTITION BY key ORDER BY ms, event_id::VARCHAR)
+), x AS (SELECT *, CASE what WHEN 'error' THEN 7200000 WHEN 'click' THEN 21600000 END AS wait, CASE was WHEN 'error' THEN 7200000 WHEN 'click' THEN 21600000 END AS waited FROM p), m AS (
+  SELECT key, ms, CASE WHEN was IS NULL THEN 'start' WHEN since + waited < ms THEN CASE was WHEN 'error' THEN 'stale' ELSE 'idle' END ELSE was END AS before_, what AS after_, what AS cause FROM x
+  UNION ALL SELECT key, ms + wait, what, CASE what WHEN 'error' THEN 'stale' ELSE 'idle' END, 'wait' FROM x, u WHERE ms + wait < next OR (next IS NULL AND ms + wait <= until)
+) SELECT key::VARCHAR AS key, ms AS "at", before_ AS before, after_ AS after, cause FROM m WHERE before_ <> after_
+"""
+
+
+@query(USERS_SQL)
+def ss_machine(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's machine over the table of events, up to an hour before the last of them."""
+    e = table(spark, sf, "events").where("event_type in ('click', 'view', 'error', 'purchase', 'signup')")
+    until = table(spark, sf, "events").agg((F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - 3_600_000))
+    return machines.on_table(e, USERS, until, "user_id", "ts", "event_id", "event_type").where("before <> after")
+
+
+@query(USERS_SQL)
+def ss_machine_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same machine on a stream of the events, with an hour's watermark: state in RocksDB, timers of event time. The stream reads
+    what is there, ends, and its sink is read. A stream takes a single file by a pattern only."""
+    at = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
+    machines.with_rocks(spark)
+    known = table(spark, sf, "events")
+    moves = machines.on_stream(spark.readStream.schema(known.schema).parquet(f"{sf}/events.parque[t]"), USERS, "1 hour", "user_id", "ts", "event_id", "event_type")
+    moves.writeStream.format("parquet").option("path", f"{at}/moves").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(machines.MOVES).parquet(f"{at}/moves").where("before <> after")

@@ -71,11 +71,11 @@ def labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(id, component): the smallest reachable id, by minimum labels with pointer jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest reachable id, by minimum labels with pointer jumping, until no label changes."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     now = cut(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c")).select("id", F.least("id", "c").alias("c")))
-    for _ in range(most):
+    while True:
         near = both.join(now.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         low = now.join(near, "id", "left").select("id", F.least("c", "m").alias("c"))
         jumped = low.join(now.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c", "left").select("id", F.least("c", "cc").alias("new"))
@@ -196,21 +196,56 @@ def simple_paths(edges: DataFrame, starts: DataFrame, most: int, weight: str, fi
     return found if found is not None else front.select("start", F.lit(0).alias("hops"), "path", "total")
 
 
-def core(edges: DataFrame, most: int = 20) -> DataFrame:
-    """Edges between nodes that have a way in and a way out, after taking away those that have not, again and again."""
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    before = edges.count()
-    for _ in range(most):
-        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = edges.count()
-        if now == before:
+def strong(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of strongly connected components of two nodes or more, each named by its largest id.
+
+    Every node takes the largest id that reaches it, going forward until nothing changes; the nodes of one colour that reach the
+    node it is named by are its component. They leave, as do nodes without a way in or out and edges between colours, and the
+    rest goes on: all pivots work at once. Nothing but one label a node is carried.
+    """
+    rest, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), []
+    while True:
+        ins, outs = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+        rest = cut(rest.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+        if rest.isEmpty():
             break
-        before = now
-    return edges
+        now = cut(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct().withColumn("c", F.col("id")))
+        while True:
+            come = rest.join(now.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
+            new = cut(now.join(come, "id", "left").select("id", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("moved")))
+            now = new.select("id", "c")
+            if new.where("moved").isEmpty():
+                break
+        inner = rest.join(now.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(now.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst").where("cs = cd")
+        inner = cut(inner.select("src", "dst", F.col("cs").alias("c")))
+        front = back = cut(now.where("id = c"))
+        while True:
+            before = inner.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct()
+            front = cut(before.join(back.select("id"), "id", "left_anti"))
+            if front.isEmpty():
+                break
+            back = cut(back.unionByName(front))
+        found.append(back)
+        gone = back.select("id")
+        rest = inner.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+    out = edges.sparkSession.createDataFrame([], edges.select(F.col("src").alias("id"), F.col("src").alias("component")).schema)
+    for part in found:
+        out = out.unionAll(part)
+    sizes = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(sizes, "component", "left_semi").select("id", "component")
+
+
+def core(edges: DataFrame) -> DataFrame:
+    """The edges that lie on some ring: those inside a strongly connected component."""
+    part = cut(strong(edges))
+    plain = edges.select("src", "dst").where("src <> dst").distinct()
+    both = plain.join(part.withColumnsRenamed({"id": "src", "component": "a"}), "src").join(part.withColumnsRenamed({"id": "dst", "component": "b"}), "dst")
+    return cut(both.where("a = b").select("src", "dst"))
 
 
 def rings(edges: DataFrame, lengths) -> DataFrame:
-    """(length, start, ring) of the directed rings of each length, as text from the smallest node."""
+    """(length, start, ring) of the directed rings of each length, as text from the smallest node. Paths are made inside strongly
+    connected components only."""
     inner = core(edges)
     found = []
     for n in lengths:
@@ -222,12 +257,23 @@ def rings(edges: DataFrame, lengths) -> DataFrame:
     return out
 
 
+def first_rows(df: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows in an order without ties, which no single task sorts: ranges are sorted, and their sizes say where each
+    begins."""
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    piece = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
+    by = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("_piece", "_first", F.coalesce(F.sum("_k").over(by), F.lit(0)).alias("_before")).where(F.col("_before") < k)
+    return dealt.withColumn("_piece", piece).join(starts, "_piece").where(F.col("_at") - F.col("_first") + F.col("_before") < k).select(df.columns)
+
+
 def spread_risk(edges: DataFrame, own: DataFrame, decay: float, least: float, most: int) -> DataFrame:
     """(id, risk) from own risks (id, risk): the largest of a node's own and what comes along edges (src, dst, w) from the riskiest
     tenth (three at least), times ``decay`` and w a hop, as long as it is ``least`` or more; over the largest, doubled, 1 at most."""
     edges, own = cut(edges.select("src", "dst", "w")), cut(own.select("id", "risk"))
     best = own
-    front = own.orderBy(F.desc("risk"), "id").limit(max(3, own.count() // 10)).select("id", F.col("risk").alias("val"))
+    front = first_rows(own, [F.desc("risk"), "id"], max(3, own.count() // 10)).select("id", F.col("risk").alias("val"))
     for _ in range(most):
         step = front.where(F.col("val") >= least).join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("val") * decay * F.col("w")).alias("val"))
         front = cut(step)
@@ -238,16 +284,23 @@ def spread_risk(edges: DataFrame, own: DataFrame, decay: float, least: float, mo
     return top.crossJoin(F.broadcast(top.agg(F.max("risk").alias("most")))).select("id", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("risk"), F.col("most")), F.lit(0.0)) * 2).alias("risk"))
 
 
-def tree(children: DataFrame, most: int = 64) -> DataFrame:
-    """(id, path, level, children) from (id, parent): the path from the root, level by level; a null parent is a root."""
+def tree(children: DataFrame) -> DataFrame:
+    """(id, path, level, children) from (id, parent): the path from the root, level by level until none is left; a null parent is a
+    root. Ids are unique; those on a ring of parents, or below one, have no root and no row."""
     children = cut(children.select("id", "parent"))
     front = children.where("parent is null").select("id", F.col("id").cast("string").alias("path"), F.lit(0).alias("level"))
-    out = front
-    for k in range(1, most + 1):
+    out, k, most = front, 0, None
+    while True:
+        k += 1
         above = front.select(F.col("id").alias("parent"), F.col("path").alias("up"))
         front = cut(children.join(above, "parent").select("id", F.concat_ws("/", "up", F.col("id").cast("string")).alias("path"), F.lit(k).alias("level")))
         if front.isEmpty():
             break
+        if k % 64 == 0:  # no chain is longer than there are nodes
+            most = children.count() if most is None else most
+            if k > most:
+                raise ValueError("an id stands below itself: ids are not unique")
+            out = cut(out)
         out = out.unionAll(front)
     counts = children.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
     return out.join(counts, "id", "left").select("id", "path", "level", F.coalesce("children", F.lit(0).cast("long")).alias("children"))
@@ -261,7 +314,8 @@ def greedy_modularity(edges: DataFrame, sweeps: int = 20) -> DataFrame:
     and its neighbours' communities and the communities' totals: two aggregates a sweep.
     """
     both = cut(edges.select("src", "dst", "w").where("src <> dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w").where("src <> dst")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    strength = cut(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+    loops = edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("w")).alias("w"))
+    strength = cut(both.select(F.col("src").alias("id"), "w").unionAll(loops).groupBy("id").agg(F.sum("w").alias("k")))
     total = strength.agg(F.sum("k")).first()[0] or 1.0
     now, still = strength.select("id", "k", F.col("id").alias("label")), 0
     for sweep in range(sweeps):
@@ -279,3 +333,25 @@ def greedy_modularity(edges: DataFrame, sweeps: int = 20) -> DataFrame:
             break
     names = now.groupBy("label").agg(F.min("id").alias("name"))
     return now.join(names, "label").select("id", F.col("name").alias("label"))
+
+
+def louvain(edges: DataFrame, sweeps: int = 20, least: float = 1e-7) -> DataFrame:
+    """(id, label): communities level by level. Nodes move (``greedy_modularity``), communities become the nodes of a smaller graph
+    whose edges add up what lay between them, and moves go on there, until a level gains less than ``least`` of modularity. A level
+    that gains nothing is not taken, so the result is never worse than one level's. Labels are the smallest ids."""
+    edges = cut(edges.select("src", "dst", "w"))
+    graph, now, had = edges, None, None
+    while True:
+        moved = cut(greedy_modularity(graph, sweeps))
+        new = moved if now is None else now.join(moved.toDF("label", "into"), "label").select("id", F.col("into").alias("label"))
+        new = cut(new)
+        gained = modularity(edges, new).first()[0]
+        if had is not None and (gained is None or gained < had + least):
+            break
+        now, had = new, gained
+        ends = graph.join(moved.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(moved.withColumnsRenamed({"id": "dst", "label": "b"}), "dst")
+        graph = cut(ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
+        if had is None or graph.where("src <> dst").isEmpty():
+            break
+    names = now.groupBy("label").agg(F.min("id").alias("name"))
+    return now.join(names, "label").select("id", F.col("name").alias("label"))
