@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.analytics.derive import doubles
 from quillon.analytics.registry import query, table
 from quillon.functions import numbers
-from quillon.operators import rules, series, stats
+from quillon.operators import diffs, rules, series, stats
 
 BENFORD = ", ".join(f"({d}, {math.log10(1 + 1 / d)!r})" for d in range(1, 10))
 
@@ -380,6 +380,25 @@ def set_compare(spark: SparkSession, sf: str) -> DataFrame:
     return met.select("conv_id", "turn", F.size(both).alias("common"), F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_except("b", "a")).alias("only_b"), F.concat_ws(",", F.array_sort(both)).alias("shared"))
 
 
+@query()
+def text_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """What each turn of a conversation changes of the turn before, line by line; tests hold the hunks against a longest common
+    subsequence."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("b"))
+    met = c.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("b").alias("a")), ["conv_id", "turn"])
+    return diffs.line_diff(met, ["conv_id", "turn"], "a", "b")
+
+
+@query()
+def doc_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that begin with the same line, each against the smallest of them: a line a hunk."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("head"))
+    first = d.groupBy("head").agg(F.min("doc_id").alias("base"), F.count("*").alias("n")).where("n > 1")
+    met = d.join(first, "head").where("doc_id <> base").select("doc_id", "base", F.col("text").alias("b"))
+    both = met.join(d.select(F.col("doc_id").alias("base"), F.col("text").alias("a")), "base")
+    return diffs.line_diff(both, ["base", "doc_id"], "a", "b")
+
+
 @query("""
 WITH s AS (SELECT event_id, user_id, (event_id * 37 % 400)::INT AS b, (event_id * 37 % 400 + 5 + event_id % 30)::INT AS e, (event_id % 4 + 1)::INT AS level FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b, level DESC, event_id) AS i FROM s)

@@ -238,7 +238,7 @@ def win_cum_net(spark: SparkSession, sf: str) -> DataFrame:
 #: What users do moves their machine; after an error they are stale in two hours, after a click idle in six.
 USERS = machines.Machine("start", {(state, what): what for what in ("click", "view", "error", "purchase", "signup") for state in ("start", "stale", "idle", "click", "view", "error", "purchase", "signup")}, {"error": (7_200_000, "stale"), "click": (21_600_000, "idle")})
 USERS_SQL = """
-WITH e AS (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id, event_type AS what FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+WITH e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id, event_type AS what FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
 u AS (SELECT max(ms) - 3600000 AS until FROM e), p AS (
   SELECT key, ms, what, lag(what) OVER w AS was, lag(ms) OVER w AS since, lead(ms) OVER w AS next FROM e, u WHERE ms <= until WINDOW w AS (PARTITION BY key ORDER BY ms, event_id::VARCHAR)
 ), x AS (SELECT *, CASE what WHEN 'error' THEN 7200000 WHEN 'click' THEN 21600000 END AS wait, CASE was WHEN 'error' THEN 7200000 WHEN 'click' THEN 21600000 END AS waited FROM p), m AS (

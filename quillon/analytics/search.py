@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from quillon.analytics.lake import WORDS
 from quillon.analytics.registry import query, table
 from quillon.functions import texts
 from quillon.functions.similar import ratio
-from quillon.operators import retrieval, stats
+from quillon.operators import inverted, retrieval, stats
+from quillon.sources.scratch import shared_dir
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +46,24 @@ def t_idf_sum(spark: SparkSession, sf: str) -> DataFrame:
     return stats.ranked(got, ["query"], "order", "doc_id", 3).select("query", "doc_id", "rank", F.round("score", 4).alias("score"), F.round("overlap", 6).alias("overlap"))
 
 
+INDEX_SQL = f"""
+WITH q AS (SELECT item_id AS query, unnest(list_distinct({WORDS})) AS term FROM benchmark), d AS (SELECT doc_id, {WORDS} AS w FROM documents), l AS (SELECT doc_id, len(w) AS len FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL), a AS (SELECT count(*) AS n, avg(len) AS m FROM l),
+i AS (SELECT term, ln((n + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM t, a GROUP BY term, n),
+s AS (SELECT query, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score, count(*) AS matched FROM q JOIN t USING (term) JOIN i USING (term) JOIN l USING (doc_id), a GROUP BY ALL)
+SELECT query, doc_id, rank::INT AS rank, matched, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query(INDEX_SQL)
+def t_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best documents for each item from a stored inverted index, whose blocks that cannot matter are skipped."""
+    at = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
+    inverted.build(table(spark, sf, "documents"), "doc_id", F.col("text"), at)
+    found, _ = inverted.best(spark, at, _asked(spark, sf), 5)
+    return found.select("query", F.col("doc").alias("doc_id"), "rank", "matched", F.round("score", 4).alias("score"))
+
+
 # Fixed values of these queries: a few regulations, cases, questions and a glossary.
 REGULATIONS = [("R1", "EU", "data", "data protection rules for personal data"), ("R2", "US", "data", "privacy act on personal records"), ("R3", "EU", "tax", "value added tax directive"), ("R4", "CN", "tax", "value added tax law and invoices"), ("R5", "US", "trade", "export control of goods")]
 QUESTIONS = ["personal data rules", "value added tax invoices", "export of goods", "labour law"]
