@@ -33,30 +33,36 @@ def benford_score(df: DataFrame, amount: str, keys: list[str], least: int = 10)
     return own.withColumn("score", F.when(F.col("n") >= least, F.least(F.col("chi2") / CHI2, F.lit(1.0))).otherwise(0.0))
 
 
+#: Steps of the grid of a group's quantiles, and how exact the sketch is: a rank is off by 1 / SKETCH of the group at most.
+GRID, SKETCH = 1024, 8192
+
+
 def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """(keys, n, one column a name): the values at given places, counted from 0, of each group in order; a place is an expression
     over ``n``, the group's size. Exact.
 
-    Rows are counted in GROUP_CELLS equal cells between a group's ends; the counts say in which cell a place lies, and only the
-    rows of such cells are put in order, cell by cell. No task holds a group.
+    A mergeable quantile sketch of each group gives two values, by rank and not by width, between which a place certainly lies:
+    some four in GRID of the group's rows, however its values are spread. One more pass counts the rows below and, value by
+    value, those between; only their distinct values are put in order.
     """
-    rows = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / GROUP_CELLS)
-    cell = F.when(width.isNull(), 0).otherwise(F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(GROUP_CELLS - 1))).cast("int")
-    celled = rows.join(ends, keys).select(*keys, "_v", cell.alias("_cell"))
-    cells = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_k"))
-    cells = cells.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy("_cell")))
-    asked = ends.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), place.cast("long").alias("_rank")) for name, place in ranks.items()])).alias("_x")).select(*keys, "n", "_x.*")
-    found = cut(asked.join(cells, keys).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k"))).select(*keys, "n", "_name", "_cell", (F.col("_rank") - F.col("_upto") + F.col("_k")).alias("_rank")))
-    inside = celled.join(found.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_k"))
-    inside = inside.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys, "_cell").orderBy("_v")))
-    hit = found.join(inside, [*keys, "_cell"]).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k")))
-    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
-
-
-#: Cells of each group in a search for places.
-GROUP_CELLS = 1024
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    grid = F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], SKETCH)
+    known = rows.groupBy(*keys).agg(F.count("*").alias("n"), grid.alias("_grid"))
+
+    def ask(name: str, place: Column) -> Column:
+        rank, off = place.cast("long"), GRID / SKETCH + 1
+        share = rank.cast("double") / F.col("n") * GRID
+        low, high = F.floor(share - off).cast("int"), F.ceil(share + off).cast("int")  # null where the group's end is the bound
+        return F.struct(F.lit(name).alias("name"), rank.alias("rank"), F.when(low >= 0, F.get("_grid", low)).alias("low"), F.when(high <= GRID, F.get("_grid", high)).alias("high"))
+
+    asked = known.select(*keys, "n", F.array(*[ask(name, place) for name, place in ranks.items()]).alias("_asks"))
+    met = rows.join(asked.select(*keys, "_asks"), keys).select(*keys, "_v", F.explode("_asks").alias("_x")).where(F.col("_x.high").isNull() | (F.col("_v") <= F.col("_x.high")))
+    inside = F.when(F.col("_x.low").isNull() | (F.col("_v") >= F.col("_x.low")), F.col("_v"))  # null: below
+    counts = met.groupBy(*keys, F.col("_x.name").alias("_name"), F.col("_x.rank").alias("_rank"), inside.alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first()))
+    hit = counts.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_k")))
+    found = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return found.join(known.select(*keys, "n"), keys).select(*keys, "n", *ranks)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
