@@ -10,6 +10,7 @@ from quillon.analytics.registry import query, table
 from quillon.analytics.risk import trade
 from quillon.functions import numbers
 from quillon.operators import graphs, ledgers
+from quillon.operators.simulate import normal, uniform
 
 TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 #: Large transfers between customers: an edge for each fifth order or so, so the graph grows with the tables.
@@ -409,9 +410,9 @@ def sens_tornado(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mc_value(spark: SparkSession, sf: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Monte Carlo by brand: draws are rows, so they spread; seeded."""
+    """Monte Carlo by brand: draws are rows, so they spread; each is a hash of its number, the same on any cluster."""
     base = table(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("t"))
-    runs = spark.range(draws).select(F.randn(seed).alias("g"), F.rand(seed + 1).alias("u"))
+    runs = spark.range(draws).select(normal(seed).alias("g"), uniform(-seed).alias("u"))
     tri = F.when(F.col("u") < 0.5, F.sqrt(F.col("u") / 2)).otherwise(1 - F.sqrt((1 - F.col("u")) / 2))
     x = runs.select((1 + 0.1 * F.col("g")).alias("normal"), (0.8 + 0.4 * tri).alias("triangular")).crossJoin(F.broadcast(base))
     return x.groupBy("p_brand").agg(F.percentile(F.col("t") * F.col("normal") * F.col("triangular"), F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("p")).select("p_brand", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p90"))

@@ -255,6 +255,18 @@ def semi_anti(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
+@query("""
+WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
+SELECT c_custkey, CASE WHEN o_custkey IS NULL THEN 'undisclosed' ELSE 'matched' END AS side FROM customer LEFT JOIN o ON o_custkey = c_custkey
+""")
+def semi_anti_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers on the list of large urgent orders, and those that are not: both sides of the same match."""
+    known = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, sf, "customer").select("c_custkey")
+    sides = [c.join(known, "c_custkey", how).withColumn("side", F.lit(name)) for how, name in (("left_semi", "matched"), ("left_anti", "undisclosed"))]
+    return sides[0].unionAll(sides[1])
+
+
 @query("""
 WITH o AS (SELECT o_custkey, o_orderdate AS ts, o_orderkey FROM orders), r AS (SELECT o_custkey, o_orderdate AS ts, o_totalprice AS rate FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT o.o_orderkey, (SELECT max_by(rate, r.ts) FROM r WHERE r.o_custkey = o.o_custkey AND r.ts <= o.ts) IS NOT NULL AS has_rate FROM o

@@ -23,3 +23,16 @@ def test_places_by_rank_whatever_the_spread(spark):
     for g, some in groups.items():
         s, k = sorted(some), len(some)
         assert (got[g].n, got[g]["first"], got[g].q1, got[g].mid, got[g].p99, got[g]["last"]) == (k, s[0], s[k // 4], s[(k - 1) // 2], s[int((k - 1) * 0.99)], s[-1])
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    from quillon.operators.simulate import normal, uniform
+
+    def drawn(parts):
+        return sorted((r.id, r.g, r.u) for r in spark.range(0, 5000, 1, parts).select("id", normal(7).alias("g"), uniform(7).alias("u")).collect())
+
+    one = drawn(1)
+    assert one == drawn(6)
+    g, u = [r[1] for r in one], [r[2] for r in one]
+    assert abs(sum(g) / 5000) < 0.06 and abs(sum(x * x for x in g) / 5000 - 1) < 0.08
+    assert abs(sum(u) / 5000 - 0.5) < 0.02 and 0 <= min(u) < max(u) < 1
