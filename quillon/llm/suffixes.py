@@ -1,4 +1,7 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings: buckets of anchored q-grams, refined by hashes of the bytes at further offsets.
+
+This keeps the bucket-pointer idea only in part: pointers stand for one anchor in about 60 positions, not for every byte, and
+a refinement hashes bytes instead of sorting on the bucket identifiers of later offsets.
 
 Bucket pointers. A string's bucket is named by the identifiers of q-grams, and a bucket is refined by the identifiers of what
 stands at further offsets around the same q-gram. An identifier is a hash of the bytes, so buckets need no central numbering.
