@@ -98,17 +98,17 @@ def _titles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def s_sim_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents' first words whose matching-blocks ratio is above .75, with Levenshtein's distance: thousands of distinct names, met
+    """Documents' first words whose matching-blocks ratio is above .9, with Levenshtein's distance: thousands of distinct names, met
     through the index of character runs; tests hold the pairs against all pairs."""
-    got = joins.similar_names(_titles(spark, sf), 0.75)
+    got = joins.similar_names(_titles(spark, sf), 0.9)
     return got.select("a", "b", F.round("ratio", 6).alias("ratio"), F.levenshtein("a", "b").alias("edits"))
 
 
 @query()
 def join_entity_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that are one entity by their names, closed over chains of names above .75 alike; named by the smallest."""
+    """Documents that are one entity by their names, closed over chains of names above .9 alike; named by the smallest."""
     own = _titles(spark, sf).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("code"), "name")
-    links = graphs.cut(joins.entity_links(own, "id", "code", "name"))
+    links = graphs.cut(joins.entity_links(own, "id", "code", "name", 0.9))
     parts = graphs.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return own.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("entity"))
 
