@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon.analytics.derive import doubles
 from quillon.analytics.registry import query, table
 from quillon.functions import numbers
-from quillon.operators import diffs, rules, series, stats
+from quillon.operators import diffs, rules, series, stats, vectors
+from quillon.sources.scratch import fresh
 
 BENFORD = ", ".join(f"({d}, {math.log10(1 + 1 / d)!r})" for d in range(1, 10))
 
@@ -172,6 +173,19 @@ def ml_comparable(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("target", "candidate", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, c.vec_id AS found, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query, found, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, found) AS rank FROM s) WHERE rank <= 10
+""")
+def ml_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of all vectors by cosine to every vector whose id is divisible by 20, exact, from a stored index."""
+    e, path = table(spark, sf, "embeddings"), fresh(spark)
+    vectors.build(e, "vec_id", "embedding", path)
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found, _ = vectors.best(spark, path, asked, 10, others=True)
+    return found.select("query", F.col("id").alias("found"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH n AS (SELECT vec_id, d::INT AS d, (vec_id * 31 + d * 17) % 1000 AS u FROM embeddings, (SELECT unnest(range(0, 4)) AS d)), v AS (SELECT vec_id, d, (u + 0.5) / 1000.0 - 0.5 AS c FROM n)
 SELECT vec_id, d, round((-0.1 * sign(c) * ln(1 - 2 * abs(c)))::DOUBLE, 8) AS noise FROM v
