@@ -197,8 +197,8 @@ r(user_id, i, up, down) AS (
 SELECT user_id, i AS at, 'up' AS side, round(up, 4) AS sum FROM r WHERE up > 40 UNION ALL SELECT user_id, i, 'down', round(down, 4) FROM r WHERE down > 40
 """)
 def ss_cusum(spark: SparkSession, sf: str) -> DataFrame:
-    """Alarms of the two-sided CUSUM over each user's values against their mean (k .5, h 40); monitor.cusum_alarms is the same on a
-    stream."""
+    """Alarms of the two-sided CUSUM over each user's values against their mean (k .5, h 40), a series read in pieces;
+    monitor.cusum_alarms is the same on a stream."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
     means = e.groupBy("user_id").agg(F.avg("value").alias("m"))
     got = series.cusum_rows(e.join(means, "user_id"), "user_id", ["ts", "event_id"], "value", "m", 0.5, 40.0)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import cut
+
 
 def _by(keys: list[str], order: list[str], reverse: bool = False):
     return Window.partitionBy(*keys).orderBy(*[F.desc(o) if reverse else F.asc(o) for o in order])
@@ -57,28 +59,140 @@ def cusum_step(sums: tuple[float, float], z: float, k: float, h: float) -> tuple
     return (0.0 if up > h else up, 0.0 if down > h else down), alarms
 
 
-def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
+class CusumMap:
+    """What a piece of a series does to one side's sum, for every sum it may start from, 0 to ``h``.
+
+    Sums that neither met 0 nor an alarm yet keep their distance: one interval, ``low`` to ``high`` of the entry, moved by ``moved``.
+    Entries below it met 0 and go on together; entries above it alarmed, in slices, the higher the sooner, and each slice goes on from
+    0. Slices whose sums are the same again become one.
+    """
+
+    def __init__(self, k: float, h: float) -> None:
+        self.k, self.h, self.low, self.high, self.moved = k, h, 0.0, h, 0.0
+        self.open, self.under, self.tops = True, None, []  # tops: [lowest entry, sum], the highest entries first
+
+    def step(self, z: float) -> None:
+        k, h = self.k, self.h
+        after = lambda s: 0.0 if (t := max(s + z - k, 0.0)) > h else t
+        self.under = None if self.under is None else after(self.under)
+        for top in self.tops:
+            top[1] = after(top[1])
+        if self.open:
+            self.moved += z - k
+            if self.high + self.moved <= 0.0:  # all that is left meets 0
+                self.open, self.under = False, 0.0
+            elif self.low + self.moved > h:  # all that is left alarms
+                self.open = False
+                self.tops.append([self.low, 0.0])
+            else:
+                if self.low + self.moved <= 0.0:
+                    self.low, self.under = -self.moved, 0.0
+                if self.high + self.moved > h:
+                    self.high = h - self.moved
+                    self.tops.append([self.high, 0.0])
+        kept = []
+        for top in self.tops:  # a slice whose sum is its lower neighbour's takes that one's border
+            if kept and kept[-1][1] == top[1]:
+                kept[-1][0] = top[0]
+            else:
+                kept.append(top)
+        self.tops = kept
+
+    def row(self) -> tuple:
+        """(open, low, high, moved, under, borders, sums)."""
+        return self.open, self.low, self.high, self.moved, self.under, [t[0] for t in self.tops], [t[1] for t in self.tops]
+
+
+def cusum_exit(at: float, way: tuple) -> float:
+    """The sum at the end of a piece that was entered with ``at``, by the piece's map."""
+    open_, low, high, moved, under, borders, sums = way
+    if open_ and low <= at <= high:
+        return max(at + moved, 0.0)
+    for border, total in zip(borders, sums, strict=True):
+        if at > border or (under is None and not open_ and at >= border):
+            return total
+    return under if under is not None else max(at + moved, 0.0)
+
+
+#: Rows of a piece of a series (about).
+PIECE = 1 << 18
+_WAY = "open boolean, low double, high double, moved double, under double, borders array<double>, sums array<double>"
+
+
+def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: str, k: float = 0.5, h: float = 5.0, piece: int | None = None) -> DataFrame:
     """(key, at, side, sum) of the alarms over each series, ``target`` being a column; at counts from 1, nulls are passed over.
 
-    Rows are sorted within their partition and read batch by batch with two sums carried on, so a series of any length takes
-    the memory of a batch; it is read in one task, since each step needs the one before.
+    Rows lie in pieces, ranges of (key, order), written once, so that a key with all rows is read by many tasks. A piece in
+    the midst of a series first gives its map from the sums at its start to those at its end; the maps are joined in order,
+    a row a piece, and then every piece is read from its own start. A sum that goes through a whole piece without meeting 0 or
+    an alarm is moved by one addition instead of many, so it may differ in its last digits. Rows alike in key and order stay
+    together.
     """
+    name = df.schema[key].dataType.simpleString()  # within Python a key is text, whatever its type, and null stays null
+    spark, size = df.sparkSession, piece or PIECE
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("_key"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], (F.col(value).cast("double") - F.col(target).cast("double")).alias("_z"))
+    by = ["_key", *[f"_o{i}" for i in range(len(order))]]
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // size))
+    held = cut(rows.repartitionByRange(many, *by).withColumn("_piece", F.spark_partition_id()))
+    spans = cut(held.groupBy("_key", "_piece").agg(F.count("*").alias("_n")))
+    whole = Window.partitionBy("_key")
+    spans = spans.withColumn("_many", F.count("*").over(whole)).withColumn("_nth", F.row_number().over(whole.orderBy("_piece"))).where("_many > 1")
+    spans = cut(spans.select("_key", "_piece", "_n", "_nth"))  # a piece has two such keys at most, its first and its last
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ways = None, None
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame([(*now, *[dict(zip(("open", "low", "high", "moved", "under", "borders", "sums"), w.row(), strict=True)) for w in ways])], columns=["_key", "_piece", "_up", "_down"])
+
+        for batch in batches:
+            for part, who, z in batch.itertuples(index=False):
+                if now != (who, part):
+                    if now is not None:
+                        yield done()
+                    now, ways = (who, part), (CusumMap(k, h), CusumMap(k, h))
+                ways[0].step(z)
+                ways[1].step(-z)
+        if now is not None:
+            yield done()
+
+    def carry(pieces: pd.DataFrame) -> pd.DataFrame:
+        out, up, down, before = [], 0.0, 0.0, 0
+        for r in pieces.sort_values("_nth").itertuples(index=False):
+            out.append((r[0], r[1], up, down, before))
+            up, down = (cusum_exit(s, tuple(w[n] for n in ("open", "low", "high", "moved", "under", "borders", "sums"))) for s, w in ((up, r[4]), (down, r[5])))
+            before += r[2]
+        return pd.DataFrame(out, columns=["_key", "_piece", "up", "down", "before"])
+
+    here = lambda df: (held["_piece"] == df["_piece"]) & held["_key"].eqNullSafe(df["_key"])
+    middle = spans.select("_key", "_piece")
+    within = held.join(F.broadcast(middle), here(middle), "left_semi").repartition(many, "_piece").sortWithinPartitions("_piece", *by)
+    ways = within.select("_piece", "_key", "_z").mapInPandas(maps, f"_key string, _piece int, _up struct<{_fields(_WAY)}>, _down struct<{_fields(_WAY)}>")
+    both = ways.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), "_up", "_down")
+    starts = spans.join(both, (F.col("_piece") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_piece", "_n", "_nth", "_up", "_down")
+    starts = cut(starts.groupBy("_key").applyInPandas(carry, f"_key string, _piece int, up double, down double, before long"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sums, at = None, (0.0, 0.0), 0
         for batch in batches:
             out = []
-            for name, x, mean in batch.itertuples(index=False):
-                if name != now:
-                    now, sums, at = name, (0.0, 0.0), 0
+            for part, who, z, up, down, before in batch.itertuples(index=False):
+                if now != (who, part):
+                    now, sums, at = (who, part), (up, down), int(before)
                 at += 1
-                sums, alarms = cusum_step(sums, x - mean, k, h)
-                out += [(name, at, side, top) for side, top in alarms]
-            yield pd.DataFrame(out, columns=[key, "at", "side", "sum"])
+                sums, alarms = cusum_step(sums, z, k, h)
+                out += [(who, at, side, top) for side, top in alarms]
+            yield pd.DataFrame(out, columns=["_key", "at", "side", "sum"])
+
+    start = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("up", "down", "before")}
+    ready = held.join(F.broadcast(starts), here(starts), "left").select(held["_piece"], held["_key"], *[held[c] for c in by[1:]], "_z", "up", "down", "before").withColumns(start).repartition(many, "_piece").sortWithinPartitions("_piece", *by)
+    got = ready.select("_piece", "_key", "_z", "up", "down", "before").mapInPandas(read, f"_key string, at long, side string, sum double")
+    return got.select(F.col("_key").cast(name).alias(key), "at", "side", "sum")
+
 
-    rows = df.where(F.col(value).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
-    kind = df.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(value).cast("double"), F.col(target).cast("double")).mapInPandas(read, f"{key} {kind}, at long, side string, sum double")
+def _fields(columns: str) -> str:
+    """Columns as the fields of a struct."""
+    return columns.replace(" ", ":").replace(",:", ",")
 
 
 def slope(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -56,7 +56,8 @@ if __name__ == "__main__":
         t = time.time()
         try:
             if name in catalogue.SQL:
-                print(f"{time.time() - t:.1f}", same(spark, con, name, catalogue.QUERIES[name], catalogue.SQL[name], sys.argv[1]) or f"{name}: same", flush=True)
+                differs = same(spark, con, name, catalogue.QUERIES[name], catalogue.SQL[name], sys.argv[1])
+                print(f"{time.time() - t:.1f}", differs or f"{name}: same", flush=True)
             else:
                 print(name, catalogue.QUERIES[name](spark, sys.argv[1]).count(), "rows, no SQL", flush=True)
         except Exception as e:
