@@ -114,25 +114,22 @@ def cusum_exit(at: float, way: tuple) -> float:
     return under if under is not None else max(at + moved, 0.0)
 
 
-#: Rows of a piece of a series (about).
-PIECE = 1 << 18
 _WAY = "open boolean, low double, high double, moved double, under double, borders array<double>, sums array<double>"
 
 
-def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: str, k: float = 0.5, h: float = 5.0, piece: int | None = None) -> DataFrame:
+def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: str, k: float = 0.5, h: float = 5.0, pieces: int | None = None) -> DataFrame:
     """(key, at, side, sum) of the alarms over each series, ``target`` being a column; at counts from 1, nulls are passed over.
 
-    Rows lie in pieces, ranges of (key, order), written once, so that a key with all rows is read by many tasks. A piece in
+    Rows lie in ``pieces`` (the session's shuffle partitions if not given), ranges of (key, order), written once, so that a key with all rows is read by many tasks. A piece in
     the midst of a series first gives its map from the sums at its start to those at its end; the maps are joined in order,
     a row a piece, and then every piece is read from its own start. A sum that goes through a whole piece without meeting 0 or
     an alarm is moved by one addition instead of many, so it may differ in its last digits. Rows alike in key and order stay
     together.
     """
     name = df.schema[key].dataType.simpleString()  # within Python a key is text, whatever its type, and null stays null
-    spark, size = df.sparkSession, piece or PIECE
+    many = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("_key"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], (F.col(value).cast("double") - F.col(target).cast("double")).alias("_z"))
     by = ["_key", *[f"_o{i}" for i in range(len(order))]]
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // size))
     held = cut(rows.repartitionByRange(many, *by).withColumn("_piece", F.spark_partition_id()))
     spans = cut(held.groupBy("_key", "_piece").agg(F.count("*").alias("_n")))
     whole = Window.partitionBy("_key")

@@ -37,7 +37,7 @@ def test_one_key_in_many_pieces(spark):
     rng.shuffle(order)
     df = spark.createDataFrame(order, "k string, i int, v double").withColumn("m", F.lit(0.0))
     got = {}
-    for r in series.cusum_rows(df, "k", ["i"], "v", "m", 0.5, 6.0, piece=150).collect():
+    for r in series.cusum_rows(df, "k", ["i"], "v", "m", 0.5, 6.0, pieces=45).collect():
         got.setdefault(r.k, []).append((r["at"], r.side, round(r["sum"], 6)))
     want = {}
     for name in {r[0] for r in rows}:
@@ -53,7 +53,7 @@ def test_keys_of_whole_numbers_and_none_at_all(spark):
     rows = [(key, i, rng.gauss(0.6, 1.0)) for key in (None, 2**60 + 1, 2**60 + 2) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, i int, v double").withColumn("m", F.lit(0.0))
     got = {}
-    for r in series.cusum_rows(df, "k", ["i"], "v", "m", 0.5, 4.0, piece=50).collect():
+    for r in series.cusum_rows(df, "k", ["i"], "v", "m", 0.5, 4.0, pieces=18).collect():
         got.setdefault(r.k, []).append((r["at"], r.side, round(r["sum"], 6)))
     assert {n: sorted(a) for n, a in got.items()} == {key: fold([v for n, _, v in rows if n == key], 0.5, 4.0) for key in (None, 2**60 + 1, 2**60 + 2)}
     assert series.cusum_rows(df.limit(0), "k", ["i"], "v", "m").collect() == []
