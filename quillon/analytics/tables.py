@@ -14,7 +14,7 @@ from quillon.analytics.registry import query, table
 from quillon.functions import texts
 from quillon.operators import audits, checks
 from quillon.plans.steps import Plan, Step, findings, misfits
-from quillon.sources import store, zones
+from quillon.sources import records, store, zones
 from quillon.sources.scratch import shared_dir
 
 
@@ -243,6 +243,48 @@ def src_ods_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return zones.landed(o, "raw", "source", "B1").select("o_orderkey", "batch_id", "source", F.concat_ws(",", "raw_schema").alias("fields"), F.col("media_modality").alias("modality"))
 
 
+EVENT_LINE = "CASE event_id % 8 WHEN 3 THEN '{\"id\": ' WHEN 5 THEN '[1]' WHEN 7 THEN '{\"id\": \"x\"}' ELSE '{\"id\": ' || event_id || '}' END"
+RECORDS_SQL = f"""
+WITH l AS (SELECT event_id, {EVENT_LINE} AS content FROM events), k AS (SELECT *, CASE event_id % 8 WHEN 3 THEN 'no JSON' WHEN 5 THEN 'no object' WHEN 7 THEN 'another type' END AS error FROM l)
+SELECT event_id % 8 AS lot, error, count(*) AS n, coalesce(sum(CASE WHEN error IS NULL THEN event_id END), 0)::BIGINT AS ids, sum(length(content))::BIGINT AS chars FROM k GROUP BY ALL
+"""
+
+
+def _lots(rows: DataFrame) -> DataFrame:
+    """Counts by lot, which the file's folder names, and error."""
+    lot = F.regexp_extract("file", "lot=([0-9]+)", 1).cast("long")
+    return rows.groupBy(lot.alias("lot"), "error").agg(F.count("*").alias("n"), F.coalesce(F.sum("record.id"), F.lit(0)).alias("ids"), F.sum(F.length("content")).alias("chars"))
+
+
+def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select((F.col("event_id") % 8).alias("lot"), F.expr(EVENT_LINE).alias("value"))
+
+
+@query(RECORDS_SQL)
+def src_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as lines of JSON in files, read by the record source in parts of 64 KB: what fits its schema, and beside it what is no JSON,
+    no object, or of another type."""
+    at = _folder(spark)
+    _event_lines(spark, sf).write.partitionBy("lot").text(at)
+    rows = records.registered(spark).read.format("quillon_records").options(kind="jsonl", splitBytes=1 << 16).load(at)
+    return _lots(records.checked(rows, "id long"))
+
+
+@query(RECORDS_SQL)
+def src_records_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream into a table that is stopped and started again: files come in two loads, the second run begins where the first
+    ended, and a third finds nothing new."""
+    at, out = _folder(spark), _folder(spark)
+    records.registered(spark)
+    lines = _event_lines(spark, sf)
+    for part in (lines.where("lot < 4"), lines.where("lot >= 4"), None):
+        if part is not None:
+            part.write.mode("append").partitionBy("lot").text(at)
+        stream = spark.readStream.format("quillon_records").options(kind="jsonl", log=f"{out}/log").load(at)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/table").awaitTermination()
+    return _lots(records.checked(spark.read.parquet(f"{out}/table"), "id long"))
+
+
 MASTER = [("1001", "cash"), ("6601", "selling expenses")]
 
 
