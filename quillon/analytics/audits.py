@@ -133,25 +133,32 @@ def c_sar_fill(spark: SparkSession, sf: str) -> DataFrame:
     return _filled(spark, sf)
 
 
+STORIES = ["''", "concat('Moved ', cast(floor(coalesce(total, 0)) as bigint), ' in all')", "'Moved 1,234.50 in all'", "repeat('Transfers stay below the limit. ', 4)"]
+
+
 @query(f"""
-WITH {FORM_SQL}, r AS (SELECT c_custkey, avg((nullif(value, '') IS NOT NULL)::INT) AS rate FROM f GROUP BY 1), s AS (SELECT c.c_custkey, rate, 15 * rate + CASE WHEN c.c_custkey % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN reason <> '' THEN 2.5 ELSE 0 END AS complete, CASE WHEN amount > 0 THEN 6 ELSE 0 END + CASE WHEN account IS NOT NULL THEN 5 ELSE 2.5 END + CASE WHEN reason <> '' THEN 5 ELSE 0 END AS accurate, CASE WHEN rate >= 0.9 THEN 10 WHEN rate >= 0.7 THEN 7 WHEN rate >= 0.5 THEN 4 ELSE 0 END + 10 AS complies, CASE WHEN amount > 5000 THEN 10 ELSE 6 END + 4 AS logical FROM c JOIN r USING (c_custkey))
-SELECT c_custkey, round((complete + accurate + logical + complies)::DOUBLE, 4) AS total, round(rate, 6) AS fill_rate, CASE WHEN round((complete + accurate + logical + complies)::DOUBLE, 9) >= 80 THEN 'good' WHEN round((complete + accurate + logical + complies)::DOUBLE, 9) >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM s
+WITH {FORM_SQL}, r AS (SELECT c_custkey, avg((nullif(value, '') IS NOT NULL)::INT) AS filled, avg((nullif(value, '') IS NOT NULL)::INT) FILTER (field <> 'phone') AS mandatory FROM f GROUP BY 1),
+o AS (SELECT o_custkey AS c_custkey, count(*) AS n, sum(o_totalprice) AS total, count(*) FILTER (o_orderstatus = 'F') AS attachments, (count(*) FILTER (o_totalprice > 450000) >= 2)::INT + (count(*) FILTER (o_orderpriority = '1-URGENT') >= 3)::INT AS patterns, count(DISTINCT o_orderpriority) AS related FROM orders GROUP BY 1),
+x AS (SELECT c.*, filled, mandatory, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(attachments, 0) AS attachments, coalesce(patterns, 0) > 0 AS p, coalesce(related, 0) AS related, (c_custkey % 3 = 0)::INT AS ext, c_custkey % 60 AS alert, CASE c_custkey % 4 {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(STORIES))} END AS story FROM c JOIN r USING (c_custkey) LEFT JOIN o USING (c_custkey)),
+y AS (SELECT *, coalesce(try_cast(replace(regexp_extract(story, '[0-9,]+(\\.[0-9]+)?'), ',', '') AS DOUBLE), 0) AS said, length(reason) + 1 + length(story) AS len FROM x),
+s AS (SELECT c_custkey, 15 * mandatory + CASE WHEN attachments > 0 THEN 10 ELSE 0 END + CASE WHEN reason <> '' AND ext > 0 THEN 5 WHEN reason <> '' THEN 2.5 ELSE 0 END AS complete,
+ CASE WHEN said <> 0 AND abs(said - total) / greatest(total, 1) < 0.05 THEN 10 WHEN said = 0 AND total > 0 THEN 6 ELSE 0 END + CASE WHEN n > 0 THEN 5 ELSE 0 END + CASE WHEN account IS NOT NULL THEN 5 ELSE 2.5 END + CASE WHEN reason <> '' OR p THEN 5 ELSE 0 END AS accurate,
+ CASE WHEN len >= 100 AND p THEN 10 WHEN len >= 50 THEN 6 ELSE 0 END + CASE WHEN n >= 5 THEN 3 ELSE 0 END + CASE WHEN related + ext >= 3 THEN 3 ELSE 0 END + CASE WHEN p THEN 4 ELSE 0 END + CASE WHEN p AND alert > 0 THEN 5 WHEN alert > 0 THEN 3 ELSE 0 END AS logical,
+ CASE WHEN filled >= 0.9 THEN 10 WHEN filled >= 0.7 THEN 7 WHEN filled >= 0.5 THEN 4 ELSE 0 END + 10 AS complies FROM y), t AS (SELECT *, round((complete + accurate + logical + complies)::DOUBLE, 6) AS total FROM s)
+SELECT c_custkey, round(complete::DOUBLE, 6) AS complete, accurate::DOUBLE AS accurate, logical::DOUBLE AS logical, complies::DOUBLE AS complies, total, CASE WHEN total >= 90 THEN 'excellent' WHEN total >= 80 THEN 'good' WHEN total >= 70 THEN 'fair' ELSE 'poor' END AS grade FROM t
 """)
 def c_sar_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Quality of a filled form: completeness of 30, accuracy of 25, logic of 25, compliance of 20. Of the survey's checks, those on
-    dates, attachments and the narrative's length stand for themselves by the record's number and amount."""
-    f = _filled(spark, sf)
-    have = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))
-    rate = f.groupBy("c_custkey").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("rate"), have("reason").alias("reason_"))
-    k = F.col("c_custkey")
-    c = table(spark, sf, "customer").select(k, F.abs("c_acctbal").alias("amount"), (k % 4 != 0).alias("account"), (k % 5 != 0).alias("reason"))
-    met = c.join(rate, "c_custkey")
-    add = lambda test, n, other=0.0: F.when(test, float(n)).otherwise(float(other))
-    complete = 15 * F.col("rate") + add(k % 2 == 0, 10) + add(F.col("reason"), 2.5)
-    accurate = add(F.round("amount", 2) > 0, 6) + add(F.col("account"), 5, 2.5) + add(F.col("reason"), 5)
-    complies = F.when(F.col("rate") >= 0.9, 10).when(F.col("rate") >= 0.7, 7).when(F.col("rate") >= 0.5, 4).otherwise(0) + 10
-    total = complete + accurate + complies + add(F.round("amount", 2) > 5000, 10, 6) + 4
-    return met.select(k, F.round(total, 4).alias("total"), F.round("rate", 6).alias("fill_rate"), rules.bands(F.round(total, 9), [(80, "good"), (60, "fair")], "poor").alias("grade"))
+    """Quality of a filed report on a customer and its orders: completeness of 30 (fields, attachments, sources), accuracy of 25 (the
+    amount the narrative names, dates, identity, cause), logic of 25 (length, depth, conclusion), compliance of 20."""
+    have, k = F.col("value").isNotNull().cast("int"), F.col("c_custkey")
+    rate = _filled(spark, sf).groupBy("c_custkey").agg(F.avg(have).alias("filled"), F.avg(F.when(F.col("field") != "phone", have)).alias("mandatory"))
+    many = (F.count_if(F.col("o_totalprice") > 450_000) >= 2).cast("int") + (F.count_if(F.col("o_orderpriority") == "1-URGENT") >= 3).cast("int")
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("transactions"), F.sum("o_totalprice").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("attachments"), many.alias("patterns"), F.countDistinct("o_orderpriority").alias("related"), F.count("o_orderdate").alias("dated"), F.min("o_orderdate").isNotNull().alias("ranged"))
+    c = table(spark, sf, "customer").select(k, F.col("c_name").isNotNull().alias("named"), (k % 4 != 0).alias("identified"), F.when(k % 5 == 0, "").otherwise("splitting").alias("reason"), (k % 3 == 0).cast("int").alias("external"), (k % 60).alias("alert"))
+    story = F.expr("case c_custkey % 4 " + " ".join(f"when {i} then {t}" for i, t in enumerate(STORIES)) + " end")
+    met = c.join(rate, "c_custkey").join(o, "c_custkey", "left").withColumn("narrative", story).withColumnRenamed("total", "amount")
+    got = audits.report_quality(met)
+    return got.select("c_custkey", F.round("complete", 6).alias("complete"), "accurate", "logical", "complies", F.round("total", 6).alias("total"), "grade")
 
 
 IMPACT_SQL = """

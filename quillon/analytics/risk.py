@@ -294,6 +294,14 @@ def ml_recon(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("o_orderkey", F.round("distance", 6).alias("distance"), "top")
 
 
+@query()
+def ml_unsupervised(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions that the forest or their distance to the centre marks, with both scores: forest above .65 or in the top 5 %, distance
+    in the top tenth."""
+    got = stats.unsupervised(_features(spark, sf), "o_orderkey", ["f1", "f2", "f3"])
+    return got.select("o_orderkey", F.round("iso", 6).alias("iso"), F.round("distance", 6).alias("distance"), "by_forest", "by_centre", "flagged")
+
+
 @query()
 def ml_iforest(spark: SparkSession, sf: str) -> DataFrame:
     """Isolation forest on a bounded sample, scores for every row."""

@@ -92,6 +92,16 @@ def t_search_boolean(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(best, ["q", "place"]).select("p_partkey", "id", "hits", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def t_search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents for each benchmark item by words in common, Jaccard and likeness; two items in three ask in one language."""
+    place = F.when(F.col("item_id") % 3 == 0, F.lit("en")).when(F.col("item_id") % 3 == 1, F.lit("de"))
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text", place.alias("place"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("place"))
+    got = retrieval.searched(queries, docs)
+    return got.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "hits", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 CASES = [("C1", "steel", "main", "revenue", "revenue recognition and customer checks"), ("C2", "retail", "growth", "revenue", "online sales revenue and returns"), ("C3", "steel", "growth", "related", "related party sales and prices"), ("C4", "retail", "main", "tax", "tax rates and refunds")]
 INQUIRIES = ["how is revenue recognition done", "are related party prices fair", "why did tax refunds grow"]
 

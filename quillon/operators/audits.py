@@ -205,3 +205,26 @@ def team_fitness(teams: DataFrame, projects: DataFrame) -> DataFrame:
     bad = F.coalesce("over", F.lit(0)) + F.when(F.coalesce("seniors", F.lit(0)) < F.col("min_senior"), 1).otherwise(0)
     out = met.select("project", skill.alias("skill"), F.coalesce(balance, F.lit(0.0)).alias("load"), F.coalesce(F.col("synergy") * 100, F.lit(50.0)).alias("synergy"), bad.alias("violations"))
     return out.withColumn("fitness", F.col("skill") * 0.35 + F.col("load") * 0.20 + F.col("synergy") * 0.10 - F.col("violations") * 15)
+
+
+def report_quality(df: DataFrame) -> DataFrame:
+    """Rows with ``complete`` (30 at most), ``accurate`` (25), ``logical`` (25), ``complies`` (20), ``total`` and ``grade`` of a filed
+    report, from mandatory and filled (shares of fields with a value), attachments, external, related, patterns, transactions and dated
+    (counts), ranged, named and identified (booleans), reason, narrative, amount and alert. A missing text is empty, a missing count 0."""
+    no = lambda name, of=0.0: F.coalesce(F.col(name).cast(type(of).__name__.replace("float", "double").replace("str", "string").replace("bool", "boolean")), F.lit(of))
+    reason, story, amount, patterns = no("reason", ""), no("narrative", ""), no("amount"), no("patterns") > 0
+    when = lambda *steps: F.coalesce(*[F.when(test, float(n)) for test, n in steps], F.lit(0.0))
+    named = F.replace(F.regexp_extract(story, "[0-9,]+(?:\\.[0-9]+)?", 0), F.lit(","), F.lit("")).try_cast("double")
+    said = F.coalesce(named, F.lit(0.0))
+    near = F.abs(said - amount) / F.greatest(amount, F.lit(1.0)) < 0.05
+    complete = no("mandatory") * 15 + when((no("attachments") > 0, 10)) + when(((reason != "") & (no("external") > 0), 5), (reason != "", 2.5))
+    accurate = when(((said != 0) & near, 10), ((said == 0) & (amount > 0), 6)) + when(((no("dated") > 0) & no("ranged", False), 5), (no("dated") > 0, 2.5))
+    accurate = accurate + when((no("named", False) & no("identified", False), 5), (no("named", False), 2.5)) + when(((reason != "") | patterns, 5))
+    length = F.char_length(reason) + 1 + F.char_length(story)
+    depth = when((no("transactions") >= 5, 3)) + when((no("related") + no("external") >= 3, 3)) + when((patterns, 4))
+    logical = when(((length >= 100) & patterns, 10), (length >= 50, 6)) + depth + when((patterns & (no("alert") > 0), 5), (no("alert") > 0, 3))
+    # in time and confidential: 5 each, as the report is made when it is due and by the system itself
+    complies = when((no("filled") >= 0.9, 10), (no("filled") >= 0.7, 7), (no("filled") >= 0.5, 4)) + 10.0
+    out = df.withColumns({"complete": complete, "accurate": accurate, "logical": logical, "complies": complies})
+    total = F.col("complete") + F.col("accurate") + F.col("logical") + F.col("complies")
+    return out.withColumn("total", total).withColumn("grade", bands(F.round("total", 9), [(90, "excellent"), (80, "good"), (70, "fair")], "poor"))

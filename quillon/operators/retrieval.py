@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.similar import ratio
 from quillon.functions.texts import words
+from quillon.operators.stats import ranked as top
+from quillon.sources.scratch import cut
 
 
 def postings(docs: DataFrame, id_: str, text: Column) -> DataFrame:
@@ -29,6 +32,33 @@ def bm25(index: DataFrame, queries: DataFrame, lengths: DataFrame, id_: str, k1:
     return met.groupBy("query", id_).agg(F.sum(part * F.col("idf") if weigh else part).alias("score"), F.count("*").alias("matched"))
 
 
+def searched(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(query, id, hits, score, rank): the ``k`` documents (id, text, place) with the highest 2 hits + Jaccard + 3 likeness for each of
+    ``queries`` (query, text, place), ties by id; hits are different words in common, one at least. A query with a place asks for
+    documents of that place only, one without (null) for all. A null text has no words. Exact.
+
+    The first two terms come from words that meet by key. The likeness is at most twice the shorter length over both, which bounds
+    what a document can still reach; texts are only fetched and compared where that is not below the k-th sum known for sure.
+    """
+    texts_of = lambda df: F.array_distinct(words(F.coalesce("text", F.lit(""))))
+    asked = queries.select("query", "place", F.char_length("text").alias("_ql"), texts_of(queries).alias("_w")).withColumn("_qn", F.size("_w"))
+    terms = asked.select("query", F.col("place").alias("_place"), "_ql", "_qn", F.explode("_w").alias("term"))
+    own = docs.select("id", "place", F.char_length("text").alias("_dl"), texts_of(docs).alias("_w")).withColumn("_dn", F.size("_w"))
+    wanted = terms.select("term").distinct()
+    few = wanted.limit(TERMS + 1).count() <= TERMS
+    held = own.select("id", "place", "_dl", "_dn", F.explode("_w").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
+    met = held.join(terms, "term").where(F.col("_place").isNull() | (F.col("_place") == F.col("place")))
+    pairs = met.groupBy("query", "id", "_ql", "_qn", "_dl", "_dn").agg(F.count("*").cast("int").alias("hits"))
+    sure = 2 * F.col("hits") + F.col("hits") / (F.col("_qn") + F.col("_dn") - F.col("hits"))
+    most = 6 * F.least("_ql", "_dl") / (F.col("_ql") + F.col("_dl"))
+    pairs = cut(pairs.select("query", "id", "hits", sure.alias("_sure"), (sure + most + 1e-9).alias("_most")))
+    kth = top(pairs, ["query"], "_sure", "id", k).groupBy("query").agg(F.min("_sure").alias("_kth"), F.count("*").alias("_n"))
+    open_ = pairs.join(kth, "query").where((F.col("_most") >= F.col("_kth")) | (F.col("_n") < k)).select("query", "id", "hits", "_sure")
+    both = open_.join(docs.select("id", F.col("text").alias("_d")), "id").join(queries.select("query", F.col("text").alias("_q")), "query")
+    scored = both.select("query", "id", "hits", (F.col("_sure") + 3 * ratio("_q", "_d")).alias("score")).withColumn("_order", F.round("score", 9))
+    return top(scored, ["query"], "_order", "id", k).drop("_order")
+
+
 def keyword_class(docs: DataFrame, id_: str, text: Column, lexicon: dict[str, list[str]]) -> DataFrame:
     """(id, label, hits, confidence): the class with most keyword hits (ties: first by name), and its share of all hits."""
     names = sorted(lexicon)

@@ -201,6 +201,24 @@ def isolation(df: DataFrame, id_: str, features: list[str], trees: int = 50, sam
     return df.withColumn("iso", iso(*[F.col(f).cast("double") for f in features]))
 
 
+def unsupervised(df: DataFrame, id_: str, features: list[str], least: float = 0.65, soonest: float = 0.05, farthest: float = 0.1) -> DataFrame:
+    """Rows with ``iso``, ``distance``, ``by_forest``, ``by_centre`` and ``flagged``: rows whose forest score is above ``least`` or among
+    the highest ``soonest`` of all (one at least, ties with the last included), and rows whose distance to the centre of the standardised
+    features is among the largest ``farthest`` and not 0. Fewer than eight rows say nothing: none is flagged.
+
+    Scores are written once; both bounds are places in them, found exactly without sorting them."""
+    scored = cut(isolation(centre_distance(df, features), id_, features))
+    bounds = {}
+    for score, share in (("iso", soonest), ("distance", farthest)):
+        place = {f"_{score}": F.col("n") - F.greatest(F.lit(1), F.floor(F.col("n") * share))}
+        bounds[score] = at_ranks(scored.withColumn("_one", F.lit(1)), ["_one"], score, place)
+    one = bounds["iso"].join(bounds["distance"].drop("n"), "_one").drop("_one")  # a row at most
+    met = scored.join(F.broadcast(one), F.lit(True), "left")
+    enough = F.coalesce(F.col("n") >= 8, F.lit(False))
+    flags = {"by_forest": enough & ((F.col("iso") > least) | (F.col("iso") >= F.col("_iso"))), "by_centre": enough & (F.col("distance") >= F.col("_distance")) & (F.col("distance") > 0)}
+    return met.withColumns({n: F.coalesce(f, F.lit(False)) for n, f in flags.items()}).withColumn("flagged", F.col("by_forest") | F.col("by_centre")).drop("n", "_iso", "_distance")
+
+
 def fused(parts: list[tuple[float, Column]]) -> Column:
     return sum((c * w for w, c in parts[1:]), parts[0][1] * parts[0][0])
 
