@@ -724,3 +724,37 @@ def c_func_risk(spark: SparkSession, sf: str) -> DataFrame:
     dims = F.array(*[F.struct(F.lit(n).alias("dim"), F.array_distinct(F.when(k % m > 0, F.sequence(F.lit(1), F.least((k % m).cast("int"), F.lit(o)))).otherwise(F.array().cast("array<int>"))).alias("chosen"), F.lit(o).alias("options")) for n, m, o in (("functions", 6, 5), ("assets", 5, 4), ("risks", 4, 4))])
     f = table(spark, sf, "supplier").select(k, F.explode(dims).alias("x")).select(k, "x.dim", (F.size("x.chosen") / F.greatest("x.options", F.lit(1))).alias("share"))
     return f.select(k, "dim", F.round("share", 4).alias("share"), rules.bands(F.round("share", 9), [(0.6, "high"), (0.3, "medium")], "low").alias("level"))
+
+
+PLAN_SQL = """
+WITH h AS (SELECT n_nationkey AS project, unnest(['k' || (n_nationkey % 4), 'k' || (n_nationkey % 3 + 4)]) AS k, unnest([3.0, 2.0]) AS w FROM nation),
+p AS (SELECT n_nationkey AS project, n_nationkey % 4 + 1 AS weeks, 100000.0 * (n_nationkey % 3 + 1) AS budget, n_nationkey % 2 AS need, n_nationkey * 1.5 AS lat2, n_nationkey * 3.0 AS lon2, 'i' || (n_nationkey % 5) AS industry, 'c' || (n_nationkey % 2) AS cluster FROM nation),
+a AS (SELECT s_suppkey AS auditor, s_nationkey AS home, ['k' || (s_suppkey % 4), 'k' || (s_suppkey % 3 + 4)] AS ks, [1.0 + s_suppkey % 5, 2.0 + s_suppkey % 3] AS vs, 5 + s_suppkey % 10 AS available, 50.0 + s_suppkey % 20 AS rate, (s_suppkey % 40)::DOUBLE AS lat, (s_suppkey % 60)::DOUBLE AS lon, ['i' || (s_suppkey % 7), 'c' || (s_suppkey % 3), 'k' || (s_suppkey % 5)] AS goals, s_suppkey % 4 AS level FROM supplier),
+y AS (SELECT home AS project, auditor FROM a WHERE auditor % 4 = 0 AND home % 5 <> 0), z AS (SELECT project, count(*) AS past FROM y GROUP BY 1),
+m AS (SELECT r_regionkey AS plan, p.project, a.*, p.* EXCLUDE (project) FROM a, region JOIN p ON p.project = (home + r_regionkey * (auditor % 3)) % 25 WHERE (auditor + r_regionkey) % 6 <> 0),
+u AS (SELECT plan, auditor, sum(weeks * 10) AS hours, first(available) AS available FROM m GROUP BY ALL), l AS (SELECT plan, avg(hours) AS mean, stddev_pop(hours) AS sd, count(*) FILTER (hours > 4 * available) AS over FROM u GROUP BY 1),
+d AS (SELECT m.*, hours, 6371 * 2 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2))) AS km, list_has_any(goals, [industry, cluster]) AS aims, len(list_intersect(goals, ['k' || (m.project % 4), 'k' || (m.project % 3 + 4)])) AS learns, y.auditor IS NOT NULL AS back FROM m JOIN u USING (plan, auditor) LEFT JOIN y ON y.project = m.project AND y.auditor = m.auditor),
+t AS (SELECT plan, project, count(*) AS n, sum(1.5 * km + hours * rate) AS spent, avg(CASE WHEN aims THEN 30 ELSE 0 END + 20 * learns + CASE WHEN level > 0 AND need > 0 THEN 20 ELSE 0 END) AS grows, count(*) FILTER (level >= 2) AS seniors, count(*) FILTER (back) AS back FROM d GROUP BY ALL),
+b AS (SELECT plan, project, k, max(v) AS v FROM (SELECT plan, project, unnest(ks) AS k, unnest(vs) AS v FROM m) GROUP BY ALL),
+s AS (SELECT plan, b.project, sum(v * coalesce(w, 0)) / (sqrt(sum(v * v)) * sqrt(13)) AS skill FROM b LEFT JOIN h ON h.project = b.project AND h.k = b.k GROUP BY ALL),
+g AS (SELECT x.plan, x.project, avg(len(list_intersect(x.ks, o.ks)) / len(list_distinct(list_concat(x.ks, o.ks)))) * 100 AS synergy FROM m x JOIN m o ON x.plan = o.plan AND x.project = o.project AND x.auditor < o.auditor GROUP BY ALL),
+e AS (SELECT plan, p.project, p.need, coalesce(spent, 0) AS spent, coalesce(grows, 0) AS grows, coalesce(seniors, 0) < p.need AS unled, coalesce(skill, 0) AS skill, coalesce(synergy, 50) AS synergy, CASE WHEN past IS NULL THEN 50 ELSE 100 * coalesce(back, 0) / past END AS kept FROM (SELECT DISTINCT plan FROM m) CROSS JOIN p LEFT JOIN t USING (plan, project) LEFT JOIN s USING (plan, project) LEFT JOIN g USING (plan, project) LEFT JOIN z ON z.project = p.project),
+f AS (SELECT plan, avg(skill) * 100 AS skill, greatest(0, 100 - any_value(sd) / greatest(any_value(mean), 1) * 100) AS load, greatest(0, 100 - sum(spent) / (SELECT sum(budget) FROM p) * 100) AS cost, avg(grows) AS development, avg(synergy) AS synergy, avg(kept) AS continuity, any_value(over) + count(*) FILTER (unled) AS violations FROM e JOIN l USING (plan) GROUP BY 1)
+SELECT plan, round(skill::DOUBLE, 4) AS skill, round(load::DOUBLE, 4) AS load, round(cost::DOUBLE, 4) AS cost, round(development::DOUBLE, 4) AS development, round(synergy::DOUBLE, 4) AS synergy, round(continuity::DOUBLE, 4) AS continuity, violations::BIGINT AS violations, round((0.35 * skill + 0.20 * load + 0.15 * cost + 0.15 * development + 0.10 * synergy + 0.05 * continuity - 15 * violations)::DOUBLE, 4) AS fitness FROM f
+"""
+
+
+@query(PLAN_SQL)
+def c_plan_fitness(spark: SparkSession, sf: str) -> DataFrame:
+    """How good each plan is that sends suppliers' auditors to the nations' projects: skills, balance of hours, cost of travel and hours,
+    development, synergy and continuity, less 15 for each violation."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    name = lambda x, c: F.concat(F.lit(x), c.cast("string"))
+    s = table(spark, sf, "supplier")
+    auditors = s.select(k.alias("auditor"), F.create_map(name("k", k % 4), 1.0 + k % 5, name("k", k % 3 + 4), 2.0 + k % 3).alias("skills"), (5 + k % 10).alias("available"), (50.0 + k % 20).alias("rate"), (k % 40).cast("double").alias("lat"), (k % 60).cast("double").alias("lon"), F.array(name("i", k % 7), name("c", k % 3), name("k", k % 5)).alias("goals"), (k % 4).alias("level"))
+    projects = table(spark, sf, "nation").select(n.alias("project"), F.create_map(name("k", n % 4), F.lit(3.0), name("k", n % 3 + 4), F.lit(2.0)).alias("required"), (n % 4 + 1).alias("weeks"), (100000.0 * (n % 3 + 1)).alias("budget"), (n % 2).alias("min_senior"), (n * 1.5).alias("lat"), (n * 3.0).alias("lon"), name("i", n % 5).alias("industry"), name("c", n % 2).alias("cluster"))
+    plans = s.crossJoin(F.broadcast(table(spark, sf, "region").select(F.col("r_regionkey").alias("plan"))))  # five rows
+    assigned = plans.where((k + F.col("plan")) % 6 != 0).select("plan", k.alias("auditor"), ((F.col("s_nationkey") + F.col("plan") * (k % 3)) % 25).alias("project"))
+    history = s.where((k % 4 == 0) & (F.col("s_nationkey") % 5 != 0)).select(F.col("s_nationkey").alias("project"), k.alias("auditor"))
+    got = audits.plan_fitness(assigned, auditors, projects, history)
+    return got.select("plan", *[F.round(c, 4).alias(c) for c in audits.PLAN_PARTS], F.col("violations").cast("long").alias("violations"), F.round("fitness", 4).alias("fitness"))

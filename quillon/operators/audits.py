@@ -228,3 +228,68 @@ def report_quality(df: DataFrame) -> DataFrame:
     out = df.withColumns({"complete": complete, "accurate": accurate, "logical": logical, "complies": complies})
     total = F.col("complete") + F.col("accurate") + F.col("logical") + F.col("complies")
     return out.withColumn("total", total).withColumn("grade", bands(F.round("total", 9), [(90, "excellent"), (80, "good"), (70, "fair")], "poor"))
+
+
+# Weights of the parts of a plan's fitness, what a violation costs, travel by the kilometre, hours by the week.
+PLAN_PARTS = {"skill": 0.35, "load": 0.20, "cost": 0.15, "development": 0.15, "synergy": 0.10, "continuity": 0.05}
+VIOLATION, TRAVEL, WEEK_HOURS = 15, 1.5, 10
+
+
+def plan_fitness(assigned: DataFrame, auditors: DataFrame, projects: DataFrame, history: DataFrame) -> DataFrame:
+    """(plan, the six parts, violations, spent, fitness) of each plan's assignment of auditors to all projects.
+
+    assigned: plan, project, auditor (repeats count once, unknown auditors and projects not at all); auditors: auditor, skills (map),
+    available (hours a week), rate, lat, lon, goals (array), level (0 junior, 2 and more senior); projects: project, required (map),
+    weeks, budget, min_senior, lat, lon, industry, cluster; history: project, auditor. A project without a team has skill and
+    development 0 and synergy 50; one without history has continuity 50; one auditor alone has synergy 50.
+
+    A team's synergy is counted over its different sets of skills and how many have each, so large teams make no pairs of auditors,
+    and projects without a team come from totals, so plans and projects are not multiplied.
+    """
+    from quillon.functions.numbers import haversine_km
+
+    past = history.select("project", "auditor").distinct()
+    # what projects have before there is a team
+    norm = F.sqrt(F.aggregate(F.map_values("required"), F.lit(0.0), lambda t, w: t + w * w))
+    works = projects.join(past.groupBy("project").agg(F.count("*").alias("_past")), "project", "left").withColumn("_norm", norm).select("*", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).drop("lat", "lon")
+    of = works.agg(F.count("*").alias("_all"), F.sum("budget").alias("_budget"), F.count_if(F.col("_past").isNull()).alias("_new"), F.count_if(F.col("min_senior") > 0).alias("_led"))
+    met = assigned.select("plan", "project", "auditor").distinct().join(auditors, "auditor").join(works, "project")
+    met = met.join(past.withColumn("_was", F.lit(1)), ["project", "auditor"], "left")
+    hours = met.groupBy("plan", "auditor").agg(F.sum(F.col("weeks") * WEEK_HOURS).alias("_hours"), F.first("available").alias("available"))
+    load = hours.groupBy("plan").agg(F.avg("_hours").alias("_mean"), F.stddev_pop("_hours").alias("_std"), F.count_if(F.col("_hours") > 4 * F.col("available")).alias("_over"))
+    aims = lambda c: F.coalesce(F.array_contains("goals", F.col(c)), F.lit(False))
+    grows = F.when(aims("industry") | aims("cluster"), 30).otherwise(0) + 20 * F.size(F.array_intersect(F.map_keys("required"), "goals")) + F.when((F.col("level") > 0) & (F.col("min_senior") > 0), 20).otherwise(0)
+    costs = TRAVEL * haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) + F.col("_hours") * F.col("rate")
+    team = met.join(hours.drop("available"), ["plan", "auditor"]).groupBy("plan", "project").agg(
+        F.sum(costs).alias("_spent"), F.avg(grows).alias("_grows"), F.count_if(F.col("level") >= 2).alias("_seniors"), F.count("_was").alias("_back"),
+        F.first("_past").alias("_past"), F.first("min_senior").alias("_need"), F.count("*").alias("_n"),
+    )
+    wanted = F.coalesce(F.try_element_at("required", F.col("k")), F.lit(0.0))
+    best = met.select("plan", "project", "required", "_norm", F.explode("skills").alias("k", "v")).select("plan", "project", "_norm", "k", "v", wanted.alias("w"))
+    best = best.groupBy("plan", "project", "k").agg(F.max("v").alias("v"), F.first("w").alias("w"), F.first("_norm").alias("_norm"))
+    fits = best.groupBy("plan", "project").agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sqrt(F.sum(F.col("v") * F.col("v"))) * F.first("_norm")), F.lit(0.0)).alias("_skill"))
+    sets = met.groupBy("plan", "project", F.array_sort(F.map_keys("skills")).alias("_s")).agg(F.count("*").alias("_k"))
+    other = sets.select("plan", "project", F.col("_s").alias("_t"), F.col("_k").alias("_l"))
+    alike = F.size(F.array_intersect("_s", "_t")) / F.greatest(F.size(F.array_union("_s", "_t")), F.lit(1))
+    pairs = F.when(F.col("_s") == F.col("_t"), F.col("_k") * (F.col("_k") - 1) / 2).otherwise(F.col("_k") * F.col("_l").cast("double"))
+    together = sets.join(other, ["plan", "project"]).where("_s <= _t").groupBy("plan", "project").agg(F.sum(alike * pairs).alias("_alike"))
+    team = team.join(fits, ["plan", "project"], "left").join(together, ["plan", "project"], "left")
+    synergy = F.when(F.col("_n") < 2, 50.0).otherwise(F.col("_alike") / (F.col("_n") * (F.col("_n") - 1) / 2) * 100)
+    kept = F.when(F.col("_past").isNull(), 50.0).otherwise(F.col("_back") / F.col("_past") * 100)
+    plans = team.groupBy("plan").agg(
+        F.count("*").alias("_teams"), F.sum("_spent").alias("spent"), F.sum("_grows").alias("_grows"), F.sum(F.coalesce("_skill", F.lit(0.0))).alias("_skill"), F.sum(synergy).alias("_synergy"), F.sum(kept).alias("_kept"),
+        F.count_if(F.col("_past").isNull()).alias("_had_new"), F.count_if(F.col("_need") > 0).alias("_had_led"), F.count_if((F.col("_need") > 0) & (F.col("_seniors") < F.col("_need"))).alias("_unled"),
+    )
+    met = plans.join(load, "plan").crossJoin(F.broadcast(of))  # one row
+    up = lambda c: F.greatest(F.lit(0.0), c)
+    parts = {
+        "skill": F.col("_skill") / F.col("_all") * 100,
+        "load": up(100 - F.col("_std") / F.greatest(F.col("_mean"), F.lit(1.0)) * 100),
+        "cost": up(100 - F.col("spent") / F.when(F.coalesce(F.col("_budget"), F.lit(0)) == 0, 1).otherwise(F.col("_budget")) * 100),
+        "development": F.col("_grows") / F.col("_all"),
+        "synergy": (F.col("_synergy") + 50 * (F.col("_all") - F.col("_teams"))) / F.col("_all"),
+        "continuity": (F.col("_kept") + 50 * (F.col("_new") - F.col("_had_new"))) / F.col("_all"),
+    }
+    bad = F.col("_over") + F.col("_unled") + F.col("_led") - F.col("_had_led")
+    out = met.select("plan", *[c.alias(n) for n, c in parts.items()], bad.alias("violations"), "spent")
+    return out.withColumn("fitness", sum((F.col(n) * w for n, w in PLAN_PARTS.items()), F.lit(0.0)) - VIOLATION * F.col("violations"))
