@@ -125,15 +125,17 @@ def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7
     more, the smallest id on ties, else nulls.
 
     A pair whose amounts are more than 4 % apart keeps at most .65 of its weight, so candidates come from neighbouring cells
-    of the amount's logarithm and no match is lost; a record without an amount matches none.
+    of the amount's logarithm and no match is lost; a record without an amount matches none. Names of which one is null or empty
+    are not alike, and that counts.
     """
     cell = lambda c: F.floor(F.log(c) / math.log(1.045)).cast("long")
-    left = targets.where("incl > 0").select(*[F.col(c).alias("a_" + c) for c in targets.columns])
+    filled = lambda df: df.withColumn("name", F.coalesce("name", F.lit("")))
+    left = filled(targets).where("incl > 0").select(*[F.col(c).alias("a_" + c) for c in targets.columns])
     left = left.withColumn("_cell", F.explode(F.sequence(cell(F.col("a_incl")) - 1, cell(F.col("a_incl")) + 1)))
-    right = candidates.where("incl > 0").select(*[F.col(c).alias("b_" + c) for c in candidates.columns]).withColumn("_cell", cell(F.col("b_incl")))
+    right = filled(candidates).where("incl > 0").select(*[F.col(c).alias("b_" + c) for c in candidates.columns]).withColumn("_cell", cell(F.col("b_incl")))
     met = left.join(right, "_cell").where(F.abs(F.col("a_incl") - F.col("b_incl")) <= 0.04 * F.col("a_incl"))
     # names are compared once a pair of different names
-    named = met.select("a_name", "b_name").distinct().withColumn("_like", ratio("a_name", "b_name"))
+    named = met.select("a_name", "b_name").distinct().withColumn("_like", F.when((F.col("a_name") != "") & (F.col("b_name") != ""), ratio("a_name", "b_name")).otherwise(0.0))
     scored = met.join(named, ["a_name", "b_name"]).withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= least)
     best = scored.groupBy(F.col("a_id").alias("id")).agg(F.max_by(F.struct("b_id", "score"), F.struct("score", (-F.col("b_id")).alias("o"))).alias("best"))
     return targets.select("id").join(best, "id", "left").select("id", F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))

@@ -1,12 +1,13 @@
 """Search by words and likeness, marks without labels, and quality of reports, against brute force."""
 
+import datetime
 import difflib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from quillon.operators import audits, retrieval, stats
+from quillon.operators import audits, joins, retrieval, stats
 
 
 def test_search_equals_all_pairs(spark):
@@ -67,3 +68,38 @@ def test_quality_of_reports(spark):
         (10.0, 10.0, 9.0, 14.0, 43.0, "poor"),
         (0.0, 11.0, 10.0, 17.0, 38.0, "poor"),
     ]
+
+
+def test_best_records_against_all_pairs(spark):
+    r = random.Random(21)
+    names = ["acme works", "acme work", "blue sky", "", None, *("".join(r.choice("abcde ") for _ in range(9)) for _ in range(40))]
+    schema = "id long, name string, incl double, excl double, tax double, quantity double, date date"
+    day = lambda: None if r.random() < 0.1 else datetime.date(2024, 1, 1) + datetime.timedelta(r.randint(0, 40))
+
+    def some(n, start):
+        out = []
+        for i in range(n):
+            x = r.choice([0.0, 100.0, 101.0, 103.9, 250.0]) * r.uniform(0.99, 1.01)
+            out.append((start + i, r.choice(names), x, x / 1.13, r.choice([0.0, x * 0.13]), float(r.randint(0, 5)), day()))
+        return out
+
+    left, right = some(60, 0), some(80, 1000)
+    got = {x.id: (x.match, x.score and round(x.score, 9)) for x in joins.record_matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+
+    def score(a, b):
+        total, weight = 0.0, 0.2
+        if a[1] and b[1]:
+            total = 0.2 * (difflib.SequenceMatcher(None, a[1], b[1]).ratio())
+        for i, (w, t) in zip((2, 3, 4, 5), joins.RECORD_PARTS.values(), strict=True):
+            if a[i] > 0 and b[i] > 0:
+                total, weight = total + w * max(0, 1 - abs(a[i] - b[i]) / a[i] / max(2 * t, 0.01)), weight + w
+        if a[6] and b[6]:
+            total, weight = total + 0.1 * max(0, 1 - abs((a[6] - b[6]).days) / 30), weight + 0.1
+        return total / weight
+
+    for a in left:
+        best = max(((score(a, b), -b[0]) for b in right if a[2] > 0 and b[2] > 0), default=(0, 0))
+        if best[0] >= 0.7:
+            assert got[a[0]][1] == round(best[0], 9) and score(a, next(b for b in right if b[0] == got[a[0]][0])) >= best[0] - 1e-9, a
+        else:
+            assert got[a[0]] == (None, None), a
