@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.analytics.registry import query, table
+from quillon.functions import numbers
 from quillon.operators import rules, series, stats
 from quillon.sources.scratch import shared_dir
 from quillon.streaming import machines, monitor
@@ -200,9 +201,9 @@ def ss_cusum(spark: SparkSession, sf: str) -> DataFrame:
     """Alarms of the two-sided CUSUM over each user's values against their mean (k .5, h 40), a series read in pieces;
     monitor.cusum_alarms is the same on a stream."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    means = e.groupBy("user_id").agg(F.avg("value").alias("m"))
+    means = series.ordered_means(e, "user_id", ["ts", "event_id"], "value")
     got = series.cusum_rows(e.join(means, "user_id"), "user_id", ["ts", "event_id"], "value", "m", 0.5, 40.0)
-    return got.select("user_id", "at", "side", F.round("sum", 4).alias("sum"))
+    return got.select("user_id", "at", "side", numbers.rounded(F.col("sum"), 4).alias("sum"))
 
 
 @query("""

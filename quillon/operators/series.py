@@ -33,6 +33,16 @@ def folded(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     return got.select(*keys, F.transform("_s", lambda s: s["_v"]).alias("values"))
 
 
+def ordered_means(df: DataFrame, key: str, order: list[str], value: str, most: int = 1 << 20) -> DataFrame:
+    """(key, m): means whose sums are taken in ``order``, as an engine adds what a window has sorted, so that the last digits do not
+    hang on how rows lie in files. A key of more than ``most`` rows is added up in parts by many tasks, in no set order."""
+    plain = df.groupBy(key).agg(F.avg(value).alias("m"), F.count("*").alias("_n"))
+    long = cut(plain.where(F.col("_n") > most).select(key, "m"))
+    short = df.join(F.broadcast(long.select(key)), key, "left_anti").select(key, *order, value)
+    # a sum of doubles keeps the sort below it, and the aggregate needs no other shuffle
+    return short.repartition(key).sortWithinPartitions(key, *order).groupBy(key).agg(F.avg(value).alias("m")).unionByName(long)
+
+
 def ewma(values: Column, weight: float = 0.3) -> Column:
     """Exponentially weighted mean, seeded with the first value."""
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1).cast("double"), lambda s, x: s * (1 - weight) + x * weight)
@@ -122,9 +132,10 @@ def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: st
 
     Rows lie in ``pieces`` (the session's shuffle partitions if not given), ranges of (key, order), written once, so that a key with all rows is read by many tasks. A piece in
     the midst of a series first gives its map from the sums at its start to those at its end; the maps are joined in order,
-    a row a piece, and then every piece is read from its own start. A sum that goes through a whole piece without meeting 0 or
-    an alarm is moved by one addition instead of many, so it may differ in its last digits. Rows alike in key and order stay
-    together.
+    a row a piece. A map moves a sum that meets neither 0 nor an alarm by one addition instead of many, so its last digits are only
+    near: every piece is then folded from its start, and where it does not end as the next one starts, that one is folded again, so
+    that all sums are, to the last bit, those of one fold. Each round settles a piece more of a series at least, and all pieces that a sum of 0 or an
+    alarm settles. Rows alike in key and order stay together.
     """
     name = df.schema[key].dataType.simpleString()  # within Python a key is text, whatever its type, and null stays null
     many = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -163,12 +174,41 @@ def cusum_rows(df: DataFrame, key: str, order: list[str], value: str, target: st
 
     here = lambda df: (held["_piece"] == df["_piece"]) & held["_key"].eqNullSafe(df["_key"])
     middle = spans.select("_key", "_piece")
-    within = held.join(F.broadcast(middle), here(middle), "left_semi").repartition(many, "_piece").sortWithinPartitions("_piece", *by)
-    ways = within.select("_piece", "_key", "_z").mapInPandas(maps, f"_key string, _piece int, _up struct<{_fields(_WAY)}>, _down struct<{_fields(_WAY)}>")
+    within = held.join(F.broadcast(middle), here(middle), "left_semi")
+    ways = within.repartition(many, "_piece").sortWithinPartitions("_piece", *by).select("_piece", "_key", "_z").mapInPandas(maps, f"_key string, _piece int, _up struct<{_fields(_WAY)}>, _down struct<{_fields(_WAY)}>")
     both = ways.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), "_up", "_down")
     starts = spans.join(both, (F.col("_piece") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_piece", "_n", "_nth", "_up", "_down")
     starts = cut(starts.groupBy("_key").applyInPandas(carry, f"_key string, _piece int, up double, down double, before long"))
 
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums, out = None, (0.0, 0.0), []
+        for batch in batches:
+            for part, who, z, up, down in batch.itertuples(index=False):
+                if now != (who, part):
+                    out += [] if now is None else [(*now, *sums)]
+                    now, sums = (who, part), (up, down)
+                sums, _ = cusum_step(sums, z, k, h)
+        out += [] if now is None else [(*now, *sums)]  # two keys a piece
+        yield pd.DataFrame(out, columns=["_key", "_piece", "up_end", "down_end"])
+
+    wrong, ended = starts, None
+    while True:
+        again = wrong.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), "up", "down")
+        met = within.join(F.broadcast(again), (F.col("_piece") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k"))).repartition(many, "_piece").sortWithinPartitions("_piece", *by)
+        got = met.select("_piece", "_key", "_z", "up", "down").mapInPandas(ends, "_key string, _piece int, up_end double, down_end double")
+        if ended is not None:
+            kept = ended.join(wrong.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p")), (F.col("_piece") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")), "left_anti")
+            got = kept.unionByName(got)
+        ended = cut(got)
+        ordered = Window.partitionBy("_key").orderBy("_piece")
+        reached = ended.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), *[F.coalesce(F.lag(f"{c}_end").over(ordered), F.lit(0.0)).alias(f"{c}_new") for c in ("up", "down")])
+        checked = starts.join(reached, (F.col("_piece") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
+        new = checked.select("_key", "_piece", F.col("up_new").alias("up"), F.col("down_new").alias("down"), "before", ((F.col("up") != F.col("up_new")) | (F.col("down") != F.col("down_new"))).alias("_wrong"))
+        new = cut(new)
+        starts, wrong = new.drop("_wrong"), new.where("_wrong")
+        if wrong.isEmpty():
+            break
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sums, at = None, (0.0, 0.0), 0
         for batch in batches:
