@@ -231,7 +231,8 @@ def join_best_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("c_acctbal"))
     # a score of .7 means at most 3000 / 7 apart, and the score falls with the distance: the nearest is the best
-    got = joins.nearest(c, s, ["nation"], "c_acctbal", "c_custkey", "s_suppkey", 3000 / 7).withColumn("score", 1 / (1 + F.col("distance") / 1000))
+    score = lambda distance: 1 / (1 + distance / 1000)
+    got = joins.nearest(c, s, ["nation"], "c_acctbal", "c_custkey", "s_suppkey", 3000 / 7, score).withColumn("score", score(F.col("distance")))
     return got.select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"))
 
 

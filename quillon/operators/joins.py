@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +61,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], when: str, value:
     return one.unionByName(two).withColumn(value, F.last(value, True).over(by)).where("_side = 1").drop("_side")
 
 
-def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], value: str, target_id: str, candidate_id: str, within: float) -> DataFrame:
-    """For each target the candidate of its keys whose ``value`` is nearest, at most ``within`` away; on ties the smallest id.
+def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], value: str, target_id: str, candidate_id: str, within: float, score: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each target the candidate of its keys whose ``value`` is nearest, at most ``within`` away; on ties the smallest id. With
+    ``score``, which never rises with the distance, the best scored is taken: distances below and above that differ in digits
+    which the score no longer shows are ties, as they are where rows are ordered by it.
 
     Values fall into cells ``within`` wide, so the nearest lies in the own cell, where a window finds it, or is an end of a
     neighbouring cell. Nothing is paired; the work is linear in the rows.
@@ -79,7 +82,8 @@ def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], value: s
     near = near.where(F.col(target_id).isNotNull())
     near = near.join(ends.select(*keys, (F.col("_cell") + 1).alias("_cell"), "_high"), [*keys, "_cell"], "left").join(ends.select(*keys, (F.col("_cell") - 1).alias("_cell"), "_low"), [*keys, "_cell"], "left")
     options = F.filter(F.array("_below", "_above", "_high", "_low"), lambda s: s.isNotNull() & (F.abs(s["v"] - F.col(value)) <= within))
-    best = F.array_min(F.transform(options, lambda s: F.struct(F.abs(s["v"] - F.col(value)).alias("distance"), s["id"].alias("id"))))
+    order = (lambda d: -score(d)) if score else (lambda d: d)
+    best = F.array_min(F.transform(options, lambda s: F.struct(order(F.abs(s["v"] - F.col(value))).alias("order"), s["id"].alias("id"), F.abs(s["v"] - F.col(value)).alias("distance"))))
     return targets.join(near.select(target_id, best["id"].alias(candidate_id), best["distance"].alias("distance")), target_id, "left")
 
 

@@ -218,3 +218,16 @@ def test_asked_postings_are_the_postings(spark):
     queries = spark.createDataFrame([(1, "b"), (1, "z"), (2, "b")], "query int, term string")
     got = sorted(tuple(r) for r in retrieval.asked_postings(docs, "id", F.col("text"), queries).collect())
     assert got == [(1, "b", 2), (2, "b", 1)]
+
+
+def test_nearest_by_a_score_that_two_distances_share(spark):
+    """3.3 - 2.2 and 4.4 - 3.3 differ in the last digits only, their scores do not: the smaller id wins, as when ordered by score."""
+    below, above = 3.3 - 2.2, 4.4 - 3.3
+    score = lambda d: 1 / (1 + d / 1000)
+    assert below != above and score(below) == score(above)
+    far, near = (2.2, 4.4) if below > above else (4.4, 2.2)
+    targets = spark.createDataFrame([(1, 1, 3.3)], "t long, g int, v double")
+    for small, large in ((far, near), (near, far)):
+        candidates = spark.createDataFrame([(7, 1, small), (8, 1, large)], "c long, g int, v double")
+        got = joins.nearest(targets, candidates, ["g"], "v", "t", "c", 400.0, score).collect()
+        assert [r.c for r in got] == [7]
