@@ -76,3 +76,9 @@ def test_first_rows_in_no_single_task(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 13).cast("double").alias("risk")).repartition(7)
     want = sorted(((i, float(i * 7919 % 13)) for i in range(1000)), key=lambda r: (-r[1], r[0]))[:100]
     assert sorted(map(tuple, graphs.first_rows(df, [F.desc("risk"), "id"], 100).collect())) == sorted(want)
+
+
+def test_pairs_do_not_swap_for_ever(spark):
+    """Two nodes that want each other's community join, whichever halves they fall into."""
+    edges = spark.createDataFrame([(2 * i, 2 * i + 1, 1.0) for i in range(64)], "src long, dst long, w double")
+    assert {(r.id, r.label) for r in graphs.louvain(edges).collect()} == {(i, i - i % 2) for i in range(128)}
