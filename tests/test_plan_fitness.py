@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import audits
 
@@ -75,3 +76,15 @@ def test_no_plans(spark):
     df = spark.createDataFrame
     none = df([], "plan long, project long, auditor long")
     assert audits.plan_fitness(none, df([], AUDITORS), df([], PROJECTS), df([], "project long, auditor long")).count() == 0
+
+
+def test_team_of_many_makes_no_pairs(spark):
+    """200 000 auditors in one team, two rows of one of them: synergy by counts, as over all pairs."""
+    n = 200_000
+    a = F.col("id")
+    teams = spark.range(n).withColumn("id", F.when(a == n - 1, 1).otherwise(a)).select(F.lit(1).alias("project"), a.alias("auditor"), F.create_map(F.when(a % 2 == 0, "x").otherwise("y"), F.lit(1.0), F.lit("z"), F.lit(2.0)).alias("skills"), F.lit(1.0).alias("hours"), F.lit(1.0).alias("available"), F.lit(2).alias("level"))
+    projects = spark.createDataFrame([(1, {"x": 1.0}, 0)], "project int, required map<string,double>, min_senior int")
+    got = audits.team_fitness(teams, projects).first().synergy
+    h = n // 2
+    same, pairs = h * (h - 1) - 1, n * (n - 1) // 2 - 1  # both rows of auditor 1 have y
+    assert abs(got - 100 * (same + h * h / 3) / pairs) < 1e-6
