@@ -8,6 +8,10 @@ of T runs in common, the first k lie among the first (runs - T + k) of either na
 runs, k-sets meet by key, places are held against the moves allowed, and no pair is lost. Where T is below one (low ``least``
 or very short names), single characters stand in for runs, with M for T.
 
+Names so long that their pieces have PIECE characters or more on average meet by pieces instead: of D + 1 pieces of the shorter name one at
+least lies whole inside a block, as a character between blocks breaks one piece at most, and stands in the other name no further off than
+its deletions and insertions allow. Names meet by lengths, piece and its text; every pair of lengths takes one of the two ways.
+
 What meets is then bounded once more, by the edit distance, before a ratio is taken.
 """
 
@@ -29,6 +33,8 @@ FREQUENT = 1 << 16
 MOST_KEYS = 500
 #: Runs in a set, at most, for runs of one and of two characters.
 MOST_RUNS = {1: 5, 2: 3}
+#: Characters in a piece, on average at least, where names meet by pieces.
+PIECE = 3.5
 
 
 def least_matched(s: int, least: float) -> int:
@@ -43,6 +49,11 @@ def kind(s: int, least: float) -> tuple[int, int]:
     return (2, t) if t >= 1 else (1, m)
 
 
+def in_pieces(n: int, m: int, least: float) -> bool:
+    """Whether names of ``n`` and ``m`` characters meet by pieces."""
+    return min(n, m) >= PIECE * (n + m - 2 * least_matched(n + m, least) + 1)
+
+
 class Sets:
     """Which sets of runs a name is indexed by, among names of the lengths in ``lengths``."""
 
@@ -52,13 +63,19 @@ class Sets:
     def partners(self, n: int) -> list[int]:
         share = self.least / (2 - self.least)
         some = range(max(1, math.ceil(n * share - 1e-9)), math.floor(n / share + 1e-9) + 1)
-        return [m for m in some if m in self.lengths and least_matched(n + m, self.least) <= min(n, m)]
+        return [m for m in some if m in self.lengths and least_matched(n + m, self.least) <= min(n, m) and not in_pieces(n, m, self.least)]
+
+    def pieced(self) -> list[tuple[int, int, int]]:
+        """(n, m, D) of the lengths, n the shorter one, of names that meet by pieces."""
+        share = self.least / (2 - self.least)
+        pairs = [(n, m, n + m - 2 * least_matched(n + m, self.least)) for n in self.lengths for m in range(n, math.floor(n / share + 1e-9) + 1) if m in self.lengths]
+        return [(n, m, d) for n, m, d in pairs if n > 0 and d >= m - n and in_pieces(n, m, self.least)]
 
     def k(self, s: int) -> int:
         """Runs in a set for names of ``s`` characters together: as many as leave their longest name MOST_KEYS sets."""
         if s not in self.sizes:
             q, need = kind(s, self.least)
-            longest = max(n for n in range((s + 1) // 2, s) if n in self.lengths and s - n in self.lengths and least_matched(s, self.least) <= s - n)
+            longest = max(n for n in range((s + 1) // 2, s) if n in self.lengths and s - n in self.partners(n))
             k = min(MOST_RUNS[q], need)
             while k > 1 and math.comb(longest - q + 1 - need + k, k) > MOST_KEYS:
                 k -= 1
@@ -67,7 +84,7 @@ class Sets:
 
     def of(self, n: int) -> dict[tuple[int, int], int]:
         """Of the runs of q of a name of ``n`` characters the first so many are in its sets of k, by (q, k)."""
-        if n not in self.known:
+        if n not in self.known:  # a name that meets all others by pieces has no sets
             out: dict[tuple[int, int], int] = {}
             for other in self.partners(n):
                 (q, need), k = kind(n + other, self.least), self.k(n + other)
@@ -114,10 +131,35 @@ def _keyed(shared):
     return work
 
 
+def _met_in_pieces(own: DataFrame, pieced: list[tuple[int, int, int]]) -> DataFrame:
+    """(a, b, sa, sb), a < b, of the names ``n`` that meet by pieces; a pair may come more than once."""
+    spark, rows = own.sparkSession, []
+    for n, m, d in pieced:
+        gone, at = (d - (m - n)) // 2, 0
+        for i in range(d + 1):
+            size = n // (d + 1) + (i < n % (d + 1))
+            rows.append((n, m, i, at + 1, size, max(1, at + 1 - gone), min(m - size + 1, at + 1 + d - gone)))
+            at += size
+    cuts = F.broadcast(spark.createDataFrame(rows, "_n int, _m int, piece int, at int, size int, low int, high int"))  # by lengths, not by names
+    sized = own.select("n", F.char_length("n").alias("len"))
+    key = lambda name, at: F.substring(F.col(name), at, F.col("size"))
+    short = sized.join(cuts, F.col("len") == F.col("_n")).select(F.col("n").alias("x"), "_n", "_m", "piece", key("n", F.col("at")).alias("text"))
+    places = F.array_distinct(F.transform(F.sequence("low", "high"), lambda i: key("n", i)))
+    long = sized.join(cuts, F.col("len") == F.col("_m")).select(F.col("n").alias("y"), "_n", "_m", "piece", F.explode(places).alias("text"))
+    # of names of one length each pair is met from both sides
+    met = short.join(long, ["_n", "_m", "piece", "text"]).where("x <> y and (_n < _m or x < y)")
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("_n")).otherwise(F.col("_m")).alias("sa"), F.when(first, F.col("_m")).otherwise(F.col("_n")).alias("sb"))
+
+
 def _matched(least: float) -> Column:
     return F.floor(least * (F.col("sa") + F.col("sb")) / 2 - 1e-9) + 1
 
 
+def _in_pieces(least: float) -> Column:
+    return F.least("sa", "sb") >= PIECE * (F.col("sa") + F.col("sb") - 2 * _matched(least) + 1)
+
+
 def met(names: DataFrame, least: float) -> DataFrame:
     """(a, b, sa, sb), a < b: the distinct names of the column ``name`` that meet in the index. Names are 32 767 characters at most."""
     spark = names.sparkSession
@@ -126,7 +168,8 @@ def met(names: DataFrame, least: float) -> DataFrame:
     grams = own.select(F.explode(F.when(F.char_length("n") > 1, F.concat(runs(1), runs(2))).otherwise(F.array("n"))).alias("g"))
     counts = grams.groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
     lengths = [r[0] for r in own.select(F.char_length("n")).distinct().collect()]
-    shared = spark.sparkContext.broadcast(({r[0]: r[1] for r in counts}, Sets(least, lengths)))
+    sets = Sets(least, lengths)
+    shared = spark.sparkContext.broadcast(({r[0]: r[1] for r in counts}, sets))
     keys = cut(own.mapInArrow(_keyed(shared), "key string, n string, size int, last int, " + ", ".join(f"{p} short" for p in PLACES)))
     side = lambda n, s, x: keys.select("key", F.col("n").alias(n), F.col("size").alias(s), *[F.col(c).alias(c + x) for c in ("last", *PLACES)])
     s, matched = F.col("sa") + F.col("sb"), _matched(least)
@@ -139,7 +182,9 @@ def met(names: DataFrame, least: float) -> DataFrame:
         near &= F.col("last" + x) < F.col(size) - q + 1 - need + k
     for i in range(max(MOST_RUNS.values())):
         near &= (F.col(f"low{i}_b") - F.col(f"high{i}_a") <= more) & (F.col(f"high{i}_b") - F.col(f"low{i}_a") >= more - apart)
-    return side("a", "sa", "_a").join(side("b", "sb", "_b"), "key").where("a < b").where(near).select("a", "b", "sa", "sb").distinct()
+    near &= ~_in_pieces(least)
+    by_sets = side("a", "sa", "_a").join(side("b", "sb", "_b"), "key").where("a < b").where(near).select("a", "b", "sa", "sb")
+    return _met_in_pieces(own, sets.pieced()).unionByName(by_sets).distinct()
 
 
 def candidates(names: DataFrame, least: float) -> DataFrame:

@@ -50,6 +50,19 @@ def test_few_random_names_are_compared(spark):
     assert names.candidates(df, 0.6).count() < 0.01 * pairs
 
 
+def test_long_names_meet_by_pieces(spark):
+    """Names of few syllables, 8 to 44 characters, with edits: as all pairs, and the long ones are in no set of runs."""
+    rng = random.Random(12)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", " "]
+    rows = ["".join(rng.choice(syllables) for _ in range(rng.randint(5, 22)))[:44] for _ in range(160)]
+    rows = sorted({x for x in rows + [edited(rng, rng.choice(rows)) for _ in range(160)] + [x + rng.choice("abc") for x in rows] if x})
+    got = {(r.a, r.b): r.ratio for r in names.similar_names(spark.createDataFrame([(n,) for n in rows], "name string"), 0.9).collect()}
+    alike = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert got == {(a, b): alike(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if alike(a, b) > 0.9} and len(got) > 100
+    sets = names.Sets(0.9, list(range(12, 41)))
+    assert (30, 30, 6) in sets.pieced() and not any(sets.of(n) for n in range(15, 38))
+
+
 def test_first_return_in_one_pair_of_many(spark):
     """A pair that holds all flows: answers as by a walk over them."""
     n = 20_000
