@@ -109,6 +109,10 @@ RECORD_PARTS = {"incl": (0.35, 0.02), "excl": (0.20, 0.02), "tax": (0.10, 0.05),
 SUPPLIER_PART, DATE_PART = 0.20, 0.10
 
 
+#: Pairs of names up to which they are broadcast to the pairs of records; each takes some hundred bytes.
+NAME_PAIRS = 200_000
+
+
 def record_score(a: str, b: str, likeness: Column, days: int = 30) -> Column:
     """Likeness of two records whose columns begin with ``a`` and ``b`` (incl, excl, tax, quantity, date): the mean of the parts
     that both have, by their weights; ``likeness`` is that of the suppliers' names."""
@@ -138,9 +142,14 @@ def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7
     left = left.withColumn("_cell", F.explode(F.sequence(cell(F.col("a_incl")) - 1, cell(F.col("a_incl")) + 1)))
     right = filled(candidates).where("incl > 0").select(*[F.col(c).alias("b_" + c) for c in candidates.columns]).withColumn("_cell", cell(F.col("b_incl")))
     met = left.join(right, "_cell").where(F.abs(F.col("a_incl") - F.col("b_incl")) <= 0.04 * F.col("a_incl"))
-    # names are compared once a pair of different names
-    named = met.select("a_name", "b_name").distinct().withColumn("_like", F.when((F.col("a_name") != "") & (F.col("b_name") != ""), ratio("a_name", "b_name")).otherwise(0.0))
-    scored = met.join(named, ["a_name", "b_name"]).withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= least)
+    # names are compared once a pair of different names of neighbouring cells; while those are few they come to the pairs of records,
+    # which are then never shuffled
+    pairs = left.select("_cell", "a_name").distinct().join(right.select("_cell", "b_name").distinct(), "_cell").select("a_name", "b_name").distinct()
+    named = cut(pairs.withColumn("_like", F.when((F.col("a_name") != "") & (F.col("b_name") != ""), ratio("a_name", "b_name")).otherwise(0.0)))
+    few = named.limit(NAME_PAIRS + 1).count() <= NAME_PAIRS
+    if not few:
+        met = met.where(record_score("a_", "b_", F.lit(1.0)) >= least - 1e-9)  # no name could lift the others
+    scored = met.join(F.broadcast(named) if few else named, ["a_name", "b_name"]).withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= least)
     best = scored.groupBy(F.col("a_id").alias("id")).agg(F.max_by(F.struct("b_id", "score"), F.struct("score", (-F.col("b_id")).alias("o"))).alias("best"))
     return targets.select("id").join(best, "id", "left").select("id", F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))
 

@@ -231,3 +231,13 @@ def test_nearest_by_a_score_that_two_distances_share(spark):
         candidates = spark.createDataFrame([(7, 1, small), (8, 1, large)], "c long, g int, v double")
         got = joins.nearest(targets, candidates, ["g"], "v", "t", "c", 400.0, score).collect()
         assert [r.c for r in got] == [7]
+
+
+def test_record_pairs_are_not_shuffled_by_name(spark):
+    """Few pairs of names come to the pairs of records by a broadcast, so that the pairs stay where they were made."""
+    a = F.col("id")
+    rows = spark.range(300).select("id", F.when(a % 2 == 0, "north steel").otherwise("south steel").alias("name"), (100.0 + a % 3).alias("incl"), (90.0 + a % 3).alias("excl"), F.lit(10.0).alias("tax"), F.lit(1.0).alias("quantity"), F.lit("2024-01-01").cast("date").alias("date"))
+    got = joins.record_matches(rows, rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert {r.id: r.match for r in got.collect()} == {i: i % 6 for i in range(300)}
