@@ -162,15 +162,23 @@ def _in_pieces(least: float) -> Column:
 
 def met(names: DataFrame, least: float) -> DataFrame:
     """(a, b, sa, sb), a < b: the distinct names of the column ``name`` that meet in the index. Names are 32 767 characters at most."""
+    return _meetings(names, least).distinct()
+
+
+def _meetings(names: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``met``, once for each key that they meet by."""
     spark = names.sparkSession
     own = names.select(F.col("name").cast("string").alias("n")).where("n <> ''").distinct()
-    runs = lambda q: F.transform(F.sequence(F.lit(1), F.char_length("n") - q + 1), lambda i: F.substring(F.col("n"), i, F.lit(q)))
-    grams = own.select(F.explode(F.when(F.char_length("n") > 1, F.concat(runs(1), runs(2))).otherwise(F.array("n"))).alias("g"))
-    counts = grams.groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
+    # a name makes some hundred keys, so names are dealt out although they are small
+    own = cut(own.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "n"))
     lengths = [r[0] for r in own.select(F.char_length("n")).distinct().collect()]
     sets = Sets(least, lengths)
+    in_sets = own.where(F.char_length("n").isin([n for n in lengths if sets.of(n)] or [-1]))
+    runs = lambda q: F.transform(F.sequence(F.lit(1), F.char_length("n") - q + 1), lambda i: F.substring(F.col("n"), i, F.lit(q)))
+    grams = in_sets.select(F.explode(F.when(F.char_length("n") > 1, F.concat(runs(1), runs(2))).otherwise(F.array("n"))).alias("g"))
+    counts = grams.groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
     shared = spark.sparkContext.broadcast(({r[0]: r[1] for r in counts}, sets))
-    keys = cut(own.mapInArrow(_keyed(shared), "key string, n string, size int, last int, " + ", ".join(f"{p} short" for p in PLACES)))
+    keys = cut(in_sets.mapInArrow(_keyed(shared), "key string, n string, size int, last int, " + ", ".join(f"{p} short" for p in PLACES)))
     side = lambda n, s, x: keys.select("key", F.col("n").alias(n), F.col("size").alias(s), *[F.col(c).alias(c + x) for c in ("last", *PLACES)])
     s, matched = F.col("sa") + F.col("sb"), _matched(least)
     apart, runs_in_both = s - 2 * matched, 3 * matched - s - 1
@@ -184,13 +192,15 @@ def met(names: DataFrame, least: float) -> DataFrame:
         near &= (F.col(f"low{i}_b") - F.col(f"high{i}_a") <= more) & (F.col(f"high{i}_b") - F.col(f"low{i}_a") >= more - apart)
     near &= ~_in_pieces(least)
     by_sets = side("a", "sa", "_a").join(side("b", "sb", "_b"), "key").where("a < b").where(near).select("a", "b", "sa", "sb")
-    return _met_in_pieces(own, sets.pieced()).unionByName(by_sets).distinct()
+    return _met_in_pieces(own, sets.pieced()).unionByName(by_sets)
 
 
 def candidates(names: DataFrame, least: float) -> DataFrame:
     """(a, b) of ``met`` whose edit distance allows a ratio above ``least``: those whose ratio is taken. Blocks are kept, and what
-    stands between takes at most an edit for each character that only one name has."""
-    return met(names, least).where(F.levenshtein("a", "b") <= F.col("sa") + F.col("sb") - 2 * _matched(least)).select("a", "b")
+    stands between takes at most an edit for each character that only one name has. Pairs are held against that where they meet, so
+    what is shuffled is candidates, not meetings."""
+    apart = (F.col("sa") + F.col("sb") - 2 * _matched(least)).cast("int")
+    return _meetings(names, least).where(F.call_function("levenshtein", F.col("a"), F.col("b"), apart) >= 0).select("a", "b").distinct()
 
 
 def similar_names(names: DataFrame, least: float) -> DataFrame:

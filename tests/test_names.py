@@ -78,3 +78,24 @@ def test_first_return_in_one_pair_of_many(spark):
             want[heapq.heappop(line)[1]] = i
         heapq.heappush(waiting[src], (0.8 * amount, i))
     assert got == want
+
+
+def test_titles_of_odd_texts_are_stored(spark, tmp_path):
+    """The first four words as over all words of a text, and names that are read again without the texts."""
+    import re
+
+    from quillon.analytics import compliance
+
+    texts = [None, "", " \t\n", "One", "\n A  b\tC\nd e f", "x" * 100_000, "ΟΔΟΣ ΣΑΣ Σ α β", "İx y", "a b c", " 1\r\n2 3 4", "p q r s" + " t" * 50_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = compliance._titles(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    assert {r.doc_id: r.name for r in got.collect()} == {i: " ".join(re.findall(r"[^ \t\n\x0b\f\r]+", (t or "").lower())[:4]) for i, t in enumerate(texts)}
+
+
+def test_meetings_are_held_against_edits_before_they_are_shuffled(spark):
+    """What is shuffled after names meet is within the edits; names that make keys are dealt out over more than one task."""
+    df = spark.createDataFrame([("north east steel works one",), ("north east steel works two",)], "name string")
+    plan = names.candidates(df, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("levenshtein")  # the bound lies below the only shuffle of pairs
+    assert plan.count("Aggregate") == 1
