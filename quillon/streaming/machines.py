@@ -54,7 +54,8 @@ class Machine:
 
 
 class Keyed(StatefulProcessor):
-    """A machine for each key: its state and since when, and the events that are not yet due."""
+    """A machine for each key: its state and since when, and the events that are not yet due. Calls to the store are a few a key and
+    batch, not a few an event: what has come is appended at once, and one timer, for what is due first, takes all that is due."""
 
     def __init__(self, machine: Machine) -> None:
         self.machine = machine
@@ -62,32 +63,42 @@ class Keyed(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "state string, since long")
-        self.pending = handle.getMapState("pending", "at long, id string", "event string")
+        self.pending = handle.getListState("pending", "at long, id string, event string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
         for frame in rows:
-            for at, id_, event in frame[["at", "id", "event"]].itertuples(index=False):
-                if at > passed and not self.pending.containsKey((at, id_)):
-                    self.pending.updateValue((at, id_), (event,))
-                    self.handle.registerTimer(at)
+            come = [e for e in zip(frame["at"].tolist(), frame["id"].tolist(), frame["event"].tolist(), strict=True) if e[0] > passed]
+            if come:
+                self.pending.appendList(come)
+                first = min(e[0] for e in come) if first is None else min(first, *(e[0] for e in come))
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         state, since = self.state.get() if self.state.exists() else (self.machine.start, 0)
-        due = sorted((k[0], k[1], v[0]) for k, v in self.pending.iterator() if k[0] <= passed)
+        due, held = {}, {}
+        for at, id_, event in self.pending.get() if self.pending.exists() else ():
+            (due if at <= passed else held).setdefault((at, id_), event)  # a repeated event counts once
+        order = sorted(due, key=lambda k: (k[0], k[1] is not None, k[1] or ""))
         out = []
-        for state, since, before, after, cause in self.machine.run(state, since, iter([(at, event) for at, _, event in due]), passed):  # noqa: B020
+        for state, since, before, after, cause in self.machine.run(state, since, iter([(k[0], due[k]) for k in order]), passed):  # noqa: B020
             out.append((key[0], since, before, after, cause))
-        for at, id_, _ in due:
-            self.pending.removeKey((at, id_))
+        if due and held:
+            self.pending.put([(at, id_, event) for (at, id_), event in held.items()])
+        elif due:
+            self.pending.clear()
+        ends = [at for at, _ in held]
         if state == self.machine.start and self.machine.due(state, since) is None:
             self.state.clear()
         else:
             self.state.update((state, since))
             if (at := self.machine.due(state, since)) is not None and at > passed:
-                self.handle.registerTimer(at)
+                ends.append(at)
+        if ends:
+            self.handle.registerTimer(min(ends))
         if out:
             yield pd.DataFrame(out, columns=["key", "at", "before", "after", "cause"])
 

@@ -77,3 +77,51 @@ def test_stream_as_table_with_restart(spark, tmp_path):
     table = spark.createDataFrame([*rows, *rows[:5]], "k int, at long, e int, what string").select("k", F.timestamp_millis("at").alias("ts"), "e", "what")
     batch = machines.on_table(table, LIFE, spark.range(1).select(F.lit(until)), "k", "ts", "e", "what")
     assert sorted(tuple(r) for r in batch.collect()) == got
+
+
+def test_calls_to_the_store_are_a_few_a_key():
+    """A thousand events of a key, some repeated and one without an id, and a tick that takes nine hundred: as the machine alone, in few calls."""
+    import pandas as pd
+
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("put", "update"):
+                    self.held = args[0]
+                elif name in ("appendList",):
+                    self.held = [*(self.held or []), *args[0]]
+                elif name == "clear":
+                    self.held = None
+                return {"exists": self.held is not None, "get": self.held}.get(name)
+
+            return call
+
+    class Handle(Store):
+        getValueState = getListState = lambda self, name, schema: Store()
+
+    class At:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    rng = random.Random(5)
+    events = [(i * HOUR, str(i) if i != 500 else None, rng.choice(["send", "arrive", "reply", "close"])) for i in range(1, 1001)]
+    keyed = machines.Keyed(LIFE)
+    keyed.init(Handle())
+    mixed = rng.sample(events, len(events)) + rng.sample(events, 50)
+    frames = [pd.DataFrame(mixed[i : i + 210], columns=["at", "id", "event"]) for i in range(0, 1050, 210)]
+    assert not list(keyed.handleInputRows(("k",), iter(frames), At(0)))
+    got = [tuple(r) for now in (900 * HOUR, 1000 * HOUR) for f in keyed.handleExpiredTimer(("k",), At(now), None) for r in f.itertuples(index=False)]
+    want, state, since = [], "new", 0
+    for now, part in ((900 * HOUR, events[:900]), (1000 * HOUR, events[900:])):
+        for state, since, *move in LIFE.run(state, since, iter([(e[0], e[2]) for e in part]), now):
+            want.append(("k", since, *move))
+    assert got == want and len(calls) < 30
