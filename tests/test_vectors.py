@@ -94,3 +94,27 @@ def test_recall_of_the_nearest_cells(spark, tmp_path):
     assert hits >= 0.9 * 10 * len(asked)
     assert counts.first()["read"] < counts.first()["cells"]
     assert tuple(vectors.recall(spark, path, queries, 10).first()) == (10 * len(asked), hits)
+
+
+def test_what_leaves_a_task_together_is_bounded(spark, tmp_path, monkeypatch):
+    """Questions that meet every cell leave in small frames, and blocks come in batches bounded by bytes."""
+    import pandas as pd
+
+    monkeypatch.setattr(vectors, "PAIRS", 64, raising=False)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = clustered(300, 8, 10, 3)
+    path = str(tmp_path / "v")
+    vectors.build(spark.createDataFrame(rows, SCHEMA), "id", "v", path, cells=20)
+    cells = vectors._Cells(spark, path)
+
+    class Questions:
+        def mapInPandas(self, work, schema):
+            return list(work(iter([pd.DataFrame({"query": range(100), "v": [np.array(v) / np.linalg.norm(v) for _, v in rows[:100]], "floor": -2.0})])))
+
+    near, rest = cells.near(Questions(), 3), cells.promising(Questions(), 3)
+    assert max(map(len, near)) <= 64 and max(map(len, rest)) <= 64
+    met = {(q, c) for f in near + rest for q, c in zip(f["query"], f["cell"], strict=True)}
+    assert len(met) == sum(map(len, near + rest)) == 100 * len(cells.ids)
+    queries = spark.createDataFrame(rows[:20], "query long, vector array<double>")
+    same(answers(vectors.best(spark, path, queries, 4)[0]), brute(rows, rows[:20], 4))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == vectors.BATCH
