@@ -130,6 +130,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def firsts(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by row (one of ``n``), value and place, and where in it a value of a row stands for the first time."""
+    order = np.argsort(values, kind="stable")
+    order = order[np.argsort(rows[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
+    r, v = rows[order], values[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+    return new, order
+
+
 #: Modulus of the range hashes, a Mersenne prime: no text makes two ranges equal by its structure alone.
 P61 = _U((1 << 61) - 1)
 _R61, _LOW32, _LOW29 = _U(61), _U(0xFFFFFFFF), _U((1 << 29) - 1)

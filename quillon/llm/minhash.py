@@ -9,6 +9,8 @@ first, which links most of a group without its pairs. Members of one component n
 Members of buckets that still hold several components are paired across components by a prefix filter on their rarest
 shingles, which is exact, and confirmed too.
 
+``repeated_classes`` needs no bands: classes meet by the smallest hashes of their sets, which misses no link at all.
+
 Cases. Null or empty text, or blanks alone: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence
 is the one shingle. Very long texts are read whole. An empty table gives an empty result. Repeated rows and rows with one id
 or none are documents of their own; a component is named by its smallest id (null if it has none) and keeps just one row.
@@ -25,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, LOWER_BYTES, Ranges, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
+from quillon.llm.common import LOWER, LOWER_BYTES, Ranges, chunks, firsts, forget, mixed, small_batches, stored, utf8, with_uid, words_of
 from quillon.llm.graph import components
 
 _U = np.uint64
 PERMUTATIONS, BAND_PERMUTATIONS, MISSED = 40, 2, 4e-7
 #: Bands whose buckets are on the move at a time.
 BANDS_AT_ONCE = 7
+#: Parts, by hash, in which the smallest hashes of sets are on the move.
+PARTS = 2
+#: Sets of a bucket, beside its smallest, up to which all its pairs are met.
+FEW = 64
 
 _SIGNED = "id long, n_shingles long, words_key binary, bands array<long>"
 
@@ -72,8 +78,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
             hashes, rows = hashes[order], rows[order]
     # the words of each row, one blank between
     keep = np.zeros(len(data) + 1, np.int8)
-    np.add.at(keep, begin, 1)
-    np.add.at(keep, end, -1)
+    keep[begin] += 1  # no two words begin or end at one place
+    keep[end] -= 1
     inside = np.cumsum(keep[:-1]).astype(bool)
     joint = end[:-1][row[:-1] == row[1:]] if len(row) else end
     inside[joint] = True
@@ -117,6 +123,30 @@ def _signer(k: int, n_bands: int, values: int):
     return sign
 
 
+def _prefixer(k: int, percent: int):
+    """Signs texts by the smallest hashes of their sets, so many that sets at the threshold have one of them in common."""
+
+    def sign(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0)
+            for i, j in chunks(offsets):
+                hashes, rows, (words, at) = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                n = j - i
+                new, order = firsts(rows, hashes, n)
+                h, rows = hashes[order][new], rows[order][new]
+                sizes = np.bincount(rows, minlength=n)
+                # linked sets share percent of the larger one's size at least
+                size = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+                first = np.cumsum(sizes) - sizes
+                own = np.arange(len(h)) - first[rows] < size[rows]
+                digests = [hashlib.sha256(words[at[r] : at[r + 1]]).digest() for r in range(n)]
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[own].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat], ["id", "n_shingles", "words_key", "bands"])
+
+    return sign
+
+
 def _set(text: str | None, k: int) -> set:
     words = (text or "").encode().translate(LOWER_BYTES).split()
     if len(words) < k:
@@ -185,11 +215,11 @@ def _prefixed(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs
 
 
-def classes_of(rows: DataFrame, shingle: int, n_bands: int, values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (id, text), stored: (id, n_shingles, words_key); (words_key, rep), the smallest id of each class with words;
-    and (id, n, bands) of the representatives."""
-    signed = stored(rows.mapInArrow(_signer(shingle, n_bands, values), _SIGNED))
-    classes = stored(signed.where("n_shingles > 0").groupBy("words_key").agg(F.min("id").alias("rep")))
+def classes_of(rows: DataFrame, signer) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text), stored: (id, n_shingles, words_key); (words_key, rep, m), the smallest id of each class with words
+    and its rows; and (id, n, bands) of the representatives, as ``signer`` gives them."""
+    signed = stored(rows.mapInArrow(signer, _SIGNED))
+    classes = stored(signed.where("n_shingles > 0").groupBy("words_key").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
     own = signed.select("id", F.col("n_shingles").alias("n"), "bands")
     reps = stored(own.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
     narrow = stored(signed.select("id", "n_shingles", "words_key"))
@@ -213,37 +243,73 @@ def _members(reps: DataFrame, n_bands: int) -> DataFrame:
     return found
 
 
-def linked_classes(rows: DataFrame, classes: DataFrame, reps: DataFrame, n_bands: int, shingle: int, percent: int) -> DataFrame:
-    """(words_key, component) of every class: banded, pairs confirmed, components taken; component is an id."""
-    members = _members(reps, n_bands)
-    forget(reps)
+def _prefix_members(reps: DataFrame) -> DataFrame:
+    """``_members`` of the hashes that ``_prefixer`` gives, with the place i of each in its set; dealt by hash, a part at a time."""
+    found = None
+    for part in range(PARTS):
+        own = reps.select("id", "n", F.posexplode("bands").alias("i", "key")).where(F.pmod("key", F.lit(PARTS)) == part)
+        heads = stored(own.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"))
+        own = stored(own.join(heads.hint("shuffle_hash"), "key").select("key", "id", "n", "i", "head"))
+        forget(heads)
+        found = own if found is None else found.unionAll(own)
+    return found
+
+
+def _parts(rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(rep, component) of every class that is linked: pairs in buckets confirmed, components taken; component is an id."""
     # the sizes of two linked sets are in this bound
     fits = F.col("na") * 100 >= F.col("nb") * percent
     fits = fits & (F.col("nb") * 100 >= F.col("na") * percent)
+    own = ["n"]
+    if "i" in members.columns:  # what is left of both from their first common hash must suffice
+        own = ["n", "i"]
+        fits = fits & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
 
-    first = stored(members.where("id = head").select("key", F.col("id").alias("a"), F.col("n").alias("na")))
-    star = members.where("id > head").select("key", F.col("id").alias("b"), F.col("n").alias("nb")).join(first, "key").where(fits).select("a", "b").distinct()
+    first = stored(members.where("id = head").select("key", F.col("id").alias("a"), *(F.col(c).alias(f"{c}a") for c in own)))
+    star = members.where("id > head").select("key", F.col("id").alias("b"), *(F.col(c).alias(f"{c}b") for c in own)).join(first, "key").where(fits).select("a", "b").distinct()
     wanted = stored(members.select("id").distinct())
-    texts = stored(rows.join(wanted, "id"))
+    texts = stored(rows.join(wanted.hint("shuffle_hash") if "i" in own else wanted, "id"))
     links = stored(_linked(star, texts, shingle, percent))
-    placed = stored(members.where("id > head").join(components(links), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
-    apart = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"))
-    left = stored(placed.join(apart, "key").select("id", "n", "c").distinct())
+    placed = stored(members.where("id > head").join(components(links), "id", "left").select("key", "id", *own, F.coalesce("component", "id").alias("c")))
+    apart = stored(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"))
+    if "i" in own:  # in a bucket of a few all pairs are met
+        few = stored(placed.join(apart.where(F.col("m") <= FEW).select("key").hint("shuffle_hash"), "key"))
+        one, other = (few.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}"), *(F.col(c).alias(f"{c}{x}") for c in own)) for x in "ab")
+        links = stored(links.unionAll(_linked(one.join(other, "key").where("a < b and ca <> cb").where(fits).select("a", "b").distinct(), texts, shingle, percent)))
+        apart = apart.where(F.col("m") > FEW)
+    left = stored(placed.join(apart.select("key"), "key").select("id", "n", "c").distinct())
     if not left.isEmpty():
         links = stored(links.unionAll(_linked(_prefixed(left, texts, shingle, percent), texts, shingle, percent)))
     parts = stored(components(links).select(F.col("id").alias("rep"), "component"))
-    for used in (first, wanted, texts, placed, apart, left):
+    for used in (first, wanted, texts, placed, left):
         forget(used)
+    return parts
+
+
+def linked_classes(rows: DataFrame, classes: DataFrame, reps: DataFrame, n_bands: int, shingle: int, percent: int) -> DataFrame:
+    """(words_key, component) of every class: banded, pairs confirmed, components taken; component is an id."""
+    members = _members(reps, n_bands)
+    forget(reps)
+    parts = _parts(rows, members, shingle, percent)
     return classes.join(parts, "rep", "left").select("words_key", F.coalesce("component", "rep").alias("component"))
 
 
+def repeated_classes(rows: DataFrame, classes: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(words_key, component) of the classes with several rows or links, from all sets that share one of their smallest
+    hashes (``_prefixer``): no link is missed."""
+    members = _prefix_members(reps)
+    forget(reps)
+    parts = _parts(rows, members, shingle, percent)
+    return classes.join(parts, "rep", "left").where("m > 1 or component is not null").select("words_key", F.coalesce("component", "rep").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int | None = None, per_band: int = BAND_PERMUTATIONS) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     uids = with_uid(docs, id_col, text_col)
     rows = uids.select(F.col("uid").alias("id"), "text")
     n_bands = (permutations or permutations_for(percent, per_band)) // per_band
-    signed, classes, reps = classes_of(rows, shingle, n_bands, 2 * per_band)
+    signed, classes, reps = classes_of(rows, _signer(shingle, n_bands, 2 * per_band))
     of_class = linked_classes(rows, classes, reps, n_bands, shingle, percent)
     out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words_key")).alias("words_key")).join(of_class, "words_key", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))

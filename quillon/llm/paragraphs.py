@@ -1,10 +1,10 @@
-"""Substring dedup by MinHash banding of paragraphs.
+"""Substring dedup by a prefix filter on the shingles of paragraphs.
 
 A text's paragraphs are its lines; a line longer than LONGEST words is cut at sentence ends into pieces of CUT words or
-more. Paragraphs of LEAST words or more enter: equal word sequences are one
-class, classes are banded at 20 x 3 min and max values (a pair at the threshold of 0.8 is missed with a chance of 6e-7),
-pairs are verified by exact Jaccard on their five-word shingles, and components are clusters of one passage. Of a cluster the
-first occurrence (smallest document id, then place) stays; the others are removed.
+more. Paragraphs of LEAST words or more enter: equal word sequences are one class. Classes meet by the smallest fifth of the
+hashes of their five-word shingles: sets at the threshold of 0.8 share one of those, so no pair is missed, and sets have fewer
+of them than bands that would miss next to none. Pairs are verified by exact Jaccard, and components are clusters of one
+passage. Of a cluster the first occurrence (smallest document id, then place) stays; the others are removed.
 
 A passage spliced into the middle of other text is no paragraph of its own, and its surroundings keep the Jaccard of the
 whole low. So every run of RUN words or more that occurred before, wherever it stands, is removed to its full length, word
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Ranges, chunks, forget, mixed, small_batches, stored, utf8, with_uid, words_of
-from quillon.llm.minhash import classes_of, linked_classes
+from quillon.llm.common import LOWER, Ranges, chunks, firsts, forget, mixed, small_batches, stored, utf8, with_uid, words_of
+from quillon.llm.minhash import _prefixer, classes_of, repeated_classes
 
 LEAST, LONGEST, CUT = 20, 200, 40
-SHINGLE, PERCENT, BANDS, VALUES = 5, 80, 20, 3
+SHINGLE, PERCENT = 5, 80
 #: Words of the shortest run that counts, and of a seed; a run holds RUN - SEED + 1 seeds or more, and the least is chosen.
 RUN, SEED = 25, 13
 
@@ -105,8 +105,20 @@ def _read_words(data: np.ndarray, at: np.ndarray):
     return Ranges(own).of(begin, end), row, np.arange(len(begin)) - first[row], point[begin] - start[row], point[end - 1] + 1 - start[row]
 
 
+def _leads(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Whether each value is the first of its kind in its row."""
+    new, order = firsts(row, values, n)
+    lead = np.zeros(len(row), bool)
+    lead[order[new]] = True
+    return pa.array(lead)
+
+
+_SEED = "uid long, w int, n int, begin int, end int, key long, whole long, lead boolean, own boolean"
+
+
 def _seeder(batches):
-    """(uid, w, n, begin, end, key, whole) of every seed and the n words from w of all windows that choose it."""
+    """Of every seed (key) and the n words from w of all windows that choose it: _SEED; lead and own say whether it is its
+    document's first with that key, and with that key and whole."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         uids = batch.column(0).to_numpy()
@@ -115,9 +127,8 @@ def _seeder(batches):
             if read is None or len(read[0]) < RUN:
                 continue
             h, row, nth, begin, end = read
-            of = Ranges(mixed(h)).of
-            every = np.arange(len(h) - SEED + 1)
-            chosen = _least_of(of(every, every + SEED), RUN - SEED + 1)
+            ranges = Ranges(mixed(h))
+            chosen = _least_of(seeds := ranges.every(SEED), RUN - SEED + 1)
             inside = row[: len(chosen)] == row[RUN - 1 :]
             windows = np.flatnonzero(inside)
             if not len(windows):
@@ -127,14 +138,17 @@ def _seeder(batches):
             low, high = windows[new], windows[np.append(new[1:], len(windows)) - 1] + RUN
             seed = seed[new]
             with np.errstate(over="ignore"):
-                whole = mixed(of(low, high) + (seed - low).astype(np.uint64))
+                whole = mixed(ranges.of(low, high) + (seed - low).astype(np.uint64))
+                key = seeds[seed]
+                both = mixed(key) + whole
             r = row[low]
-            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][r]), pa.array(nth[low].astype(np.int32)), pa.array((high - low).astype(np.int32)), pa.array(begin[low].astype(np.int32)), pa.array(end[high - 1].astype(np.int32)), pa.array(of(seed, seed + SEED).view(np.int64)), pa.array(whole.view(np.int64))], ["uid", "w", "n", "begin", "end", "key", "whole"])
+            leads = [_leads(r, key, j - i), _leads(r, both, j - i)]
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][r]), pa.array(nth[low].astype(np.int32)), pa.array((high - low).astype(np.int32)), pa.array(begin[low].astype(np.int32)), pa.array(end[high - 1].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), *leads], ["uid", "w", "n", "begin", "end", "key", "whole", "lead", "own"])
 
 
 def _windower(batches):
-    """(uid, w, n, begin, end, key, half) of every window of RUN words in the ranges asked for; two identifiers, of all its
-    words and of its first half, tell windows apart."""
+    """(uid, w, n, begin, end, key, half, lead) of every window of RUN words in the ranges asked for; two identifiers, of all
+    its words and of its first half, tell windows apart; lead says whether it is its document's first."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         uids, asked = batch.column(0).to_numpy(), batch.column(2)
@@ -145,36 +159,41 @@ def _windower(batches):
             h, row, nth, begin, end = read
             first = np.searchsorted(row, np.arange(j - i))
             at = [np.arange(first[r] + x["w"], first[r] + x["w"] + x["n"] - RUN + 1) for r, own in enumerate(asked.slice(i, j - i).to_pylist()) for x in own]
-            at = np.concatenate(at)
+            at = np.sort(np.concatenate(at))
             of = Ranges(mixed(h)).of
-            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row[at]]), pa.array(nth[at].astype(np.int32)), pa.array(np.full(len(at), RUN, np.int32)), pa.array(begin[at].astype(np.int32)), pa.array(end[at + RUN - 1].astype(np.int32)), pa.array(of(at, at + RUN).view(np.int64)), pa.array(of(at, at + RUN // 2).view(np.int64))], ["uid", "w", "n", "begin", "end", "key", "half"])
+            key, half = of(at, at + RUN), of(at, at + RUN // 2)
+            with np.errstate(over="ignore"):
+                lead = _leads(row[at], mixed(key) + half, j - i)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row[at]]), pa.array(nth[at].astype(np.int32)), pa.array(np.full(len(at), RUN, np.int32)), pa.array(begin[at].astype(np.int32)), pa.array(end[at + RUN - 1].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(half.view(np.int64)), lead], ["uid", "w", "n", "begin", "end", "key", "half", "lead"])
 
 
 def _marked(rows: DataFrame, *keys: str) -> DataFrame:
-    """Those of ``rows`` whose keys occur again, with ``one``, the first of them, and whether it is ``first``."""
-    one = stored(rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1").select(*keys, "one"))
-    return rows.join(one, [*keys]).withColumn("first", (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))).drop("one")
+    """Those of ``rows`` whose keys occur again, and whether each is ``first`` of them."""
+    one = stored(rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("uid").alias("one")).where("m > 1").select(*keys, "one"))
+    return rows.join(one.hint("shuffle_hash"), [*keys]).withColumn("first", (F.col("uid") == F.col("one")) & F.col("lead")).drop("one")
 
 
 def _spliced(texts: DataFrame) -> DataFrame:
     """(uid, begin, end, first) of the runs that windows of RUN words make which occurred before; where ``first``, no run
     but a text that holds the first occurrence of such a window."""
-    seeds = stored(texts.mapInArrow(_seeder, "uid long, w int, n int, begin int, end int, key long, whole long"))
-    # what repeats is stored before the rows meet it: a seed that many texts share can then be split over tasks
-    again = stored(seeds.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.min(F.struct("uid", "w")).alias("one")).where("m > 1"))
-    met = stored(seeds.join(again.select("key", "low", "high", "one"), "key"))
+    seeds = stored(texts.mapInArrow(_seeder, _SEED))
+    # what repeats is stored before the rows meet it: a seed that many texts share can then be split over tasks; the first of
+    # a kind is its smallest document's own first, so sums of plain numbers tell it, without sorting structs
+    again = stored(seeds.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.min("uid").alias("one")).where("m > 1").select("key", F.expr("low = high").alias("alike"), "one"))
+    first = ((F.col("uid") == F.col("one")) & F.col("lead")).alias("first")
+    met = stored(seeds.join(again.hint("shuffle_hash"), "key").select("uid", "w", "n", "begin", "end", "key", "whole", "own", "alike", first))
     for used in (seeds, again):
         forget(used)
-    mine = (F.col("uid") == F.col("one.uid")) & (F.col("w") == F.col("one.w"))
     span = ["uid", "w", "n", "begin", "end", "first"]
-    same = met.where("low = high").withColumn("first", mine).select(span)
+    same = met.where("alike").select(span)
     # a seed in unlike surroundings: what is alike as a whole is settled, and one of each kind is read window by window
-    unlike = met.where("low <> high").select("uid", "w", "n", "begin", "end", "key", "whole")
-    kinds = unlike.groupBy("key", "whole").agg(F.count("*").alias("m"), F.min(F.struct("uid", "w", "n")).alias("one"))
-    kinds = stored(kinds)
-    copies = unlike.join(kinds.where("m > 1").select("key", "whole", "one"), ["key", "whole"]).withColumn("first", mine).select(span)
-    asked = kinds.select("one.uid", "one.w", "one.n").groupBy("uid").agg(F.collect_list(F.struct("w", "n")).alias("asked"))
-    windows = stored(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_windower, "uid long, w int, n int, begin int, end int, key long, half long"))
+    unlike = met.where("not alike").select("uid", "w", "n", "begin", "end", "key", "whole", "own")
+    least = F.when(F.col("own"), F.col("uid"))
+    kinds = stored(unlike.groupBy("key", "whole").agg(F.count("*").alias("m"), F.min("uid").alias("one"), F.min_by("w", least).alias("w"), F.min_by("n", least).alias("n")))
+    several = kinds.where("m > 1").select("key", "whole", "one")
+    copies = unlike.join(several.hint("shuffle_hash"), ["key", "whole"]).withColumn("first", (F.col("uid") == F.col("one")) & F.col("own")).select(span)
+    asked = kinds.select(F.col("one").alias("uid"), "w", "n").groupBy("uid").agg(F.collect_list(F.struct("w", "n")).alias("asked"))
+    windows = stored(texts.join(asked.hint("shuffle_hash"), "uid").select("uid", "text", "asked").mapInArrow(_windower, "uid long, w int, n int, begin int, end int, key long, half long, lead boolean"))
     every = stored(same.unionAll(copies).unionAll(_marked(windows, "key", "half").select(span)))
     by = Window.partitionBy("uid").orderBy("w", "n")
     before = F.max(F.col("w") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -191,14 +210,14 @@ def _spliced(texts: DataFrame) -> DataFrame:
 def _remover(batches):
     for batch in batches:
         kept = []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             out, at, text = [], 0, text or ""
             for s in sorted(spans, key=lambda s: s["begin"]):
                 if s["begin"] > at or not out:
                     out.append(text[at : s["begin"]])
                 at = max(at, s["end"])
             kept.append("".join([*out, text[at:]]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(kept, pa.string())], ["uid", "id", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(kept, pa.string())], [*batch.schema.names[1:], "kept"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -209,12 +228,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = rows.select("uid", "text").mapInArrow(_cutter(least), "uid long, begin int, end int, text string")
     # a paragraph's number says its place: documents by uid, then places by begin
     numbered = stored(parts.select("uid", "begin", "end", "text", F.monotonically_increasing_id().alias("id")))
-    signed, classes, reps = classes_of(numbered.select("id", "text"), SHINGLE, BANDS, VALUES)
-    links = linked_classes(numbered.select("id", "text"), classes, reps, BANDS, SHINGLE, PERCENT)
+    signed, classes, reps = classes_of(numbered.select("id", "text"), _prefixer(SHINGLE, PERCENT))
+    links = repeated_classes(numbered.select("id", "text"), classes, reps, SHINGLE, PERCENT)
     places = stored(numbered.select("id", "uid", "begin", "end"))
     forget(numbered)
-    placed = stored(signed.join(links, "words_key").join(places, "id").select("uid", "begin", "end", F.col("component").alias("cluster")))
-    first = stored(placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("one"), F.count("*").alias("m")).where("m > 1"))
+    placed = stored(signed.join(links.hint("shuffle_hash"), "words_key").join(places, "id").select("uid", "begin", "end", F.col("component").alias("cluster")))
+    first = stored(placed.groupBy("cluster").agg(F.min(F.struct("uid", "begin")).alias("one")))
     several = placed.join(first, "cluster").select("uid", "begin", "end", "cluster", ((F.col("uid") == F.col("one.uid")) & (F.col("begin") == F.col("one.begin"))).alias("first"))
     runs = _spliced(rows.select("uid", "text")).select("uid", "begin", "end", F.lit(None).cast("long").alias("cluster"), "first")
     every = several.unionAll(runs)
@@ -223,7 +242,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = places.groupBy("uid").agg(F.count("*").alias("n_paragraphs"))
     about = stored(counts.join(spans, "uid", "full"))
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    narrow = about.select("uid", "n_paragraphs", "clusters", "repeats")
-    met = rows.join(about.select("uid", "spans"), "uid", "left").select("uid", "id", "text", F.coalesce("spans", none).alias("spans"))
-    cut = met.mapInArrow(_remover, "uid long, id long, spans array<struct<begin:int,end:int>>, kept string").join(narrow, "uid", "left")
-    return cut.select(F.col("id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), "spans", F.coalesce("clusters", F.array().cast("array<long>")).alias("clusters"), F.coalesce("repeats", F.lit(False)).alias("repeats"), "kept")
+    # all that is known of a document goes with its text, which so is dealt once
+    met = rows.join(about.hint("shuffle_hash"), "uid", "left").select("text", F.col("id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("spans", none).alias("spans"), F.coalesce("clusters", F.array().cast("array<long>")).alias("clusters"), F.coalesce("repeats", F.lit(False)).alias("repeats"))
+    return met.mapInArrow(_remover, f"`{id_col}` long, n_paragraphs long, spans array<struct<begin:int,end:int>>, clusters array<long>, repeats boolean, kept string")
