@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import itertools
 import re
 
@@ -191,10 +192,13 @@ FROM inv LEFT JOIN orders_b USING (id) LEFT JOIN receipts_b USING (id) LEFT JOIN
 def join_4way(spark: SparkSession, sf: str) -> DataFrame:
     """Each invoice with its best order, receipt and payment, independently of each other, and the mean of their scores."""
     inv, sides = _papers(spark, sf)
-    out = inv.select("id")
-    for side, column in (("orders", "order"), ("receipts", "receipt"), ("payments", "payment")):
-        got = joins.record_matches(inv, sides[side])
-        out = out.join(got.select("id", F.col("match").alias(f"{column}_id"), F.col("score").alias(f"{column}_score")), "id")
+    columns = {"orders": "order", "receipts": "receipt", "payments": "payment"}
+    papers = functools.reduce(DataFrame.unionByName, [sides[side].withColumn("side", F.lit(side)) for side in columns])
+    asked = inv.withColumn("side", F.explode(F.array(*map(F.lit, columns))))
+    best = joins.record_matches(asked, papers, by=("side",))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    out = best.groupBy("id").agg(*[of(side, c).alias(f"{column}_{end}") for side, column in columns.items() for c, end in (("match", "id"), ("score", "score"))])
+    out = inv.select("id").join(out, "id", "left")
     found = sum((F.col(f"{c}_id").isNotNull().cast("int") for c in ("receipt", "payment")), F.col("order_id").isNotNull().cast("int"))
     total = F.coalesce("order_score", F.lit(0.0)) + F.coalesce("receipt_score", F.lit(0.0)) + F.coalesce("payment_score", F.lit(0.0))
     return out.select("id", "order_id", "receipt_id", "payment_id", found.alias("matched"), F.round(F.coalesce(F.try_divide(total, found), F.lit(0.0)), 4).alias("confidence"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import numbers
 from quillon.functions.similar import ratio
 from quillon.operators.names import similar_names
 from quillon.sources.scratch import cut
@@ -111,6 +113,10 @@ SUPPLIER_PART, DATE_PART = 0.20, 0.10
 
 #: Pairs of names up to which they are broadcast to the pairs of records; each takes some hundred bytes.
 NAME_PAIRS = 200_000
+#: What a score may lack of 1 at most to be looked for first; what finds none as good goes on to the next.
+LACKS = (0.05, 0.1, 0.2)
+#: Pairs of records up to which all are met at once.
+FEW_MEETINGS = 4_000_000
 
 
 def record_score(a: str, b: str, likeness: Column, days: int = 30) -> Column:
@@ -128,30 +134,70 @@ def record_score(a: str, b: str, likeness: Column, days: int = 30) -> Column:
     return (total + F.when(have, near * DATE_PART).otherwise(0.0)) / (weight + F.when(have, DATE_PART).otherwise(0.0))
 
 
-def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
-    """(id, match, score) of every target, both with id, name, incl, excl, tax, quantity, date: its best candidate at ``least`` or
-    more, the smallest id on ties, else nulls.
+def record_matches(targets: DataFrame, candidates: DataFrame, least: float = 0.7, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, by, match, score) of every target, both with id, by, name, incl, excl, tax, quantity, date: its best candidate with the same
+    ``by`` at ``least`` (above .65) or more, the smallest id where scores are equal to nine decimals, else nulls.
 
-    A pair whose amounts are more than 4 % apart keeps at most .65 of its weight, so candidates come from neighbouring cells
-    of the amount's logarithm and no match is lost; a record without an amount matches none. Names of which one is null or empty
-    are not alike, and that counts.
+    A pair whose amounts are more than 4 % apart keeps at most .65 of its weight, so no match is lost by that bound; a record
+    without an amount matches none. Names of which one is null or empty are not alike, and that counts. Records that are equal in
+    all but their id meet once.
+
+    What a score lacks of 1 bounds how far amounts are apart, and the nearer the less alike the names are. So targets look for a score that
+    lacks little first, in narrow cells of the amount's logarithm and among names alike enough; what finds one has its best, as any
+    better one stood there too. The others look further, but no further than the best they saw leaves room for.
     """
-    cell = lambda c: F.floor(F.log(c) / math.log(1.045)).cast("long")
-    filled = lambda df: df.withColumn("name", F.coalesce("name", F.lit("")))
-    left = filled(targets).where("incl > 0").select(*[F.col(c).alias("a_" + c) for c in targets.columns])
-    left = left.withColumn("_cell", F.explode(F.sequence(cell(F.col("a_incl")) - 1, cell(F.col("a_incl")) + 1)))
-    right = filled(candidates).where("incl > 0").select(*[F.col(c).alias("b_" + c) for c in candidates.columns]).withColumn("_cell", cell(F.col("b_incl")))
-    met = left.join(right, "_cell").where(F.abs(F.col("a_incl") - F.col("b_incl")) <= 0.04 * F.col("a_incl"))
+    by = list(by)
+    alike = [c for c in targets.columns if c not in ("id", *by)]
+    filled = lambda df: df.withColumn("name", F.coalesce("name", F.lit(""))).where("incl > 0")
+    sided = lambda df, side: df.select(*[F.col(c).alias(c if c in by else side + c) for c in df.columns])
+    left = cut(sided(filled(targets).select(*by, *alike).distinct(), "a_").withColumn("_kind", F.monotonically_increasing_id()))
+    right = cut(sided(filled(candidates).groupBy(*by, *alike).agg(F.min("id").alias("id")), "b_"))
+    cell = lambda c, width: F.floor(F.log(c) / width).cast("long")
+    wide = lambda df, c: df.withColumn("_cell", cell(F.col(c), math.log(1.045)))
     # names are compared once a pair of different names of neighbouring cells; while those are few they come to the pairs of records,
     # which are then never shuffled
-    pairs = left.select("_cell", "a_name").distinct().join(right.select("_cell", "b_name").distinct(), "_cell").select("a_name", "b_name").distinct()
+    own = wide(left, "a_incl").select(*by, F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell"), "a_name").distinct()
+    pairs = own.join(wide(right, "b_incl").select(*by, "_cell", "b_name").distinct(), [*by, "_cell"]).select("a_name", "b_name").distinct()
     named = cut(pairs.withColumn("_like", F.when((F.col("a_name") != "") & (F.col("b_name") != ""), ratio("a_name", "b_name")).otherwise(0.0)))
     few = named.limit(NAME_PAIRS + 1).count() <= NAME_PAIRS
-    if not few:
-        met = met.where(record_score("a_", "b_", F.lit(1.0)) >= least - 1e-9)  # no name could lift the others
-    scored = met.join(F.broadcast(named) if few else named, ["a_name", "b_name"]).withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= least)
-    best = scored.groupBy(F.col("a_id").alias("id")).agg(F.max_by(F.struct("b_id", "score"), F.struct("score", (-F.col("b_id")).alias("o"))).alias("best"))
-    return targets.select("id").join(best, "id", "left").select("id", F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))
+    first = F.min_by("best", F.struct((-numbers.rounded(F.col("best.score"), 9)).alias("o"), F.col("best.b_id").alias("id")))
+
+    def looked(rows: DataFrame, lack: float, last: bool) -> DataFrame:
+        """The pairs of ``rows`` within their ``_room``, and those that could bound the next."""
+        apart = lambda room: room * (2 * RECORD_PARTS["incl"][1] / RECORD_PARTS["incl"][0]) + 1e-9
+        width = apart(lack) / 2
+        near, keys, floor = rows, [*by, "_cell"], F.col("_floor") if last else F.greatest("_floor", F.lit(1 - 2 * lack))
+        by_name = few and not last
+        if by_name:  # unlike names leave less for the amounts
+            near = near.join(F.broadcast(named.where(F.col("_like") >= 1 - lack / SUPPLIER_PART - 1e-9)), "a_name")
+            near, keys = near.withColumn("_room", F.col("_room") - SUPPLIER_PART * (1 - F.col("_like"))).where("_room > -1e-9"), [*keys, "b_name"]
+        near = near.withColumn("_apart", apart(F.greatest("_room", F.lit(0.0)))).withColumn("_cell", F.explode(F.sequence(cell(F.col("a_incl") * (1 - F.col("_apart")), width), cell(F.col("a_incl") * (1 + F.col("_apart")), width))))
+        met = near.join(right.withColumn("_cell", cell(F.col("b_incl"), width)), keys).where(F.abs(F.col("a_incl") - F.col("b_incl")) <= F.col("_apart") * F.col("a_incl"))
+        if not by_name:
+            if not few:
+                met = met.where(record_score("a_", "b_", F.lit(1.0)) >= floor - 1e-9)  # no name could lift the others
+            met = met.join(F.broadcast(named) if few else named, ["a_name", "b_name"])
+        scored = met.withColumn("score", record_score("a_", "b_", F.col("_like"))).where(F.col("score") >= floor)
+        return scored.select("_kind", F.struct("b_id", "score").alias("best")).groupBy("_kind").agg(first.alias("best"))
+
+    sizes = wide(right, "b_incl").groupBy(*by, "_cell").agg(F.count("*").alias("_theirs"))
+    open_, found, lacks = left.withColumn("_room", F.lit(1 - least)).withColumn("_floor", F.lit(least)), [], [x for x in LACKS if x < 1 - least]
+    while lacks:
+        meetings = wide(open_, "a_incl").groupBy(*by, "_cell").agg(F.count("*").alias("_ours")).join(sizes, [*by, "_cell"]).agg(F.sum(F.col("_ours").cast("double") * F.col("_theirs"))).first()[0]
+        if 2 * (meetings or 0) <= FEW_MEETINGS:
+            break
+        lack = lacks.pop(0)
+        rows = open_.withColumn("_room", F.least("_room", F.lit(lack)))
+        seen = cut(rows.join(looked(rows, lack, False), "_kind", "left").withColumn("_settled", F.coalesce(F.col("best.score") >= 1 - F.col("_room") + 2e-9, F.lit(False))))
+        found.append(seen.where("_settled").select("_kind", "best"))
+        # what is as good as the best seen lacks no more
+        open_ = seen.where("not _settled").withColumn("_floor", F.coalesce(F.col("best.score") - 1e-8, F.lit(least))).withColumn("_room", 1 - F.col("_floor")).drop("best", "_settled")
+    found.append(looked(open_, 1 - least, True))
+    of = left.join(functools.reduce(DataFrame.unionByName, found), "_kind").select(*[F.col(c).alias("_" + c) for c in by], *[F.col("a_" + c) for c in alike], "best")
+    rows = filled(targets)
+    same = [rows[c].eqNullSafe(of["_" + c]) for c in by] + [rows[c].eqNullSafe(of["a_" + c]) for c in alike]
+    got = rows.join(of, functools.reduce(lambda x, y: x & y, same)).groupBy("id", *by).agg(first.alias("best"))
+    return targets.select("id", *by).join(got, ["id", *by], "left").select("id", *by, F.col("best.b_id").alias("match"), F.col("best.score").alias("score"))
 
 
 #: Children of a node of the tree of maxima.

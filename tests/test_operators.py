@@ -1,10 +1,12 @@
 """Operators against plain versions of themselves on small fixtures."""
 
+import datetime
 import difflib
 import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,81 @@ def test_record_pairs_are_not_shuffled_by_name(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
     assert {r.id: r.match for r in got.collect()} == {i: i % 6 for i in range(300)}
+
+
+def _records(r, n, names, start=0):
+    day = lambda: None if r.random() < 0.1 else datetime.date(2024, 1, 1) + datetime.timedelta(r.randint(0, 50))
+    out = []
+    for i in range(n):
+        x = r.choice([100.0, 101.0, 104.0, 250.0]) * r.choice([0.97, 0.99, 1.0, 1.0, 1.002, 1.01])
+        out.append((start + i // 2 * 2, r.choice(names), r.choice([x] * 9 + [0.0]), x / 1.13 * r.choice([1.0, 1.0, 1.01]), r.choice([None, x * 0.13]), float(r.randint(0, 3)), day(), r.choice("uv")))
+    return out
+
+
+RECORD = "id long, name string, incl double, excl double, tax double, quantity double, date date, side string"
+
+
+@pytest.mark.parametrize("name_pairs", [200_000, 0])
+def test_record_matches_step_by_step_against_all_pairs(spark, monkeypatch, name_pairs):
+    """What finds no score that lacks little looks further; ids may come twice, with the same or with another record."""
+    monkeypatch.setattr(joins, "FEW_MEETINGS", 0)
+    monkeypatch.setattr(joins, "NAME_PAIRS", name_pairs)
+    rng = random.Random(8)
+    names = ["acme works", "acme work", "bluesky", "north steel", "", None, *("".join(rng.choice("abc ") for _ in range(8)) for _ in range(12))]
+    left, right = _records(rng, 160, names), _records(rng, 120, names, 1000)
+
+    def score(a, b):
+        total, weight = 0.2 * difflib.SequenceMatcher(None, a[1], b[1]).ratio() if a[1] and b[1] else 0.0, 0.2
+        for k, (w, t) in zip((2, 3, 4, 5), joins.RECORD_PARTS.values(), strict=True):
+            if (a[k] or 0) > 0 and (b[k] or 0) > 0:
+                total, weight = total + w * max(0.0, 1 - abs(a[k] - b[k]) / a[k] / max(2 * t, 0.01)), weight + w
+        if a[6] and b[6]:
+            total, weight = total + 0.1 * max(0, 1 - abs((a[6] - b[6]).days) / 30), weight + 0.1
+        return total / weight
+
+    got = joins.record_matches(spark.createDataFrame(left, RECORD), spark.createDataFrame(right, RECORD), by=("side",)).collect()
+    assert sorted((x.id, x.side) for x in got) == sorted((a[0], a[7]) for a in left)
+    lacks = set()
+    for x in got:
+        own = [a for a in left if (a[0], a[7]) == (x.id, x.side) and a[2] > 0]
+        known = [(round(score(a, b), 9), -b[0]) for a in own for b in right if a[7] == b[7] and b[2] > 0]
+        best = max((k for k in known if k[0] >= 0.7), default=None)
+        assert (x.match, x.score and round(x.score, 9)) == ((-best[1], best[0]) if best else (None, None))
+        lacks.add(sum(1 - best[0] > lack for lack in joins.LACKS) if best else None)
+    assert lacks == {0, 1, 2, 3, None}  # every step settles some
+
+
+def test_record_pairs_far_from_the_best_are_not_met(spark, monkeypatch):
+    """Of records whose best lacks little, fewer pairs are scored than lie within 4 % of an amount."""
+    monkeypatch.setattr(joins, "FEW_MEETINGS", 0, raising=False)
+    seen, plain = spark.sparkContext.accumulator(0), joins.record_score
+
+    @F.pandas_udf("double")
+    def counted(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    monkeypatch.setattr(joins, "record_score", lambda a, b, likeness: plain(a, b, likeness + 0 * counted(F.col(b + "incl"))))
+    a = F.col("id")
+    rows = spark.range(1000).select("id", F.when(a % 2 == 0, "north steel").otherwise("sunny").alias("name"), (1000.0 + 2 * a).alias("incl"), (900.0 + 2 * a).alias("excl"), F.lit(10.0).alias("tax"), F.lit(1.0).alias("quantity"), F.lit("2024-01-01").cast("date").alias("date"))
+    got = {x.id: x.match for x in joins.record_matches(rows, rows).collect()}
+    assert got == {i: i for i in range(1000)}
+    within = sum(abs(i - j) * 2 <= 0.04 * (1000 + 2 * i) for i in range(1000) for j in range(1000))
+    assert 1000 <= seen.value < within / 3
+
+
+def test_records_of_one_id_are_matched_apart(spark, monkeypatch):
+    """An id with two records has the better match of both; another id with one of these records has that record's."""
+    monkeypatch.setattr(joins, "FEW_MEETINGS", 0)
+    schema = "id long, name string, incl double, excl double, tax double, quantity double, date date"
+    one = lambda i, x: (i, "sunny", x, x / 1.13, x / 10, 3.0, None)
+    got = joins.record_matches(spark.createDataFrame([one(1, 1000.0), one(1, 2000.0), one(2, 1000.0), one(3, 2000.0)], schema), spark.createDataFrame([one(7, 1010.0), one(8, 2000.0)], schema))
+    assert sorted((x.id, x.match) for x in got.collect()) == [(1, 8), (1, 8), (2, 7), (3, 8)]
+
+
+def test_records_equal_to_nine_decimals_are_ties(spark):
+    """As in the SQL beside join_4way, the smaller id is taken, though the other's score is larger in its last digits."""
+    schema = "id long, name string, incl double, excl double, tax double, quantity double, date date"
+    one = lambda i, x: (i, "sunny", 1000.0, x, 100.0, 3.0, None)
+    got = joins.record_matches(spark.createDataFrame([one(1, 900.0)], schema), spark.createDataFrame([one(7, 900.0 + 1e-10), one(8, 900.0)], schema))
+    assert [x.match for x in got.collect()] == [7]
